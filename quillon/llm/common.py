@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,40 @@ MAX_HOT_KEYS = 20_000
 MIN_HOT_ROWS = 64
 
 
+#: Bytes of text that are worked on side by side; a longer text stands alone.
+BLOCK = 6_000_000
+
+
+def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text stands alone."""
+    at, n = 0, 0
+    for i, k in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if n and n + k > size:
+            yield at, i
+            at, n = i, 0
+        n += k
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string array without nulls and each row's offsets in them."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[off[0] : off[-1]], off - off[0]
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring offsets; empty rows give 0."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=np.int64)
+    return out
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     sc = spark.sparkContext
@@ -75,3 +114,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return met.select(
         *rows.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_rest.{n}")).alias(n) for n in names]
     )
+
+
+def id_fold(doc_id: Column, mod: int) -> Column:
+    """crc32 of the id as text, modulo ``mod``."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import blocks, byte_views, row_sums, written
 
 # Common insults and second-person words.
 INSULTS = (
@@ -61,24 +61,6 @@ for _b in range(128):
 _CLASS[128:] = 7
 
 
-def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array without nulls and each row's offsets in them."""
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[off[0] : off[-1]], off - off[0]
-
-
-def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between neighbouring offsets; empty rows give 0."""
-    out = np.zeros(len(offsets) - 1, np.int64)
-    full = np.flatnonzero(offsets[1:] > offsets[:-1])
-    if len(full):
-        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=np.int64)
-    return out
-
-
 def bare(word: str) -> str:
     """A lower-cased word without digits and punctuation at its edges."""
     return _EDGE.sub("", word)
@@ -292,23 +274,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 400
     return ToxicityModel(lexicon, trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (which also has text) and the score of every whole text; null counts as empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], whole: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (which also has text) and the score of every whole text; null counts as empty.
+
+    Repeated rows get equal scores. ``whole`` says that text is among ``keep``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    text = "text" if whole else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         make = Features(m.lexicon)
         for b in batches:
-            s = m.scores(make.rows(b.column("_text")))
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(s)], [*keep, "score"])
-
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{cols}, score double")
-
+            for at, end in blocks(b.column(text)):
+                part = b.slice(at, end - at)
+                s = m.scores(make.rows(part.column(text)))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(s)], [*keep, "score"])
 
-def id_fold(doc_id, mod: int):
-    """crc32 of the id as text, modulo ``mod``."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+    rows = docs.select(*keep) if whole else docs.select(*keep, F.col("text").alias("_text"))
+    return rows.mapInArrow(run, f"{cols}, score double")
