@@ -187,7 +187,7 @@ def scan(q: Quantiser, top: int, keep: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, keep: int = 40, cells: int = 1, probes: int = 1, quantiser: Quantiser | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, keep: int = 160, cells: int = 1, probes: int = 1, quantiser: Quantiser | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its ``top`` rows of largest inner product.
 
     Every usable row is indexed; ``queries`` has the same columns. A query's own id is no
