@@ -25,3 +25,7 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+# the modules register their queries
+from . import interval_queries  # noqa: E402, F401
