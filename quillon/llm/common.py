@@ -104,8 +104,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = groups.where(F.col(size) > hot_rows).select(
         F.col(key).alias("_hk"), F.struct(*names).alias("_hot")
     )
+    # _rs is always 0, but no literal: the optimizer would drop a literal from the shuffle's key
     rest = groups.where(F.col(size) <= hot_rows).select(
-        F.col(key).alias("_rk"), F.lit(0).alias("_rs"), F.struct(*names).alias("_rest")
+        F.col(key).alias("_rk"), F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("_rs"), F.struct(*names).alias("_rest")
     )
     marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left").withColumn(
         "_salt", F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(unique), F.lit(1 << 20)).cast("int"))
