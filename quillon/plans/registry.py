@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 # the modules register their queries
-from . import interval_queries, series_queries  # noqa: E402, F401
+from . import interval_queries, ranking_queries, series_queries  # noqa: E402, F401
