@@ -74,8 +74,8 @@ def topk_flat(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20),
 an AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS xa FROM a WINDOW w AS (PARTITION BY query_id)),
 bn AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS xb FROM b WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, round(0.7 * coalesce(xa, 0) + 0.3 * coalesce(xb, 0), 5) AS score FROM an FULL JOIN bn USING (query_id, doc_id))
-SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM f QUALIFY rank <= 10""")
+fz AS (SELECT query_id, doc_id, round(0.7 * coalesce(xa, 0) + 0.3 * coalesce(xb, 0), 5) AS score FROM an FULL JOIN bn USING (query_id, doc_id))
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM fz QUALIFY rank <= 10""")
 def topk_weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
     cs = R.cosine_pairs(e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "vec"), e).withColumn("score", F.round("score", 6))
