@@ -43,7 +43,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-AT = """at AS (SELECT o_orderkey // 3 AS uid, CAST(o_orderkey % 3 AS INTEGER) AS attempt,
+AT = """att AS (SELECT o_orderkey // 3 AS uid, CAST(o_orderkey % 3 AS INTEGER) AS attempt,
   CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'timeout' ELSE 'error' END AS status,
   (['A','B','C','D','E','x',''])[o_orderkey * 7 % 11 % 7 + 1] AS pred, (['A','B','C','D','E'])[(o_orderkey // 3) % 5 + 1] AS gold,
   o_totalprice / 1000 AS elapsed_sec, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS tokens, o_orderpriority AS stage,
