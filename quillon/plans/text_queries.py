@@ -172,12 +172,18 @@ def phrase_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
-    """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express."""
+    """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express.
+
+    Only texts that share six words in a row with a phrase are compared with it.
+    """
     from ..functions.fuzzy import best_window_ratio
 
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
-    p = _docs(spark, d).withColumn("k", F.col("doc_id") % 40).join(F.broadcast(b), "k")
-    return p.select("doc_id", "k", F.round(best_window_ratio(F.col("text"), F.col("phrase")), 6).alias("ratio")).where("ratio >= 0.85")
+    grams = lambda c: F.array_distinct(T.ngrams(F.split(T.normalize_text(c), " "), 6))
+    p = b.select("k", F.explode(grams(F.col("phrase"))).alias("g"))
+    pairs = _docs(spark, d).select("doc_id", F.explode(grams(F.col("text"))).alias("g")).join(p, "g").select("doc_id", "k").distinct()
+    met = _docs(spark, d).select("doc_id", "text").join(pairs, "doc_id").join(b, "k")
+    return met.select("doc_id", "k", F.round(best_window_ratio(F.col("text"), F.col("phrase")), 6).alias("ratio")).where("ratio >= 0.85")
 
 
 @query("SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, value * 100 AS sec FROM (SELECT event_id, value, greatest(0, floor(value * 100))::BIGINT AS s FROM events)")
