@@ -62,7 +62,9 @@ class DigestIndex:
         carry the same decision. Other columns of ``docs`` are not read.
         """
         batch = written(docs.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
-        groups = batch.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        # written before the anti-join: the optimizer would push the join below the aggregate,
+        # and then all rows of a text, not one for each task, would meet in one place
+        groups = written(batch.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
         known = self.rows().select("digest", F.col("keep_id").alias("_keep")).hint("merge")
         fresh = written(groups.join(known, "digest", "left_anti"), "fresh")
         old = groups.join(known, "digest").select("digest", F.col("_keep").alias("keep_id"), "group_size")
