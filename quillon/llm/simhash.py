@@ -231,13 +231,15 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(most_rounds):
-        # no node is both a child and a root: every component is a star around its smallest node
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+        parents = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        # every node has one parent and no parent is a node with one: stars around the smallest nodes
+        if parents.where("k > 1").isEmpty() and e.select("v").distinct().join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star")
+        # large star: every child goes to its parent's least parent; hubs with many children don't meet in one task
+        hubs = e.groupBy("v").agg(F.count("*").alias("n")).join(parents.select(F.col("u").alias("v"), "m"), "v", "left")
+        hubs = written(hubs.select("v", F.coalesce("m", "v").alias("m"), "n"), "hubs")
+        large = written(join_groups(e, hubs, "v", "n", e.count(), "u").select("u", F.col("m").alias("v")).distinct(), "large-star")
+        # small star: all parents of a node and the node itself go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
