@@ -10,15 +10,23 @@ from pyspark.sql import types as T
 
 
 def _best(text: str, phrase: str) -> float:
-    """1 for a phrase within the text, else the best ratio over windows of as many words, half a window apart."""
+    """1 for a phrase within the text, else the best ratio over windows of as many words, a quarter of a window apart.
+
+    Windows that share no four words in a row with the phrase can't come close and are passed over.
+    """
     t, p = " ".join(text.lower().split()), " ".join(phrase.lower().split())
     if not t or not p:
         return 0.0
     if p in t:
         return 1.0
-    words, n = t.split(), len(p.split())
+    words, own = t.split(), p.split()
+    n = len(own)
+    runs = {tuple(own[i : i + 4]) for i in range(max(1, n - 3))}
+    shared = [i for i in range(len(words)) if tuple(words[i : i + 4]) in runs]
+    step = max(1, n // 4)
+    starts = {max(0, s // step * step) for i in shared for s in range(i - n + 4, i + 1, step)}
     best, m = 0.0, SequenceMatcher(None, "", p, autojunk=False)
-    for i in range(0, max(1, len(words) - n + 1), max(1, n // 2)):
+    for i in sorted(starts):
         m.set_seq1(" ".join(words[i : i + n]))
         if m.real_quick_ratio() > best and m.quick_ratio() > best:
             best = max(best, m.ratio())

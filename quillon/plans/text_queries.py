@@ -179,9 +179,10 @@ def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.fuzzy import best_window_ratio
 
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
-    grams = lambda c: F.array_distinct(T.ngrams(F.split(T.normalize_text(c), " "), 6))
-    p = b.select("k", F.explode(grams(F.col("phrase"))).alias("g"))
-    pairs = _docs(spark, d).select("doc_id", F.explode(grams(F.col("text"))).alias("g")).join(p, "g").select("doc_id", "k").distinct()
+    words = lambda c: F.split(T.normalize_text(c), " ").alias("w")  # noqa: E731  a column of its own, else each n-gram would split the text anew
+    grams = F.explode(F.array_distinct(T.ngrams(F.col("w"), 6))).alias("g")
+    p = b.select("k", words(F.col("phrase"))).select("k", grams)
+    pairs = _docs(spark, d).select("doc_id", words(F.col("text"))).select("doc_id", grams).join(p, "g").select("doc_id", "k").distinct()
     met = _docs(spark, d).select("doc_id", "text").join(pairs, "doc_id").join(b, "k")
     return met.select("doc_id", "k", F.round(best_window_ratio(F.col("text"), F.col("phrase")), 6).alias("ratio")).where("ratio >= 0.85")
 
