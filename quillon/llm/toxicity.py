@@ -2,7 +2,7 @@
 
 The features are lexicon densities, second-person proximity, capitals, punctuation and
 obfuscation rates of the whole text. The lexicon is a list of common insults, widened by
-words that the labelled sample marks. Trees, calibration and lexicon are fitted on a
+words and stems that the labelled sample marks. Trees, calibration and lexicon are fitted on a
 bounded sample of labelled rows; scoring reads every row.
 """
 
@@ -35,6 +35,8 @@ FEATURES = (
     "capitals shout punctuation exclaim digits symbols non_ascii"
 ).split()
 NEAR = 6
+#: Lengths of the word beginnings that are tried as stems.
+STEMS = (4, 5, 6, 7, 8)
 BURST = 50
 
 _WORD = re.compile(r"\S+")
@@ -67,24 +69,29 @@ def bare(word: str) -> str:
 
 
 class Features:
-    """Turns whole texts into rows of ``FEATURES``."""
+    """Turns whole texts into rows of ``FEATURES``. A lexicon's entry that ends in * is a stem."""
 
     def __init__(self, lexicon: list[str]):
         import ahocorasick
 
-        self.lexicon = frozenset(lexicon)
+        self.lexicon = frozenset(w for w in lexicon if not w.endswith("*"))
+        self.stems = frozenset(w[:-1] for w in lexicon if w.endswith("*"))
+        self.sizes = sorted({len(w) for w in self.stems})
         self.find = ahocorasick.Automaton()
-        for w in self.lexicon:
+        for w in self.lexicon | self.stems:
             self.find.add_word(w, len(w))
-        if self.lexicon:
+        if lexicon:
             self.find.make_automaton()
 
+    def hit(self, word: str) -> bool:
+        return word in self.lexicon or any(word[:n] in self.stems for n in self.sizes)
+
     def text(self, text: str) -> list[float]:
         low = text.lower()
         hits, obfuscated = [], 0
-        if self.lexicon and next(self.find.iter(low), None) is not None:
+        if len(self.find) and next(self.find.iter(low), None) is not None:
             words = [bare(w) for w in _WORD.findall(low)]
-            at = [i for i, w in enumerate(words) if w in self.lexicon]
+            at = [i for i, w in enumerate(words) if self.hit(w)]
             hits = [words[i] for i in at]
         if _PIVOT.search(low):
             for w in filter(_PIVOT.search, _WORD.findall(low)):
@@ -230,7 +237,7 @@ def _features(lexicon: list[str], keep: list[str]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 400, min_count: int = 5, min_ratio: float = 12.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600, min_count: int = 5, min_evidence: float = 24.0) -> ToxicityModel:
     """Fit on at most ``rows`` labelled rows, those with the smallest hashes of their ids.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null label or id
@@ -248,15 +255,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 400
     )
     sample = written(sample, "toxicity-sample")
     n, toxic = (float(v or 0) for v in sample.agg(F.count("*"), F.sum("y")).first())
+    # words and their beginnings, by how much the labels of the texts that have them depart from the base rate
+    w = F.col("w")
+    own = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.char_length(x).between(3, 30)))).alias("w")
+    rate = max(1.0, toxic) / max(1.0, n)
+    bad, every = F.col("bad"), F.col("all")
+    term = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     seen = (
-        sample.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w"))
-        .where("length(w) between 3 and 30")
+        sample.select("key", "y", own)
+        .groupBy("key", "y")
+        .agg(F.array_compact(F.array_distinct(F.flatten(F.collect_list(F.array(w, *[F.when(F.char_length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]))))).alias("u"))
+        .select("y", F.explode("u").alias("w"))
         .groupBy("w")
         .agg(F.sum("y").alias("bad"), F.count("*").alias("all"))
-        .where(F.col("bad") >= min_count)
-        .withColumn("ratio", ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (n - toxic + 1)))
-        .where(F.col("ratio") >= min_ratio)
-        .orderBy(F.desc("ratio"), "w")
+        .where((bad >= min_count) & (bad / every > 4 * rate))
+        .withColumn("evidence", 2 * (term(bad, every * rate) + term(every - bad, every * (1 - rate))))
+        .where(F.col("evidence") >= min_evidence)
+        .orderBy(F.desc("evidence"), "w")
         .limit(words)
     )
     lexicon = sorted({*INSULTS, *(r["w"] for r in seen.collect())})
