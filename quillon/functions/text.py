@@ -15,8 +15,13 @@ def normalize_text(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Runs of a-z and 0-9, and each CJK letter alone, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([一-鿿]|[a-z0-9]+)"), F.lit(1))
+    """Runs of a-z and 0-9, and each CJK letter alone, in lower case.
+
+    Texts without CJK letters are split at what isn't a token, which is far cheaper than collecting matches.
+    """
+    low = F.lower(F.coalesce(c, F.lit("")))
+    plain = F.array_remove(F.split(low, "[^a-z0-9]+"), "")
+    return F.when(low.rlike("[一-鿿]"), F.regexp_extract_all(low, F.lit(r"([一-鿿]|[a-z0-9]+)"), F.lit(1))).otherwise(plain)
 
 
 def tokens_compat(c: Column) -> Column:

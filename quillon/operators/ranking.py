@@ -9,6 +9,18 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 
+#: Inputs below this many bytes may lie in fewer row groups than there are cores.
+SMALL = 256 << 20
+#: Rows (query, term) that may be broadcast, about 50 MB.
+BROADCAST_TERMS = 1_000_000
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Deals a small table evenly over the cores before costly expressions; a large one has tasks enough and isn't shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each key with rank 1, 2, ...; partial limits run before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -18,19 +30,22 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=T.tokens) -> DataFrame:
     """query_id, doc_id, score > 0. ``docs`` has doc_id and text, ``queries`` query_id and text.
 
-    Documents' tokens meet the queries' distinct terms before anything is shuffled by term:
-    the term list is semi-joined first, so only postings that matter move. Sizes come from
-    one aggregate.
+    Postings of the queries' terms are dealt by document once; counting, weighting and
+    summing all happen under that partitioning, since the queries' terms and their document
+    frequencies are broadcast. Their number is checked: beyond ``BROADCAST_TERMS`` they
+    meet the postings by a shuffled join instead.
     """
-    d = docs.select("doc_id", tokenizer(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    d = balanced(docs.select("doc_id", "text")).select("doc_id", tokenizer(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     total = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("t"))
-    terms = q.select("t").distinct()
-    posts = d.select("doc_id", "dl", F.explode("w").alias("t")).join(terms, "t", "left_semi").groupBy("t", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    small = F.broadcast if q.count() <= BROADCAST_TERMS else (lambda x: x)
+    found = d.select("doc_id", "dl", F.explode("w").alias("t")).join(small(q.select("t").distinct()), "t", "left_semi")
+    posts = found.repartition("doc_id").groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
     df = posts.groupBy("t").agg(F.count("*").alias("df"))
+    asked = small(q.join(df, "t").groupBy("t", "df").agg(F.collect_list("query_id").alias("qs")))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(df, "t").crossJoin(F.broadcast(total)).select("t", "doc_id", weight.alias("x"))
-    return q.join(scored, "t").groupBy("query_id", "doc_id").agg(F.sum("x").alias("score")).where("score > 0")
+    scored = posts.join(asked, "t").crossJoin(F.broadcast(total)).select("doc_id", weight.alias("x"), F.explode("qs").alias("query_id"))
+    return scored.groupBy("query_id", "doc_id").agg(F.sum("x").alias("score")).where("score > 0")
 
 
 def cosine_pairs(queries: DataFrame, rows: DataFrame, how=V.cosine) -> DataFrame:

@@ -107,7 +107,7 @@ LEX = f"q AS (SELECT item_id AS query_id, {_stems_sql('text')} AS q FROM benchma
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
     """Shared stems over the query's stems, by an inverted join of stems: no pair without a shared stem arises."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.stems(F.col("text")).alias("q"))
-    w = table(spark, d, "documents").select("doc_id", F.explode(T.stems(F.col("text"))).alias("s"))
+    w = R.balanced(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.stems(F.col("text"))).alias("s"))
     met = q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("s")).join(w, "s")
     return met.groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("k")).select("query_id", "doc_id", F.round(F.col("k") / F.greatest(F.lit(1), F.col("n")), 6).alias("lexical"))
 
