@@ -11,7 +11,13 @@ from .fixtures import IV, intervals, table
 from .registry import query
 
 O = ["start_sec", "id"]
-W = Window.partitionBy("video_id").orderBy(*O)
+
+
+def _w():
+    """Made on use: a window needs a running session."""
+    return Window.partitionBy("video_id").orderBy(*O)
+
+
 OW = "(PARTITION BY video_id ORDER BY start_sec, id)"
 
 
@@ -25,7 +31,7 @@ def row_number_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {IV} SELECT id, round(value - lag(value) OVER {OW}, 6) AS diff, lead(start_sec) OVER {OW} AS next_start, max(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before FROM iv")
 def lag_difference(spark: SparkSession, d: str) -> DataFrame:
     """With lead and running max."""
-    return intervals(spark, d).select("id", F.round(F.col("value") - F.lag("value").over(W), 6).alias("diff"), F.lead("start_sec").over(W).alias("next_start"), F.max("end_sec").over(W.rowsBetween(Window.unboundedPreceding, -1)).alias("max_before"))
+    return intervals(spark, d).select("id", F.round(F.col("value") - F.lag("value").over(_w()), 6).alias("diff"), F.lead("start_sec").over(_w()).alias("next_start"), F.max("end_sec").over(_w().rowsBetween(Window.unboundedPreceding, -1)).alias("max_before"))
 
 
 @query(f"WITH {IV} SELECT id, round(sum(value) OVER (PARTITION BY video_id ORDER BY start_sec, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM iv")
@@ -46,7 +52,7 @@ def min_max_normalise(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {IV}, l AS (SELECT *, lead(start_sec) OVER {OW} AS nx FROM iv) SELECT id, CASE WHEN id % 3 = 0 THEN least(coalesce(nx, start_sec + 5), start_sec + 5) ELSE end_sec END AS end_sec FROM l")
 def lead_extension(spark: SparkSession, d: str) -> DataFrame:
     """Point-like segments (here every third) run to the next start, five seconds at most."""
-    end = F.least(F.coalesce(F.lead("start_sec").over(W), F.col("start_sec") + 5), F.col("start_sec") + 5)
+    end = F.least(F.coalesce(F.lead("start_sec").over(_w()), F.col("start_sec") + 5), F.col("start_sec") + 5)
     return intervals(spark, d).select("id", F.when(F.col("id") % 3 == 0, end).otherwise(F.col("end_sec")).alias("end_sec"))
 
 
@@ -119,7 +125,7 @@ g AS (SELECT video_id, i, 0 AS run, false AS cut FROM x WHERE i = 1 UNION ALL SE
 SELECT video_id, i AS cut_at FROM g WHERE cut""")
 def split_local_max_or_forced(spark: SparkSession, d: str) -> DataFrame:
     m = F.percentile("value", F.lit(0.5)).over(Window.partitionBy("video_id"))
-    x = intervals(spark, d).withColumn("peak", S.local_maximum("value", ["video_id"], O) & (F.col("value") >= m)).withColumn("i", F.row_number().over(W).cast("long"))
+    x = intervals(spark, d).withColumn("peak", S.local_maximum("value", ["video_id"], O) & (F.col("value") >= m)).withColumn("i", F.row_number().over(_w()).cast("long"))
     g = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "peak"))).alias("p"))
     # the last cut and the cuts so far; the first row is never one
     cuts = F.aggregate(
@@ -132,14 +138,14 @@ def split_local_max_or_forced(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {IV}, n AS (SELECT video_id, row_number() OVER {OW} AS i, value FROM iv), e AS (SELECT video_id, i FROM n WHERE value > 60) SELECT video_id, coalesce(lag(i) OVER (PARTITION BY video_id ORDER BY i) + 1, 1)::BIGINT AS first_i, i AS last_i FROM e")
 def groups_from_ends(spark: SparkSession, d: str) -> DataFrame:
-    e = intervals(spark, d).withColumn("i", F.row_number().over(W).cast("long")).where("value > 60")
+    e = intervals(spark, d).withColumn("i", F.row_number().over(_w()).cast("long")).where("value > 60")
     return e.select("video_id", F.coalesce(F.lag("i").over(Window.partitionBy("video_id").orderBy("i")) + 1, F.lit(1)).cast("long").alias("first_i"), F.col("i").alias("last_i"))
 
 
 @query(f"""WITH {IV}, n AS (SELECT *, row_number() OVER {OW} AS i FROM iv), g AS (SELECT *, (i - 1) // 8 AS region FROM n)
 SELECT video_id, region, min(start_sec) AS start_sec, max(end_sec) AS end_sec, round(avg(value), 6) AS mean_rms, max(value) AS peak_rms, max(value) < 50 AS low_information FROM g GROUP BY video_id, region""")
 def build_acoustic_regions(spark: SparkSession, d: str) -> DataFrame:
-    g = intervals(spark, d).withColumn("region", F.floor((F.row_number().over(W) - 1) / 8).cast("long"))
+    g = intervals(spark, d).withColumn("region", F.floor((F.row_number().over(_w()) - 1) / 8).cast("long"))
     return g.groupBy("video_id", "region").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.round(F.avg("value"), 6).alias("mean_rms"), F.max("value").alias("peak_rms"), (F.max("value") < 50).alias("low_information"))
 
 
