@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_views, row_sums, written
@@ -256,16 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600
     sample = written(sample, "toxicity-sample")
     n, toxic = (float(v or 0) for v in sample.agg(F.count("*"), F.sum("y")).first())
     # words and their beginnings, by how much the labels of the texts that have them depart from the base rate
-    w = F.col("w")
-    own = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.char_length(x).between(3, 30)))).alias("w")
+    words_of = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.char_length(x).between(3, 30)))
+
+    def units(w: Column) -> Column:
+        return F.array(w, *[F.when(F.char_length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS])
+
     rate = max(1.0, toxic) / max(1.0, n)
     bad, every = F.col("bad"), F.col("all")
     term = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     seen = (
-        sample.select("key", "y", own)
-        .groupBy("key", "y")
-        .agg(F.array_compact(F.array_distinct(F.flatten(F.collect_list(F.array(w, *[F.when(F.char_length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]))))).alias("u"))
-        .select("y", F.explode("u").alias("w"))
+        sample.select("y", words_of.alias("words"))
+        .select("y", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform("words", units))))).alias("w"))
         .groupBy("w")
         .agg(F.sum("y").alias("bad"), F.count("*").alias("all"))
         .where((bad >= min_count) & (bad / every > 4 * rate))
