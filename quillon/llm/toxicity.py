@@ -242,8 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null label or id
     are left out, of several labels of one id the largest counts, and texts that occur
-    more than once in the sample count once. Three quarters fit the trees, the others the
-    calibration. Without any labelled row the score is 0.5 times the lexicon's evidence:
+    more than once in the sample count once. The calibration is fitted on margins from trees
+    that haven't seen the row, by quarters. Without any labelled row the score is 0.5 times the lexicon's evidence:
     trees are empty and the calibration is flat.
     """
     spark = docs.sparkSession
@@ -282,12 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600
         flat = Trees(0.0, 0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)))
         return ToxicityModel(lexicon, flat, Isotonic(np.array([0.0]), np.array([0.0])))
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
-    part = got["key"].to_numpy() % 4 == 3
-    if part.all() or not part.any() or not y[part].any():
-        part = np.zeros(len(y), bool)
-    trees = fit_trees(x[~part], y[~part])
-    rest = part if part.any() else ~part
-    return ToxicityModel(lexicon, trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
+    fold = got["key"].to_numpy() % 4
+    margin = np.zeros(len(y))
+    for k in range(4):  # each quarter is calibrated by trees that haven't seen it
+        out = fold == k
+        if out.any() and not out.all():
+            margin[out] = fit_trees(x[~out], y[~out]).margin(x[out])
+    return ToxicityModel(lexicon, fit_trees(x, y), fit_isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], whole: bool = False) -> DataFrame:
