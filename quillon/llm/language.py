@@ -140,8 +140,12 @@ def fit(docs: DataFrame, rows: int = 1_500, grams: int = 6_000) -> LanguageFilte
     """
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     known = docs.where("text is not null and lang is not null")
+    # twice as many as needed are let through by their hash, so that a window never sorts a whole language
+    counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1))
+    hashed = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"))
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+        hashed.join(counts, "lang")
+        .where(F.col("h") < F.greatest(F.lit(1.0), F.lit(2.0 * rows + 200) / F.col("n") * float(1 << 32)))
         .withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= rows)
         .select("doc_id", "lang")
