@@ -1,6 +1,6 @@
 """Streams: replay of an append-only journal, charge-once ledgers, windows over late data.
 
-These go beyond the reference's batch behaviour; the batch operators define what is right.
+The batch operators define what is right.
 """
 
 from __future__ import annotations
