@@ -191,6 +191,29 @@ def test_substring_dedup_finds_passages_and_resists_shifts(spark):
     assert substring_dedup.repeated_spans(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_substring_dedup_finds_all_short_passages_whole(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = [prose(51) for _ in range(40)]
+    texts = [f"{prose(30)} {p} {prose(20)}" for p in passage] + [f"{prose(7 + k)} {p} {prose(11)}" for k, p in enumerate(passage)]
+    got = substring_dedup.repeated_spans(docs(spark, *texts)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40, 80))
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert passage[r.doc_id - 40] in raw[r.start : r.stop].decode() and r.n_words >= 51
+        other = texts[r.doc_id - 40].encode()
+        n = r.stop - r.start
+        assert other[r.first_start : r.first_start + n] == raw[r.start : r.stop]
+
+
+def test_extended_spans_join():
+    text = b"aa bb cc dd ee ff"
+    runs = [{"start": 3, "stop": 5, "first_id": 1, "first_pos": 9, "copies": 2, "left": b"x ", "right": b" cc d"}, {"start": 12, "stop": 14, "first_id": 2, "first_pos": 4, "copies": 2, "left": b"c dd ", "right": b" fg"}]
+    assert substring_dedup.extended(text, runs) == [(2, 16, 5, 1, 8, 2)]
+
+
 # -- learned ones -------------------------------------------------------------------
 
 
