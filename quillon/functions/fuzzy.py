@@ -2,40 +2,131 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _best(text: str, phrase: str) -> float:
-    """1 for a phrase within the text, else the best ratio over windows of as many words, a quarter of a window apart.
-
-    Windows that share no four words in a row with the phrase can't come close and are passed over.
-    """
-    t, p = " ".join(text.lower().split()), " ".join(phrase.lower().split())
-    if not t or not p:
-        return 0.0
-    if p in t:
-        return 1.0
-    words, own = t.split(), p.split()
-    n = len(own)
-    runs = {tuple(own[i : i + 4]) for i in range(max(1, n - 3))}
-    shared = [i for i in range(len(words)) if tuple(words[i : i + 4]) in runs]
-    step = max(1, n // 4)
-    starts = {max(0, s // step * step) for i in shared for s in range(i - n + 4, i + 1, step)}
-    best, m = 0.0, SequenceMatcher(None, "", p, autojunk=False)
-    for i in sorted(starts):
-        m.set_seq1(" ".join(words[i : i + n]))
-        if m.real_quick_ratio() > best and m.quick_ratio() > best:
-            best = max(best, m.ratio())
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def best_window_ratio(text: pd.Series, phrase: pd.Series) -> pd.Series:
-    return pd.Series([_best(t or "", p or "") for t, p in zip(text, phrase, strict=True)])
+#: Texts that match a phrase have a ratio of at least this.
+LEAST_RATIO = 0.85
+#: Phrases whose trigrams are counted side by side, and entries of the table of hashed trigrams.
+SIDE_BY_SIDE = 64
+TABLE = 1 << 16
+
+
+def normalized(text: str) -> str:
+    """NFKC, case folded, all but letters and digits to blanks, squeezed."""
+    return re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", text).casefold()).strip()
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """Each trigram's hash; equal trigrams have equal ones."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
+
+
+def _least_matched(length: np.ndarray | int) -> np.ndarray:
+    """Characters that must match for the least ratio, of two strings of ``length`` in all."""
+    return np.ceil(np.asarray(length) * (LEAST_RATIO / 2) - 1e-6).astype(np.int64)
+
+
+def _common(masks: dict[str, int], n: int, window: str) -> int:
+    """Length of the longest common subsequence with the string of ``n`` characters that ``masks`` describes; bit-parallel."""
+    full = (1 << n) - 1
+    v = full
+    for c in window:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+class Phrases:
+    """Phrases as the windowed match needs them."""
+
+    def __init__(self, phrases: list[str]):
+        self.text = [normalized(p) for p in phrases]
+        self.size = np.array([len(p) for p in self.text], np.int64)
+        self.words = np.array([len(p.split()) for p in self.text], np.int64)
+        self.masks: list[dict[str, int]] = []
+        self.has = np.zeros((TABLE, len(phrases)), bool)
+        for k, p in enumerate(self.text):
+            m: dict[str, int] = {}
+            for i, c in enumerate(p):
+                m[c] = m.get(c, 0) | 1 << i
+            self.masks.append(m)
+            self.has[_trigrams(p), k] = True
+
+    def matches(self, text: str) -> list[tuple[int, float]]:
+        """(place of the phrase, best ratio) where the best ratio over windows that start at every word is high enough.
+
+        No window that could reach the least ratio is passed over. M matching characters lie in at most
+        D + 1 blocks, where D = la + lb - 2 M characters don't match, so M - 2 (D + 1) trigrams of the window are the phrase's
+        too. Of what is left, the common subsequence bounds M, and by each character that a later window adds it grows by at most one.
+        """
+        t = normalized(text)
+        found = []
+        if not t:
+            return found
+        gram = _trigrams(t)
+        words = t.split(" ")
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        start = np.concatenate([[0], end[:-1] + 1])
+        for at in range(0, len(self.text), SIDE_BY_SIDE):
+            some = slice(at, at + SIDE_BY_SIDE)
+            hits = np.zeros((len(gram) + 1, len(self.text[some])), np.int32)
+            np.cumsum(self.has[gram, some], axis=0, dtype=np.int32, out=hits[1:])
+            for n in np.unique(self.words[some]).tolist():
+                col = np.flatnonzero(self.words[some] == n)
+                a = start[: max(1, len(words) - n + 1)]
+                b = end[np.minimum(np.arange(len(a)) + n, len(words)) - 1]
+                shared = hits[np.clip(b - 2, a, len(gram))][:, col] - hits[np.minimum(a, len(gram))][:, col]
+                length = self.size[some][col][None, :] + (b - a)[:, None]
+                least = _least_matched(length)
+                could = (shared >= least - 2 * (length - 2 * least + 1)) & (least <= np.minimum(self.size[some][col][None, :], (b - a)[:, None]))
+                for j in np.flatnonzero(could.any(0)).tolist():
+                    k = at + int(col[j])
+                    if not n:
+                        continue
+                    if self.text[k] in t:
+                        found.append((k, 1.0))
+                        continue
+                    best = self._best(k, t, a, b, np.flatnonzero(could[:, j]).tolist())
+                    if best >= LEAST_RATIO:
+                        found.append((k, round(best, 6)))
+        return found
+
+    def _best(self, k: int, t: str, a: np.ndarray, b: np.ndarray, windows: list[int]) -> float:
+        p, size, best = self.text[k], int(self.size[k]), 0.0
+        last, known = None, 0
+        for i in windows:
+            x, y = int(a[i]), int(b[i])
+            need = max(LEAST_RATIO, best) * (size + y - x) / 2 - 1e-6
+            if last is not None and known + y - last < need:
+                continue
+            last, known = y, _common(self.masks[k], size, t[x:y])
+            if known >= need:
+                best = max(best, SequenceMatcher(None, p, t[x:y]).ratio())
+        return best
+
+
+def phrase_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, ks, phrases), (doc_id, k, ratio) of the phrases that match the text."""
+    ks: list = []
+    made = Phrases([])
+    for batch in batches:
+        out = []
+        for i, t, own, phrases in zip(*(batch.column(c) for c in ("doc_id", "text", "ks", "phrases")), strict=True):
+            if own.as_py() != ks or not out and not made.text:
+                ks, made = own.as_py(), Phrases(phrases.as_py())
+            out += [(i.as_py(), ks[k], r) for k, r in made.matches(t.as_py() or "")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["doc_id", "k", "ratio"])
 
 
 @F.pandas_udf(T.StringType())

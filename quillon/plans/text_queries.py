@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ranking as R
 from .fixtures import IV, intervals, table
 from .ranking_queries import STEM, STOP, TOK
 from .registry import query
@@ -174,17 +175,14 @@ def phrase_ladder(spark: SparkSession, d: str) -> DataFrame:
 def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
     """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express.
 
-    Only texts that share six words in a row with a phrase are compared with it.
+    Every phrase meets every text, in blocks of phrases; bounds that lose no match pass over most windows.
     """
-    from ..functions.fuzzy import best_window_ratio
-
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
-    words = lambda c: F.split(T.normalize_text(c), " ").alias("w")  # noqa: E731  a column of its own, else each n-gram would split the text anew
-    grams = F.explode(F.array_distinct(T.ngrams(F.col("w"), 6))).alias("g")
-    p = b.select("k", words(F.col("phrase"))).select("k", grams)
-    pairs = _docs(spark, d).select("doc_id", words(F.col("text"))).select("doc_id", grams).join(p, "g").select("doc_id", "k").distinct()
-    met = _docs(spark, d).select("doc_id", "text").join(pairs, "doc_id").join(b, "k")
-    return met.select("doc_id", "k", F.round(best_window_ratio(F.col("text"), F.col("phrase")), 6).alias("ratio")).where("ratio >= 0.85")
+    from ..functions.fuzzy import phrase_matches
+
+    b = table(spark, d, "benchmark").where("item_id is not null").select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("phrase"))
+    p = b.groupBy(F.expr("k div 256")).agg(F.array_sort(F.collect_list(F.struct("k", "phrase"))).alias("p")).select(F.col("p.k").alias("ks"), F.col("p.phrase").alias("phrases"))
+    met = R.balanced(_docs(spark, d).select("doc_id", "text")).crossJoin(F.broadcast(p))
+    return met.mapInArrow(phrase_matches, "doc_id long, k long, ratio double")
 
 
 @query("SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, value * 100 AS sec FROM (SELECT event_id, value, greatest(0, floor(value * 100))::BIGINT AS s FROM events)")

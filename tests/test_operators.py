@@ -148,3 +148,38 @@ def test_lineage(spark):
     j = spark.createDataFrame([("a", 1, "pending"), ("a", 2, "sent"), ("a", 3, "checkpointed")], "k string, o int, state string")
     r = lineage.journal_replay(j, ["k"], ["o"]).first()
     assert (r.last_state, r.n_illegal, r.unfinished) == ("checkpointed", 1, False)
+
+
+def test_phrase_windows_equal_brute_force():
+    import random
+    from difflib import SequenceMatcher
+
+    from quillon.functions import fuzzy
+
+    def brute(text, phrase):
+        p, t = fuzzy.normalized(phrase), fuzzy.normalized(text)
+        if not p or not t:
+            return 0.0
+        if p in t:
+            return 1.0
+        w, n = t.split(), len(p.split())
+        return max(SequenceMatcher(None, p, " ".join(w[i : i + n])).ratio() for i in range(max(1, len(w) - n + 1)))
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgéñoprstu") for _ in range(rng.randint(2, 8))) for _ in range(120)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def spoiled(words, every):
+        return [w[1:] + "x" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+    phrases = [prose(n) for n in (1, 2, 3, 5, 12, 12, 30, 45)]
+    made = [" ".join(p) for p in phrases] + ["Straße, 20!", "", "?"]
+    texts = [" ".join(prose(k) + spoiled(p, e) + prose(9)) for k, p in enumerate(phrases) for e in (2, 3, 4, 7)]
+    texts += [", ".join(p).upper() + "." for p in phrases] + [" ".join(prose(60)) for _ in range(8)] + ["STRASSE 20", "", "a", " ".join(phrases[4][:10])]
+    found = fuzzy.Phrases(made)
+    hits = 0
+    for t in texts:
+        want = {k: round(r, 6) for k, p in enumerate(made) if (r := brute(t, p)) >= 0.85}
+        assert dict(found.matches(t)) == want
+        hits += len([r for r in want.values() if r < 1])
+    assert hits > 12
