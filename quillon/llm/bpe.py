@@ -14,15 +14,15 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks
+from .common import appended, free, named
 
 #: A worker forgets its words and pairs beyond this many.
 MEMORY = 400_000
@@ -82,6 +82,7 @@ class WordBpe:
         self.codes, self.rank = np.array([c for c, _, _ in pairs], np.int64), np.array([r for _, r, _ in pairs], np.int32)
         self._trie()
         self.fits: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
         self.forget()
 
     def _trie(self) -> None:
@@ -227,6 +228,16 @@ class WordBpe:
         known.update((c, m == [c // _SIDE, c % _SIDE]) for c, m in zip(fresh, merged, strict=True))
         return np.fromiter(map(known.__getitem__, each.tolist()), bool, len(each))[back]
 
+    def whole(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token's own letters merge to it; one that stands alone has no pair to test."""
+        each, back = np.unique(tokens, return_inverse=True)
+        known = self.alone
+        fresh = [t for t in each.tolist() if t not in known]
+        rows = [self.spelled(t) for t in fresh]
+        merged = self.merge(rows) if all(len(r) <= 4 * SHORT for r in rows) else [self.merge_long(r) for r in rows]
+        known.update((t, m == [t]) for t, m in zip(fresh, merged, strict=True))
+        return np.fromiter(map(known.__getitem__, each.tolist()), bool, len(each))[back]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of words without blanks, each of one byte or more."""
         short = [i for i, w in enumerate(words) if len(w) <= SHORT]
@@ -236,7 +247,9 @@ class WordBpe:
             flat, row = self.propose([words[i] for i in short])
             inside = np.flatnonzero(row[1:] == row[:-1])
             bad = inside[~self.compatible(flat[inside].astype(np.int64) * _SIDE + flat[inside + 1])] if len(inside) else inside
-            wrong = np.unique(row[bad]).tolist()
+            size = np.bincount(row, minlength=len(short))
+            lone = np.flatnonzero(size[row] == 1)
+            wrong = np.unique(np.concatenate([row[bad], row[lone[~self.whole(flat[lone])]]])).tolist()
             tokens, cut = flat.tolist(), np.searchsorted(row, np.arange(len(short) + 1)).tolist()
             for k, i in enumerate(short):
                 out[i] = tokens[cut[k] : cut[k + 1]]
@@ -245,7 +258,7 @@ class WordBpe:
         for i in long:
             t = self.propose_long(words[i])
             codes = np.array(t[:-1], np.int64) * _SIDE + np.array(t[1:], np.int64)
-            out[i] = t if len(t) < 2 or self.compatible(codes).all() else self.merge_long(self.symbols(words[i]))
+            out[i] = t if (self.compatible(codes).all() if len(t) > 1 else self.whole(np.array(t)).all()) else self.merge_long(self.symbols(words[i]))
         return out
 
     # -- texts ------------------------------------------------------------------
@@ -338,20 +351,20 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str], prefix: str = "", text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` (which has text), ids array<int> and decoded string for every whole text.
 
     Null and empty texts, and texts of blanks alone, have no ids and decode to the empty
-    string; equal texts and repeated rows get equal ids. Other columns are not read.
+    string; equal texts and repeated rows get equal ids. Other columns are not read; the new names take ``prefix``.
     """
 
     def arrays(ids: np.ndarray, off: np.ndarray, decoded: pa.Array) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32))), decoded.cast(pa.string())]
 
-    return _run(docs, path, keep, "ids array<int>, decoded string", arrays)
+    return _run(docs, path, keep, "ids array<int>, decoded string", arrays, prefix, text_col)
 
 
-def encode_digests(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, keep: list[str], prefix: str = "", text_col: str = "text") -> DataFrame:
     """The same, with n_tokens long, ids_sha256 (little-endian unsigned 32-bit) and decoded_sha256."""
 
     def arrays(ids: np.ndarray, off: np.ndarray, decoded: pa.Array) -> list[pa.Array]:
@@ -359,32 +372,28 @@ def encode_digests(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         return [pa.array(np.diff(off)), pa.array(sha, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded], pa.string())]
 
-    return _run(docs, path, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", arrays)
+    return _run(docs, path, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", arrays, prefix, text_col)
 
 
-def _run(docs: DataFrame, path: str, keep: list[str], columns: str, arrays) -> DataFrame:
-    names = [c.split()[0] for c in columns.split(", ")]
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def _run(docs: DataFrame, path: str, keep: list[str], columns: str, arrays, prefix: str, text_col: str) -> DataFrame:
+    fields = [(prefix + n, t) for n, t in (c.split() for c in columns.split(", "))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         bpe = tokenizer(path)
-        for b in batches:
-            texts = b.column("_text")
-            for at, end in blocks(texts):
-                own = arrays(*bpe.encode(texts.slice(at, end - at)))
-                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(at, end - at) for k in keep], *own], [*keep, *names])
+        return lambda texts: arrays(*bpe.encode(texts.fill_null("")))
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{cols}, {columns}")
+    return appended(docs, keep, text_col, make, fields)
 
 
-def decode(rows: DataFrame, path: str, keep: list[str]) -> DataFrame:
+def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids", prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``rows`` (which has ids array<int>) and decoded; null ids decode to the empty string, unknown ones are skipped."""
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    own = free(keep, "_ids")
+    schema = T.StructType([*rows.select(*named(keep)).schema.fields, T.StructField(prefix + "decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            text = [bpe.decode(ids or []) for ids in b.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(text, pa.string())], [*keep, "decoded"])
+            text = [bpe.decode(ids or []) for ids in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(text, pa.string())], schema.names)
 
-    return rows.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, f"{cols}, decoded string")
+    return rows.select(*named(keep), *[c.alias(own) for c in named([ids_col])]).mapInArrow(run, schema)

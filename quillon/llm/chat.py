@@ -15,7 +15,8 @@ from .common import written
 
 def _turn_hash(k: Column, part: int) -> Column:
     """60 bits of the SHA-256 of a turn and its place, as a decimal that sums without overflow."""
-    text = F.concat_ws("\x00", k.cast("string"), _tagged("role"), _tagged("text"))
+    # the role's length tells where it ends, whatever stands in it
+    text = F.concat_ws("\x00", k.cast("string"), F.octet_length(_tagged("role")).cast("string"), _tagged("role"), _tagged("text"))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1 + 15 * part, 15), 16, 10).cast("decimal(38,0)")
 
 

@@ -1,8 +1,10 @@
 """Exact dedup against a persistent digest index, in DataFrame operations only.
 
 The index is a table bucketed and sorted by digest, one row for each distinct text. A new
-batch is reduced to its distinct digests, anti-joined to the index by sort-merge (the
-index side needs no shuffle) and what is new is appended with the same bucketing.
+batch is reduced to its distinct digests, which meet the index by a sort-merge join whose
+index side needs no shuffle; those without a match (the anti-join) are appended with the
+same bucketing. Decisions belong to rows and texts, never to ids: a row is kept because its own text is
+new and its id is the one that the text keeps.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, written
+from .common import ascii_lower, free, join_groups, named, one_each, written
 
 
 def digest(text: Column) -> Column:
@@ -21,11 +23,12 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent table ``(digest, keep_id, group_size)``, bucketed and sorted by digest.
+    """A persistent table ``(digest, keep_id, batch)``, bucketed and sorted by digest.
 
     ``buckets`` defaults to ``spark.sql.shuffle.partitions``, the session's own measure of
-    its size; a table that exists keeps the number that it was made with. ``group_size``
-    counts the copies within the batch that brought the text in.
+    its size; a table that exists keeps the number that it was made with. ``batch`` names the
+    batch that brought the text in. The caller owns the table; ``drop`` removes it. After many appends a
+    bucket has several files, which Spark then sorts again when it merges (but doesn't shuffle).
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
@@ -35,14 +38,17 @@ class DigestIndex:
             rows = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").collect()
             self.buckets = int(rows[0]["data_type"])
         else:
-            self.append(spark.createDataFrame([], "digest binary, keep_id long, group_size long"))
+            self._append(spark.createDataFrame([], "digest binary, keep_id long, batch string"))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def _append(self, rows: DataFrame) -> None:
         (
-            groups.select("digest", "keep_id", "group_size")
+            rows.select("digest", "keep_id", "batch")
             .repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
@@ -51,38 +57,89 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate ``docs`` within itself and against the index, then append its new texts.
+    def add(self, batch: DataFrame, name: str) -> DataFrame:
+        """Meet the index with the rows (id, digest) of a batch and append its new texts under ``name``.
 
-        Returns one row for each row of ``docs``: id, keep_id, group_size, kept, digest. Of
-        equal texts in one batch the row with the largest id stays; a text that the index
-        has already stays with the id recorded there, and then no row of the batch is kept.
-        Rows with a null id come back with kept false unless a text has only such rows.
-        An empty batch appends nothing; repeated rows with one id are counted each, and all
-        carry the same decision. Other columns of ``docs`` are not read.
+        Returns one row for each text of the batch: digest, keep_id, group_size (its rows in
+        the batch), fresh. A text that is new keeps the largest id of the batch and is fresh; a text
+        that another batch brought in keeps the id recorded there. A batch that comes again under its name,
+        as after a failure, finds its own texts fresh with the ids recorded, and appends only
+        what the failed attempt left out.
         """
-        batch = written(docs.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
-        # written before the anti-join: the optimizer would push the join below the aggregate,
+        # written before the join: the optimizer would push it below the aggregate,
         # and then all rows of a text, not one for each task, would meet in one place
-        groups = written(batch.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-        known = self.rows().select("digest", F.col("keep_id").alias("_keep")).hint("merge")
-        fresh = written(groups.join(known, "digest", "left_anti"), "fresh")
-        old = groups.join(known, "digest").select("digest", F.col("_keep").alias("keep_id"), "group_size")
-        old = written(old, "known")
-        self.append(fresh)
-        mine = fresh.withColumn("_fresh", F.lit(True)).unionByName(old.withColumn("_fresh", F.lit(False)))
-        total = batch.count()
-        met = join_groups(batch, mine, "digest", "group_size", total, "id")
-        return met.select(
-            F.col("id").alias(id_col),
-            "keep_id",
-            "group_size",
-            (F.col("_fresh") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "digest",
-        )
+        groups = written(batch.groupBy("digest").agg(F.max("id").alias("id"), F.count("*").alias("group_size")), "groups")
+        known = self.rows().select("digest", F.col("keep_id").alias("_keep"), F.col("batch").alias("_batch")).hint("merge")
+        # one pass over the index: without a match is the anti-join, with one tells the id that stays
+        met = written(groups.join(known, "digest", "left"), "met")
+        self._append(met.where("_batch is null").select("digest", F.col("id").alias("keep_id"), F.lit(name).alias("batch")))
+        new = F.col("_batch").isNull()
+        return met.select("digest", F.when(new, F.col("id")).otherwise(F.col("_keep")).alias("keep_id"), "group_size", (new | (F.col("_batch") == name)).alias("fresh"))
+
+
+def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
+    """``rows`` in ``n`` parts by falling id, the ones without an id last; so an earlier part's id is larger."""
+    if n == 1:
+        return [rows]
+    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(n - 1, 0, -1)], 10_000)).first()[0] or []
+    parts, above = [], F.lit(True)
+    for c in sorted(set(cuts), reverse=True):
+        parts.append(rows.where(above & (F.col("id") > c)))
+        above = F.col("id") <= c
+    return [*parts, rows.where(above | F.col("id").isNull())]
+
+
+def decide(rows: DataFrame, index: DigestIndex, name: str, batches: int = 1) -> DataFrame:
+    """digest, keep_id, group_size, fresh of every text of ``rows`` (id, digest), which go to the index in ``batches``."""
+    found = [index.add(part, f"{name}/{k}") for k, part in enumerate(_batches(rows, batches))]
+    if len(found) == 1:
+        return found[0]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    # a text is fresh in the batch that brought it in; later ones were told the same id
+    merged = every.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("fresh").alias("fresh"))
+    return written(merged, "decisions")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, table: str | None, batch: str | None, batches: int) -> tuple[DataFrame, DataFrame]:
+    rows = written(docs.select(named([id_col])[0].cast("long").alias("id"), digest(named([text_col])[0]).alias("digest")), "digests")
+    index = DigestIndex(docs.sparkSession, table or f"quillon_digests_{uuid.uuid4().hex}")
+    try:
+        return rows, decide(rows, index, batch or uuid.uuid4().hex, batches)
+    finally:
+        if table is None:
+            index.drop()  # all that is needed of it is written
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: str | None = None, batch: str | None = None, batches: int = 1) -> DataFrame:
+    """One row for each row of ``docs``: id, keep_id, group_size, kept, digest.
+
+    Of equal texts the row with the largest id stays; a text that ``table`` has from
+    another batch keeps the id recorded there, and then no row of ``docs`` is kept. Give a batch its own
+    name in ``batch``: if it comes again under that name, its rows are decided as before. Without
+    ``table`` the index is new and dropped at the end. ``batches`` above 1 send the rows to the index in
+    so many batches. Null texts count as empty. Rows with a null id come back with kept false unless a text has only such
+    rows; repeated rows with one id are counted each, and all carry the same decision (``survivors`` keeps one of
+    them); one id with several texts is decided for each text. An empty table gives no rows. Other columns are not read.
+    """
+    rows, texts = _decided(docs, id_col, text_col, table, batch, batches)
+    met = join_groups(rows, texts, "digest", "group_size", rows.count())
+    return met.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: str | None = None) -> DataFrame:
-    """One batch against ``table``, or against a new index of its own. See ``DigestIndex.add``."""
-    index = DigestIndex(docs.sparkSession, table or f"quillon_digests_{uuid.uuid4().hex}")
-    return index.add(docs, id_col, text_col)
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: str | None = None, batch: str | None = None, batches: int = 1) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one for each text that is new.
+
+    It is the row with the largest id; of repeated rows with that id, one. Rows are matched
+    by their own text's digest, so an id that also stands at another text does no harm.
+    """
+    _, texts = _decided(docs, id_col, text_col, table, batch, batches)
+    key = free(docs.columns, "_digest")
+    names = {c: free(docs.columns, f"_{c}") for c in ("keep_id", "group_size", "fresh")}
+    texts = texts.select(F.col("digest").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    rows = docs.withColumn(key, digest(named([text_col])[0]))
+    total = texts.agg(F.sum(names["group_size"])).first()[0] or 0
+    met = join_groups(rows, texts, key, names["group_size"], total)
+    own = met.where(F.col(names["fresh"]) & named([id_col])[0].cast("long").eqNullSafe(F.col(names["keep_id"])))
+    return one_each(written(own.drop(*names.values()), "survivors"), key).select(*named(docs.columns))

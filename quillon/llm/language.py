@@ -8,7 +8,7 @@ corrected for the filter's false positives, and the largest share decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,9 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import appended, blocks
+
 ORDERS = (2, 3, 4)
 HASHES = 2
-MAX_LANGUAGES = 64
+#: Languages are known up to this many, those with the most texts; every 64 have a table of masks of their own.
+MAX_LANGUAGES = 4_096
+#: Chosen rows that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Code points are processed in pieces of about this many, so that memory stays bounded for any text.
 PIECE = 1 << 20
 
@@ -78,14 +83,17 @@ def _codes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # a power of two of unsigned integers, one bit for each language
+    slots: list[np.ndarray]  # for every 64 languages a power of two of unsigned integers, one bit for each language
     false_rate: np.ndarray  # for each language, the chance that a foreign n-gram passes
+    usual: int = 0  # the language with the most texts
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        size = np.uint64(len(self.slots) - 1)
-        out = self.slots[(grams >> np.uint64(1)) & size]
+    def masks(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages, of the 64 of ``word``, that contain each n-gram."""
+        slots = self.slots[word]
+        size = np.uint64(len(slots) - 1)
+        out = slots[(grams >> np.uint64(1)) & size]
         for k in range(1, HASHES):
-            out = out & self.slots[(grams >> np.uint64(1 + 20 * k)) & size]
+            out = out & slots[(grams >> np.uint64(1 + 20 * k)) & size]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +106,13 @@ class LanguageFilter:
                 real = g != 0
                 # an n-gram that runs over into the next part has two blanks inside or at its ends
                 at = np.minimum(starts, len(g) - 1)
-                m = np.where(real, self.masks(g), self.slots.dtype.type(0))
                 np.add.at(total, rows[:, 0], np.add.reduceat(real, at, dtype=np.int64))
-                for j in range(len(self.languages)):
-                    bit = (m >> self.slots.dtype.type(j)) & self.slots.dtype.type(1)
-                    np.add.at(held[:, j], rows[:, 0], np.add.reduceat(bit, at, dtype=np.int64))
+                for word, slots in enumerate(self.slots):
+                    kind = slots.dtype.type
+                    m = np.where(real, self.masks(g, word), kind(0))
+                    for j in range(64 * word, min(64 * word + 64, len(self.languages))):
+                        bit = (m >> kind(j - 64 * word)) & kind(1)
+                        np.add.at(held[:, j], rows[:, 0], np.add.reduceat(bit, at, dtype=np.int64))
         return total, held
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -111,6 +121,7 @@ class LanguageFilter:
         share = held / np.maximum(1, total)[:, None]
         share = np.clip((share - self.false_rate) / np.maximum(1e-9, 1 - self.false_rate), 0, 1)
         best = share.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
+        best[share.max(1, initial=0) == 0] = self.usual
         some = total > 0
         sums = share.sum(1)
         score = np.where(some, share.max(1, initial=0) / np.maximum(sums, 1e-9), 0.0)
@@ -119,29 +130,32 @@ class LanguageFilter:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-            found: list[np.ndarray] = [np.zeros(0, np.uint64)]
-            for code, _ in _codes(own):
-                for g in _grams(code):
-                    found.append(g[g != 0])
-            g, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        for at, end in blocks(b.column("text")):
+            part = b.slice(at, end - at)
+            langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
+            for lang in sorted(set(langs)):
+                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+                found: list[np.ndarray] = [np.zeros(0, np.uint64)]
+                for code, _ in _codes(own):
+                    for g in _grams(code):
+                        found.append(g[g != 0])
+                g, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
 def fit(docs: DataFrame, rows: int = 1_500, grams: int = 6_000) -> LanguageFilter:
     """Fit on the ``rows`` texts of each language whose ids have the smallest hashes.
 
-    ``docs`` has doc_id, text and lang; null texts and languages are left out, and languages
-    beyond the first 64 by name are refused. A language's filter holds its ``grams`` most
+    ``docs`` has doc_id, text and lang; null texts and languages are left out; of more than ``MAX_LANGUAGES``
+    languages those with the most texts are known (ties: by name). A language's filter holds its ``grams`` most
     frequent n-grams (ties: smaller hash). The filter has a slot count of at least eight
-    times the n-grams of all languages.
+    times the n-grams of all languages, up to two to the twentieth.
     """
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    known = docs.where("text is not null and lang is not null")
+    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    counts = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long"))
     # twice as many as needed are let through by their hash, so that a window never sorts a whole language
-    counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1))
     hashed = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"))
     chosen = (
         hashed.join(counts, "lang")
@@ -150,37 +164,47 @@ def fit(docs: DataFrame, rows: int = 1_500, grams: int = 6_000) -> LanguageFilte
         .where(F.col("r") <= rows)
         .select("doc_id", "lang")
     )
-    chosen = F.broadcast(chosen)  # at most 64 languages times rows
-    sample = known.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).select("lang", "text")
+    if len(sizes) * rows <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    sample = known.join(chosen, ["doc_id", "lang"]).select("lang", "text")
     counted = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams)
     got = top.select("lang", "gram").toPandas().sort_values(["lang", "gram"])
-    languages = sorted(set(got["lang"]))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    slots = np.zeros(1 << max(10, min(20, int(8 * max(1, len(got)) - 1).bit_length())), kind)
-    size = np.uint64(len(slots) - 1)
-    fill = np.zeros(len(languages))
-    for j, lang in enumerate(languages):
-        g = got.loc[got["lang"] == lang, "gram"].to_numpy().view(np.uint64)
-        for k in range(HASHES):
-            slots[np.unique((g >> np.uint64(1 + 20 * k)) & size)] |= kind(1 << j)
-        fill[j] = ((slots >> kind(j)) & kind(1)).mean() ** HASHES
-    return LanguageFilter(languages, slots, fill)
-
-
-def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFrame:
+    return build(sorted(set(got["lang"])), {k: v.to_numpy().view(np.uint64) for k, v in got.groupby("lang")["gram"]}, dict(sizes))
+
+
+def build(languages: list[str], grams: dict[str, np.ndarray], texts: dict[str, int]) -> LanguageFilter:
+    """The filter of the languages' n-grams; ``texts`` tells how many texts each language has."""
+    total = sum(map(len, grams.values()))
+    n = 1 << max(10, min(20, int(8 * max(1, total) - 1).bit_length()))
+    size = np.uint64(n - 1)
+    slots, fill = [], np.zeros(len(languages))
+    for at in range(0, max(1, len(languages)), 64):
+        own = languages[at : at + 64]
+        kind = next(t for t, k in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(own) <= k)
+        table = np.zeros(n, kind)
+        for j, lang in enumerate(own):
+            for k in range(HASHES):
+                table[np.unique((grams[lang] >> np.uint64(1 + 20 * k)) & size)] |= kind(1 << j)
+            fill[at + j] = ((table >> kind(j)) & kind(1)).mean() ** HASHES
+        slots.append(table)
+    usual = min(range(len(languages)), key=lambda j: (-texts.get(languages[j], 0), languages[j]), default=0)
+    return LanguageFilter(languages, slots, fill, usual)
+
+
+def predict(docs: DataFrame, model: LanguageFilter, keep: list[str], prefix: str = "", text_col: str = "text") -> DataFrame:
     """Columns ``keep``, lang_pred and score for every whole text; null and letterless texts are ``und`` with score 0.
 
-    A text whose only letters no filter knows gets the first language by name and score 0.
+    A text none of whose n-grams a filter knows gets the language with the most texts, and score 0; of equal
+    shares the first language by name wins. Repeated rows get equal results, an empty table none. The new names take ``prefix``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score = shared.value.predict(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        def of(texts: pa.Array) -> list[pa.Array]:
+            lang, score = shared.value.predict(texts.fill_null("").to_pylist())
+            return [pa.array(lang, pa.string()), pa.array(score)]
+
+        return of
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{cols}, lang_pred string, score double")
+    return appended(docs, keep, text_col, make, [(prefix + "lang_pred", "string"), (prefix + "score", "double")])

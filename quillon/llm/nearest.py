@@ -23,7 +23,7 @@ from .common import written
 
 #: Rows of a cell that one task scans, and queries that it scans them for.
 CELL_ROWS = 4_096
-CELL_QUERIES = 2_048
+CELL_QUERIES = 8_192
 
 
 @dataclass
@@ -148,6 +148,13 @@ def _cells(q: Quantiser, probes: int, query: bool):
     return run
 
 
+def inner_products(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each column with ``y``, summed in the order of dimensions: equal vectors have equal products wherever they stand."""
+    if not columns.shape[1]:
+        return np.zeros(0)
+    return np.add.accumulate(columns * y[:, None], axis=0)[-1]
+
+
 def scan(q: Quantiser, top: int, keep: int):
     """Scans the codes of one block of a cell for one block of queries; returns the best of each query."""
 
@@ -157,7 +164,7 @@ def scan(q: Quantiser, top: int, keep: int):
             return out
         rows = rows.sort_values("id", kind="stable")  # then ties go to the smaller id
         ids = rows["id"].to_numpy()
-        x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+        columns = np.ascontiguousarray(np.stack(rows["vec"].to_numpy()).astype(np.float64).T)
         code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T
         # two four-bit codes share a byte and a table of 256 sums
         both = [(code[s].astype(np.intp) << 4) | code[s + 1] for s in range(0, len(code) - 1, 2)]
@@ -179,7 +186,7 @@ def scan(q: Quantiser, top: int, keep: int):
             else:
                 at = np.arange(len(ids))
             at = at[ids[at] != qid]
-            score = x[at] @ y[i] if len(at) else np.zeros(0)
+            score = inner_products(columns[:, at], y[i])
             best = np.lexsort((ids[at], -score))[:top]
             found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(found, ignore_index=True) if found else out
@@ -192,8 +199,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
 
     Every usable row is indexed; ``queries`` has the same columns. A query's own id is no
     candidate. Ties go to the smaller id, equal vectors are all candidates; rows with null
-    ids, unusable vectors or another dimension than the sample's take no part, and repeated
-    rows with one id count once. ``probes`` cells are scanned for each query and ``keep``
+    ids, unusable vectors or another dimension than the sample's take no part, and of several
+    rows with one id the one with the smallest vector counts. The search is exact with ``keep`` at ``CELL_ROWS`` times two or more (a block never has
+    as many rows but by a freak of its hashes) and ``cells`` at 1; below that its recall is to be measured. ``probes`` cells are scanned for each query and ``keep``
     rows of each block are reranked. Fewer candidates than ``top`` in the probed cells give
     fewer rows, unless the whole table has fewer, when all are returned.
     """
@@ -201,7 +209,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     q = quantiser or fit(own, cells=cells)
-    own, asked = (x.where(F.size("vec") == q.dimensions).dropDuplicates(["id"]) for x in (own, asked))
+    # of several vectors with one id the smallest counts, for rows and queries alike
+    own, asked = (x.where(F.size("vec") == q.dimensions).groupBy("id").agg(F.min("vec").alias("vec")) for x in (own, asked))
     index = written(own.mapInPandas(_cells(q, probes, False), "id long, vec array<double>, cell int, code binary"), "vectors")
     wants = written(asked.mapInPandas(_cells(q, probes, True), "id long, vec array<double>, cell int"), "vector-queries")
     size = index.groupBy("cell").agg(F.count("*").alias("rows"))

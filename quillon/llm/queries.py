@@ -14,7 +14,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.dedup(documents(spark, sf_dir))
+    # two batches, so that the second meets a filled index
+    out = exact_dedup.dedup(documents(spark, sf_dir), batches=2)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

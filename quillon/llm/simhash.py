@@ -1,35 +1,42 @@
-"""SimHash near-dedup: fingerprints linked exactly through a forest of vantage-point trees.
-
-Distances between unrelated 64-bit fingerprints crowd at 32 +- 4, so one vantage-point tree
-over them can't prune at radius 4: a query has to enter both children of three quarters of
-all nodes. The forest therefore works on slices. The 64 bits are cut into ``radius + 2``
-slices; two fingerprints within ``radius`` bits agree on at least two slices, so for every
-pair of slices there is one tree whose metric is the Hamming distance on those two slices
-and whose search radius is 0 (general pigeonhole). Its vantage points are the values of the
-slices themselves and the triangle bound leaves one branch: the shard of equal values.
-Within a shard the tree goes on over whole fingerprints at the full radius: a vantage point
-splits the rest by distance, the triangle bound prunes what can't be linked, and the ring
-that overlaps the ball's boundary is compared. All links of a shard are found, but only a
-spanning forest of them leaves it.
+"""SimHash near-dedup through vantage-point trees.
+
+Fingerprints are parted by Hamming distance: a node of a tree has a vantage point and a
+cut; what lies within the cut plus the radius goes to the inner child, what lies beyond the
+cut to the outer one. By the triangle inequality two fingerprints within the radius differ
+by no more than it in their distance from the vantage point, so both are in one child; what
+lies between cut and cut plus radius overlaps the boundary and goes to both. The nodes are
+fitted on a bounded sample; every fingerprint is routed down them to its shards, which are
+searched by the same tree further down until few are left, and those are compared.
+
+Distances of unrelated 64-bit fingerprints crowd at 32 +- 4, so over whole fingerprints the
+bound prunes next to nothing at radius 4. The forest therefore has one tree for each slice of the bits:
+of ``radius // 2 + 1`` slices, two fingerprints within the radius differ by at most one bit on one of them
+at least. A tree measures the Hamming distance on its slice and searches at radius 1, where the
+bound prunes; pairs that meet are compared as whole fingerprints. This is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, join_groups, written
+from .common import LOWER, UPPER, appended, byte_views, free, join_groups, named, one_each, written
 
 WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Shards of at most this many fingerprints are compared as a whole, larger ones by the tree.
-LEAF = 512
+#: Fingerprints that a shard is expected to have, and the most that one task compares: a larger shard is split into pairs of blocks.
+SHARD_ROWS = 4_096
+MOST_ROWS = 65_536
+#: In a shard the tree goes on until so many are left.
+LEAF = 128
+#: Trees are fitted on at most this many fingerprints, those with the smallest hashes.
+SAMPLE = 1 << 18
 #: Hashes are counted in steps of this many, below the 16-bit lanes' limit.
 STEP = 32_768
 
@@ -38,6 +45,9 @@ _BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], np.uint64)
 
 
+# -- fingerprints -----------------------------------------------------------------
+
+
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
     """XXH64 of the word shingles of a UTF-8 text, A-Z lower-cased, words parted by ASCII blanks."""
     from xxhash import xxh64_intdigest as xxh
@@ -53,52 +63,249 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
     return [xxh(line[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bit i is 1 if it is set in over half the shingles' hashes; 0 for a text without words."""
-    h = np.array(shingle_hashes(text, words), np.uint64)
-    if not len(h):
-        return 0
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), STEP):
-        part = h[at : at + STEP]
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each run of ``sizes`` rows of hashes (rows x words of 64 bits) the bits that over half of them have; 0 for none."""
+    out = np.zeros((len(sizes), h.shape[1]), np.uint64)
+    full = np.flatnonzero(sizes > 0)
+    if not len(full):
+        return out
+    n = sizes[full]
+    pieces = -(-n // STEP)
+    first = pieces.cumsum() - pieces
+    starts = np.repeat(n.cumsum() - n, pieces) + STEP * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    for w in range(h.shape[1]):
         for i in range(16):
-            lanes = int(_LANES[((part >> np.uint64(4 * i)) & np.uint64(15)).astype(np.intp)].sum())
+            lanes = np.add.reduceat(_LANES[((h[:, w] >> np.uint64(4 * i)) & np.uint64(15)).astype(np.intp)], starts)
             for b in range(4):
-                count[4 * i + b] += (lanes >> (16 * b)) & 0xFFFF
-    return sum(1 << int(i) for i in np.flatnonzero(2 * count > len(h)))
+                count = np.add.reduceat((lanes >> np.uint64(16 * b)) & np.uint64(0xFFFF), first).astype(np.int64)
+                out[full, w] |= (2 * count > n).astype(np.uint64) << np.uint64(4 * i + b)
+    return out
+
+
+def as_nodes(fp: np.ndarray) -> pa.Array:
+    """Rows of 64-bit words as binary values, each word with its high byte first."""
+    raw = fp.astype(">u8").tobytes()
+    size = 8 * fp.shape[1]
+    offsets = np.arange(0, len(raw) + 1, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def of_nodes(nodes: pa.Array) -> np.ndarray:
+    """The opposite of ``as_nodes``."""
+    raw, off = byte_views(nodes)
+    size = int(off[1] - off[0]) if len(nodes) else 8
+    return raw.view(">u8").astype(np.uint64).reshape(-1, size // 8)
+
+
+def _fingerprints(words: int) -> Callable:
+    def of(texts: pa.Array) -> list[pa.Array]:
+        each = [shingle_hashes(t, words) for t in texts.fill_null("").cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return [as_nodes(majority(np.array([x for own in each for x in own], np.uint64)[:, None], sizes))]
+
+    return of
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp) for every row; null texts have fingerprint 0."""
+    """(id, node) for every row: the 64-bit fingerprint as eight bytes; null and wordless texts have zero."""
+    rows = docs.select(named([id_col])[0].cast("long").alias("id"), named([text_col])[0].alias("t"))
+    return appended(rows, ["id"], "t", lambda: _fingerprints(words), [("node", "binary")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column("t").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+# -- vantage-point trees -------------------------------------------------------------
+
+
+@dataclass
+class Slice:
+    """Bits ``first`` to ``first + bits`` of a fingerprint, and the radius on them."""
+
+    first: int
+    bits: int
+    radius: int
+
+    def of(self, fp: np.ndarray) -> np.ndarray:
+        w, off = divmod(self.first, 64)
+        v = fp[:, w] >> np.uint64(off)
+        if off + self.bits > 64:
+            v = v | fp[:, w + 1] << np.uint64(64 - off)
+        return v & np.uint64((1 << self.bits) - 1)
+
+
+def slices(bits: int, count: int, radius: int) -> list[Slice]:
+    """``count`` slices of ``bits`` bits, as even as can be, each searched at ``radius``."""
+    cuts = [bits * i // count for i in range(count + 1)]
+    return [Slice(a, b - a, radius) for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
+def exact_slices(bits: int, radius: int) -> list[Slice]:
+    """Slices such that a pair within ``radius`` bits is within the slice's radius on one at least."""
+    count = radius // 2 + 1
+    return slices(bits, count, radius // count)
 
-def slices(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 2 slices of 64 bits, as even as can be."""
-    k = radius + 2
-    cuts = [64 * i // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
+def split(value: np.ndarray, radius: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """(vantage point, cut, inner, outer) for the values, or none if a child would hold nearly all.
 
-def shard_keys(fp: Column, radius: int) -> Column:
-    """For every tree of the forest, its number above the bits of its two slices."""
+    Of a few vantage points the one whose distances spread most is taken, and the cut that makes the larger child smallest.
+    """
+    n = len(value)
+    some = value[:: max(1, n // 5)][:5]
+    d = np.bitwise_count(value[None, :] ^ some[:, None]).astype(np.int64)
+    k = int(d.var(1).argmax())
+    have = np.bincount(d[k], minlength=66 + radius).cumsum()
+    larger = np.maximum(have[radius : radius + 65], n - have[:65])
+    cut = int(larger.argmin())
+    if larger[cut] > 0.9 * n:
+        return None
+    return int(some[k]), cut, np.flatnonzero(d[k] <= cut + radius), np.flatnonzero(d[k] > cut)
+
+
+@dataclass
+class Tree:
+    """Nodes of one slice's tree: vantage points, cuts and children; a child below zero is the shard -1 - child."""
+
+    slice: Slice
+    vantage: np.ndarray
+    cut: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    shards: int
+
+    def route(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of every shard that a fingerprint belongs to."""
+        value = self.slice.of(fp)
+        row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        rows, shards = [], []
+        if not len(self.vantage):
+            return row, node
+        while len(row):
+            d = np.bitwise_count(value[row] ^ self.vantage[node])
+            inner, outer = d <= self.cut[node] + self.slice.radius, d > self.cut[node]
+            row, node = np.concatenate([row[inner], row[outer]]), np.concatenate([self.inner[node[inner]], self.outer[node[outer]]])
+            done = node < 0
+            rows.append(row[done]), shards.append(-1 - node[done])
+            row, node = row[~done], node[~done]
+        return np.concatenate(rows), np.concatenate(shards)
+
+
+def fit_tree(s: Slice, fp: np.ndarray, total: int, shard_rows: int = SHARD_ROWS) -> Tree:
+    """A tree on the sample ``fp`` of ``total`` fingerprints, with shards of about ``shard_rows``."""
+    value, each = s.of(fp), total / max(1, len(fp))
+    nodes: list[list[int]] = []
+    shards = 0
+    work: list[tuple[np.ndarray, int, int]] = [(np.arange(len(fp)), -1, 0)]  # sample, parent, side
+    while work:
+        at, parent, side = work.pop()
+        found = split(value[at], s.radius) if len(at) * each > shard_rows and len(at) >= 16 else None
+        if found:
+            name = len(nodes)
+            nodes.append([found[0], found[1], 0, 0])
+            work += [(at[found[2]], name, 2), (at[found[3]], name, 3)]
+        else:
+            shards += 1
+            name = -shards
+        if parent >= 0:
+            nodes[parent][side] = name
+    table = list(zip(*nodes, strict=True)) or [()] * 4
+    return Tree(s, np.array(table[0], np.uint64), *(np.array(c, np.int64) for c in table[1:]), max(1, shards))
 
-    def part(s: tuple[int, int]) -> Column:
-        return F.shiftrightunsigned(fp, s[0]).bitwiseAND(F.lit((1 << s[1]) - 1))
 
-    return F.array(
-        *[
-            (F.lit(n << 48) + F.shiftleft(part(a), 24) + part(b)).cast("long")
-            for n, (a, b) in enumerate(combinations(slices(radius), 2))
-        ]
-    )
+class Search:
+    """The links within ``radius`` bits in one shard: a spanning forest of them, the closest first.
+
+    Counts its vantage points and the pairs that it compared.
+    """
+
+    def __init__(self, fp: np.ndarray, s: Slice, radius: int):
+        self.fp, self.value, self.s, self.radius = fp, s.of(fp), s, radius
+        self.vantages = self.compared = 0
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of all pairs of ``a`` and ``b``, whole fingerprints."""
+        self.compared += len(a) * len(b)
+        out = np.zeros((len(a), len(b)), np.uint16)
+        for w in range(self.fp.shape[1]):
+            out += np.bitwise_count(self.fp[a, w][:, None] ^ self.fp[b, w][None, :])
+        return out
+
+    def run(self, at: np.ndarray) -> None:
+        work = [at]
+        while work:
+            at = work.pop()
+            if len(at) <= LEAF:
+                self.compare(at, at)
+            elif found := split(self.value[at], self.s.radius):
+                self.vantages += 1
+                work += [at[found[2]], at[found[3]]]
+            else:
+                self.dense(at)
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every pair, in blocks."""
+        for x in range(0, len(a), 1024):
+            for y in range(0, len(b), 1024):
+                d = self.distances(a[x : x + 1024], b[y : y + 1024])
+                i, j = np.nonzero((d <= self.radius) & (a[x : x + 1024, None] < b[None, y : y + 1024]))
+                self.found.append((a[x + i], b[y + j], d[i, j]))
+
+    def dense(self, at: np.ndarray) -> None:
+        """Where the slice's distances part nothing, vantage points over whole fingerprints.
+
+        The ball of half the radius about a vantage point is linked to it. By the triangle
+        inequality what is within the radius of one in the ball is within three halves of it from the
+        vantage point: that ring is compared with the ball, and the ball is done with.
+        """
+        while len(at) > LEAF:
+            self.vantages += 1
+            d = self.distances(at[:1], at)[0]
+            near, ring = d <= self.radius // 2, (d > self.radius // 2) & (d <= self.radius + self.radius // 2)
+            ball, edge = at[near], at[ring]
+            self.found.append((np.full(len(ball) - 1, at[0]), ball[1:], d[near][1:]))
+            for x in range(0, len(edge), 4096):
+                best = np.full(len(edge[x : x + 4096]), self.radius + 1, np.uint16)
+                to = np.zeros(len(best), np.int64)
+                for y in range(0, len(ball), 4096):
+                    e = self.distances(edge[x : x + 4096], ball[y : y + 4096])
+                    k = e.argmin(1)
+                    low = e[np.arange(len(k)), k]
+                    closer = low < best
+                    best[closer], to[closer] = low[closer], ball[y + k[closer]]
+                hit = best <= self.radius
+                self.found.append((to[hit], edge[x : x + 4096][hit], best[hit]))
+            at = at[~near]
+        self.compare(at, at)
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Between two blocks: only links that join what isn't joined yet are kept, each row's and column's closest first."""
+        own = Components(len(self.fp))
+        for x in range(0, len(a), 1024):
+            for y in range(0, len(b), 1024):
+                p, q = a[x : x + 1024], b[y : y + 1024]
+                d = self.distances(p, q)
+                near = d <= self.radius
+                while near.any():
+                    roots = [np.array([own.root(i) for i in z.tolist()]) for z in (p, q)]
+                    near &= roots[0][:, None] != roots[1][None, :]
+                    e = np.where(near, d, 1 << 15)
+                    i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                    some = [(i, e[i].argmin(1)), (e[:, j].argmin(0), j)] if len(i) else []
+                    for i, j in some:
+                        new = [k for k in range(len(i)) if own.link(int(p[i[k]]), int(q[j[k]]))]
+                        self.found.append((p[i[new]], q[j[new]], d[i[new], j[new]]))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of what was found, a minimum spanning forest: (i, j, distance)."""
+        if not self.found:
+            return (np.zeros(0, np.int64),) * 3
+        i, j, d = (np.concatenate([f[k] for f in self.found]).astype(np.int64) for k in range(3))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        order = np.lexsort((j, i, d))
+        out, own = Components(len(self.fp)), []
+        for k in order.tolist():
+            if out.link(int(i[k]), int(j[k])):
+                own.append(k)
+        return i[own], j[own], d[own]
 
 
 class Components:
@@ -114,113 +321,89 @@ class Components:
             i = p[i]
         return i
 
-    def link(self, i: int, j: int) -> None:
+    def link(self, i: int, j: int) -> bool:
         a, b = self.root(i), self.root(j)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+LINK = "u binary, v binary, d int, tree int, rows long, vantages long, compared long"
+
+
+def _search(slices_: list[Slice], radius: int, bytes_: int):
+    """One task's shard: rows of links, and a row without u that has the counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        tree, block = int(table["tree"][0].as_py()), table["block"].to_numpy()
+        nodes = table["node"].chunk(0)
+        fp = of_nodes(nodes)[:, : bytes_ // 8]
+        order = np.lexsort(fp.T[::-1])
+        fp, block = np.ascontiguousarray(fp[order]), block[order]
+        nodes = nodes.take(pa.array(order))
+        s = Search(fp, slices_[tree], radius)
+        if block.min() == block.max():
+            s.run(np.arange(len(fp)))
+        else:  # two blocks of a shard that is too large: what is in one meets elsewhere
+            s.across(np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()))
+        i, j, d = s.forest()
+        k = len(i)
+        count = [pa.array([None] * k + [v], pa.int64()) for v in (len(fp), s.vantages, s.compared)]
+        ends = [pa.concat_arrays([nodes.take(pa.array(x)), pa.nulls(1, pa.binary())]) for x in (j, i)]
+        return pa.table([*ends, pa.array([*d.tolist(), None], pa.int32()), pa.array([tree] * (k + 1), pa.int32()), *count], ["u", "v", "d", "tree", "rows", "vantages", "compared"])
+
+    return run
+
 
+def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Links (u, v, d) of the distinct binary values in column node, and the counts of each shard.
 
-def link_leaf(fp: np.ndarray, at: np.ndarray, radius: int, out: Components) -> None:
-    """Link the positions ``at`` whose fingerprints are within ``radius``: every pair is compared."""
-    near = np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]) <= radius
-    label = np.arange(len(at))
-    while True:  # smallest label among the neighbours, until nothing changes
-        new = np.where(near, label[None, :], len(at)).min(1)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    for i, m in enumerate(label.tolist()):
-        if i != m:
-            out.link(int(at[m]), int(at[i]))
-
-
-def link_tree(fp: np.ndarray, at: np.ndarray, radius: int, out: Components) -> None:
-    """The same for a large shard by a vantage-point tree.
-
-    The ball of ``radius`` around the vantage point is linked at once. By the triangle
-    inequality, only fingerprints at ``radius < d <= 2 * radius`` can be linked to one in
-    the ball; those are compared with it block by block, less what is in its component
-    already. The ball is then done with, and the rest goes on as two subtrees: within the
-    median distance plus the radius, and beyond the median.
+    The first bytes of a node are its fingerprint; further ones only tell nodes apart. Every node
+    is routed; the trees are fitted on a sample. A shard that outgrows ``most_rows`` is cut into
+    blocks and every two blocks meet in a task of their own.
     """
-    work = [at]
-    while work:
-        at = work.pop()
-        if len(at) <= LEAF:
-            link_leaf(fp, at, radius, out)
-            continue
-        v = at[0]
-        d = np.bitwise_count(fp[at] ^ fp[v])
-        ball, ring, rest = at[d <= radius], at[(d > radius) & (d <= 2 * radius)], at[d > radius]
-        for i in ball.tolist():
-            out.link(int(v), i)
-        for k in range(0, len(ball), LEAF):
-            if not len(ring):
-                break
-            ring = np.array([i for i in ring.tolist() if out.root(i) != out.root(int(v))], np.int64)
-            for j in range(0, len(ring), LEAF):
-                near = (np.bitwise_count(fp[ring[j : j + LEAF]][:, None] ^ fp[ball[k : k + LEAF]][None, :]) <= radius).any(1)
-                for i in ring[j : j + LEAF][near].tolist():
-                    out.link(int(v), i)
-        if len(rest) <= LEAF:
-            work.append(rest)
-            continue
-        d = np.bitwise_count(fp[rest] ^ fp[v]).astype(int)
-        mid = int(np.median(d))
-        inner, outer = rest[d <= mid], rest[d > mid - radius]
-        if len(inner) + len(outer) < 1.9 * len(rest) and len(outer) < len(rest) and len(inner):
-            # a pair on both sides differs by at most the radius in d, so the outer part holds it whole
-            work += [inner, outer]
-        else:
-            work.append(rest)
-
-
-def _links(radius: int):
-    """Of one task's shards, a spanning forest of all links: (fp, root)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("key").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not got:
-            return
-        key, own = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).view(np.uint64)
-        del got
-        fp, place = np.unique(own, return_inverse=True)
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        sizes = np.diff(np.append(first, len(key)))
-        out = Components(len(fp))
-        # small shards side by side: each row with the s-th after it
-        small = np.repeat(sizes <= 32, sizes)
-        a, k = place[small], key[small]
-        for s in range(1, 32):
-            same = np.flatnonzero(k[s:] == k[:-s]) if len(k) > s else np.zeros(0, int)
-            if not len(same):
-                break
-            near = same[np.bitwise_count(fp[a[same]] ^ fp[a[same + s]]) <= radius]
-            for i, j in zip(a[near].tolist(), a[near + s].tolist(), strict=True):
-                out.link(i, j)
-        for f, n in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-            at = np.unique(place[f : f + n])
-            link_tree(fp, at, radius, out)
-        root = np.array([out.root(i) for i in range(len(fp))], np.int64)
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["u", "v"])
+    spark = nodes.sparkSession
+    bytes_ = 8 * -(-max(s.first + s.bits for s in slices_) // 64)
+    total = nodes.count()
+    taken = min(1.0, 1.2 * SAMPLE / max(1, total))
+    # a hash decides, so the sample is the same for the same nodes
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(taken * (1 << 30))).select("node").limit(SAMPLE).toArrow()
+    fp = of_nodes(pa.array(sorted(sample["node"].to_pylist()), pa.binary()))[:, : bytes_ // 8]
+    trees = spark.sparkContext.broadcast([fit_tree(s, fp, total, shard_rows) for s in slices_])
+
+    def route(batches):
+        for b in batches:
+            own = of_nodes(b.column("node"))[:, : bytes_ // 8] if len(b) else np.zeros((0, bytes_ // 8), np.uint64)
+            for k, tree in enumerate(trees.value):
+                row, shard = tree.route(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(shard.astype(np.int32)), b.column("node").take(pa.array(row))], ["tree", "shard", "node"])
 
-    return run
+    routed = written(nodes.select("node").mapInArrow(route, "tree int, shard int, node binary"), "routed")
+    # a shard above the bound is cut into blocks; there are at most rows / most_rows of those
+    large = routed.groupBy("tree", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
+    large = large.select("tree", "shard", F.ceil(F.col("n") / (most_rows // 2)).cast("int").alias("k"))
+    dealt = routed.join(F.broadcast(large), ["tree", "shard"], "left").withColumn("block", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")))
+    # block b meets blocks 0 .. k - 1; the pair is named by its smaller and larger number
+    mates = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = dealt.withColumn("mate", F.explode(mates)).select("tree", "shard", "node", "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
+    return written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, bytes_), LINK), "shard-links")
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): links that join all fingerprints within ``radius`` bits, few for each shard.
+def links(nodes: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
+    """(u, v), u > v: links that join all nodes within ``radius`` bits, few for each shard; exact."""
+    return search(nodes, exact_slices(bits, radius), radius).where("u is not null").select("u", "v").distinct()
 
-    ``fps`` has distinct fingerprints in column fp.
-    """
-    spread = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("key"))
-    # shards go to tasks by a second hash of the tree's key; a task holds its share of all rows
-    dealt = spread.repartition("key")
-    found = dealt.mapInArrow(_links(radius), "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+def counts(found: DataFrame) -> DataFrame:
+    """Of a search, for each tree: shards, rows routed to them, vantage points in them, pairs compared, links found."""
+    return found.groupBy("tree").agg(
+        F.count("rows").alias("shards"), F.sum("rows").alias("routed"), F.sum("vantages").alias("vantages"),
+        F.sum("compared").alias("compared"), F.max("rows").alias("largest"), F.count("u").alias("links"),
+    )
+
+
+# -- components and decisions ---------------------------------------------------------
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -238,7 +421,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         # large star: every child goes to its parent's least parent; hubs with many children don't meet in one task
         hubs = e.groupBy("v").agg(F.count("*").alias("n")).join(parents.select(F.col("u").alias("v"), "m"), "v", "left")
         hubs = written(hubs.select("v", F.coalesce("m", "v").alias("m"), "n"), "hubs")
-        large = written(join_groups(e, hubs, "v", "n", e.count(), "u").select("u", F.col("m").alias("v")).distinct(), "large-star")
+        large = written(join_groups(e, hubs, "v", "n", e.count()).select("u", F.col("m").alias("v")).distinct(), "large-star")
         # small star: all parents of a node and the node itself go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -246,24 +429,145 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def grouped(groups: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """node, component_id, group_size of ``groups`` (node, least, group_size): the least of all nodes that the edges reach."""
+    stars = components(edges)
+    rooted = groups.join(stars, "node", "left").select("node", "least", "group_size", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "roots")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return written(join_groups(rooted, heads, "root", "members", total).select("node", "component_id", "group_size"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     component_id is the smallest id that can be reached over fingerprints within ``radius``
     bits. Null, empty and wordless texts have fingerprint zero and are linked like others;
-    repeated rows and equal fingerprints share a component; rows with a null id get the
+    repeated rows and equal fingerprints share a component, and one id with several texts has each text's own; rows with a null id get the
     component of their fingerprint, whose id is null if no row with an id is in it. Texts
-    of any length count whole. Other columns are not read.
+    of any length count whole; an empty table gives no rows. Other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    groups = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("group_size")), "fingerprint-groups")
-    stars = components(links(groups.select("fp"), radius))
-    rooted = groups.join(stars, groups["fp"] == stars["node"], "left").select("fp", "least", "group_size", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "fingerprint-roots")
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     total = rows.count()
-    named = written(
-        join_groups(rooted, heads, "root", "members", total, "fp").select("fp", "component_id", "group_size"), "components"
-    )
-    met = join_groups(rows, named, "fp", "group_size", total, "id")
-    return met.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("group_size")), "fingerprint-groups")
+    met = join_groups(rows, grouped(groups, links(groups, radius), total), "node", "group_size", total)
+    return met.select(F.col("id").alias(id_col), F.lower(F.hex("node")).alias("fingerprint"), "component_id")
+
+
+# -- near duplicates by the Jaccard similarity of word shingles ---------------------------
+
+#: The search is loose: 192 bits over word pairs, in slices of 24 bits searched at one bit, and a radius that the similarity checked afterwards needs.
+NEAR_WORDS, NEAR_BITS, NEAR_SLICES, NEAR_RADIUS = 2, 192, 8, 32
+#: Links of a node that share one copy of its shingles.
+FAN = 64
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words(dict):
+    """Hashes of words; forgets them when it has a million."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+    def text(self, text: bytes) -> np.ndarray:
+        parts = text.translate(_BYTES).split()
+        return np.fromiter(map(self.__getitem__, parts), np.uint64, len(parts))
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the word n-grams, repeats included; of a shorter text the whole sequence's."""
+    n = min(n, len(words))
+    if not n:
+        return words
+    k = len(words) - n + 1
+    h = words[:k]
+    for i in range(1, n):
+        h = _mixed(h) + words[i : i + k]
+    return _mixed(h + np.uint64(n))
+
+
+def _sketches(words: int) -> Callable:
+    """Nodes: 24 bytes of fingerprint over word pairs, and eight that the set of word shingles determines."""
+    known = _Words()
+
+    def of(texts: pa.Array) -> list[pa.Array]:
+        pairs, sets = [], []
+        for t in texts.fill_null("").cast(pa.binary()).to_pylist():
+            w = known.text(t)
+            pairs.append(gram_hashes(w, NEAR_WORDS))
+            sets.append(_mixed(np.unique(gram_hashes(w, words))).sum())
+        h = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
+        lanes = np.column_stack([h, *[_mixed(h ^ _MIX[k - 1]) for k in range(1, NEAR_BITS // 64)]])
+        fp = majority(lanes, np.fromiter(map(len, pairs), np.int64, len(pairs)))
+        return [as_nodes(np.column_stack([fp, np.array(sets, np.uint64)]))]
+
+    return of
+
+
+def _sets(words: int) -> Callable:
+    known = _Words()
+
+    def of(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([np.unique(gram_hashes(known.text(t), words)).view(np.int64) for t in texts.fill_null("").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))]
+
+    return of
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """The shingles of one end of each pair. A node with many pairs has a copy for every ``FAN`` of them, and so a task."""
+    fan = written(pairs.groupBy(end).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / FAN).cast("int")), "fan")
+    dealt = join_groups(pairs, fan, end, "n", pairs.count()).withColumn("part", F.pmod(F.xxhash64("u", "v"), F.col("parts")).cast("int")).drop("n", "parts")
+    copies = fan.join(sets.select(F.col("node").alias(end), F.col("grams").alias(name)), end)
+    copies = copies.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), name)
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose ``sets`` (node, grams) have at least this Jaccard similarity; exact."""
+    met = _with_sets(written(_with_sets(pairs, sets, "v", "b"), "pair-sets"), sets, "u", "a")
+    both = F.size(F.array_intersect("a", "b"))
+    return met.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
+
+    Two texts are linked if the sets of their ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of at
+    least ``similarity``; groups are what links connect. Candidates come from vantage-point trees over
+    192-bit fingerprints of word pairs, which differ by about 16 bits at a similarity of 0.8 and by over 50 for
+    unrelated texts; each link of the spanning forests that the trees find is then checked exactly, so a text goes only if it is
+    alike to another of its group. The row with the smallest id stays (null last); texts with equal shingle sets
+    are one; null, empty and wordless texts are equal. Repeated rows and one id with several texts are decided
+    by their texts. An empty table gives no rows.
+    """
+    key = free(docs.columns, "_node")
+    size, least, touched = (free(docs.columns, f"_{c}") for c in ("group_size", "least", "touched"))
+    rows = written(appended(docs, docs.columns, text_col, lambda: _sketches(words), [(key, "binary")]), "sketched")
+    own_id = named([id_col])[0].cast("long")
+    groups = written(rows.groupBy(F.col(key).alias("node")).agg(F.min(own_id).alias("least"), F.count("*").alias("n")), "sketch-groups")
+    pairs = written(search(groups, slices(NEAR_BITS, NEAR_SLICES, 1), NEAR_RADIUS).where("u is not null").select("u", "v").distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("touched", F.lit(True))
+    told = groups.join(ends, "node", "left").select(F.col("node").alias(key), F.col("least").alias(least), F.col("n").alias(size), F.coalesce("touched", F.lit(False)).alias(touched))
+    # of equal texts only the one with the least id can stay
+    met = join_groups(rows, told, key, size, rows.count()).where(own_id.eqNullSafe(F.col(least)))
+    heads = one_each(written(met, "heads"), key)
+    open_ = heads.where(touched)
+    sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
+    stars = components(alike(pairs, sets, similarity))
+    members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("best"))
+    gone = written(members.join(best, "root").where("node <> best").select(F.col("node").alias(key)), "near-duplicates")
+    kept = heads.where(~F.col(touched)).unionByName(open_.join(gone, key, "left_anti").select(*named(heads.columns)))
+    return kept.select(*named(docs.columns))

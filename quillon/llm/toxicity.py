@@ -9,7 +9,7 @@ bounded sample of labelled rows; scoring reads every row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_views, row_sums, written
+from .common import appended, blocks, byte_views, row_sums, written
 
 # Common insults and second-person words.
 INSULTS = (
@@ -224,90 +224,104 @@ class ToxicityModel:
         return np.clip(0.999 * self.isotonic(m) + 0.001 / (1 + np.exp(-m)), 0, 1)
 
 
-def _features(lexicon: list[str], keep: list[str]):
+#: Quarters of the sample by which the calibration is fitted.
+FOLDS = 4
+
+
+def _features(lexicons: list[list[str]], keep: list[str]):
+    """Features of every text under each lexicon, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(lexicon)
+        made = [Features(x) for x in lexicons]
         for b in batches:
-            x = make.rows(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(k) for k in keep], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))],
-                [*keep, "x"],
-            )
+            for at, end in blocks(b.column("text")):
+                part = b.slice(at, end - at)
+                x = np.column_stack([m.rows(part.column("text")) for m in made])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], lists], [*keep, "x"])
 
     return run
 
 
+def lexicons(sample: DataFrame, words: int, min_count: int, min_evidence: float) -> list[list[str]]:
+    """One lexicon for each fold, from the labels of the other folds alone, and a last one from all.
+
+    Words and their beginnings count by how much the labels of the texts that have them depart from the base rate.
+    """
+    words_of = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.char_length(x).between(3, 30)))
+
+    def units(w: Column) -> Column:
+        return F.array(w, *[F.when(F.char_length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS])
+
+    folds = [*range(FOLDS), -1]
+    inside = lambda k, c: F.sum(F.when(F.col("fold") != k, c).otherwise(0.0))
+    sums = [f for k in folds for f in (inside(k, F.col("y")).alias(f"bad{k}"), inside(k, F.lit(1.0)).alias(f"all{k}"))]
+    base = sample.agg(*sums).first().asDict()
+    term = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+    seen = (
+        sample.select("y", "fold", words_of.alias("words"))
+        .select("y", "fold", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform("words", units))))).alias("w"))
+        .groupBy("w")
+        .agg(*sums)
+        .where(f"`bad-1` >= {min_count}")
+    )
+    seen = written(seen, "word-labels")
+    out = []
+    for k in folds:
+        bad, every = F.col(f"`bad{k}`"), F.col(f"`all{k}`")
+        rate = max(1.0, base[f"bad{k}"] or 0) / max(1.0, base[f"all{k}"] or 0)
+        best = (
+            seen.where((bad >= min_count) & (bad / every > 4 * rate))
+            .withColumn("evidence", 2 * (term(bad, every * rate) + term(every - bad, every * (1 - rate))))
+            .where(F.col("evidence") >= min_evidence)
+            .orderBy(F.desc("evidence"), "w")
+            .limit(words)
+        )
+        out.append(sorted({*INSULTS, *(r["w"] for r in best.select("w").collect())}))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600, min_count: int = 5, min_evidence: float = 24.0) -> ToxicityModel:
     """Fit on at most ``rows`` labelled rows, those with the smallest hashes of their ids.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null label or id
     are left out, of several labels of one id the largest counts, and texts that occur
-    more than once in the sample count once. The calibration is fitted on margins from trees
-    that haven't seen the row, by quarters. Without any labelled row the score is 0.5 times the lexicon's evidence:
-    trees are empty and the calibration is flat.
+    more than once in the sample count once. The calibration is fitted on margins from a lexicon and trees
+    that haven't seen the row's label, by quarters. Without any labelled row every text scores the same, below 0.001.
     """
-    spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = own.join(F.broadcast(marked), "doc_id").groupBy(F.xxhash64("text").alias("key")).agg(
         F.max_by("text", F.struct("y", "doc_id")).alias("text"), F.max("y").alias("y")
     )
-    sample = written(sample, "toxicity-sample")
-    n, toxic = (float(v or 0) for v in sample.agg(F.count("*"), F.sum("y")).first())
-    # words and their beginnings, by how much the labels of the texts that have them depart from the base rate
-    words_of = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.char_length(x).between(3, 30)))
-
-    def units(w: Column) -> Column:
-        return F.array(w, *[F.when(F.char_length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS])
-
-    rate = max(1.0, toxic) / max(1.0, n)
-    bad, every = F.col("bad"), F.col("all")
-    term = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-    seen = (
-        sample.select("y", words_of.alias("words"))
-        .select("y", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform("words", units))))).alias("w"))
-        .groupBy("w")
-        .agg(F.sum("y").alias("bad"), F.count("*").alias("all"))
-        .where((bad >= min_count) & (bad / every > 4 * rate))
-        .withColumn("evidence", 2 * (term(bad, every * rate) + term(every - bad, every * (1 - rate))))
-        .where(F.col("evidence") >= min_evidence)
-        .orderBy(F.desc("evidence"), "w")
-        .limit(words)
-    )
-    lexicon = sorted({*INSULTS, *(r["w"] for r in seen.collect())})
-    got = sample.select("key", "y", "text").mapInArrow(_features(lexicon, ["key", "y"]), "key long, y double, x array<double>").toPandas()
+    sample = written(sample.withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    known = lexicons(sample, words, min_count, min_evidence)
+    got = sample.select("key", "y", "fold", "text").mapInArrow(_features(known, ["key", "y", "fold"]), "key long, y double, fold int, x array<double>").toPandas()
     got = got.sort_values("key")
     if not len(got):
         flat = Trees(0.0, 0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)))
-        return ToxicityModel(lexicon, flat, Isotonic(np.array([0.0]), np.array([0.0])))
-    x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
-    fold = got["key"].to_numpy() % 4
+        return ToxicityModel(known[-1], flat, Isotonic(np.array([0.0]), np.array([0.0])))
+    every, y, fold = np.array(got["x"].tolist()), got["y"].to_numpy(), got["fold"].to_numpy()
+    n = len(FEATURES)
     margin = np.zeros(len(y))
-    for k in range(4):  # each quarter is calibrated by trees that haven't seen it
-        out = fold == k
+    for k in range(FOLDS):
+        out, x = fold == k, every[:, n * k : n * (k + 1)]
         if out.any() and not out.all():
             margin[out] = fit_trees(x[~out], y[~out]).margin(x[out])
-    return ToxicityModel(lexicon, fit_trees(x, y), fit_isotonic(margin, y))
+    return ToxicityModel(known[-1], fit_trees(every[:, n * FOLDS :], y), fit_isotonic(margin, y))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str], whole: bool = False) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (which also has text) and the score of every whole text; null counts as empty.
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], prefix: str = "", text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the score of every whole text; null counts as empty.
 
-    Repeated rows get equal scores. ``whole`` says that text is among ``keep``.
+    Repeated rows get equal scores; an empty table gives none. The new name takes ``prefix``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    text = "text" if whole else "_text"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         m = shared.value
-        make = Features(m.lexicon)
-        for b in batches:
-            for at, end in blocks(b.column(text)):
-                part = b.slice(at, end - at)
-                s = m.scores(make.rows(part.column(text)))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(s)], [*keep, "score"])
+        features = Features(m.lexicon)
+        return lambda texts: [pa.array(m.scores(features.rows(texts)))]
 
-    rows = docs.select(*keep) if whole else docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{cols}, score double")
+    return appended(docs, keep, text_col, make, [(prefix + "score", "double")])
