@@ -90,11 +90,12 @@ def as_nodes(fp: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def of_nodes(nodes: pa.Array) -> np.ndarray:
-    """The opposite of ``as_nodes``."""
+def of_nodes(nodes: pa.Array, words: int | None = None) -> np.ndarray:
+    """The opposite of ``as_nodes``: all words, or the first ``words``."""
+    if not len(nodes):
+        return np.zeros((0, words or 1), np.uint64)
     raw, off = byte_views(nodes)
-    size = int(off[1] - off[0]) if len(nodes) else 8
-    return raw.view(">u8").astype(np.uint64).reshape(-1, size // 8)
+    return np.ascontiguousarray(raw.view(">u8").astype(np.uint64).reshape(len(nodes), int(off[1] - off[0]) // 8)[:, :words])
 
 
 def _fingerprints(words: int) -> Callable:
@@ -331,14 +332,14 @@ class Components:
 LINK = "u binary, v binary, d int, tree int, rows long, vantages long, compared long"
 
 
-def _search(slices_: list[Slice], radius: int, bytes_: int):
+def _search(slices_: list[Slice], radius: int, words: int):
     """One task's shard: rows of links, and a row without u that has the counts."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         tree, block = int(table["tree"][0].as_py()), table["block"].to_numpy()
         nodes = table["node"].chunk(0)
-        fp = of_nodes(nodes)[:, : bytes_ // 8]
+        fp = of_nodes(nodes, words)
         order = np.lexsort(fp.T[::-1])
         fp, block = np.ascontiguousarray(fp[order]), block[order]
         nodes = nodes.take(pa.array(order))
@@ -364,17 +365,17 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
     blocks and every two blocks meet in a task of their own.
     """
     spark = nodes.sparkSession
-    bytes_ = 8 * -(-max(s.first + s.bits for s in slices_) // 64)
+    words = -(-max(s.first + s.bits for s in slices_) // 64)
     total = nodes.count()
     taken = min(1.0, 1.2 * SAMPLE / max(1, total))
     # a hash decides, so the sample is the same for the same nodes
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(taken * (1 << 30))).select("node").limit(SAMPLE).toArrow()
-    fp = of_nodes(pa.array(sorted(sample["node"].to_pylist()), pa.binary()))[:, : bytes_ // 8]
+    fp = of_nodes(pa.array(sorted(sample["node"].to_pylist()), pa.binary()), words)
     trees = spark.sparkContext.broadcast([fit_tree(s, fp, total, shard_rows) for s in slices_])
 
     def route(batches):
         for b in batches:
-            own = of_nodes(b.column("node"))[:, : bytes_ // 8] if len(b) else np.zeros((0, bytes_ // 8), np.uint64)
+            own = of_nodes(b.column("node"), words)
             for k, tree in enumerate(trees.value):
                 row, shard = tree.route(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(shard.astype(np.int32)), b.column("node").take(pa.array(row))], ["tree", "shard", "node"])
@@ -387,7 +388,7 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
     # block b meets blocks 0 .. k - 1; the pair is named by its smaller and larger number
     mates = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = dealt.withColumn("mate", F.explode(mates)).select("tree", "shard", "node", "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
-    return written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, bytes_), LINK), "shard-links")
+    return written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, words), LINK), "shard-links")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:

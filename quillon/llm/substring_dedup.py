@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_views, join_groups, row_sums, written
+from .common import blocks, byte_views, free, join_groups, named, row_sums, written
 
 #: Bytes that the hash at a place covers, and places on either side that a cut's hash is compared with.
 WINDOW = 16
@@ -104,10 +104,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: A text among the rows of its id.
+KEY = "struct<id:bigint,h:bigint>"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (the row's id and its text's hash) and t, the text; null counts as empty."""
+    text = F.coalesce(named([text_col])[0], F.lit(""))
+    return docs.select(F.struct(named([id_col])[0].cast("long").alias("id"), F.xxhash64(text).alias("h")).alias("id"), text.alias("t"))
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos and len (bytes of UTF-8), words that start in the chunk, before and after (bytes to extend it over), digest (128 bits)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInArrow(_chunks, "id long, pos long, len int, words int, before int, after int, digest binary")
+    """id (with the text's hash), pos and len (bytes of UTF-8), words that start in the chunk, before and after (bytes to extend it over), digest (128 bits)."""
+    return _keyed(docs, id_col, text_col).mapInArrow(_chunks, f"id {KEY}, pos long, len int, words int, before int, after int, digest binary")
 
 
 def _alike(a: bytes, b: bytes) -> int:
@@ -147,8 +156,11 @@ def extended(text: bytes, runs: list[dict]) -> list[tuple]:
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "start", "stop", "n_words", "first_id", "first_start", "copies"]
     for b in batches:
-        rows = [(i, *s) for i, t, runs in zip(*(b.column(c).to_pylist() for c in ("id", "t", "runs")), strict=True) for s in extended(t, runs)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+        for at, end in blocks(b.column("t")):
+            part = b.slice(at, end - at)
+            rows = [(i, *s) for i, (t, runs) in enumerate(zip(part.column("t").to_pylist(), part.column("runs").to_pylist(), strict=True)) for s in extended(t, runs)]
+            ids = part.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, len(names)))], names)
 
 
 def _around(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -164,21 +176,22 @@ def _around(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each repeated span: id, start, stop (bytes), n_words, first_<id>, first_start, copies.
+    """One row for each repeated span: id, start, stop (bytes), n_words, first_<id>, first_start, copies, text_hash.
 
     The first place of a chunk, by id and then byte, is not repeated; so the first document
     of a passage stays whole. A span is a longest stretch of repeated chunks, with what equals
     the text around the first places of its first and last chunk, and has at least ``min_words``
     words; first_<id> and first_start tell where its start was seen first,
     copies how often its first chunk was. Null and empty texts have no chunks; rows with a null id count
-    as first, get no spans and extend none; repeated rows with one id are taken for one text.
+    as first, get no spans and extend none; repeated rows count once. One id may stand at several texts: each
+    has its own spans, and text_hash (xxhash64 of the text) tells them apart. Texts are chunked twice, which costs less than to store
+    all chunks. A text's chunks meet in one task, so they are bounded by the text.
     """
-    own = docs.select(id_col, text_col)
-    seen = chunks(own, id_col, text_col).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "pos")).alias("first"))
+    seen = chunks(docs, id_col, text_col).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "pos")).alias("first"))
     many = written(seen.where("copies > 1"), "repeated-chunks")
     total = many.agg(F.sum("copies")).first()[0] or 0
-    met = join_groups(chunks(own, id_col, text_col), many, "digest", "copies", total, "pos")
-    later = met.where("copies > 1 and id is not null and not (id <=> first.id and pos <=> first.pos)").dropDuplicates(["id", "pos"])
+    met = join_groups(chunks(docs, id_col, text_col), many, "digest", "copies", total)
+    later = met.where("copies > 1 and id.id is not null and not (id <=> first.id and pos <=> first.pos)").dropDuplicates(["id", "pos"])
     w = Window.partitionBy("id").orderBy("pos")
     # adjoining chunks share pos minus the bytes so far
     runs = later.withColumn("run", F.col("pos") - F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -190,34 +203,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = written(runs, "runs")
     place = lambda c, side: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.pos").alias("at"), F.lit(side).alias("side"))
     ends = runs.select(
-        "id", "start", "stop", F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_pos"), F.col("f.copies").alias("copies"),
+        "id", "start", "stop", F.col("f.id.id").alias("first_id"), F.col("f.pos").alias("first_pos"), F.col("f.copies").alias("copies"),
         F.explode(F.array(F.struct(place("f", 0).alias("place"), F.col("f.before").alias("n")), F.struct(place("l", 1).alias("place"), F.col("l.after").alias("n")))).alias("e"),
     ).select("id", "start", "stop", "first_id", "first_pos", "copies", "e.place", "e.n")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    around = _around(ends.select("place.id", "place.at", "place.side", "n").where("id is not null and n > 0"), texts)
+    texts = _keyed(docs, id_col, text_col).withColumn("t", F.col("t").cast("binary"))
+    around = _around(ends.select("place.id", "place.at", "place.side", "n").where("id.id is not null and n > 0"), texts)
     asks = ends.groupBy("place").agg(F.count("*").alias("asks"))
     around = written(asks.join(around, "place"), "around")
-    got = join_groups(ends, around, "place", "asks", ends.count(), "start")
+    got = join_groups(ends, around, "place", "asks", ends.count())
     side = lambda s: F.max(F.when(F.col("place.side") == s, F.expr("substring(bytes, if(place.side = 0, greatest(octet_length(bytes) - n, 0) + 1, 1), n)")))
     whole = got.groupBy("id", "start", "stop", "first_id", "first_pos", "copies").agg(side(0).alias("left"), side(1).alias("right"))
     of_text = whole.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "first_id", "first_pos", "copies", "left", "right")).alias("runs"))
-    spans = texts.join(of_text, "id").mapInArrow(_extend, "id long, start long, stop long, n_words long, first_id long, first_start long, copies long")
+    spans = texts.join(of_text, "id").mapInArrow(_extend, f"id {KEY}, start long, stop long, n_words long, first_id long, first_start long, copies long")
     return spans.dropDuplicates(["id", "start"]).where(F.col("n_words") >= min_words).select(
-        F.col("id").alias(id_col), "start", "stop", "n_words", F.col("first_id").alias(f"first_{id_col}"), "first_start", "copies"
+        F.col("id.id").alias(id_col), "start", "stop", "n_words", F.col("first_id").alias(f"first_{id_col}"), "first_start", "copies", F.col("id.h").alias("text_hash")
     )
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts; other columns stay as they are."""
-    cut = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    raw = F.col(text_col).cast("binary")
+    """``docs`` with the spans cut out of their texts; other columns stay as they are. Spans belong to a text by its id and hash."""
+    key, hash_, cut_ = (free(docs.columns, n) for n in ("_key", "_text_hash", "_cut"))
+    cut = spans.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(cut_))
+    text = named([text_col])[0]
+    raw = text.cast("binary")
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_cut")),
+        F.sequence(F.lit(0), F.size(cut_)),
         lambda i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.get("_cut", i - 1)["stop"]).cast("int").alias("a"),
-            F.coalesce(F.get("_cut", i)["start"].cast("int"), F.octet_length(raw)).alias("b"),
+            F.when(i == 0, F.lit(0)).otherwise(F.get(cut_, i - 1)["stop"]).cast("int").alias("a"),
+            F.coalesce(F.get(cut_, i)["start"].cast("int"), F.octet_length(raw)).alias("b"),
         ),
     )
-    text = F.concat_ws("", F.transform(pieces, lambda p: F.substring(raw, p["a"] + 1, p["b"] - p["a"]).cast("string")))
-    joined = docs.join(cut, id_col, "left")
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(text)).select(docs.columns)
+    left = F.concat_ws("", F.transform(pieces, lambda p: F.substring(raw, p["a"] + 1, p["b"] - p["a"]).cast("string")))
+    joined = docs.join(cut, (named([id_col])[0] == F.col(key)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(hash_)), "left")
+    return joined.select(*[F.when(F.col(cut_).isNull(), text).otherwise(left).alias(c) if c == text_col else named([c])[0] for c in docs.columns])

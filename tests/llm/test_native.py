@@ -24,25 +24,70 @@ def test_equals_sql(spark, name):
     oracle.check(Q.queries()[name](spark, SF), oracle.connect(SF).sql(Q.oracle_sql()[name]).df())
 
 
-def test_exact_odd_rows(spark):
-    d = docs(spark, (1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (2, "aB"), (None, "ab"), (7, "z" * 200_000))
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(d).collect()}
-    assert got == {(1, 2, 4, False), (2, 2, 4, True), (None, 2, 4, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)}
+ODD = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (2, "aB"), (None, "ab"), (7, "z" * 200_000), (7, "other"), (8, "other"), (None, "no id"), (None, "No id")]
 
 
-def test_exact_empty_table(spark):
-    assert exact_dedup.dedup(docs(spark, (1, "a")).where("false")).count() == 0
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_exact_odd_rows(spark, batches):
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs(spark, *ODD), batches=batches).collect()}
+    assert got == {
+        (1, 2, 4, False), (2, 2, 4, True), (None, 2, 4, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True),
+        (7, 8, 2, False), (8, 8, 2, True), (None, None, 2, True),
+    }
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_survivors_are_one_row_for_each_text(spark, batches):
+    got = exact_dedup.survivors(docs(spark, *ODD).withColumn("_digest", F.lit("clash")).withColumn("_keep_id", F.lit(1)), batches=batches)
+    assert got.columns == [*docs(spark).columns, "_digest", "_keep_id"]
+    low = sorted((str(r.doc_id), (r.text or "").lower()[:9]) for r in got.collect())
+    assert low == sorted([("2", "ab"), ("4", ""), ("5", "é"), ("6", "é"), ("7", "zzzzzzzzz"), ("8", "other"), ("None", "no id")])
+
 
+def test_a_repeated_id_loses_no_other_text(spark):
+    got = exact_dedup.survivors(docs(spark, (4, "x"), (4, "y"), (9, "x"), (None, "x"), (9, "x"))).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(4, "y"), (9, "x")]
 
-def test_index_persists(spark):
-    ix = exact_dedup.DigestIndex(spark, "digests_of_test", 3)
-    assert {r.doc_id for r in ix.add(docs(spark, (1, "a"), (2, "b"))).collect() if r.kept} == {1, 2}
-    again = exact_dedup.DigestIndex(spark, "digests_of_test")
-    assert again.buckets == 3
-    second = {r.doc_id: (r.keep_id, r.kept) for r in again.add(docs(spark, (3, "A"), (4, "c"), (5, "c"))).collect()}
-    assert second == {3: (1, False), 4: (5, False), 5: (5, True)}
-    assert again.rows().count() == 3
-    spark.sql("drop table digests_of_test")
+
+def test_exact_empty_table(spark):
+    for batches in (1, 2):
+        assert exact_dedup.dedup(docs(spark, (1, "a")).where("false"), batches=batches).count() == 0
+        assert exact_dedup.survivors(docs(spark, (1, "a")).where("false"), batches=batches).count() == 0
+
+
+def kept(df):
+    return {r.doc_id: (r.keep_id, r.kept) for r in df.collect()}
+
+
+def test_index_persists_and_survives_retries(spark):
+    first, second = docs(spark, (1, "a"), (2, "b")), docs(spark, (3, "A"), (4, "c"), (5, "c"))
+    ask = lambda d, b: kept(exact_dedup.dedup(d, table="digests_of_test", batch=b))
+    exact_dedup.DigestIndex(spark, "digests_of_test", 3)
+    want = {1: (1, True), 2: (2, True)}
+    assert ask(first, "one") == want
+    index = exact_dedup.DigestIndex(spark, "digests_of_test")
+    assert index.buckets == 3
+    assert ask(first, "one") == want  # a retry keeps its rows
+    later = {3: (1, False), 4: (5, False), 5: (5, True)}
+    assert ask(second, "two") == later and ask(second, "two") == later
+    assert ask(first, "three") == {1: (1, False), 2: (2, False)}
+    assert index.rows().count() == 3
+    # an attempt that got half its texts in
+    half = exact_dedup.digest(F.col("text")).alias("digest")
+    index.add(docs(spark, (6, "d")).select(F.col("doc_id").alias("id"), half), "four/0")
+    assert ask(docs(spark, (6, "d"), (7, "e")), "four") == {6: (6, True), 7: (7, True)}
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("digests_of_test", "quillon_digests"))]
+
+
+def test_second_batch_meets_the_first(spark):
+    rows = docs(spark, *[(i, f"t{i % 5}") for i in range(40)]).select(F.col("doc_id").alias("id"), exact_dedup.digest(F.col("text")).alias("digest"))
+    index = exact_dedup.DigestIndex(spark, "digests_of_parts")
+    high, low = exact_dedup._batches(rows, 2)
+    assert index.add(high, "b/0").where("fresh").count() == 5
+    second = index.add(low, "b/1")
+    assert second.where("fresh").count() == 0 and {r.keep_id for r in second.collect()} == {35, 36, 37, 38, 39}
+    index.drop()
 
 
 def turns(spark, *rows):
@@ -72,6 +117,12 @@ def test_chat_snapshots(spark):
     assert chat.format_chats(turns(spark, *rows).where("false")).count() == 0
 
 
+def test_chat_roles_and_texts_do_not_run_together(spark):
+    rows = [(1, 0, "a\x00vb", "c"), (2, 0, "a", "b\x00vc"), (2, 1, "bot", "x" * 300_000), (3, 0, "r", None), (4, 0, "r", ""), (3, 1, "r", "q"), (3, 1, "r", "q")]
+    got = {r.conv_id: r.n_turns for r in chat.format_chats(turns(spark, *rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
 def brute_pack(lengths, sources, clusters, capacity):
     """Best fit by looking at every bin."""
     bins, out = [], []
