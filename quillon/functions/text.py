@@ -74,7 +74,7 @@ def seconds_to_clock(c: Column) -> Column:
 def clock_to_seconds(c: Column) -> Column:
     """MM:SS or HH:MM:SS(.fff); null otherwise. Minutes may exceed 59."""
     p = F.split(c, ":")
-    v = F.transform(p, lambda x: F.expr("try_cast(x as double)")) if False else F.transform(p, lambda x: x.try_cast("double"))
+    v = F.transform(p, lambda x: x.try_cast("double"))
     return F.when(F.size(p) == 2, v[0] * 60 + v[1]).when(F.size(p) == 3, v[0] * 3600 + v[1] * 60 + F.try_element_at(v, F.lit(3)))
 
 

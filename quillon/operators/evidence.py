@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import distance, overlaps
+from .intervals import distance, interval_join, overlaps
 
 
 def roles(modality: str, value: str) -> Column:
@@ -24,10 +24,11 @@ def relations(c: DataFrame, key: str = "video_id", reach: float = 7200.0) -> Dat
     responses of one trigger, the smaller id first. overlaps and near: other pairs, smaller id first.
     """
     cols = ["id", "start_sec", "end_sec", "modality"]
-    a = c.select(key, *[F.col(x).alias(f"a_{x}") for x in cols])
-    b = c.select(key, *[F.col(x).alias(f"b_{x}") for x in cols])
-    near = (F.col("b_start_sec") < F.col("a_end_sec") + reach) & (F.col("b_end_sec") > F.col("a_start_sec") - reach)
-    p = a.join(b, key).where((F.col("a_id") != F.col("b_id")) & near)
+    # a candidate widened by the reach overlaps those within it; pairs meet by time buckets
+    wide = c.select(key, *cols).withColumns({"start_sec": F.col("start_sec") - reach, "end_sec": F.col("end_sec") + reach})
+    p = interval_join(wide, c.select(key, *cols), [key], reach * 4).where("id <> id_r")
+    own = {"start_sec": F.col("start_sec") + reach, "end_sec": F.col("end_sec") - reach}
+    p = p.select(key, *[own.get(x, F.col(x)).alias(f"a_{x}") for x in cols], *[F.col(f"{x}_r").alias(f"b_{x}") for x in cols])
     responds = (F.col("a_modality") == "view") & (F.col("b_modality") == "click") & (F.col("a_start_sec") >= F.col("b_end_sec"))
     gap = distance("a_start_sec", "a_end_sec", "b_start_sec", "b_end_sec")
     resp = p.where(responds).select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit("response_to").alias("relation_type"), gap.alias("gap"))

@@ -106,55 +106,80 @@ def gaps(merged_df: DataFrame, keys: list[str], start: str = S, end: str = E) ->
     return nxt.where(F.col("gap_end").isNotNull()).select(*keys, F.col(end).alias("gap_start"), "gap_end")
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: float | None = None, how: str = "inner") -> DataFrame:
-    """Pairs that overlap; columns of ``right`` end in ``_r``.
+#: Seconds of a time bucket; pairs meet by key and bucket, so a hot key is split by time.
+BUCKET = 21_600.0
 
-    With ``width`` both sides are dealt to time buckets of that many seconds besides the
-    keys, so that a hot key is split by time; a pair counts in the first bucket that both touch.
-    """
-    r = right.select(*[F.col(x).alias(x if x in keys else f"{x}_r") for x in right.columns])
-    hit = overlaps(S, E, f"{S}_r", f"{E}_r")
-    if width is None:
-        return left.join(r, keys, "inner").where(hit) if how == "inner" else left.join(r.where("true"), keys, how)
 
-    def bucket(x: Column) -> Column:
-        return F.floor(x / width).cast("long")
+def _bucket(x: Column, width: float) -> Column:
+    return F.floor(x / width).cast("long")
 
-    lb = left.withColumn("_b", F.explode(F.sequence(bucket(F.col(S)), bucket(F.col(E)))))
-    rb = r.withColumn("_b", F.explode(F.sequence(bucket(F.col(f"{S}_r")), bucket(F.col(f"{E}_r")))))
-    met = lb.join(rb, [*keys, "_b"]).where(hit & (F.col("_b") == bucket(F.greatest(F.col(S), F.col(f"{S}_r")))))
-    return met.drop("_b")
 
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: float = BUCKET, how: str = "inner", closed: bool = False) -> DataFrame:
+    """Pairs that overlap; columns of ``right`` end in ``_r``. With ``closed`` touching ends count.
 
-def clip_to_best(items: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    Both sides are dealt to time buckets of ``width`` seconds besides the
+    keys; a pair counts in the first bucket that both touch. ``how`` is inner or left; left
+    keeps the rows of ``left`` that overlap nothing, with nulls (rows are told apart by all their values, so repeated rows are kept as such).
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no such interval join: {how}")
+    r = right.select(*[F.col(x).alias(x if x in keys else f"{x}_r") for x in right.columns])
+    hit = (overlaps_closed if closed else overlaps)(S, E, f"{S}_r", f"{E}_r")
+    lb = left.withColumn("_b", F.explode(F.sequence(_bucket(F.col(S), width), _bucket(F.greatest(S, E), width))))
+    rb = r.withColumn("_b", F.explode(F.sequence(_bucket(F.col(f"{S}_r"), width), _bucket(F.greatest(f"{S}_r", f"{E}_r"), width))))
+    met = lb.join(rb, [*keys, "_b"]).where(hit & (F.col("_b") == _bucket(F.greatest(F.col(S), F.col(f"{S}_r")), width))).drop("_b")
+    met = met.select(*left.columns, *[c for c in r.columns if c not in keys])
+    if how == "inner":
+        return met
+    same = None
+    found = met.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    for c in left.columns:
+        one = left[c].eqNullSafe(found[f"_{c}"])
+        same = one if same is None else same & one
+    alone = left.join(found, same, "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
+
+
+def points_in(spans: DataFrame, points: DataFrame, keys: list[str], time: str = "t", width: float = BUCKET, start: str = S, end: str = E, closed: str = "left") -> DataFrame:
+    """Pairs of a span and a point ``time`` in it. ``closed`` says which ends belong to the span: left, both or neither."""
+    ok = {"left": lambda t: (t >= F.col(start)) & (t < F.col(end)), "both": lambda t: t.between(F.col(start), F.col(end)), "neither": lambda t: (t > F.col(start)) & (t < F.col(end))}[closed]
+    sb = spans.withColumn("_b", F.explode(F.sequence(_bucket(F.col(start), width), _bucket(F.greatest(start, end), width))))
+    return sb.join(points.withColumn("_b", _bucket(F.col(time), width)), [*keys, "_b"]).where(ok(F.col(time))).drop("_b")
+
+
+def clip_to_best(items: DataFrame, windows: DataFrame, keys: list[str], width: float = BUCKET) -> DataFrame:
     """Each item cut to the window that it overlaps most; ties go to the later start, then the later end. Items without one go."""
-    w = Window.partitionBy(*keys, "id").orderBy(F.desc("ov"), F.desc(f"{S}_r"), F.desc(f"{E}_r"))
-    met = interval_join(items, windows, keys).withColumn("ov", overlap_seconds(S, E, f"{S}_r", f"{E}_r"))
-    best = met.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    met = interval_join(items, windows, keys, width).withColumn("ov", overlap_seconds(S, E, f"{S}_r", f"{E}_r"))
+    best = met.groupBy(*keys, "id", S, E).agg(F.max(F.struct("ov", f"{S}_r", f"{E}_r")).alias("_w"))
     return best.select(
-        *keys, "id", F.greatest(S, f"{S}_r").alias("clip_start"), F.least(E, f"{E}_r").alias("clip_end"),
+        *keys, "id", F.greatest(F.col(S), F.col(f"_w.{S}_r")).alias("clip_start"), F.least(F.col(E), F.col(f"_w.{E}_r")).alias("clip_end"),
         F.col(S).alias("source_start"), F.col(E).alias("source_end"),
     )
 
 
-def cover_ratio(items: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of overlaps over the duration, at most 1; overlapping covers count twice."""
-    met = interval_join(items, covers, keys).groupBy(*keys, "id").agg(F.sum(overlap_seconds(S, E, f"{S}_r", f"{E}_r")).alias("_s"))
-    return items.join(met, [*keys, "id"], "left").select(
-        *keys, "id", F.least(F.lit(1.0), F.coalesce(F.col("_s"), F.lit(0.0)) / (F.col(E) - F.col(S))).alias("ratio")
+def cover_ratio(items: DataFrame, covers: DataFrame, keys: list[str], width: float = BUCKET) -> DataFrame:
+    """Sum of overlaps over the duration, at most 1, and 0 for an item without duration; overlapping covers count twice."""
+    met = interval_join(items, covers, keys, width).groupBy(*keys, "id").agg(F.sum(overlap_seconds(S, E, f"{S}_r", f"{E}_r")).alias("_s"))
+    long = F.col(E) - F.col(S)
+    ratio = F.when(long > 0, F.least(F.lit(1.0), F.coalesce(F.col("_s"), F.lit(0.0)) / long)).otherwise(0.0)
+    return items.join(met, [*keys, "id"], "left").select(*keys, "id", ratio.alias("ratio"))
+
+
+def subtracted(items: DataFrame, cuts: DataFrame, keys: list[str], width: float = BUCKET) -> DataFrame:
+    """What is left of the items without the cuts: each item less the merged cuts that overlap it."""
+    met = interval_join(items, merged(cuts, keys), keys, width)
+    own = met.groupBy(*keys, "id", S, E).agg(F.array_sort(F.collect_list(F.struct(F.col(f"{S}_r").alias("s"), F.col(f"{E}_r").alias("e")))).alias("_c"))
+    n = F.size("_c")
+    parts = F.transform(
+        F.sequence(F.lit(0), n),
+        lambda i: F.struct(
+            F.when(i == 0, F.col(S)).otherwise(F.get("_c", i - 1)["e"]).alias("left_start"),
+            F.when(i == n, F.col(E)).otherwise(F.get("_c", i)["s"]).alias("left_end"),
+        ),
     )
-
-
-def subtracted(items: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """What is left of the items without the cuts: the complement of the merged cuts, met with the items."""
-    m = merged(cuts, keys)
-    w = Window.partitionBy(*keys).orderBy(S)
-    inf = float("inf")
-    free = m.select(*keys, F.col(E).alias(S), F.coalesce(F.lead(S).over(w), F.lit(inf)).alias(E))
-    first = m.groupBy(*keys).agg(F.min(S).alias(E)).select(*keys, F.lit(-inf).alias(S), E)
-    none = items.select(*keys).distinct().join(m.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(-inf).alias(S), F.lit(inf).alias(E))
-    free = free.unionByName(first).unionByName(none)
-    return interval_join(items, free, keys).select(*keys, "id", F.greatest(S, f"{S}_r").alias("left_start"), F.least(E, f"{E}_r").alias("left_end"))
+    left = own.select(*keys, "id", F.inline(F.filter(parts, lambda p: p["left_start"] < p["left_end"])))
+    whole = items.join(own.select(*keys, "id"), [*keys, "id"], "left_anti").where(F.col(S) < F.col(E))
+    return left.unionByName(whole.select(*keys, "id", F.col(S).alias("left_start"), F.col(E).alias("left_end")))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value_cols: list[str], valid_until: str | None = None) -> DataFrame:
@@ -174,9 +199,24 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value_c
     return out.select(*keys, "id", time, *[F.when(ok, F.col(f"_last.{v}")).alias(v) for v in value_cols])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Each left interval with the nearest right one: smallest distance, then smallest id."""
-    r = right.select(*[F.col(x).alias(x if x in keys else f"{x}_r") for x in right.columns])
-    met = left.join(r, keys).withColumn("dist", distance(S, E, f"{S}_r", f"{E}_r"))
-    best = met.groupBy(*keys, "id").agg(F.min(F.struct("dist", "id_r")).alias("_b"))
-    return best.select(*keys, "id", F.col("_b.id_r").alias("nearest_id"), F.col("_b.dist").alias("dist"))
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], width: float = BUCKET) -> DataFrame:
+    """Each left interval with the nearest right one: smallest distance, then smallest id.
+
+    What overlaps or touches meets by buckets; else the last end before and the first start after are
+    running values of one sort each. No key's pairs are formed.
+    """
+    met = interval_join(left, right, keys, width, closed=True).select(*keys, "id", F.lit(0.0).alias("dist"), F.col("id_r").alias("nid"))
+    k = [*keys, "id"]
+
+    def beside(time_left: str, time_right: str, after: bool) -> DataFrame:
+        order = (lambda c: F.desc(c)) if after else (lambda c: F.asc(c))
+        r = right.select(*keys, F.col(time_right).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id"), F.struct(F.col(time_right).alias("t"), F.col("id").alias("nid")).alias("_v"))
+        le = left.select(*keys, F.col(time_left).alias("_t"), F.lit(1).alias("_side"), F.col("id").cast("long").alias("id"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"))
+        # of equal times the smallest id comes last, and left rows after all of them
+        w = Window.partitionBy(*keys).orderBy(order("_t"), "_side", F.desc("_v.nid"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        x = le.unionByName(r).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_side = 1 and _l is not null")
+        return x.select(*k, F.abs(F.col("_t") - F.col("_l.t")).alias("dist"), F.col("_l.nid").alias("nid"))
+
+    every = met.unionByName(beside(S, E, False)).unionByName(beside(E, S, True))
+    best = every.groupBy(*k).agg(F.min(F.struct("dist", "nid")).alias("_b"))
+    return best.select(*k, F.col("_b.nid").alias("nearest_id"), F.col("_b.dist").alias("dist"))

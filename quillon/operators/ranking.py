@@ -13,6 +13,8 @@ from ..functions import vectors as V
 SMALL = 256 << 20
 #: Rows (query, term) that may be broadcast, about 50 MB.
 BROADCAST_TERMS = 1_000_000
+#: Queries (rows with a vector or a text) that may be broadcast.
+BROADCAST_QUERIES = 20_000
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -21,6 +23,11 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
 
 
+def small(df: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, and it meets the other side block by block."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each key with rank 1, 2, ...; partial limits run before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -38,11 +45,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     d = balanced(docs.select("doc_id", "text")).select("doc_id", tokenizer(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     total = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("t"))
-    small = F.broadcast if q.count() <= BROADCAST_TERMS else (lambda x: x)
-    found = d.select("doc_id", "dl", F.explode("w").alias("t")).join(small(q.select("t").distinct()), "t", "left_semi")
+    few = F.broadcast if q.count() <= BROADCAST_TERMS else (lambda x: x)
+    found = d.select("doc_id", "dl", F.explode("w").alias("t")).join(few(q.select("t").distinct()), "t", "left_semi")
     posts = found.repartition("doc_id").groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
     df = posts.groupBy("t").agg(F.count("*").alias("df"))
-    asked = small(q.join(df, "t").groupBy("t", "df").agg(F.collect_list("query_id").alias("qs")))
+    asked = few(q.join(df, "t").groupBy("t", "df").agg(F.collect_list("query_id").alias("qs")))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = posts.join(asked, "t").crossJoin(F.broadcast(total)).select("doc_id", weight.alias("x"), F.explode("qs").alias("query_id"))
     return scored.groupBy("query_id", "doc_id").agg(F.sum("x").alias("score")).where("score > 0")
@@ -51,10 +58,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 def cosine_pairs(queries: DataFrame, rows: DataFrame, how=V.cosine) -> DataFrame:
     """query_id, vec_id, score of every query against all rows.
 
-    The queries are the stated set; they are broadcast, so their number must be bounded by the caller.
+    The queries are the stated set; up to ``BROADCAST_QUERIES`` of them are broadcast, more meet the rows in blocks.
     """
     q = queries.select("query_id", F.col("vec").alias("_q"))
-    return rows.select("vec_id", "vec").crossJoin(F.broadcast(q)).select("query_id", "vec_id", how(F.col("vec"), F.col("_q")).alias("score"))
+    return rows.select("vec_id", "vec").crossJoin(small(q)).select("query_id", "vec_id", how(F.col("vec"), F.col("_q")).alias("score"))
+
+
+def gated_cosines(queries: DataFrame, rows: DataFrame, gate: DataFrame, keys: list[str], how=V.cosine) -> DataFrame:
+    """query_id, keys, vec_id, score of the rows that a gate (query_id and keys) lets through: joined before anything is scored."""
+    near = rows.join(gate, keys).join(queries.select("query_id", F.col("vec").alias("_q")), "query_id")
+    return near.select("query_id", *keys, "vec_id", how(F.col("vec"), F.col("_q")).alias("score"))
 
 
 def fused(a: DataFrame, b: DataFrame, wa: float, wb: float, key: str = "query_id", item: str = "doc_id") -> DataFrame:

@@ -86,6 +86,13 @@ def greedy_edges(items: Column, k: int, gap: float) -> Column:
     )
 
 
+def union_seconds(spans: Column) -> Column:
+    """The measure of the union of an array of struct(s, e)."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("end"))
+    step = lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0.0), x["e"] - F.greatest(x["s"], a["end"]))).alias("sum"), F.greatest(a["end"], x["e"]).alias("end"))
+    return F.aggregate(F.array_sort(spans), start, step)["sum"]
+
+
 def robust_scale(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """med, mad, and scaled = max(0, (x - med) / (1.4826 mad + 1e-8)) per partition of the keys."""
     med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("med"))

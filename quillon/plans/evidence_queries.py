@@ -43,11 +43,11 @@ def stabilise_relations(spark: SparkSession, d: str) -> DataFrame:
     return n(ok, "kept").unionByName(n(bad, "dangling"))
 
 
-@query(f"""WITH {IV}, g AS (SELECT video_id, bool_or(modality = 'click') AS t, bool_or(modality = 'view') AS r, bool_or(value > 90) AS strong, count(*) AS n FROM iv WHERE start_sec < 1704300000 GROUP BY video_id)
+@query(f"""WITH {IV}, g AS (SELECT video_id, bool_or(modality = 'click') AS t, bool_or(modality = 'view') AS r, bool_or(value > 90) AS strong, count(*) AS n FROM iv GROUP BY video_id)
 SELECT video_id, CASE WHEN t AND r AND strong AND n >= 3 THEN 'sufficient' WHEN t AND r THEN 'questionable' ELSE 'insufficient' END AS status,
  array_to_string(list_filter([CASE WHEN NOT t THEN 'no_trigger' END, CASE WHEN NOT r THEN 'no_response' END, CASE WHEN NOT strong THEN 'weak_scores' END, CASE WHEN n < 3 THEN 'few' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
 def classify_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return E.sufficiency(intervals(spark, d).where("start_sec < 1704300000"))
+    return E.sufficiency(intervals(spark, d))
 
 
 @query(f"WITH {IV}, g AS (SELECT id FROM iv WHERE value > 20 UNION ALL SELECT id FROM iv WHERE value > 95), r AS (SELECT id FROM iv WHERE value > 15 AND value < 99), n AS (SELECT id, count(*) AS n FROM g GROUP BY id) SELECT coalesce(r.id, n.id) AS id, CASE WHEN r.id IS NULL THEN 'not_retained' WHEN n.n IS NULL THEN 'ungrouped' ELSE 'several' END AS violation FROM r FULL JOIN n ON r.id = n.id WHERE r.id IS NULL OR n.n IS NULL OR n.n > 1")
@@ -83,9 +83,9 @@ def order_visual_frames(spark: SparkSession, d: str) -> DataFrame:
     return E.ranked_order(x, ["video_id"], "anchor").select("id", "selection", "position", "from_anchor")
 
 
-@query(f"WITH {IV}, g AS (SELECT video_id, avg(CASE WHEN modality = 'click' AND value > 50 THEN (start_sec + end_sec) / 2 END) AS t, arg_max(start_sec, (value, -id)) FILTER (WHERE modality = 'view') AS v, min(start_sec) AS c FROM iv WHERE start_sec < 1704300000 GROUP BY video_id) SELECT video_id, round(coalesce(t, v, c), 4) AS anchor, CASE WHEN t IS NOT NULL THEN 'temporal' WHEN v IS NOT NULL THEN 'visual' ELSE 'coarse' END AS basis FROM g")
+@query(f"WITH {IV}, g AS (SELECT video_id, avg(CASE WHEN modality = 'click' AND value > 50 THEN (start_sec + end_sec) / 2 END) AS t, arg_max(start_sec, (value, -id)) FILTER (WHERE modality = 'view') AS v, min(start_sec) AS c FROM iv GROUP BY video_id) SELECT video_id, round(coalesce(t, v, c), 4) AS anchor, CASE WHEN t IS NOT NULL THEN 'temporal' WHEN v IS NOT NULL THEN 'visual' ELSE 'coarse' END AS basis FROM g")
 def resolve_anchor(spark: SparkSession, d: str) -> DataFrame:
-    x = intervals(spark, d).where("start_sec < 1704300000")
+    x = intervals(spark, d)
     t = F.avg(F.when((F.col("modality") == "click") & (F.col("value") > 50), (F.col("start_sec") + F.col("end_sec")) / 2))
     v = F.max_by("start_sec", F.when(F.col("modality") == "view", F.struct("value", -F.col("id"))))
     g = x.groupBy("video_id").agg(t.alias("t"), v.alias("v"), F.min("start_sec").alias("c"), F.count(F.when(F.col("modality") == "view", 1)).alias("nv"))

@@ -26,16 +26,15 @@ m AS (SELECT video_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, cou
 @query(f"{AB} SELECT a.id, b.id AS other_id, round(least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec), 6) AS overlap FROM a JOIN b ON a.video_id = b.video_id AND a.start_sec < b.end_sec AND a.end_sec > b.start_sec")
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    met = I.interval_join(a, b, K, width=6 * 3600.0)
+    met = I.interval_join(a, b, K, width=I.BUCKET)
     return met.select("id", F.col("id_r").alias("other_id"), F.round(I.overlap_seconds("start_sec", "end_sec", "start_sec_r", "end_sec_r"), 6).alias("overlap"))
 
 
 @query(f"{AB} SELECT a.id, count(*) AS n_open, sum(CASE WHEN a.end_sec = b.start_sec OR b.end_sec = a.start_sec THEN 1 ELSE 0 END)::BIGINT AS n_touch FROM a JOIN b ON a.video_id = b.video_id AND NOT (a.end_sec < b.start_sec OR b.end_sec < a.start_sec) GROUP BY a.id")
 def overlap_closed_pred(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    r = b.select("video_id", F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
-    met = a.join(r, "video_id").where(I.overlaps_closed("start_sec", "end_sec", "s", "e"))
-    touch = (F.col("end_sec") == F.col("s")) | (F.col("e") == F.col("start_sec"))
+    met = I.interval_join(a, b, K, closed=True)
+    touch = (F.col("end_sec") == F.col("start_sec_r")) | (F.col("end_sec_r") == F.col("start_sec"))
     return met.groupBy("id").agg(F.count("*").alias("n_open"), F.sum(touch.cast("long")).alias("n_touch"))
 
 
@@ -162,16 +161,16 @@ SELECT id, count(*) AS n_frames, max(value) AS best, arg_max(fid, (value, -fid))
 def point_in_interval_join(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
     r = b.select("video_id", F.col("start_sec").alias("t"), F.col("value").alias("score"), F.col("id").alias("fid"))
-    met = a.select("video_id", "id", "start_sec", "end_sec").join(r, "video_id").where("t >= start_sec and t < end_sec")
+    met = I.points_in(a.select("video_id", "id", "start_sec", "end_sec"), r, K)
     return met.groupBy("id").agg(F.count("*").alias("n_frames"), F.max("score").alias("best"), F.max_by("fid", F.struct("score", -F.col("fid"))).alias("best_frame"))
 
 
 @query(f"{AB} SELECT id, video_id FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.video_id = b.video_id AND (b.start_sec + b.end_sec) / 2 >= a.start_sec AND (b.start_sec + b.end_sec) / 2 < a.end_sec)")
 def center_in_selected_join(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    m = I.merged(a, K).select(F.col("video_id").alias("v"), F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
-    mid = (F.col("start_sec") + F.col("end_sec")) / 2
-    return b.join(m, (F.col("video_id") == F.col("v")) & (mid >= F.col("s")) & (mid < F.col("e")), "left_semi").select("id", "video_id")
+    mids = b.select("video_id", "id", ((F.col("start_sec") + F.col("end_sec")) / 2).alias("t"))
+    # merged spans don't overlap, so a middle lies in one at most
+    return I.points_in(I.merged(a, K), mids, K).select("id", "video_id")
 
 
 @query(f"{AB} SELECT a.id AS trigger_id, b.id AS response_id, b.start_sec - a.end_sec AS delay FROM a JOIN b ON a.video_id = b.video_id AND b.start_sec - a.end_sec BETWEEN 0 AND 7200")
@@ -187,8 +186,9 @@ def delay_join(spark: SparkSession, d: str) -> DataFrame:
 SELECT x.tid AS trigger_id, x.rid AS response_a, y.rid AS response_b FROM t x JOIN t y ON x.tid = y.tid AND x.rid < y.rid""")
 def theta_pair_join(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    r = b.select("video_id", F.col("id").alias("rid"), F.col("start_sec").alias("rs"))
-    t = a.join(r, "video_id").where("rs >= end_sec and rs < end_sec + 36000").select(F.col("id").alias("trigger_id"), "rid")
+    r = b.select("video_id", F.col("id").alias("rid"), F.col("start_sec").alias("t"))
+    after = a.select("video_id", F.col("id").alias("trigger_id"), F.col("end_sec").alias("start_sec"), (F.col("end_sec") + 36000).alias("end_sec"))
+    t = I.points_in(after, r, K).select("trigger_id", "rid")
     return t.alias("x").join(t.alias("y"), "trigger_id").where("x.rid < y.rid").select("trigger_id", F.col("x.rid").alias("response_a"), F.col("y.rid").alias("response_b"))
 
 
@@ -210,9 +210,12 @@ def nearest_integer_probe(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     want = e.select(F.col("event_id").alias("pts"), (F.floor(F.col("value") * 100).cast("long") % 1000).alias("at"), F.lit(None).cast("long").alias("frame"))
     have = e.where("event_id % 3 = 0").select(F.lit(None).cast("long").alias("pts"), (seconds("cast(ts as timestamp_ntz)").cast("long") % 1000).alias("at")).distinct().withColumn("frame", F.col("at"))
-    part = F.floor(F.col("at") / 1000)  # one partition for each thousand frames
-    up = Window.partitionBy(part).orderBy("at", F.col("pts").isNotNull(), "pts").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(part).orderBy(F.desc("at"), F.col("pts").isNotNull(), "pts").rowsBetween(Window.unboundedPreceding, 0)
+    # wanted places are spread over so many shares, each with all frames: there are a thousand at most
+    shares = 32
+    want = want.withColumn("part", F.pmod(F.xxhash64("pts"), F.lit(shares)).cast("int"))
+    have = have.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    up = Window.partitionBy("part").orderBy("at", F.col("pts").isNotNull(), "pts").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("part").orderBy(F.desc("at"), F.col("pts").isNotNull(), "pts").rowsBetween(Window.unboundedPreceding, 0)
     x = want.unionByName(have).withColumn("lo", F.last("frame", True).over(up)).withColumn("hi", F.last("frame", True).over(down)).where("pts is not null")
     low = F.col("hi").isNull() | (F.col("at") - F.col("lo") <= F.col("hi") - F.col("at"))
     return x.withColumn("f", F.when(low & F.col("lo").isNotNull(), F.col("lo")).otherwise(F.col("hi"))).select("pts", F.col("f").alias("frame"), F.abs(F.col("f") - F.col("at")).alias("dist"))

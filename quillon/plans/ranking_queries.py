@@ -49,10 +49,19 @@ def topk_bm25_compat(spark: SparkSession, d: str) -> DataFrame:
 QV = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), cs AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(v, q), 6) AS score FROM q, x)"
 
 
-def _cosines(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    return R.cosine_pairs(q, e).withColumn("score", F.round("score", 6))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), e
+
+
+def _cosines(spark: SparkSession, d: str) -> DataFrame:
+    return R.cosine_pairs(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def _gated(spark: SparkSession, d: str, gate: DataFrame) -> DataFrame:
+    """Cosines of the vectors of the mediums that the gate (query_id, medium) lets through, and of no others."""
+    q, e = _vectors(spark, d)
+    return R.gated_cosines(q, e.withColumn("medium", F.expr("vec_id div 10")), gate, ["medium"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {QV} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, score FROM cs QUALIFY rank <= 10")
@@ -60,25 +69,28 @@ def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(_cosines(spark, d), 10, "vec_id")
 
 
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (CASE WHEN sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) = 0 THEN 1 ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q)
-SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT (SELECT greatest(1, least(25, count(*))) FROM embeddings)""")
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), x AS (SELECT vec_id, v, CASE WHEN n = 0 THEN 1 ELSE n END AS n FROM n),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(x.v, q.v) / (x.n * q.n), 6) AS score FROM x, x q WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 25""")
 def topk_flat(spark: SparkSession, d: str) -> DataFrame:
-    """One query with stored norms; k lies within [1, n]."""
+    """Stored norms, zero ones as one; k of at least one and at most all rows."""
     e = table(spark, d, "embeddings").withColumn("norm", F.when(V.norm(F.col("embedding")) == 0, 1.0).otherwise(V.norm(F.col("embedding"))))
-    q = e.where("vec_id = 7").select(F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    s = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(V.dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    return s.orderBy(F.desc("score"), "vec_id").limit(25)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
+    s = e.crossJoin(R.small(q)).select("query_id", "vec_id", F.round(V.dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
+    return R.top_k(s, ["query_id"], 25, F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", "score")
 
 
-@query(f"""WITH {BM}, {QV.replace('vec_id % 50 = 0', 'vec_id < 40').replace('q AS (', 'qv AS (').replace('FROM q, x', 'FROM qv, x')}, a AS (SELECT query_id, vec_id AS doc_id, score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20),
+@query(f"""WITH {BM}, {QV.replace('vec_id % 50 = 0', 'vec_id IN (SELECT item_id FROM benchmark)').replace('q AS (', 'qv AS (').replace('FROM q, x', 'FROM qv, x')}, a AS (SELECT query_id, vec_id AS doc_id, score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20),
 b AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20),
 an AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS xa FROM a WINDOW w AS (PARTITION BY query_id)),
 bn AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS xb FROM b WINDOW w AS (PARTITION BY query_id)),
 fz AS (SELECT query_id, doc_id, round(0.7 * coalesce(xa, 0) + 0.3 * coalesce(xb, 0), 5) AS score FROM an FULL JOIN bn USING (query_id, doc_id))
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM fz QUALIFY rank <= 10""")
 def topk_weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Every item asks by its text and by the vector of its own number."""
     e = table(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
-    cs = R.cosine_pairs(e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "vec"), e).withColumn("score", F.round("score", 6))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")).distinct()
+    cs = R.cosine_pairs(e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "vec"), e).withColumn("score", F.round("score", 6))
     a = R.top_k(cs, ["query_id"], 20, F.desc("score"), F.col("vec_id")).select("query_id", F.col("vec_id").alias("doc_id"), "score")
     b = R.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), ["query_id"], 20, F.desc("score"), F.col("doc_id"))
     f = R.fused(a, b, 0.7, 0.3).withColumn("score", F.round("score", 5))
@@ -177,7 +189,7 @@ SELECT query_id, medium, vec_id, raw, round(CASE WHEN max(raw) OVER w - min(raw)
 def rerank_fine(spark: SparkSession, d: str) -> DataFrame:
     """The gate is a small semi-join before the fine vectors are ranked."""
     gate = R.top_k(_medium(spark, d), ["query_id"], 5, F.desc("score"), F.col("medium")).select("query_id", "medium")
-    f = _cosines(spark, d).withColumn("medium", F.expr("vec_id div 10")).join(gate, ["query_id", "medium"], "left_semi").withColumnRenamed("score", "raw")
+    f = _gated(spark, d, gate).withColumnRenamed("score", "raw")
     w = Window.partitionBy("query_id", "medium").orderBy(F.desc("raw"), "vec_id")
     return f.select("query_id", "medium", "vec_id", "raw", F.round(min_max("raw", ["query_id", "medium"]), 5).alias("scaled"), F.row_number().over(w).alias("rank_within"))
 
@@ -191,7 +203,7 @@ def dense_beam_b(spark: SparkSession, d: str) -> DataFrame:
     m = _medium(spark, d)
     c = R.top_k(m.groupBy("query_id", "coarse").agg(F.max("sim").alias("s")), ["query_id"], 3, F.desc("s"), F.col("coarse")).select("query_id", "coarse")
     m = R.top_k(m.join(c, ["query_id", "coarse"], "left_semi"), ["query_id"], 6, F.desc("sim"), F.col("medium")).select("query_id", "medium")
-    f = _cosines(spark, d).withColumn("medium", F.expr("vec_id div 10")).join(m, ["query_id", "medium"], "left_semi")
+    f = _gated(spark, d, m)
     s = f.groupBy("query_id", F.expr("vec_id div 5").alias("segment")).agg(F.max("score").alias("best"))
     return R.top_k(s, ["query_id"], 6, F.desc("best"), F.col("segment")).drop("rank")
 
@@ -204,7 +216,7 @@ SELECT t.query_id, unnest(list_concat(taken, list_slice(coalesce(rest, []), 1, g
 def hierarchical_gated(spark: SparkSession, d: str) -> DataFrame:
     """Gate by mediums, rank fine rows, keep six that are apart, fill up."""
     gate = R.top_k(_medium(spark, d), ["query_id"], 8, F.desc("score"), F.col("medium")).select("query_id", "medium")
-    f = _cosines(spark, d).withColumn("medium", F.expr("vec_id div 10")).join(gate, ["query_id", "medium"], "left_semi")
+    f = _gated(spark, d, gate)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     f = f.withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("vec_id").alias("t")))).alias("p"))
     return f.select("query_id", F.explode(greedy_apart_filled(F.col("p"), 6, 4)).alias("x")).select("query_id", F.col("x.t").alias("vec_id"))
@@ -235,19 +247,27 @@ def balanced_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return R.round_robin(table(spark, d, "part"), "p_brand", [F.col("p_partkey")], 70).select("p_partkey", "p_brand", "turn")
 
 
-@query(f"""WITH RECURSIVE {IV}, p AS (SELECT video_id, id, modality, start_sec AS s, end_sec AS e, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, start_sec, id) AS i FROM iv QUALIFY i <= 15),
-g AS (SELECT video_id, i, [id] AS ids, [modality] AS mods, e - s AS used FROM p WHERE i = 1 UNION ALL
- SELECT video_id, i, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(mods, modality) ELSE mods END, CASE WHEN ok THEN used + e - s ELSE used END
- FROM (SELECT p.*, g.ids, g.mods, g.used, len(list_filter(g.mods, lambda y: y = p.modality)) < CASE p.modality WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 5 END AND g.used + p.e - p.s <= 72000 AS ok FROM g JOIN p ON p.video_id = g.video_id AND p.i = g.i + 1))
+_UNION = "list_sum(list_transform(range(1, len({x}) + 1), lambda k: greatest(0.0, {x}[k].e - greatest({x}[k].s, coalesce(list_max(list_transform({x}[1:k - 1], lambda y: y.e)), {x}[k].s)))))"
+
+
+@query(f"""WITH RECURSIVE {IV}, p AS (SELECT video_id, id, modality, start_sec AS s, end_sec AS e, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, start_sec, id) AS i FROM iv),
+g AS (SELECT video_id, i, [id] AS ids, [modality] AS mods, [{{'s': s, 'e': e}}] AS spans FROM p WHERE i = 1 UNION ALL
+ SELECT video_id, i, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(mods, modality) ELSE mods END, CASE WHEN ok THEN more ELSE spans END
+ FROM (SELECT *, len(list_filter(mods, lambda y: y = modality)) < CASE modality WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 5 END AND {_UNION.format(x='more')} <= 36000 AS ok
+  FROM (SELECT p.*, g.ids, g.mods, g.spans, list_sort(list_append(g.spans, {{'s': p.s, 'e': p.e}})) AS more FROM g JOIN p ON p.video_id = g.video_id AND p.i = g.i + 1)))
 SELECT video_id, unnest(arg_max(ids, i)) AS id FROM g GROUP BY video_id""")
 def apply_budget(spark: SparkSession, d: str) -> DataFrame:
-    """By priority, at most two, three or five of a kind, and twenty hours in all."""
-    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), "start_sec", "id"))).where("i <= 15")
-    p = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "id", "modality", (F.col("end_sec") - F.col("start_sec")).alias("len")))).alias("p"))
+    """By priority over all candidates: at most two, three or five of a kind, and ten hours of their union; what overlaps counts once."""
+    from ..operators.series import union_seconds
+
+    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), "start_sec", "id")))
+    p = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "id", "modality", F.col("start_sec").alias("s"), F.col("end_sec").alias("e")))).alias("p"))
     limit = lambda m: F.when(m == "view", 2).when(m == "click", 3).otherwise(5)
 
     def step(acc, y):
-        ok = (F.size(F.filter(acc, lambda z: z["modality"] == y["modality"])) < limit(y["modality"])) & (F.aggregate(acc, F.lit(0.0), lambda s, z: s + z["len"]) + y["len"] <= 72000)
+        # what is taken stays small: so many of each kind
+        spans = F.transform(F.concat(acc, F.array(y)), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e")))
+        ok = (F.size(F.filter(acc, lambda z: z["modality"] == y["modality"])) < limit(y["modality"])) & (union_seconds(spans) <= 36000)
         return F.when(ok, F.concat(acc, F.array(y))).otherwise(acc)
 
     return p.select("video_id", F.explode(F.aggregate("p", F.slice("p", 1, 0), step)).alias("k")).select("video_id", "k.id")

@@ -168,11 +168,12 @@ def dedup_matches_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.explode(S.greedy_apart(F.col("p"), 1 << 30, 43200.000001)).alias("k")).select("k.id")
 
 
-_PREF = f"WITH RECURSIVE {IV}, p AS (SELECT video_id, id, (start_sec + end_sec) / 2 AS t, start_sec AS s, end_sec AS e, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, start_sec, id) AS i FROM iv QUALIFY i <= 12)"
+_PREF = f"WITH RECURSIVE {IV}, p AS (SELECT video_id, id, (start_sec + end_sec) / 2 AS t, start_sec AS s, end_sec AS e, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, start_sec, id) AS i FROM iv)"
 
 
-def _preferred(spark: SparkSession, d: str, n: int = 12) -> DataFrame:
-    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), *O))).where(F.col("i") <= n)
+def _preferred(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of a video in their order of preference."""
+    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), *O)))
     t = ((F.col("start_sec") + F.col("end_sec")) / 2).alias("t")
     return x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", t, F.col("start_sec").alias("s"), F.col("end_sec").alias("e"), "id"))).alias("p"))
 

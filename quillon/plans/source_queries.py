@@ -18,10 +18,12 @@ def _path(spark: SparkSession, name: str) -> str:
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_json(spark: SparkSession, d: str) -> DataFrame:
-    """Whole-file arrays."""
+    """Whole-file arrays, one file for each region."""
     p = _path(spark, "json")
     n = table(spark, d, "nation")
-    n.agg(F.to_json(F.collect_list(F.struct(*n.columns))).alias("value")).coalesce(1).write.text(p)
+    files = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.to_json(F.collect_list(F.struct(*n.columns))).alias("value"))
+    files.write.partitionBy("region").text(p)
+    p = f"{p}/*/"
     return S.read_json(spark, p, "n_nationkey int, n_name string, n_regionkey int")
 
 
@@ -106,10 +108,10 @@ def sink_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(p)
 
 
-@query(r"SELECT conv_id, turn, replace(text, chr(10), '\n') AS text FROM conversations WHERE turn = 0")
+@query(r"SELECT conv_id, turn, replace(text, chr(10), '\n') AS text FROM conversations")
 def sink_tsv(spark: SparkSession, d: str) -> DataFrame:
     p = _path(spark, "tsv")
-    S.write_tsv(table(spark, d, "conversations").where("turn = 0").select("conv_id", "turn", "text"), p)
+    S.write_tsv(table(spark, d, "conversations").select("conv_id", "turn", "text"), p)
     r = spark.read.schema("conv_id long, turn long, text string").option("header", True).option("sep", "\t").option("escape", "\0").option("quote", "\0").csv(p)
     return r.select("conv_id", "turn", F.regexp_replace(F.regexp_replace("text", '^"|"$', ""), r'\\"', '"').alias("text"))
 

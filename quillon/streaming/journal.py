@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lineage import TRANSITIONS
@@ -52,12 +53,43 @@ def sessions(events: DataFrame, gap: str = "3 hours", watermark: str = "1 day")
     return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Process all that is available, through a Parquet sink for append and a memory sink else, and return the rows."""
+def run_once(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Process all that is available through Parquet files and return the rows.
+
+    In append mode that is all rows; in complete mode the last batch; in update mode the newest row of each of ``keys``.
+    """
+    out = f"{checkpoint}/rows"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True)
     if mode == "append":
-        out = f"{checkpoint}/rows"
-        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+        w.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    name = "quillon_" + checkpoint.rsplit("-", 1)[-1]
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/{batch}")  # a batch that is tried again replaces itself
+
+    w.foreachBatch(save).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{out}/*")
+    if mode == "complete":
+        return rows.where(F.col("_batch") == (rows.agg(F.max("_batch")).first()[0] or 0)).drop("_batch")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*").select(*stream.columns)
+
+
+def with_timeout(starts: DataFrame, seconds: int) -> DataFrame:
+    """task, state (running, finished or timeout) of tasks (task, event: start or finish), by processing time.
+
+    A task that isn't finished ``seconds`` after its start was seen times out, and stays so: a later finish changes nothing.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else "running"
+        if state.hasTimedOut:
+            now = "timeout" if now == "running" else now
+        elif now == "running" and any((b["event"] == "finish").any() for b in batches):
+            now = "finished"
+        state.update((now,))
+        if now == "running":
+            state.setTimeoutDuration(seconds * 1000)
+        yield pd.DataFrame({"task": [key[0]], "state": [now]})
+
+    return starts.groupBy("task").applyInPandasWithState(run, "task string, state string", "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
