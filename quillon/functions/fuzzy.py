@@ -129,6 +129,40 @@ def phrase_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["doc_id", "k", "ratio"])
 
 
+def ladder(phrase: str, text: str, least: float = 0.6) -> tuple[str, float] | None:
+    """The first rung that holds: the phrase stands in the text, but for case, but for punctuation; else the matcher's ratio of the two, if it is at least ``least``."""
+    p, t = (unicodedata.normalize("NFKC", x).strip() for x in (phrase, text))
+    if p in t:
+        return "unicode_normalized_exact", 1.0
+    if p.casefold() in t.casefold():
+        return "case_insensitive", 0.98
+    a, b = _letters(p), _letters(t)
+    if a and a in b:
+        return "punctuation_insensitive", 0.95
+    # no more characters match than the shorter has, nor than both have of each kind
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return None
+    m = SequenceMatcher(None, a, b)
+    if m.quick_ratio() < least or (ratio := m.ratio()) < least:
+        return None
+    return "token_fuzzy_fallback", round(ratio, 6)
+
+
+def _letters(text: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in text.casefold()).split())
+
+
+def ladder_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, ks, phrases), (doc_id, k, method, score) of the phrases that the ladder finds."""
+    names = ["doc_id", "k", "method", "score"]
+    for batch in batches:
+        out = []
+        for i, t, ks, phrases in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ks", "phrases")), strict=True):
+            out += [(i, k, *r) for k, p in zip(ks, phrases, strict=True) if (r := ladder(p, t or ""))]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     import unicodedata

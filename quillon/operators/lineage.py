@@ -19,6 +19,18 @@ def ordered_sha(col: str) -> Column:
     return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
 
 
+def tree_sha(df: DataFrame, key: str, order: str, content: str, fan: int = 1000, levels: int = 2) -> DataFrame:
+    """key, sha: hashes of rows, then of blocks of ``fan`` of them by ``order``, level by level, then of a key's last blocks.
+
+    No key's contents meet in one row: a row holds ``fan`` hashes at most, and the last one those of the blocks left.
+    """
+    x = df.select(key, F.col(order).alias("_o"), F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("_h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda r: r["_h"]), "").cast("binary"), 256).alias("_h")
+    for _ in range(levels):
+        x = x.groupBy(key, F.floor(F.col("_o") / fan).cast("long").alias("_b")).agg(joined).select(key, F.col("_b").alias("_o"), "_h")
+    return x.groupBy(key).agg(joined).select(key, F.col("_h").alias("sha"))
+
+
 def canonical_sha(*cols: str) -> Column:
     """SHA-256 of the compact JSON with keys in order."""
     return F.sha2(F.to_json(F.struct(*sorted(cols))).cast("binary"), 256)
@@ -44,6 +56,21 @@ def manifest_of(spark, path: str) -> DataFrame:
     return b.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"))
 
 
+def verify(want: DataFrame, have: DataFrame) -> DataFrame:
+    """path, state of the files of two manifests (path, bytes, sha) that differ: missing, unexpected or changed."""
+    a, b = (x.select("path", F.struct("bytes", "sha").alias(n)) for x, n in ((want, "_a"), (have, "_b")))
+    state = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "unexpected").when(F.col("_a") != F.col("_b"), "changed")
+    return a.join(b, "path", "full").select("path", state.alias("state")).where("state is not null")
+
+
+def ledger(charges: DataFrame, account: str, charge: str, order: str, amount: str, budget: float) -> DataFrame:
+    """account, charge, spent, within: each charge of an account once (the first by ``order``), the running sum, and whether the budget holds it."""
+    once = charges.groupBy(account, charge).agg(F.min(F.struct(order, amount)).alias("_c"))
+    w = Window.partitionBy(account).orderBy(f"_c.{order}", charge).rowsBetween(Window.unboundedPreceding, 0)
+    x = once.withColumn("spent", F.sum(f"_c.{amount}").over(w))
+    return x.select(account, charge, "spent", (F.col("spent") <= budget).alias("within"))
+
+
 #: What may follow each state of an attempt; the empty state begins it.
 TRANSITIONS = (
     ("", "pending"), ("pending", "sent"), ("sent", "response_saved"), ("response_saved", "validated"), ("validated", "checkpointed"),

@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 # the modules register their queries
-from . import evaluation_queries, evidence_queries, interval_queries, ranking_queries, series_queries, source_queries, streaming_queries, text_queries  # noqa: E402, F401
+from . import case_queries, evaluation_queries, evidence_queries, interval_queries, ranking_queries, series_queries, source_queries, streaming_queries, text_queries  # noqa: E402, F401

@@ -18,7 +18,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))) AS h FROM documents")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    """With normalize_answer."""
     return _docs(spark, d).select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("h"))
 
 
@@ -134,43 +133,6 @@ def video_id_from_annotation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", r"([^/?]+)(\?|$)", 1), r"_\d+$", "").alias("stem"))
 
 
-_HINT = "['what happens before the bell', 'when does it start', 'he is walking', 'and then at the end']"
-_HINTS = ["what happens before the bell", "when does it start", "he is walking", "and then at the end"]
-
-
-@query(f"WITH h AS (SELECT doc_id, ({_HINT})[doc_id % 4 + 1] AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '\\b(before|after|until)\\b') THEN 'strong' WHEN regexp_matches(s, '\\b(when|while|then)\\b') THEN 'moderate' WHEN regexp_matches(s, '\\b(start|end|first|last)\\b') THEN 'weak' ELSE 'none' END AS hint, CASE WHEN s LIKE 'what%' THEN 'what' WHEN s LIKE 'when%' THEN 'when' ELSE 'other' END AS type, array_to_string(list_filter([CASE WHEN s LIKE '%bell%' THEN 'audio' END, CASE WHEN s LIKE '%walk%' THEN 'visual' END, CASE WHEN s LIKE '%start%' THEN 'time' END], lambda x: x IS NOT NULL), ',') AS modalities FROM h")
-def temporal_hint(spark: SparkSession, d: str) -> DataFrame:
-    """With question_type and expected_modalities: ordered rules."""
-    s = F.element_at(F.array(*map(F.lit, _HINTS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    hint = F.when(s.rlike(r"\b(before|after|until)\b"), "strong").when(s.rlike(r"\b(when|while|then)\b"), "moderate").when(s.rlike(r"\b(start|end|first|last)\b"), "weak").otherwise("none")
-    kind = F.when(s.startswith("what"), "what").when(s.startswith("when"), "when").otherwise("other")
-    tags = F.array_compact(F.array(F.when(s.contains("bell"), "audio"), F.when(s.contains("walk"), "visual"), F.when(s.contains("start"), "time")))
-    return _docs(spark, d).select("doc_id", hint.alias("hint"), kind.alias("type"), F.array_join(tags, ",").alias("modalities"))
-
-
-_CUE = ["from 01:10 to 02:20 he said \"yes now\"", "at 75:30 and between 1 and 2", "nothing", "before 00:10, after 00:20"]
-_CUES = "['from 01:10 to 02:20 he said \"yes now\"', 'at 75:30 and between 1 and 2', 'nothing', 'before 00:10, after 00:20']"
-
-
-@query(f"WITH c AS (SELECT doc_id, ({_CUES})[doc_id % 4 + 1] AS s FROM documents), r AS (SELECT *, regexp_extract_all(s, '\\d+:\\d\\d\\s*(?:to|-)\\s*\\d+:\\d\\d') AS ranges, regexp_replace(s, '\\d+:\\d\\d\\s*(?:to|-)\\s*\\d+:\\d\\d', ' ', 'g') AS rest FROM c) SELECT doc_id, array_to_string(ranges, '|') AS ranges, array_to_string(regexp_extract_all(rest, '\\d+:\\d\\d'), '|') AS times, array_to_string(regexp_extract_all(s, '\"([^\"]+)\"', 1), '|') AS quoted, array_to_string(regexp_extract_all(s, '\\b(before|after|between)\\b'), '|') AS relative FROM r")
-def extract_cues(spark: SparkSession, d: str) -> DataFrame:
-    """Clock ranges first; single times are looked for outside them."""
-    rng = r"\d+:\d\d\s*(?:to|-)\s*\d+:\d\d"
-    s = F.element_at(F.array(*map(F.lit, _CUE)), (F.col("doc_id") % 4 + 1).cast("int"))
-    every = lambda x, p, g=0: F.array_join(F.regexp_extract_all(x, F.lit(p), F.lit(g)), "|")
-    return _docs(spark, d).select("doc_id", every(s, rng).alias("ranges"), every(F.regexp_replace(s, rng, " "), r"\d+:\d\d").alias("times"), every(s, '"([^"]+)"', 1).alias("quoted"), every(s, r"\b(before|after|between)\b").alias("relative"))
-
-
-@query("WITH p AS (SELECT d.doc_id, d.text AS t, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40) SELECT doc_id, CASE WHEN contains(t, left(b, 40)) THEN 1.0 WHEN contains(lower(t), lower(left(b, 40))) THEN 0.98 WHEN contains(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g'), regexp_replace(lower(left(b, 40)), '[^a-z0-9 ]', '', 'g')) THEN 0.95 ELSE 0.0 END::DOUBLE AS score FROM p")
-def phrase_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Exact, then case, then punctuation."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 40).alias("b"))
-    p = _docs(spark, d).withColumn("k", F.col("doc_id") % 40).join(F.broadcast(b), "k")
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
-    t = F.col("text")
-    return p.select("doc_id", F.when(t.contains(F.col("b")), 1.0).when(F.lower(t).contains(F.lower("b")), 0.98).when(plain(t).contains(plain(F.col("b"))), 0.95).otherwise(0.0).alias("score"))
-
-
 @query()
 def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
     """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express.
@@ -194,7 +156,7 @@ def sec_to_hhmmss(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT event_id, (event_id % 90) || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ':30.5' ELSE ':x' END AS s FROM events), p AS (SELECT *, string_split(s, ':') AS p FROM c)
 SELECT event_id, CASE len(p) WHEN 2 THEN TRY_CAST(p[1] AS DOUBLE) * 60 + TRY_CAST(p[2] AS DOUBLE) WHEN 3 THEN TRY_CAST(p[1] AS DOUBLE) * 3600 + TRY_CAST(p[2] AS DOUBLE) * 60 + TRY_CAST(p[3] AS DOUBLE) END AS sec FROM p""")
 def clock_to_sec(spark: SparkSession, d: str) -> DataFrame:
-    """With hhmmss_to_sec and parse_time_range; minutes may exceed 59, junk is null."""
+    """Minutes may exceed 59, junk is null."""
     i = F.col("event_id")
     s = F.concat((i % 90).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.when(i % 3 == 0, "").when(i % 3 == 1, ":30.5").otherwise(":x"))
     return table(spark, d, "events").select("event_id", T.clock_to_seconds(s).alias("sec"))
@@ -252,7 +214,7 @@ def jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, array_to_string(list(event_type ORDER BY f), ',') AS kinds FROM o GROUP BY user_id")
 def ordered_unique(spark: SparkSession, d: str) -> DataFrame:
-    """First occurrences in order; with entity_texts and coarse_text."""
+    """First occurrences in order."""
     k = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]))
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(k, ",").alias("kinds"))
 
@@ -278,12 +240,6 @@ def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "event_type", "y.ratio", "y.scaled")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS ok FROM events")
-def parse_model_json(spark: SparkSession, d: str) -> DataFrame:
-    p = F.from_json("props", "k long")
-    return table(spark, d, "events").select("event_id", p["k"].alias("k"), p.isNotNull().alias("ok"))
-
-
 _SP = """['{"1": 3, "4-5": 2}', '{"2-3": 9}', '{"1": 1, "1-2": 2}', 'oops', '{"7": 2}']"""
 
 
@@ -304,13 +260,6 @@ def parse_span_scores(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.coalesce(state, F.lit("not_json")).alias("state"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN source IN ('src0', 'src1') THEN 'source' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents")
-def validate_plan(spark: SparkSession, d: str) -> DataFrame:
-    """An error list, empty if valid."""
-    e = F.array_compact(F.array(F.when(F.col("n_chars") < 300, "short"), F.when(F.col("lang") != "en", "language"), F.when(F.col("source").isin("src0", "src1"), "source")))
-    return _docs(spark, d).select("doc_id", F.array_join(e, ",").alias("errors"))
-
-
 # -- hashes and lineage --------------------------------------------------------------
 
 
@@ -321,11 +270,12 @@ def stable_id(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", sid("cand", "doc_id", "lang", "source").alias("id"))
 
 
-@query("SELECT lang, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS sha FROM documents GROUP BY lang")
+@query("SELECT lang, doc_id // 1000 AS block, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS sha FROM documents GROUP BY 1, 2")
 def ordered_identity_sha(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of a fixed population, a thousand numbers at most, in one hash."""
     from ..operators.lineage import ordered_sha
 
-    return _docs(spark, d).groupBy("lang").agg(ordered_sha("doc_id").alias("sha"))
+    return _docs(spark, d).groupBy("lang", F.expr("doc_id div 1000").alias("block")).agg(ordered_sha("doc_id").alias("sha"))
 
 
 @query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS sha FROM documents")
@@ -337,18 +287,22 @@ def canonical_json_sha(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(concat_ws('|', lang, octet_length(encode(text)), sha256(text))) AS fp FROM documents")
 def request_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Large values enter by length and hash; with run_fingerprint and schema_hash in the library."""
+    """Large values enter by length and hash; see run_fingerprint."""
     t = F.col("text").cast("binary")
     return _docs(spark, d).select("doc_id", F.sha2(F.concat_ws("|", "lang", F.octet_length(t).cast("string"), F.sha2(t, 256)).cast("binary"), 256).alias("fp"))
 
 
-@query("WITH f AS (SELECT source AS path, sum(n_chars)::BIGINT AS bytes, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha FROM documents GROUP BY source) SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(path || ' ' || bytes || ' ' || sha, chr(10) ORDER BY path)) AS aggregate FROM f")
+_TREE = "r AS (SELECT source AS path, doc_id, n_chars, sha256(coalesce(text, '')) AS h FROM documents), b1 AS (SELECT path, doc_id // 1000 AS k, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY 1, 2), b2 AS (SELECT path, k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b1 GROUP BY 1, 2), t AS (SELECT path, sha256(string_agg(h, '' ORDER BY k)) AS sha FROM b2 GROUP BY 1)"
+
+
+@query(f"WITH {_TREE}, f AS (SELECT path, sum(n_chars)::BIGINT AS bytes, any_value(sha) AS sha FROM r JOIN t USING (path) GROUP BY path) SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(path || ' ' || bytes || ' ' || sha, chr(10) ORDER BY path)) AS aggregate FROM f")
 def freeze_tree(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest of path, size and hash, and the hash of the manifest."""
-    from ..operators.lineage import aggregate_manifest
+    """A manifest of path, size and hash, and the hash of the manifest. A source's rows are hashed by a tree of blocks of a thousand."""
+    from ..operators.lineage import aggregate_manifest, tree_sha
 
-    f = _docs(spark, d).groupBy(F.col("source").alias("path")).agg(F.sum("n_chars").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "").cast("binary"), 256).alias("sha"))
-    return aggregate_manifest(f)
+    x = _docs(spark, d).withColumnRenamed("source", "path")
+    sizes = x.groupBy("path").agg(F.sum("n_chars").alias("bytes"))
+    return aggregate_manifest(sizes.join(tree_sha(x, "path", "doc_id", "text"), "path"))
 
 
 @query(f"SELECT sha256(array_to_string({TOK}, ' ') || '|' || (item_id % 3)) AS claim, min(item_id) AS first_id, count(*) AS n FROM (SELECT * FROM benchmark UNION ALL SELECT * FROM benchmark WHERE item_id % 2 = 0) GROUP BY 1")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,3 +119,69 @@ def write_checkpoint(df: DataFrame, path: str, by: str | None = None) -> None:
 def union_of_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both under the union of their columns."""
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def valid_segments(rows: DataFrame) -> DataFrame:
+    """Segments with a text that isn't blank and an end after their start."""
+    return rows.where((F.trim("text") != "") & (F.col("end_sec") > F.col("start_sec")))
+
+
+def resume(spark: SparkSession, cases: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Work on the cases that ``path`` doesn't have yet, append their rows there and return all rows of the cases asked for."""
+    try:
+        done = spark.read.parquet(path)
+        missing = cases.join(done.select(key), key, "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        missing = cases
+    work(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(cases.select(key), key, "left_semi")
+
+
+def npy_bytes(rows: DataFrame, by: str, vec: str) -> DataFrame:
+    """by, part, content: the vectors as .npy files, one for each Arrow batch of a group's rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, b in enumerate(batches):
+            for k, own in b.groupby(by):
+                out = io.BytesIO()
+                np.save(out, np.stack(own[vec].to_numpy()))
+                yield pd.DataFrame({by: [k], "part": [n], "content": [out.getvalue()]})
+
+    return rows.select(by, vec).mapInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, part int, content binary")
+
+
+def parse_npy(files: DataFrame, content: str = "content") -> DataFrame:
+    """row, vec: the rows of two-dimensional .npy files; of .npz archives those of every array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b[content]:
+                got = np.load(io.BytesIO(raw), allow_pickle=False)
+                for x in got.values() if hasattr(got, "files") else [got]:
+                    yield pd.DataFrame({"row": np.arange(len(x)), "vec": [v.astype(float).tolist() for v in x]})
+
+    return files.select(content).mapInPandas(run, "row long, vec array<double>")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all .npy and .npz files below ``path``."""
+    return parse_npy(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.np[yz]").load(path))
+
+
+def write_json_atomic(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
+    """One file ``<key>.json`` for each row, an object each. Files are written elsewhere and renamed into place, so none is ever seen in part."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    temp = f"{path}/_next"
+    rows.select(F.col(key).cast("string").alias("_k"), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy("_k").text(temp)
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(fs_path(temp)):
+        name = folder.getPath().getName()
+        if not name.startswith("_k="):
+            continue
+        made = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        to = fs_path(f"{path}/{name[3:]}.json")
+        fs.delete(to, False)
+        fs.rename(made[0], to)
+    fs.delete(fs_path(temp), True)
