@@ -98,6 +98,7 @@ def one_each(rows: DataFrame, key: str) -> DataFrame:
     """
     again = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
     if again.isEmpty():
+        discard(again)
         return rows
     fine = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
     best = F.min_by(F.struct(*named(rows.columns)), F.xxhash64(*named(fine))).alias("_row")
@@ -125,7 +126,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing will read again; any other table is left alone."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ascii_lower(text: Column) -> Column:

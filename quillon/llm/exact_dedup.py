@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free, join_groups, named, one_each, written
+from .common import ascii_lower, discard, free, join_groups, named, one_each, written
 
 
 def digest(text: Column) -> Column:
@@ -72,9 +72,12 @@ class DigestIndex:
         known = self.rows().select("digest", F.col("keep_id").alias("_keep"), F.col("batch").alias("_batch")).hint("merge")
         # one pass over the index: without a match is the anti-join, with one tells the id that stays
         met = written(groups.join(known, "digest", "left"), "met")
+        discard(groups)
         self._append(met.where("_batch is null").select("digest", F.col("id").alias("keep_id"), F.lit(name).alias("batch")))
         new = F.col("_batch").isNull()
-        return met.select("digest", F.when(new, F.col("id")).otherwise(F.col("_keep")).alias("keep_id"), "group_size", (new | (F.col("_batch") == name)).alias("fresh"))
+        out = met.select("digest", F.when(new, F.col("id")).otherwise(F.col("_keep")).alias("keep_id"), "group_size", (new | (F.col("_batch") == name)).alias("fresh"))
+        out._met = met
+        return out
 
 
 def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
@@ -99,7 +102,9 @@ def decide(rows: DataFrame, index: DigestIndex, name: str, batches: int = 1) ->
         every = every.unionByName(f)
     # a text is fresh in the batch that brought it in; later ones were told the same id
     merged = every.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("fresh").alias("fresh"))
-    return written(merged, "decisions")
+    out = written(merged, "decisions")
+    discard(*[f._met for f in found])
+    return out
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, table: str | None, batch: str | None, batches: int) -> tuple[DataFrame, DataFrame]:
@@ -134,12 +139,15 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     It is the row with the largest id; of repeated rows with that id, one. Rows are matched
     by their own text's digest, so an id that also stands at another text does no harm.
     """
-    _, texts = _decided(docs, id_col, text_col, table, batch, batches)
+    digests, decided = _decided(docs, id_col, text_col, table, batch, batches)
+    discard(digests)
     key = free(docs.columns, "_digest")
     names = {c: free(docs.columns, f"_{c}") for c in ("keep_id", "group_size", "fresh")}
-    texts = texts.select(F.col("digest").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    texts = decided.select(F.col("digest").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
     rows = docs.withColumn(key, digest(named([text_col])[0]))
     total = texts.agg(F.sum(names["group_size"])).first()[0] or 0
     met = join_groups(rows, texts, key, names["group_size"], total)
     own = met.where(F.col(names["fresh"]) & named([id_col])[0].cast("long").eqNullSafe(F.col(names["keep_id"])))
-    return one_each(written(own.drop(*names.values()), "survivors"), key).select(*named(docs.columns))
+    kept = written(own.drop(*names.values()), "survivors")
+    discard(decided, getattr(decided, "_met", decided))
+    return one_each(kept, key).select(*named(docs.columns))

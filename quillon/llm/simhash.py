@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, appended, byte_views, free, join_groups, named, one_each, written
+from .common import LOWER, UPPER, appended, byte_views, discard, free, join_groups, named, one_each, written
 
 WORDS = 4
 RADIUS = 4
@@ -388,12 +388,17 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
     # block b meets blocks 0 .. k - 1; the pair is named by its smaller and larger number
     mates = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = dealt.withColumn("mate", F.explode(mates)).select("tree", "shard", "node", "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
-    return written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, words), LINK), "shard-links")
+    found = written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, words), LINK), "shard-links")
+    discard(routed)
+    return found
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     """(u, v), u > v: links that join all nodes within ``radius`` bits, few for each shard; exact."""
-    return search(nodes, exact_slices(bits, radius), radius).where("u is not null").select("u", "v").distinct()
+    found = search(nodes, exact_slices(bits, radius), radius)
+    out = written(found.where("u is not null").select("u", "v").distinct(), "node-links")
+    discard(found)
+    return out
 
 
 def counts(found: DataFrame) -> DataFrame:
@@ -423,10 +428,12 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         hubs = e.groupBy("v").agg(F.count("*").alias("n")).join(parents.select(F.col("u").alias("v"), "m"), "v", "left")
         hubs = written(hubs.select("v", F.coalesce("m", "v").alias("m"), "n"), "hubs")
         large = written(join_groups(e, hubs, "v", "n", e.count()).select("u", F.col("m").alias("v")).distinct(), "large-star")
+        discard(e, hubs)
         # small star: all parents of a node and the node itself go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(large)
     raise RuntimeError("components did not settle")
 
 
@@ -436,7 +443,9 @@ def grouped(groups: DataFrame, edges: DataFrame, total: int) -> DataFrame:
     rooted = groups.join(stars, "node", "left").select("node", "least", "group_size", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "roots")
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    return written(join_groups(rooted, heads, "root", "members", total).select("node", "component_id", "group_size"), "components")
+    out = written(join_groups(rooted, heads, "root", "members", total).select("node", "component_id", "group_size"), "components")
+    discard(rooted)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -537,9 +546,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFr
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose ``sets`` (node, grams) have at least this Jaccard similarity; exact."""
-    met = _with_sets(written(_with_sets(pairs, sets, "v", "b"), "pair-sets"), sets, "u", "a")
+    half = written(_with_sets(pairs, sets, "v", "b"), "pair-sets")
     both = F.size(F.array_intersect("a", "b"))
-    return met.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    out = written(_with_sets(half, sets, "u", "a").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"), "alike")
+    discard(half)
+    return out
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -558,17 +569,23 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(appended(docs, docs.columns, text_col, lambda: _sketches(words), [(key, "binary")]), "sketched")
     own_id = named([id_col])[0].cast("long")
     groups = written(rows.groupBy(F.col(key).alias("node")).agg(F.min(own_id).alias("least"), F.count("*").alias("n")), "sketch-groups")
-    pairs = written(search(groups, slices(NEAR_BITS, NEAR_SLICES, 1), NEAR_RADIUS).where("u is not null").select("u", "v").distinct(), "candidates")
+    found = search(groups, slices(NEAR_BITS, NEAR_SLICES, 1), NEAR_RADIUS)
+    pairs = written(found.where("u is not null").select("u", "v").distinct(), "candidates")
+    discard(found)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("touched", F.lit(True))
     told = groups.join(ends, "node", "left").select(F.col("node").alias(key), F.col("least").alias(least), F.col("n").alias(size), F.coalesce("touched", F.lit(False)).alias(touched))
     # of equal texts only the one with the least id can stay
     met = join_groups(rows, told, key, size, rows.count()).where(own_id.eqNullSafe(F.col(least)))
     heads = one_each(written(met, "heads"), key)
+    discard(rows)
     open_ = heads.where(touched)
     sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
-    stars = components(alike(pairs, sets, similarity))
+    linked = alike(pairs, sets, similarity)
+    stars = components(linked)
+    discard(pairs, sets, linked)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("best"))
     gone = written(members.join(best, "root").where("node <> best").select(F.col("node").alias(key)), "near-duplicates")
+    discard(groups)
     kept = heads.where(~F.col(touched)).unionByName(open_.join(gone, key, "left_anti").select(*named(heads.columns)))
     return kept.select(*named(docs.columns))

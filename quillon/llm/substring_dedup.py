@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_views, free, join_groups, named, row_sums, written
+from .common import blocks, byte_views, discard, free, join_groups, named, row_sums, written
 
 #: Bytes that the hash at a place covers, and places on either side that a cut's hash is compared with.
 WINDOW = 16
@@ -201,6 +201,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.max_by(F.struct("first.id", (F.col("first.pos") + F.col("len")).alias("pos"), "after"), "pos").alias("l"),
     )
     runs = written(runs, "runs")
+    discard(many)
     place = lambda c, side: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.pos").alias("at"), F.lit(side).alias("side"))
     ends = runs.select(
         "id", "start", "stop", F.col("f.id.id").alias("first_id"), F.col("f.pos").alias("first_pos"), F.col("f.copies").alias("copies"),

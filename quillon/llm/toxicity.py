@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, blocks, byte_views, row_sums, written
+from .common import appended, blocks, byte_views, discard, row_sums, written
 
 # Common insults and second-person words.
 INSULTS = (
@@ -278,6 +278,7 @@ def lexicons(sample: DataFrame, words: int, min_count: int, min_evidence: float)
             .limit(words)
         )
         out.append(sorted({*INSULTS, *(r["w"] for r in best.select("w").collect())}))
+    discard(seen)
     return out
 
 
@@ -299,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 600
     known = lexicons(sample, words, min_count, min_evidence)
     got = sample.select("key", "y", "fold", "text").mapInArrow(_features(known, ["key", "y", "fold"]), "key long, y double, fold int, x array<double>").toPandas()
     got = got.sort_values("key")
+    discard(sample)
     if not len(got):
         flat = Trees(0.0, 0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)))
         return ToxicityModel(known[-1], flat, Isotonic(np.array([0.0]), np.array([0.0])))
