@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -131,12 +132,11 @@ def phrase_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def ladder(phrase: str, text: str, least: float = 0.6) -> tuple[str, float] | None:
     """The first rung that holds: the phrase stands in the text, but for case, but for punctuation; else the matcher's ratio of the two, if it is at least ``least``."""
-    p, t = (unicodedata.normalize("NFKC", x).strip() for x in (phrase, text))
+    (p, p_fold, a), (t, t_fold, b) = _forms(phrase), _forms(text)
     if p in t:
         return "unicode_normalized_exact", 1.0
-    if p.casefold() in t.casefold():
+    if p_fold in t_fold:
         return "case_insensitive", 0.98
-    a, b = _letters(p), _letters(t)
     if a and a in b:
         return "punctuation_insensitive", 0.95
     # no more characters match than the shorter has, nor than both have of each kind
@@ -148,6 +148,12 @@ def ladder(phrase: str, text: str, least: float = 0.6) -> tuple[str, float] | No
     return "token_fuzzy_fallback", round(ratio, 6)
 
 
+@lru_cache(2_048)
+def _forms(text: str) -> tuple[str, str, str]:
+    own = unicodedata.normalize("NFKC", text).strip()
+    return own, own.casefold(), _letters(own)
+
+
 def _letters(text: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in text.casefold()).split())
 

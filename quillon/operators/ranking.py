@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.files import work_dir
 
 
 #: Inputs below this many bytes may lie in fewer row groups than there are cores.
@@ -37,17 +40,22 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=T.tokens) -> DataFrame:
     """query_id, doc_id, score > 0. ``docs`` has doc_id and text, ``queries`` query_id and text.
 
-    Postings of the queries' terms are dealt by document once; counting, weighting and
-    summing all happen under that partitioning, since the queries' terms and their document
-    frequencies are broadcast. Their number is checked: beyond ``BROADCAST_TERMS`` they
-    meet the postings by a shuffled join instead.
+    Texts are tokenised once: the postings of the queries' terms are written to the shared folder, with one of the
+    empty term for each text, which no token is and which carries the number and lengths of all texts. Document
+    frequencies and scores come from the postings. The queries' terms are broadcast up to ``BROADCAST_TERMS``;
+    beyond that they meet the postings by a shuffled join.
     """
     d = balanced(docs.select("doc_id", "text")).select("doc_id", tokenizer(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    total = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("t"))
     few = F.broadcast if q.count() <= BROADCAST_TERMS else (lambda x: x)
-    found = d.select("doc_id", "dl", F.explode("w").alias("t")).join(few(q.select("t").distinct()), "t", "left_semi")
-    posts = found.repartition("doc_id").groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
+    terms = q.select("t").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "t string"))
+    found = d.select("doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), "w")).alias("t")).join(few(terms), "t", "left_semi")
+    posts = found.groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
+    path = f"{work_dir(docs.sparkSession)}/quillon/postings-{uuid.uuid4().hex}"
+    posts.write.parquet(path)
+    posts = docs.sparkSession.read.schema(posts.schema).parquet(path)
+    total = posts.where("t = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = posts.where("t <> ''")
     df = posts.groupBy("t").agg(F.count("*").alias("df"))
     asked = few(q.join(df, "t").groupBy("t", "df").agg(F.collect_list("query_id").alias("qs")))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

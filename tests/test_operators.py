@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import stats, text, vectors
-from quillon.operators import evaluate, intervals, lineage, ranking, series
+from quillon.functions import rules, stats, text, vectors
+from quillon.operators import evaluate, intervals, lineage, ranking, registry, series
 from quillon.schemas import schema_key_leaks
 from quillon.sources import files
 
@@ -46,7 +46,45 @@ def test_bucketed_join_equals_plain(spark):
     a = iv(spark, *[(i * 3, i * 3 + 7) for i in range(40)])
     b = iv(spark, *[(i * 5, i * 5 + 11) for i in range(30)])
     pick = ["id", "id_r"]
-    assert rows(intervals.interval_join(a, b, ["video_id"], 10.0).select(pick)) == rows(intervals.interval_join(a, b, ["video_id"]).select(pick))
+    A, B = a.collect(), b.collect()
+    plain = lambda hit: sorted(((x.id, y.id) for x in A for y in B if hit(x, y)), key=str)
+    assert rows(intervals.interval_join(a, b, ["video_id"], 10.0).select(pick)) == plain(lambda x, y: x.start_sec < y.end_sec and x.end_sec > y.start_sec)
+    assert rows(intervals.interval_join(a, b, ["video_id"], 10.0, closed=True).select(pick)) == plain(lambda x, y: not (x.end_sec < y.start_sec or y.end_sec < x.start_sec))
+
+
+def test_left_interval_join_needs_an_overlap(spark):
+    a = iv(spark, (0, 1), (4, 7), (4, 7)).unionByName(spark.createDataFrame([(2, 9, 0.0, 3.0), (None, 10, 0.0, 1.0)], IV))
+    b = iv(spark, (5, 6), (6, 9))
+    got = rows(intervals.interval_join(a, b, ["video_id"], 3.0, how="left").select("video_id", "id", "id_r"))
+    assert got == sorted([(1, 0, None), (1, 1, 0), (1, 1, 1), (1, 2, 0), (1, 2, 1), (2, 9, None), (None, 10, None)], key=str)
+    with pytest.raises(ValueError, match="full"):
+        intervals.interval_join(a, b, ["video_id"], how="full")
+
+
+@pytest.mark.parametrize("closed", ["left", "both", "neither"])
+def test_points_and_closed_ends(spark, closed):
+    spans = iv(spark, (0, 10), (10, 20), (5, 5))
+    pts = spark.createDataFrame([(1, float(t)) for t in (0, 5, 10, 15, 20)], "video_id int, t double")
+    ok = {"left": lambda s, e, t: s <= t < e, "both": lambda s, e, t: s <= t <= e, "neither": lambda s, e, t: s < t < e}[closed]
+    want = sorted(((i, float(t)) for i, (s, e) in enumerate([(0, 10), (10, 20), (5, 5)]) for t in (0, 5, 10, 15, 20) if ok(s, e, t)), key=str)
+    assert rows(intervals.points_in(spans, pts, ["video_id"], width=4.0, closed=closed).select("id", "t")) == want
+
+
+def test_nearest_and_subtract_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    made = lambda n: [(s := rng.randint(0, 200), s + rng.randint(0, 9)) for _ in range(n)]
+    A, B = made(60), made(25)
+    a, b = iv(spark, *A), iv(spark, *B)
+    got = {r.id: (r.nearest_id, r.dist) for r in intervals.nearest(a, b, ["video_id"], 7.0).collect()}
+    gap = lambda x, y: max(0.0, y[0] - x[1], x[0] - y[1])
+    assert got == {i: (min(range(25), key=lambda j: (gap(x, B[j]), j)), min(gap(x, y) for y in B)) for i, x in enumerate(A)}
+    left = {}
+    for r in intervals.subtracted(a, b, ["video_id"], 7.0).collect():
+        left.setdefault(r.id, set()).update(range(int(r.left_start), int(r.left_end)))
+    cut = {t for s, e in B for t in range(s, e)}
+    assert left == {i: rest for i, (s, e) in enumerate(A) if (rest := set(range(s, e)) - cut)}
 
 
 def test_cover_counts_twice_and_caps(spark):
@@ -55,6 +93,11 @@ def test_cover_counts_twice_and_caps(spark):
     assert intervals.cover_ratio(iv(spark, (0, 4)), iv(spark, (1, 3)), ["video_id"]).first().ratio == 0.5
 
 
+def test_cover_of_an_item_without_duration_is_zero(spark):
+    got = intervals.cover_ratio(iv(spark, (2, 2), (5, 6)), iv(spark, (0, 4)), ["video_id"])
+    assert rows(got.select("id", "ratio")) == [(0, 0.0), (1, 0.0)]
+
+
 def test_clip_takes_later_start_on_ties(spark):
     got = intervals.clip_to_best(iv(spark, (0, 10)), iv(spark, (0, 3), (5, 8)), ["video_id"]).first()
     assert (got.clip_start, got.clip_end) == (5, 8)
@@ -74,6 +117,11 @@ def test_min_max_of_equal_values_is_one(spark):
     assert {r.x for r in df.collect()} == {1.0}
 
 
+def test_union_seconds(spark):
+    x = F.array(*[F.struct(F.lit(float(a)).alias("s"), F.lit(float(b)).alias("e")) for a, b in [(5, 6), (0, 2), (1, 5), (9, 10)]])
+    assert one(spark, series.union_seconds(x)) == 7
+
+
 def test_greedy_orders(spark):
     items = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(i).alias("id")) for i, t in enumerate([5, 6, 20, 7])])
     assert [x.id for x in one(spark, series.greedy_apart(items, 3, 10.0))] == [0, 2]
@@ -141,6 +189,94 @@ def test_sources(spark, tmp_path):
     assert (got.start_sec, got.end_sec, got.text) == (1.5, 2.5, "hello there")
 
 
+def test_clocks_and_ranges(spark):
+    z = lambda t: one(spark, rules.clock_or_zero(F.lit(t)))
+    assert [z(t) for t in ("", "12,5", "1:02", "01:02:03,250", "x1:02", "abc", "1:2:3:4", " 7 ")] == [0, 12.5, 62, 3723.25, 62, 0, 0, 7]
+    r = lambda t: tuple(one(spark, rules.time_range(F.lit(t))))
+    assert r("0:05 - 1:10") == (5, 70, []) and r("1:00:00–1:00:00.5") == (3600, 3600.5, []) and r(None) == (None, None, []) and r(" ") == (None, None, [])
+    assert r("2:00-1:00") == (None, None, ["invalid_provided_timestamp:2:00-1:00"]) and r("soon") == (None, None, ["unparsed_provided_timestamp:soon"])
+
+
+def test_cues(spark):
+    c = one(spark, rules.cues(F.lit('between 1:10 and 2:20, 0:05-0:09 "so" after 3:00, between 1.5 to 4 seconds, \'x y\'')))
+    assert c.ranges == ["0:05-0:09", "between 1:10 and 2:20", "between 1.5 to 4 seconds"] and c.times == ["3:00"]
+    assert c.relative == ["between", "after", "between"] and c.quoted == ["so", "x y"]
+
+
+def test_plans_and_answers_of_models(spark):
+    good = '{"operation": "count", "description": "d", "modality": "visual", "resolvers": ["speech"], "confidence": 1, "rationale": "One. Two."}'
+    e = lambda raw: one(spark, rules.plan_errors(rules.model_json(F.lit(raw), rules.PLAN)))
+    assert e(good) == [] and e("```json\n" + good + "\n```") == [] and e("[1]") == ["not an object"] and e(None) == ["not an object"] and e("{") != []
+    assert e("{}") == ["invalid operation", "description must be non-empty text", "invalid modality", "resolvers must be a unique valid list", "confidence must be between 0 and 1", "rationale must be non-empty text"]
+    assert e(good.replace("Two.", "Two. Three.")) == ["rationale must contain at most two sentences"]
+
+
+def test_options_entities_and_texts(spark):
+    top, label = rules.best_option({k: F.lit(v) for k, v in zip("ABCDE", (0.1, 0.7, 0.7, 0.2, 0.0), strict=True)})
+    assert (one(spark, top), one(spark, label)) == (0.7, "B")
+    assert one(spark, rules.best_option({"A": F.lit(1.0), "B": F.lit(float("nan"))})[1]) is None
+    item = lambda t, n, v: F.struct(*[F.lit(x).cast("string").alias(k) for k, x in (("text", t), ("name", n), ("value", v))])
+    assert one(spark, rules.entity_texts(F.array(item("a ", None, None), item("", "b", None), item(None, None, "a"), item(None, None, " "), item(None, None, None)))) == ["a", "b"]
+    assert one(spark, rules.coarse_text(F.lit(None), F.array(F.lit("x"), F.lit("y")), F.lit(None).cast("array<string>"))) == " x y "
+    assert one(spark, rules.visual_tokens(F.lit(4), F.lit(112))) == 64 and one(spark, rules.visual_tokens(F.lit(4), F.lit(100))) is None and one(spark, rules.visual_tokens(F.lit(300), F.lit(112))) is None
+
+
+def test_metrics_are_isolated(spark):
+    m = registry.Metrics(registry.Metric("ok", "c", lambda d: F.col("a") * 2), registry.Metric("later", "c", None), registry.Metric("broken", "c", lambda d: F.col("none")), registry.Metric("text", "c", lambda d: F.lit("x")))
+    got = {r.metric: (r.value, r.available, r.error) for r in m.evaluate(spark.createDataFrame([(1, 2)], "id int, a int"), ["id"]).collect()}
+    assert got == {"ok": (4.0, True, None), "later": (None, False, None), "broken": (None, False, "AnalysisException"), "text": (None, True, None)}
+    with pytest.raises(ValueError, match="already"):
+        m.register(registry.Metric("ok", "c", None))
+
+
+def test_backends_agree_where_they_must(spark):
+    v = [(i, f"word{i} common", [float(i == k) for k in range(4)], i % 2) for i in range(4)]
+    x = spark.createDataFrame(v, "doc_id long, text string, vec array<double>, group int")
+    q = spark.createDataFrame([(7, "word2", [0.0, 0.1, 0.9, 0.0])], "query_id long, text string, vec array<double>")
+    for name in registry.BACKENDS:
+        assert registry.retrieve(q, x, name, 1).first().doc_id == 2, name
+    with pytest.raises(ValueError, match="none"):
+        registry.retrieve(q, x, "none")
+
+
+def test_review_samples_are_disjoint(spark):
+    df = spark.range(200).withColumnRenamed("id", "uid")
+    got = registry.review_samples(df, "uid", [("a", F.col("uid") < 100, 20), ("b", F.col("uid") < 50, 30), ("c", F.lit(True), 500)], "s").collect()
+    assert len({r.uid for r in got}) == len(got) == 200 and [sum(r.bucket == k for r in got) for k in "abc"] == [20, 30, 150]
+
+
+def test_trees_of_hashes(spark):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    df = spark.createDataFrame([("k", i, f"t{i}") for i in range(25)] + [("e", 3, None)], "k string, o long, t string")
+    blocks = [sha("".join(sha(f"t{i}") for i in range(a, min(a + 5, 25)))) for a in range(0, 25, 5)]
+    got = {r.k: r.sha for r in lineage.tree_sha(df, "k", "o", "t", fan=5, levels=1).collect()}
+    assert got == {"k": sha("".join(blocks)), "e": sha(sha(sha("")))}
+
+
+def test_manifests_and_ledgers(spark):
+    m = lambda *r: spark.createDataFrame(r, "path string, bytes long, sha string")
+    assert rows(lineage.verify(m(("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")), m(("a", 1, "x"), ("b", 2, "q"), ("d", 4, "w")))) == [("b", "changed"), ("c", "missing"), ("d", "unexpected")]
+    c = spark.createDataFrame([(1, "p", 1, 5.0), (1, "p", 2, 5.0), (1, "q", 3, 6.0), (2, "r", 1, 11.0)], "account int, charge string, seq int, usd double")
+    assert rows(lineage.ledger(c, "account", "charge", "seq", "usd", 10.0)) == [(1, "p", 5.0, True), (1, "q", 11.0, False), (2, "r", 11.0, False)]
+    assert lineage.run_fingerprint(a="1", b="2") == lineage.run_fingerprint(b="2", a="1") != lineage.run_fingerprint(a="2", b="1")
+
+
+def test_array_files_and_resumed_work(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "a.npy", np.array([[1.0, 2.0], [3.0, 4.0]], np.float32))
+    np.savez(tmp_path / "b.npz", x=np.array([[5.0]]), y=np.array([[6.0], [7.0]]))
+    assert rows(files.read_npy(spark, str(tmp_path)).select("vec")) == [([1.0, 2.0],), ([3.0, 4.0],), ([5.0],), ([6.0],), ([7.0],)]
+    seen = []
+    work = lambda d: (seen.append(sorted(r.k for r in d.collect())), d)[1]
+    out = str(tmp_path / "done")
+    cases = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    files.resume(spark, cases.where("k < 2"), out, "k", work)
+    assert rows(files.resume(spark, cases, out, "k", work)) == [(i,) for i in range(5)] and seen == [[0, 1], [2, 3, 4]]
+
+
 def test_lineage(spark):
     df = spark.createDataFrame([(1, "a")], "id int, gold string")
     assert schema_key_leaks(df.select(F.struct("gold").alias("s")), {"gold"}) == ["s.gold"]
