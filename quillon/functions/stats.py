@@ -80,9 +80,10 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """ordered[ceil(q n) - 1] per key."""
-    w = Window.partitionBy(*keys)
-    x = df.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)))
-    return x.where(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.round(q * F.col("_n"), 9)))).select(*keys, F.col(value).alias("nearest_rank"))
+    from ..operators.ranking import ranked
+
+    x = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    return x.where(F.col("rank") == F.greatest(F.lit(1), F.ceil(F.round(q * F.col("size"), 9)))).select(*keys, F.col(value).alias("nearest_rank"))
 
 
 def bootstrap_paired(df: DataFrame, diff: str, key: str, replicates: int, seed: int) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..sources.files import work_dir
+from ..sources.files import written
 
 
 #: Inputs below this many bytes may lie in fewer row groups than there are cores.
@@ -37,6 +35,23 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with rank (1, 2, ...) and size of each key's rows, by columns ``order`` (ascending, the last ones unique).
+
+    Rows are dealt by ranges of key and order; a task ranks its range and adds how many rows of the key came in the ranges before. So a key
+    that holds most rows is spread over many tasks. The ranges are written, since all passes must see the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = x.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("_n").over(w)).drop("_n")
+    own = x.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)))
+    same = [own[k].eqNullSafe(sizes[k]) for k in [*keys, "_p"]]
+    met = own.join(sizes, same)
+    return met.select(*[own[c] for c in df.columns], (F.col("_r") + F.col("_before")).alias("rank"), "size")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=T.tokens) -> DataFrame:
     """query_id, doc_id, score > 0. ``docs`` has doc_id and text, ``queries`` query_id and text.
 
@@ -51,9 +66,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     terms = q.select("t").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "t string"))
     found = d.select("doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), "w")).alias("t")).join(few(terms), "t", "left_semi")
     posts = found.groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
-    path = f"{work_dir(docs.sparkSession)}/quillon/postings-{uuid.uuid4().hex}"
-    posts.write.parquet(path)
-    posts = docs.sparkSession.read.schema(posts.schema).parquet(path)
+    posts = written(posts, "postings")
     total = posts.where("t = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     posts = posts.where("t <> ''")
     df = posts.groupBy("t").agg(F.count("*").alias("df"))

@@ -194,8 +194,10 @@ def js_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, round((row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) / greatest(1, count(*) OVER (PARTITION BY lang) - 1), 6) AS pr FROM documents")
 def percent_rank_stable(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("lang")
-    return table(spark, d, "documents").select("doc_id", F.round((F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1) / F.greatest(F.lit(1), F.count("*").over(w) - 1), 6).alias("pr"))
+    from ..operators.ranking import ranked
+
+    r = ranked(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], ["n_chars", "doc_id"])
+    return r.select("doc_id", F.round((F.col("rank") - 1) / F.greatest(F.lit(1), F.col("size") - 1), 6).alias("pr"))
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ def work_dir(spark: SparkSession) -> str:
     return (base or tempfile.mkdtemp(prefix="quillon-")).rstrip("/")
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = f"{work_dir(df.sparkSession)}/quillon/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file objects or arrays."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
