@@ -42,6 +42,25 @@ def relations(c: DataFrame, key: str = "video_id", reach: float = 7200.0) -> Dat
     return resp.unionByName(alt).unionByName(touch)
 
 
+def resolver_relations(anchors: DataFrame, resolvers: DataFrame, identifies: str, key: str = "video_id", reach: float = 7200.0) -> DataFrame:
+    """source_id, target_id, relation_type, gap of anchors and resolvers of a video within ``reach`` seconds.
+
+    overlaps or near goes from the anchor to the resolver; where the anchors' column ``identifies`` holds, resolves goes from the
+    resolver to the anchor too. The gap is 0 where they overlap.
+    """
+    wide = anchors.select(key, "id", (F.col("start_sec") - reach).alias("start_sec"), (F.col("end_sec") + reach).alias("end_sec"), F.col(identifies).alias("_same"))
+    p = interval_join(wide, resolvers.select(key, "id", "start_sec", "end_sec"), [key], reach * 4).where("id <> id_r")
+    own = [F.col("start_sec") + reach, F.col("end_sec") - reach, F.col("start_sec_r"), F.col("end_sec_r")]
+    p = p.select("id", "id_r", "_same", F.when(overlaps(*own), "overlaps").otherwise("near").alias("relation_type"), distance(*own).alias("gap"))
+    to = p.select(F.col("id").alias("source_id"), F.col("id_r").alias("target_id"), "relation_type", "gap")
+    return to.unionByName(p.where("_same").select(F.col("id_r").alias("source_id"), F.col("id").alias("target_id"), F.lit("resolves").alias("relation_type"), "gap"))
+
+
+def fallback_relations(c: DataFrame, recovered: Column, missing: int = -1) -> DataFrame:
+    """fallback_recovery_for, from every candidate that a fallback brought back to ``missing``, which stands for the evidence that wasn't there."""
+    return c.where(recovered).select(F.col("id").alias("source_id"), F.lit(missing).cast("long").alias("target_id"), F.lit("fallback_recovery_for").alias("relation_type"), F.lit(0.0).alias("gap"))
+
+
 def inverted(r: DataFrame) -> DataFrame:
     """Also the other direction of response_to, as trigger_of."""
     swap = r.where("relation_type = 'response_to'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("trigger_of").alias("relation_type"), "gap")

@@ -28,6 +28,16 @@ def build_relations(spark: SparkSession, d: str) -> DataFrame:
     return E.relations(intervals(spark, d))
 
 
+@query(f"""WITH {IV}, p AS (SELECT a.id AS ai, r.id AS ri, a.video_id % 2 = 0 AS same, a.start_sec < r.end_sec AND a.end_sec > r.start_sec AS ov, greatest(0.0, r.start_sec - a.end_sec, a.start_sec - r.end_sec) AS gap FROM iv a JOIN iv r ON a.video_id = r.video_id AND a.id <> r.id AND r.start_sec < a.end_sec + 7200 AND r.end_sec > a.start_sec - 7200
+ WHERE a.value > 50 AND r.modality IN ('purchase', 'signup'))
+SELECT ai AS source_id, ri AS target_id, CASE WHEN ov THEN 'overlaps' ELSE 'near' END AS relation_type, gap FROM p UNION ALL SELECT ri, ai, 'resolves', gap FROM p WHERE same UNION ALL SELECT id, -1, 'fallback_recovery_for', 0.0 FROM iv WHERE modality = 'error'""")
+def resolver_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors and resolvers, and what fallbacks recovered."""
+    iv = intervals(spark, d).withColumn("same", F.col("video_id") % 2 == 0)
+    r = E.resolver_relations(iv.where("value > 50"), iv.where("modality in ('purchase', 'signup')"), "same")
+    return r.unionByName(E.fallback_relations(iv, F.col("modality") == "error"))
+
+
 @query(f"WITH {_REL} SELECT relation_type, count(*) AS n FROM (SELECT relation_type FROM rel UNION ALL SELECT 'trigger_of' FROM rel WHERE relation_type = 'response_to') GROUP BY 1")
 def invert_relations(spark: SparkSession, d: str) -> DataFrame:
     """With relation_counts."""
