@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import distance, interval_join, overlaps
+from .intervals import distance, interval_join, overlaps, union_duration
 
 
 def roles(modality: str, value: str) -> Column:
@@ -96,6 +96,17 @@ def group_violations(groups: DataFrame, retained: DataFrame) -> DataFrame:
     return j.select("id", v.alias("violation")).where("violation is not null")
 
 
+def budget_violations(retained: DataFrame, key: str, most: int, seconds: float) -> DataFrame:
+    """key, n, seconds, over of the packets that break a budget: more than ``most`` entities, or a union of more than ``seconds``.
+
+    Both sides of the comparison are counted on their own: what was retained against what is allowed.
+    """
+    n = retained.groupBy(key).agg(F.count("*").alias("n"))
+    spent = union_duration(retained, [key]).withColumnRenamed("union_seconds", "seconds")
+    over = F.array_compact(F.array(F.when(F.col("n") > most, "count"), F.when(F.col("seconds") > seconds, "seconds")))
+    return n.join(spent, key).withColumn("over", F.array_join(over, ",")).where("over <> ''")
+
+
 def state_diff(a: DataFrame, b: DataFrame, key: str, exact: list[str], loose: list[str]) -> DataFrame:
     """key, category: exact, nondeterministic (only loose columns differ), mismatch, missing."""
     x = a.select(key, F.struct(*exact).alias("ae"), F.struct(*loose).alias("al"))

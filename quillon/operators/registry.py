@@ -80,11 +80,13 @@ BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
-def retrieve(queries: DataFrame, index: DataFrame, backend: str = "embed", k: int = 10) -> DataFrame:
-    """query_id, doc_id, rank, score of the ``k`` best rows of each query by the named backend; ties go to the smaller id."""
-    if backend not in BACKENDS:
+def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[DataFrame, DataFrame], DataFrame] = "embed", k: int = 10) -> DataFrame:
+    """query_id, doc_id, rank, score of the ``k`` >= 1 best rows of each query by a backend, by name or as a function; ties go to the smaller id."""
+    if k < 1:
+        raise ValueError("at least one row is to be found")
+    if isinstance(backend, str) and backend not in BACKENDS:
         raise ValueError(f"no such backend: {backend}")
-    scored = BACKENDS[backend](queries, index).withColumn("score", F.round("score", 6))
+    scored = (BACKENDS[backend] if isinstance(backend, str) else backend)(queries, index).withColumn("score", F.round("score", 6))
     return R.top_k(scored, ["query_id"], k, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
 
 

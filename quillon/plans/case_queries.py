@@ -171,6 +171,25 @@ def entity_texts(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", F.array_join(Q.entity_texts(F.col("items")), ",").alias("texts")).where("texts <> ''")
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 50 AS a, user_id % 50 AS b FROM events) SELECT event_id, 0 AS i, (a * 60 + 5)::DOUBLE AS start_sec, (b * 60 + 59)::DOUBLE AS end_sec FROM e WHERE a * 60 + 5 <= b * 60 + 59
+UNION ALL SELECT event_id, CASE WHEN a * 60 + 5 <= b * 60 + 59 THEN 1 ELSE 0 END, (3600 + a)::DOUBLE, (7200 + b)::DOUBLE FROM e WHERE event_id % 3 <> 0""")
+def text_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that a sentence names by clock times."""
+    i, a, b = F.col("event_id"), F.col("event_id") % 50, F.col("user_id") % 50
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    more = F.when(i % 3 != 0, F.concat(F.lit(" then 1:00:"), two(a), F.lit(" to 02:00:"), two(b))).otherwise("")
+    s = F.concat(F.lit("look at "), a.cast("string"), F.lit(":05-"), b.cast("string"), F.lit(":59"), more, F.lit(" please"))
+    return table(spark, d, "events").select("event_id", F.posexplode(Q.text_spans(s, 8)).alias("i", "x")).select("event_id", "i", "x.start_sec", "x.end_sec")
+
+
+@query(f"""WITH {IV}, n AS (SELECT video_id, count(*) AS n FROM iv GROUP BY 1), m0 AS (SELECT *, max(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, end_sec, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv),
+u AS (SELECT video_id, sum(greatest(0, end_sec - greatest(start_sec, coalesce(pm, start_sec)))) AS seconds FROM m0 GROUP BY 1), o AS (SELECT video_id, n, seconds, array_to_string(list_filter([CASE WHEN n > 7 THEN 'count' END, CASE WHEN seconds > 72000 THEN 'seconds' END], lambda x: x IS NOT NULL), ',') AS over FROM n JOIN u USING (video_id)) SELECT * FROM o WHERE over <> ''""")
+def budget_check(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.evidence import budget_violations
+
+    return budget_violations(intervals(spark, d), "video_id", 7, 72_000.0)
+
+
 # -- filters, options, unions ---------------------------------------------------------
 
 

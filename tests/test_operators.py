@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import rules, stats, text, vectors
-from quillon.operators import evaluate, intervals, lineage, ranking, registry, series
+from quillon.operators import evaluate, evidence, intervals, lineage, ranking, registry, series
 from quillon.schemas import schema_key_leaks
 from quillon.sources import files
 
@@ -235,8 +235,23 @@ def test_backends_agree_where_they_must(spark):
     q = spark.createDataFrame([(7, "word2", [0.0, 0.1, 0.9, 0.0])], "query_id long, text string, vec array<double>")
     for name in registry.BACKENDS:
         assert registry.retrieve(q, x, name, 1).first().doc_id == 2, name
-    with pytest.raises(ValueError, match="none"):
-        registry.retrieve(q, x, "none")
+    own = lambda queries, index: index.select(F.lit(7).alias("query_id"), "doc_id", (-F.col("doc_id")).alias("score"))
+    assert registry.retrieve(q, x, own, 1).first().doc_id == 0
+    for bad in ({"backend": "none"}, {"k": 0}):
+        with pytest.raises(ValueError, match="none|at least"):
+            registry.retrieve(q, x, **bad)
+
+
+def test_spans_of_a_text(spark):
+    got = one(spark, rules.text_spans(F.lit("from 00:01:00 - 00:02:30, 3:10-3:05, 1:00 to 2:00 and 5:00–6:00"), 2))
+    assert [(x.start_sec, x.end_sec) for x in got] == [(60, 150), (60, 120)]
+    assert one(spark, rules.text_spans(F.lit(None).cast("string"), 2)) == []
+
+
+def test_budget_violations(spark):
+    got = evidence.budget_violations(iv(spark, (0, 5), (3, 8), (20, 21)), "video_id", 2, 9.0)
+    assert rows(got) == [(1, 3, 9.0, "count")]
+    assert rows(evidence.budget_violations(iv(spark, (0, 5), (3, 8)), "video_id", 2, 7.5)) == [(1, 2, 8.0, "seconds")]
 
 
 def test_review_samples_are_disjoint(spark):
