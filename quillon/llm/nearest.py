@@ -208,11 +208,12 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    kind = own.schema["vec"].dataType.simpleString()  # single precision stays so on the way
     q = quantiser or fit(own, cells=cells)
     # of several vectors with one id the smallest counts, for rows and queries alike
     own, asked = (x.where(F.size("vec") == q.dimensions).groupBy("id").agg(F.min("vec").alias("vec")) for x in (own, asked))
-    index = written(own.mapInPandas(_cells(q, probes, False), "id long, vec array<double>, cell int, code binary"), "vectors")
-    wants = written(asked.mapInPandas(_cells(q, probes, True), "id long, vec array<double>, cell int"), "vector-queries")
+    index = written(own.mapInPandas(_cells(q, probes, False), f"id long, vec {kind}, cell int, code binary"), "vectors")
+    wants = written(asked.mapInPandas(_cells(q, probes, True), f"id long, vec {kind}, cell int"), "vector-queries")
     size = index.groupBy("cell").agg(F.count("*").alias("rows"))
     # cells are few (a sixteenth of the sample at most): their sizes are a bounded table
     parts = F.broadcast(size.select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("parts")))

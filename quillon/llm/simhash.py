@@ -481,12 +481,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Hashes of words; forgets them when it has a million."""
+    """Hashes of words; forgets them when it has 200,000."""
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, SEED)
         return h
