@@ -162,6 +162,22 @@ def test_packing_holds_constraints_and_whole_texts(spark):
     assert got.groupby("doc_id").apply(lambda x: (x.sort_values("start").start.diff().dropna() == 512).all(), include_groups=False).all()
 
 
+def test_packing_of_shards_equals_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = packing.pack_documents(d, capacity=300, shard_rows=64).collect()
+    info = {r.doc_id: r for r in d.select("doc_id", F.xxhash64("source").alias("s"), F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("c"), packing.words(F.col("text")).alias("n")).collect()}
+    shards = defaultdict(dict)
+    for r in got:
+        shards[r.shard][(r.doc_id, r.start)] = r.bin
+    assert len(shards) > 2
+    for own in shards.values():
+        ids = sorted({i for i, _ in own})
+        made = [(i, a, min(300, info[i].n - a)) for i in ids for a in range(0, max(1, info[i].n), 300)]
+        made.sort(key=lambda p: (-p[2], p[0], p[1]))
+        bins = brute_pack([n for _, _, n in made], [info[i].s for i, _, _ in made], [info[i].c for i, _, _ in made], 300)
+        assert {(i, a): b for (i, a, _), b in zip(made, bins, strict=True)} == own
+
+
 def test_packing_odd_rows(spark):
     d = docs(spark, (1, None), (2, ""), (3, " \t"), (4, "a b"), (4, "a b"), (None, "c"), (5, "w " * 5000))
     got = packing.pack_documents(d, source=F.col("doc_id")).collect()

@@ -442,6 +442,65 @@ def test_cuts_equal_brute_force(table):
     assert got.tolist() == want
 
 
+def brute_spans(texts, least):
+    """Chunks by plain cuts; those seen before, by id and place; runs of them, with what equals the text around the first places of their ends."""
+    chunk, first, count = {}, {}, {}
+    for i, t in enumerate(texts):
+        ends = brute_cuts(t)
+        chunk[i] = [(a, t.encode()[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for k, (a, c) in enumerate(chunk[i]):
+            first.setdefault(c, (i, a, k))
+            count[c] = count.get(c, 0) + 1
+    out = {}
+    for i, t in enumerate(texts):
+        raw, runs, last = t.encode(), [], None
+        for k, (a, c) in enumerate(chunk[i]):
+            if first[c][:2] == (i, a):
+                continue
+            if last == k - 1:
+                runs[-1][1] = (a, c)
+            else:
+                runs.append([(a, c), (a, c)])
+            last = k
+        spans = []
+        for (a, c), (b, e) in runs:
+            lo, hi = a, b + len(e)
+            fi, fa, fk = first[c]
+            room = (len(chunk[fi][fk - 1][1]) if fk else 0) + substring_dedup.MARGIN
+            other = texts[fi].encode()
+            n = 0
+            while n < min(room, lo, fa) and raw[lo - 1 - n] == other[fa - 1 - n]:
+                n += 1
+            lo -= n
+            ei, ea, ek = first[e]
+            other, at = texts[ei].encode(), ea + len(e)
+            room = (len(chunk[ei][ek + 1][1]) if ek + 1 < len(chunk[ei]) else 0) + substring_dedup.MARGIN
+            n = 0
+            while n < room and hi + n < len(raw) and at + n < len(other) and raw[hi + n] == other[at + n]:
+                n += 1
+            hi += n
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        out[i] = {(lo, hi) for lo, hi in spans if len(re.findall(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw[:hi])) - len(re.findall(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw[:lo])) >= least}
+    return out
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    parts = [prose(k) for k in (25, 40, 55, 70, 30)]
+    texts = []
+    for _ in range(40):
+        texts.append(" ".join(x for _ in range(rng.randint(1, 4)) for x in (prose(rng.randint(3, 40)), rng.choice(parts))))
+    texts += [texts[3], texts[3].replace(" ", "  ", 3), "", parts[0]]
+    got = {i: set() for i in range(len(texts))}
+    for r in substring_dedup.repeated_spans(docs(spark, *texts)).collect():
+        got[r.doc_id].add((r.start, r.stop))
+    assert got == brute_spans(texts, substring_dedup.MIN_WORDS)
+
+
 def test_substring_dedup_odd_rows(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
@@ -499,6 +558,25 @@ def test_trees_and_isotonic_equal_brute_force():
     assert np.allclose(got.y, [(e * len(k) + 0.02) / (len(k) + 0.04) for e, k in pools.items()], atol=1e-6)
 
 
+def test_features_equal_plain_counts():
+    texts = ["You IDIOT, you are a m0ron! moronic stuff far away", "", "nice calm words 12 é", "idiot " * 60 + "you", None]
+    names = toxicity.FEATURES
+    x = toxicity.Features(["idiot", "moron*"]).rows(pa.array(texts))
+    for t, row in zip(texts, x, strict=True):
+        got, t = dict(zip(names, row, strict=True)), t or ""
+        words = [w.strip(".,!?0123456789") for w in t.lower().split()]
+        at = [i for i, w in enumerate(words) if w == "idiot" or w.startswith("moron")]
+        near = sum(any(w in toxicity.SECOND_PERSON for w in words[max(0, i - 6) : i + 7]) for i in at)
+        n = sum(b <= 32 for b in t.encode()) + 1
+        letters = max(1, sum(c.isascii() and c.isalpha() for c in t))
+        assert (got["hits"], got["distinct_hits"]) == (len(at), len({words[i] for i in at}))
+        assert got["hit_density"] == pytest.approx(1000 * len(at) / n) and got["near_density"] == pytest.approx(1000 * near / n)
+        assert got["burst_density"] == max((sum(i - 50 <= j <= i for j in at) for i in at), default=0)
+        assert got["capitals"] == pytest.approx(sum("A" <= c <= "Z" for c in t) / letters)
+        assert got["exclaim"] == pytest.approx(t.count("!") / max(1, len(t.encode()))) and got["digits"] == pytest.approx(sum(c in "0123456789" for c in t) / max(1, len(t.encode())))
+        assert got["obfuscated_hits"] == sum("0" in w and w.replace("0", "o").strip("!") in ("idiot",) for w in t.lower().split())
+
+
 def test_calibration_never_sees_its_own_label(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
