@@ -301,13 +301,13 @@ def _secret(rng: random.Random) -> tuple[list[str], list[int]]:
     q = quote + v + quote + rng.choice(["", "", "", ",", ";"])
     if kind < 0.2:
         return [key, rng.choice(["=", ":", ":=", "=>"]), q], [0, 0, 1]
-    if kind < 0.35:
+    if kind < 0.33:
         return [key + rng.choice([":", "="]), q], [0, 1]
-    if kind < 0.47:
+    if kind < 0.44:
         return [rng.choice(["", _word(rng, 2, 6).lower() + "_"]) + key + rng.choice(["=", ":"]) + q], [1]
-    if kind < 0.57:
+    if kind < 0.58:
         return [key, q], [0, 1]
-    if kind < 0.69:
+    if kind < 0.7:
         return [key, rng.choice(["is", "was"]), q], [0, 0, 1]
     if kind < 0.79:
         return [f"{rng.choice(['postgres', 'https', 'ftp', 'redis'])}://{_word(rng, 3, 8).lower()}:{v}@{_word(rng, 3, 8).lower()}.example.com/{_word(rng)}"], [1]
@@ -377,32 +377,37 @@ class Lines:
         n, t = self.mask.shape
         e = np.zeros((n, t, STATES))
         e[self.place] = (self.x @ w)[self.which]
-        alpha, beta = np.zeros((n, t, STATES)), np.zeros((n, t, STATES))
-        alpha[:, 0] = step[0] + e[:, 0]
-        add = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-        for i in range(1, t):
-            new = add(alpha[:, i - 1, :, None] + step, 1) + e[:, i]
-            alpha[:, i] = np.where(self.mask[:, i, None], new, alpha[:, i - 1])  # past its end a line keeps its last sums
-        z = add(alpha[:, -1], 1)
-        for i in range(t - 2, -1, -1):
-            new = add(step + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-            beta[:, i] = np.where(self.mask[:, i + 1, None], new, 0)
-        p = np.exp(alpha + beta - z[:, None, None]) * self.mask[:, :, None]
-        both = np.exp(alpha[:, :-1, :, None] + step + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * self.mask[:, 1:, None, None]
+        top = e.max(2, keepdims=True)
+        own, step_ = np.exp(e - top), np.exp(step)
+        # sums over all beginnings and endings, each scaled to 1; past its end a line keeps its last sums
+        alpha, beta, scale = np.zeros((n, t, STATES)), np.ones((n, t, STATES)), np.ones((n, t))
+        for i in range(t):
+            new = (alpha[:, i - 1] @ step_ if i else step_[0]) * own[:, i]
+            c = new.sum(1)
+            go = self.mask[:, i]
+            alpha[:, i] = np.where(go[:, None], new / c[:, None], alpha[:, i - 1])
+            scale[:, i] = np.where(go, c, 1.0)
+        for i in range(t - 1, 0, -1):
+            new = (own[:, i] * beta[:, i]) @ step_.T / scale[:, i, None]
+            beta[:, i - 1] = np.where(self.mask[:, i, None], new, 1.0)
+        z = (np.log(scale) + top[:, :, 0] * self.mask).sum()
+        p = alpha * beta * self.mask[:, :, None]
+        after = own[:, 1:] * beta[:, 1:] / scale[:, 1:, None] * self.mask[:, 1:, None]
+        both = np.tensordot(alpha[:, :-1], after, axes=([0, 1], [0, 1])) * step_
         right = np.eye(STATES)[self.tags] * self.mask[:, :, None]
         last = np.concatenate([np.zeros((n, 1), int), self.tags[:, :-1]], 1)
         score = (right * e).sum() + (step[last, self.tags] * self.mask).sum()
-        by_row = np.zeros((len(self.x), STATES))
-        np.add.at(by_row, self.which, (right - p)[self.place])
+        off = (right - p)[self.place]
+        by_row = np.column_stack([np.bincount(self.which.ravel(), off[:, k], len(self.x)) for k in range(STATES)])
         g = np.zeros((STATES, STATES))
         np.add.at(g, (last[self.mask], self.tags[self.mask]), 1.0)
-        g -= both.sum((0, 1))
+        g -= both
         g[0] -= p[:, 0].sum(0)
-        return float(score - z.sum()), self.x.T @ by_row, g
+        return float(score - z), self.x.T @ by_row, g
 
 
 @cache
-def trained(lines: int = 2_000, rounds: int = 120, seed: int = 7, l2: float = 0.3) -> Field:
+def trained(lines: int = 2_500, rounds: int = 150, seed: int = 7, l2: float = 0.3) -> Field:
     """The field of the largest penalised conditional likelihood, by gradient ascent with adaptive steps.
 
     The bound on the made lines is ``lines``; no corpus row is read.
