@@ -91,15 +91,20 @@ def appended(docs: DataFrame, keep: list[str], text: str, make: Callable[[], Cal
     return own.mapInArrow(run, schema)
 
 
-def one_each(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (a written table) with one row for each value of ``key``: of several the first by a hash of their values.
-
-    Mostly every value has one row, and then nothing moves but the keys; the others meet by an aggregate that is partial first.
-    """
+def repeated(rows: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` that several of ``rows`` have, written; none if there are no such values, as is usual."""
     again = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
     if again.isEmpty():
         discard(again)
-        return rows
+        return None
+    return again
+
+
+def one_each(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
+    """``rows`` (a written table) with one row for each value of ``key``: of several, which ``again`` names, the first by a hash of their values.
+
+    They meet by an aggregate that is partial first; the other rows don't move.
+    """
     fine = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
     best = F.min_by(F.struct(*named(rows.columns)), F.xxhash64(*named(fine))).alias("_row")
     one = rows.join(again, key, "left_semi").groupBy(key).agg(best).select("_row.*")

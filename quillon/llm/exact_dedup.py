@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, free, join_groups, named, one_each, written
+from .common import ascii_lower, discard, free, join_groups, named, one_each, repeated, written
 
 
 def digest(text: Column) -> Column:
@@ -140,14 +140,17 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     by their own text's digest, so an id that also stands at another text does no harm.
     """
     digests, decided = _decided(docs, id_col, text_col, table, batch, batches)
+    total = digests.count()
+    stays = F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id"))
+    # whether repeated rows would stay shows in ids and digests alone
+    again = repeated(join_groups(digests, decided.where("group_size > 1"), "digest", "group_size", total).where(stays).select("digest"), "digest")
     discard(digests)
     key = free(docs.columns, "_digest")
     names = {c: free(docs.columns, f"_{c}") for c in ("keep_id", "group_size", "fresh")}
     texts = decided.select(F.col("digest").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
     rows = docs.withColumn(key, digest(named([text_col])[0]))
-    total = texts.agg(F.sum(names["group_size"])).first()[0] or 0
     met = join_groups(rows, texts, key, names["group_size"], total)
-    own = met.where(F.col(names["fresh"]) & named([id_col])[0].cast("long").eqNullSafe(F.col(names["keep_id"])))
-    kept = written(own.drop(*names.values()), "survivors")
-    discard(decided, getattr(decided, "_met", decided))
-    return one_each(kept, key).select(*named(docs.columns))
+    own = met.where(F.col(names["fresh"]) & named([id_col])[0].cast("long").eqNullSafe(F.col(names["keep_id"]))).drop(*names.values())
+    if again is None:
+        return own.select(*named(docs.columns))
+    return one_each(written(own, "survivors"), key, again.select(F.col("digest").alias(key))).select(*named(docs.columns))

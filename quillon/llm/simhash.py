@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, appended, byte_views, discard, free, join_groups, named, one_each, written
+from .common import LOWER, UPPER, appended, byte_views, discard, free, join_groups, named, one_each, repeated, written
 
 WORDS = 4
 RADIUS = 4
@@ -576,16 +576,20 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = groups.join(ends, "node", "left").select(F.col("node").alias(key), F.col("least").alias(least), F.col("n").alias(size), F.coalesce("touched", F.lit(False)).alias(touched))
     # of equal texts only the one with the least id can stay
     met = join_groups(rows, told, key, size, rows.count()).where(own_id.eqNullSafe(F.col(least)))
-    heads = one_each(written(met, "heads"), key)
+    heads = written(met, "heads")
     discard(rows)
+    if again := repeated(heads, key):
+        heads = one_each(heads, key, again)
     open_ = heads.where(touched)
     sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
     linked = alike(pairs, sets, similarity)
     stars = components(linked)
     discard(pairs, sets, linked)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
-    best = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("best"))
-    gone = written(members.join(best, "root").where("node <> best").select(F.col("node").alias(key)), "near-duplicates")
-    discard(groups)
+    members = written(members, "members")
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("best"), F.count("*").alias("n"))
+    # a large group's members don't meet in one task
+    gone = written(join_groups(members, best, "root", "n", members.count()).where("node <> best").select(F.col("node").alias(key)), "near-duplicates")
+    discard(groups, members)
     kept = heads.where(~F.col(touched)).unionByName(open_.join(gone, key, "left_anti").select(*named(heads.columns)))
     return kept.select(*named(docs.columns))
