@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, nearest, packing, phrases, repair, secrets, simhash, substring_dedup, toxicity
+from . import bpe, chat, exact_dedup, language, nearest, packing, phrases, pii, repair, secrets, simhash, substring_dedup, toxicity
 from .common import documents, id_fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -81,7 +86,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_toxicity, op3_chat_format, op4_secrets, op5_bpe, op6_substring_dedup, op7_language, op8_simhash, op9_nearest, op10_packing,
-        op11_phrases, op13_repair,
+        op11_phrases, op12_pii, op13_repair,
     )
     return {f.__name__: f for f in found}
 
