@@ -6,9 +6,11 @@ and end_sec. Where ends touch, half-open intervals don't overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Ordered, previous
+
 S, E = "start_sec", "end_sec"
 
 
@@ -75,10 +77,9 @@ def clipped_state(r0, r1, p0, p1, eps: float = 1e-6) -> Column:
 
 def with_islands(df: DataFrame, keys: list[str], max_gap: float = 0.0, start: str = S, end: str = E, tie: str = "id") -> DataFrame:
     """Numbers islands per key: a row starts one if it begins more than ``max_gap`` after all before it ended."""
-    w = Window.partitionBy(*keys).orderBy(start, end, tie)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before + max_gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + max_gap), 1).otherwise(0)
+    o = Ordered(df, keys, [start, end, tie]).running("_before", end, "max").with_column("_new", new)
+    return o.running("island", "_new", "sum", inclusive=True).rows().drop("_before", "_new")
 
 
 def merged(df: DataFrame, keys: list[str], max_gap: float = 0.0, start: str = S, end: str = E, tie: str = "id") -> DataFrame:
@@ -93,16 +94,14 @@ def merged(df: DataFrame, keys: list[str], max_gap: float = 0.0, start: str = S,
 
 def union_duration(df: DataFrame, keys: list[str], start: str = S, end: str = E, tie: str = "id") -> DataFrame:
     """The measure of the union per key, by a running maximum of ends."""
-    w = Window.partitionBy(*keys).orderBy(start, end, tie).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max(end).over(w), F.col(start))
-    own = F.greatest(F.lit(0.0), F.col(end) - F.greatest(F.col(start), before))
-    return df.withColumn("_own", own).groupBy(*keys).agg(F.sum("_own").alias("union_seconds"))
+    x = Ordered(df, keys, [start, end, tie]).running("_before", end, "max").rows()
+    own = F.greatest(F.lit(0.0), F.col(end) - F.greatest(F.col(start), F.coalesce("_before", F.col(start))))
+    return x.withColumn("_own", own).groupBy(*keys).agg(F.sum("_own").alias("union_seconds"))
 
 
 def gaps(merged_df: DataFrame, keys: list[str], start: str = S, end: str = E) -> DataFrame:
     """What lies between merged intervals: gap_start, gap_end."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    nxt = merged_df.withColumn("gap_end", F.lead(start).over(w))
+    nxt = previous(Ordered(merged_df, keys, [start]), "gap_end", start, reverse=True).rows()
     return nxt.where(F.col("gap_end").isNotNull()).select(*keys, F.col(end).alias("gap_start"), "gap_end")
 
 
@@ -185,7 +184,7 @@ def subtracted(items: DataFrame, cuts: DataFrame, keys: list[str], width: float
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value_cols: list[str], valid_until: str | None = None) -> DataFrame:
     """Each left row (id, time) with the last right row at or before it, by one sort and a running last.
 
-    No join and no skew by pairs: both sides meet in one window over the keys. With
+    No pairs are formed, and a hot key is scanned by ranges of time. With
     ``valid_until`` the right row counts only while time is before that column.
     """
     extra = [x for x in [valid_until] if x and x not in value_cols]
@@ -193,8 +192,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value_c
     r = right.select(*keys, F.col(time), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id"), F.struct(*cols).alias("_v"))
     kind = r.schema["_v"].dataType
     le = left.select(*keys, F.col(time), F.lit(1).alias("_side"), F.col("id").cast("long").alias("id"), F.lit(None).cast(kind).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy(time, "_side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = le.unionByName(r).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    out = Ordered(le.unionByName(r), keys, [time, "_side", "id"]).running("_last", "_v", "last", inclusive=True).rows().where("_side = 1")
     ok = F.lit(True) if valid_until is None else F.col(time) < F.col(f"_last.{valid_until}")
     return out.select(*keys, "id", time, *[F.when(ok, F.col(f"_last.{v}")).alias(v) for v in value_cols])
 
@@ -203,18 +201,17 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], width: float = B
     """Each left interval with the nearest right one: smallest distance, then smallest id.
 
     What overlaps or touches meets by buckets; else the last end before and the first start after are
-    running values of one sort each. No key's pairs are formed.
+    running values of one sort each. No key's pairs are formed, and a hot key is scanned by ranges of time.
     """
     met = interval_join(left, right, keys, width, closed=True).select(*keys, "id", F.lit(0.0).alias("dist"), F.col("id_r").alias("nid"))
     k = [*keys, "id"]
 
     def beside(time_left: str, time_right: str, after: bool) -> DataFrame:
-        order = (lambda c: F.desc(c)) if after else (lambda c: F.asc(c))
-        r = right.select(*keys, F.col(time_right).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id"), F.struct(F.col(time_right).alias("t"), F.col("id").alias("nid")).alias("_v"))
-        le = left.select(*keys, F.col(time_left).alias("_t"), F.lit(1).alias("_side"), F.col("id").cast("long").alias("id"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"))
-        # of equal times the smallest id comes last, and left rows after all of them
-        w = Window.partitionBy(*keys).orderBy(order("_t"), "_side", F.desc("_v.nid"), "id").rowsBetween(Window.unboundedPreceding, 0)
-        x = le.unionByName(r).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_side = 1 and _l is not null")
+        # of equal times the smallest id comes last, and left rows after all of them; later times first where rows after are looked for
+        at = (lambda t: -F.col(t)) if after else F.col
+        r = right.select(*keys, at(time_right).alias("_t"), F.lit(0).alias("_side"), (-F.col("id")).cast("long").alias("_tie"), F.lit(None).cast("long").alias("id"), F.struct(at(time_right).alias("t"), F.col("id").alias("nid")).alias("_v"))
+        le = left.select(*keys, at(time_left).alias("_t"), F.lit(1).alias("_side"), F.col("id").cast("long").alias("_tie"), F.col("id").cast("long").alias("id"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"))
+        x = Ordered(le.unionByName(r), keys, ["_t", "_side", "_tie"]).running("_l", "_v", "last", inclusive=True).rows().where("_side = 1 and _l is not null")
         return x.select(*k, F.abs(F.col("_t") - F.col("_l.t")).alias("dist"), F.col("_l.nid").alias("nid"))
 
     every = met.unionByName(beside(S, E, False)).unionByName(beside(E, S, True))

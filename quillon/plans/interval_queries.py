@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..operators.scans import Ordered, previous
 from .fixtures import IV, intervals
 from .registry import query
 
@@ -135,9 +136,9 @@ def link_candidates(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, id) AS i FROM r), g AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, on_ ORDER BY i) AS grp FROM n)
 SELECT video_id, min(i) AS first_i, max(i) AS last_i, count(*) AS n FROM g WHERE on_ GROUP BY video_id, grp HAVING count(*) >= 2""")
 def mask_to_intervals(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("start_sec", "id")
-    n = intervals(spark, d).withColumn("on_", F.col("value") > 50).withColumn("i", F.row_number().over(w).cast("long"))
-    on = n.where("on_").withColumn("grp", F.col("i") - F.row_number().over(Window.partitionBy("video_id").orderBy("i")))
+    n = Ordered(intervals(spark, d).withColumn("on_", F.col("value") > 50), K, ["start_sec", "id"])
+    n = n.running("i", F.lit(1).cast("long"), "sum", inclusive=True).running("k", F.col("on_").cast("long"), "sum", inclusive=True).rows()
+    on = n.where("on_").withColumn("grp", F.col("i") - F.col("k"))
     return on.groupBy("video_id", "grp").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n")).where("n >= 2").drop("grp")
 
 
@@ -145,8 +146,7 @@ def mask_to_intervals(spark: SparkSession, d: str) -> DataFrame:
 SELECT video_id, id, start_sec, CASE WHEN start_sec < be THEN sub END AS sub_id FROM j WHERE rn = 1""")
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    r = b.select("video_id", "start_sec", F.col("id").alias("sub_id"), "end_sec")
-    r = r.withColumn("_n", F.row_number().over(Window.partitionBy("video_id", "start_sec").orderBy(F.desc("sub_id")))).where("_n = 1")
+    r = b.groupBy("video_id", "start_sec").agg(F.max(F.struct(F.col("id").alias("sub_id"), "end_sec")).alias("r")).select("video_id", "start_sec", "r.*")
     return I.as_of(a.select("video_id", "start_sec", "id"), r, K, "start_sec", ["sub_id"], "end_sec")
 
 
@@ -195,8 +195,7 @@ def theta_pair_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {IV}, l AS (SELECT video_id, start_sec, lag(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, end_sec, id) AS p FROM iv)
 SELECT video_id, bool_and(p IS NULL OR abs(start_sec - p) <= 1e-3) AS complete, count(*) FILTER (WHERE start_sec - p > 1e-3) AS n_gaps, count(*) FILTER (WHERE p - start_sec > 1e-3) AS n_overlaps FROM l GROUP BY video_id""")
 def complete_coverage(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("start_sec", "end_sec", "id")
-    x = intervals(spark, d).withColumn("p", F.lag("end_sec").over(w)).withColumn("g", F.col("start_sec") - F.col("p"))
+    x = previous(Ordered(intervals(spark, d), K, ["start_sec", "end_sec", "id"]), "p", "end_sec").rows().withColumn("g", F.col("start_sec") - F.col("p"))
     return x.groupBy("video_id").agg(F.every(F.coalesce(F.abs("g") <= 1e-3, F.lit(True))).alias("complete"), F.count(F.when(F.col("g") > 1e-3, 1)).alias("n_gaps"), F.count(F.when(F.col("g") < -1e-3, 1)).alias("n_overlaps"))
 
 
