@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,56 +114,78 @@ class Phrases:
         return best
 
 
-def phrase_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, text, ks, phrases), (doc_id, k, ratio) of the phrases that match the text."""
-    ks: list = []
-    made = Phrases([])
-    for batch in batches:
-        out = []
-        for i, t, own, phrases in zip(*(batch.column(c) for c in ("doc_id", "text", "ks", "phrases")), strict=True):
-            if own.as_py() != ks or not out and not made.text:
-                ks, made = own.as_py(), Phrases(phrases.as_py())
-            out += [(i.as_py(), ks[k], r) for k, r in made.matches(t.as_py() or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["doc_id", "k", "ratio"])
-
-
-def ladder(phrase: str, text: str, least: float = 0.6) -> tuple[str, float] | None:
-    """The first rung that holds: the phrase stands in the text, but for case, but for punctuation; else the matcher's ratio of the two, if it is at least ``least``."""
-    (p, p_fold, a), (t, t_fold, b) = _forms(phrase), _forms(text)
-    if p in t:
-        return "unicode_normalized_exact", 1.0
-    if p_fold in t_fold:
-        return "case_insensitive", 0.98
-    if a and a in b:
-        return "punctuation_insensitive", 0.95
-    # no more characters match than the shorter has, nor than both have of each kind
-    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-        return None
-    m = SequenceMatcher(None, a, b)
-    if m.quick_ratio() < least or (ratio := m.ratio()) < least:
-        return None
-    return "token_fuzzy_fallback", round(ratio, 6)
+# -- rungs: a phrase stands in a text in one form or another -------------------------------
+
+
+def composed(text: str) -> str:
+    """NFKC without blanks around."""
+    return unicodedata.normalize("NFKC", text).strip()
+
+
+def letters(text: str) -> str:
+    """Letters and digits of a folded text, whatever else lies between them being one blank."""
+    return re.sub(r"(?:[^\w]|_)+", " ", "".join(c if c.isalnum() else " " for c in text.casefold())).strip()
+
 
+# Names and scores of the rungs, from the strictest on, and the least ratio of the last.
+RUNGS = (("unicode_normalized_exact", 1.0), ("case_insensitive", 0.98), ("punctuation_insensitive", 0.95))
+FUZZY_RUNG = "token_fuzzy_fallback"
+FUZZY_LEAST = 0.6
 
-@lru_cache(2_048)
-def _forms(text: str) -> tuple[str, str, str]:
-    own = unicodedata.normalize("NFKC", text).strip()
-    return own, own.casefold(), _letters(own)
 
+def forms(text: str) -> tuple[str, ...]:
+    """A text in the form that each rung compares; what contains another in one form does so in all later ones, if that one has letters."""
+    own = composed(text)
+    return own, own.casefold(), letters(own)
 
-def _letters(text: str) -> str:
-    return " ".join("".join(c if c.isalnum() else " " for c in text.casefold()).split())
 
+def rung(phrase: tuple[str, ...], text: tuple[str, ...]) -> tuple[str, float] | None:
+    """The strictest rung on which the text's form has the phrase's. A phrase without letters has no form on the last one."""
+    for k, (name_score, p, t) in enumerate(zip(RUNGS, phrase, text, strict=True)):
+        if (p or k + 1 < len(RUNGS)) and p in t:
+            return name_score
+    return None
 
-def ladder_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, text, ks, phrases), (doc_id, k, method, score) of the phrases that the ladder finds."""
-    names = ["doc_id", "k", "method", "score"]
-    for batch in batches:
-        out = []
-        for i, t, ks, phrases in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ks", "phrases")), strict=True):
-            out += [(i, k, *r) for k, p in zip(ks, phrases, strict=True) if (r := ladder(p, t or ""))]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names)
+
+def alike(phrase: str, text: str, least: float = FUZZY_LEAST) -> float | None:
+    """The sequence matcher's ratio of two strings if it is at least ``least``; bounds by length and by letters come first."""
+    both = len(phrase) + len(text)
+    if 2 * min(len(phrase), len(text)) < least * both:
+        return None
+    m = SequenceMatcher(None, phrase, text)
+    if m.quick_ratio() < least:
+        return None
+    ratio = m.ratio()
+    return round(ratio, 6) if ratio >= least else None
+
+
+class Automaton:
+    """Finds all phrases that a text contains in one pass over its letters."""
+
+    def __init__(self, phrases: list[str]):
+        import ahocorasick
+
+        self.forms = [forms(p) for p in phrases]
+        self.bare = [k for k, f in enumerate(self.forms) if not f[-1]]  # no letters: looked for one by one
+        self.found = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
+        for k, f in enumerate(self.forms):
+            if f[-1]:
+                same.setdefault(f[-1], []).append(k)
+        for p, ks in same.items():
+            self.found.add_word(p, ks)
+        self.empty = not same
+        if same:
+            self.found.make_automaton()
+
+    def search(self, text: str) -> dict[int, tuple[str, float]]:
+        """Place of each phrase that stands in the text, with its rung."""
+        own = forms(text)
+        near = set(self.bare)
+        if not self.empty:
+            for _, ks in self.found.iter(own[-1]):
+                near.update(ks)
+        return {k: r for k in sorted(near) if (r := rung(self.forms[k], own))}
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -109,34 +110,49 @@ def review_samples(df: DataFrame, key: str, quotas: list[tuple[str, Column, int]
     return out
 
 
-def greedy_stratified(cases: DataFrame, quotas: dict[str, int], key: str = "case_id") -> DataFrame:
-    """case_id and pick (1, 2, ...) of a selection that fills the quotas of types in their order.
+def greedy_stratified(cases: DataFrame, quotas: dict[str, int], key: str = "case_id", earlier: DataFrame | None = None, total: int | None = None, wide: tuple[str, ...] = ()) -> DataFrame:
+    """case_id and pick (1, 2, ...) of cases that fill the quotas of types in their order, on top of an ``earlier`` selection.
 
-    ``cases`` has case_id, type, hint, tags (array), video_id and width. Each pick takes, of the type's cases left, the one whose hint was
-    taken least, with the most tags not yet taken, whose video was taken least, the widest and then the
-    smallest id. Only the counters join the picks, so cases that agree on type, hint, tags and video differ by width and id
-    alone: the first n of each such group matter, and n + 1 videos of each (type, hint, tags), n being all quotas' sum. That is the bounded
-    table on which the picks are made; a type with too few cases fills what it can.
+    ``cases`` and ``earlier`` have case_id, type, hint, tags (array), video_id and width. What was selected earlier counts, and isn't picked again. Each
+    pick takes, of the type's cases left, the one whose hint was taken least, with the most tags not yet taken, whose video was taken least, the
+    widest (types in ``wide`` only; no width is 0) and then the smallest id. A type with too few cases is an error, and so is a selection that hasn't
+    ``total`` cases in the end, with the earlier ones; picking stops at ``total``.
+
+    Only counters join the picks, so cases that agree on type, hint, tags and video differ by width and id alone: the first n of each
+    such group matter, and of each (type, hint, tags) the n + 1 videos that come first by earlier count, width and id, n being all quotas' sum.
+    That bounded table is all that the driver picks from.
     """
-    n = sum(quotas.values())
-    own = cases.where(F.col("type").isin(*quotas)).select(key, "type", "hint", F.array_join(F.array_sort("tags"), "\x1f").alias("tags"), "video_id", F.coalesce("width", F.lit(0.0)).cast("double").alias("width"))
+    n, spark = sum(quotas.values()), cases.sparkSession
+    width = F.when(F.col("type").isin(*wide), F.coalesce("width", F.lit(0.0)).cast("double")).otherwise(0.0)
+    own = cases.where(F.col("type").isin(*quotas)).select(key, "type", "hint", F.array_join(F.array_sort("tags"), "\x1f").alias("tags"), "video_id", width.alias("width"))
+    before = {"type": {}, "hint": {}, "tag": {}}
+    own = own.withColumn("earlier", F.lit(0).cast("long"))
+    chosen = 0
+    if earlier is not None:
+        counted = lambda column: {r[0]: r[1] for r in earlier.select(column.alias("x")).groupBy("x").count().collect()}  # noqa: E731  as many as there are types, hints and tags
+        before = {"type": counted(F.col("type")), "hint": counted(F.col("hint")), "tag": counted(F.explode("tags"))}
+        chosen = sum(before["type"].values())
+        videos = earlier.groupBy("video_id").agg(F.count("*").alias("_n"))
+        own = own.join(earlier.select(key), key, "left_anti").join(videos, "video_id", "left").withColumn("earlier", F.coalesce("_n", F.lit(0)))
     first = R.top_k(own, ["type", "hint", "tags", "video_id"], n, F.desc("width"), F.col(key)).withColumnRenamed("rank", "_r")
-    heads = R.top_k(first.where("_r = 1"), ["type", "hint", "tags"], n + 1, F.desc("width"), F.col(key)).select("type", "hint", "tags", "video_id")
-    rows = first.join(heads, ["type", "hint", "tags", "video_id"], "left_semi").collect()
-    left, picks = {r[key]: r for r in rows}, []
-    hints: dict[str, int] = {}
-    videos: dict = {}
-    seen: set[str] = set()
+    heads = R.top_k(first.where("_r = 1"), ["type", "hint", "tags"], n + 1, F.col("earlier"), F.desc("width"), F.col(key)).select("type", "hint", "tags", "video_id")
+    left: dict[str, dict] = {}
+    for r in first.join(heads, ["type", "hint", "tags", "video_id"], "left_semi").collect():
+        left.setdefault(r["type"], {})[r[key]] = (r, frozenset(filter(None, r["tags"].split("\x1f"))))
+    types, hints, seen, taken, picks = Counter(before["type"]), Counter(before["hint"]), {t for t, k in before["tag"].items() if k}, Counter(), []
     for kind, quota in quotas.items():
-        for _ in range(quota):
-            pool = [r for r in left.values() if r["type"] == kind]
+        while types[kind] < quota and (total is None or chosen + len(picks) < total):
+            pool = left.get(kind)
             if not pool:
-                break
-            parts = lambda r: set(filter(None, r["tags"].split("\x1f")))
-            best = min(pool, key=lambda r: (hints.get(r["hint"], 0), -len(parts(r) - seen), videos.get(r["video_id"], 0), -r["width"], r[key]))
-            del left[best[key]]
+                raise ValueError(f"too few cases of {kind!r}")
+            place = lambda x: (hints[x[0]["hint"]], -len(x[1] - seen), x[0]["earlier"] + taken[x[0]["video_id"]], -x[0]["width"], x[0][key])
+            best, tags = min(pool.values(), key=place)
+            del pool[best[key]]
             picks.append((best[key], len(picks) + 1))
-            hints[best["hint"]] = hints.get(best["hint"], 0) + 1
-            videos[best["video_id"]] = videos.get(best["video_id"], 0) + 1
-            seen |= parts(best)
-    return cases.sparkSession.createDataFrame(picks, f"{key} {cases.schema[key].dataType.simpleString()}, pick int")
+            types[kind] += 1
+            hints[best["hint"]] += 1
+            taken[best["video_id"]] += 1
+            seen |= tags
+    if total is not None and chosen + len(picks) != total:
+        raise ValueError(f"{chosen + len(picks)} cases were selected, not {total}")
+    return spark.createDataFrame(picks, f"{key} {cases.schema[key].dataType.simpleString()}, pick int")

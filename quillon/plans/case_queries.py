@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import rules as Q
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.signal import acoustic
 from ..operators import lineage as L
+from ..operators import phrases as P
 from ..operators import ranking as R
 from ..operators import registry as G
+from ..operators.scans import Ordered
 from ..sources import files as S
 from .fixtures import AT, IV, attempts, intervals, table
 from .registry import query
@@ -22,12 +25,36 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations")
 
 
-def _sql_case(rules: tuple, col: str, other: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{p}') THEN '{label}'" for p, label in rules) + f" ELSE '{other}' END"
+TYPE = r"""CASE WHEN regexp_matches(lower(coalesce(text, '')), '\bhow many\b|\bnumber of\b|\bcount(?:ing|ed|s)?\b') THEN 'counting'
+ WHEN regexp_matches(lower(coalesce(text, '')), '\bbefore\b|\bafter\b|\bfirst\b|\blast\b|\bthen\b|\bsequence\b|\bthroughout\b|\bchange\b|\buntil\b|\bbetween\b') THEN 'temporal_or_change'
+ WHEN regexp_matches(lower(coalesce(text, '')), '\bwhy\b|\bpurpose\b|\bobjective\b|\bcontribut|\bsignificance\b|\bdeduce\b|\binfer') THEN 'causal_goal_inference'
+ WHEN regexp_matches(lower(coalesce(text, '')), '\bwhere\b|\blocation\b') THEN 'spatial'
+ WHEN regexp_matches(lower(coalesce(text, '')), '\bwho\b|\bperson\b|\bcharacter\b|\bpeople\b|\binteraction') THEN 'person_interaction'
+ WHEN regexp_matches(lower(coalesce(text, '')), '\boverall\b|\boverarching\b|\bprimary\b|\bmain\b|\btheme\b|\bsummar') THEN 'global_summary' ELSE 'action_object_detail' END"""
+# RE2 has no look-around: a clock time between what is no digit
+HINT = r"""CASE WHEN regexp_matches(t, '(?:^|\D)\d{1,2}:\d{2}(?:\D|$)') THEN 'strong'
+ WHEN regexp_matches(t, '(?i)\b(at the (very )?start|at the beginning|at the end|before|after|between|during)\b') THEN 'moderate'
+ WHEN regexp_matches(t, '(?i)\b(when|while|then|following|followed|throughout|span|clip|earlier|later)\b') THEN 'weak' ELSE 'none' END"""
 
+#: Questions: a few words that rules look for, by number, before every turn's own text; a kind, and a span for four of five.
+LEADS = (
+    "", "Where does the voice come from", "Who said it, excluding speech", "How many boxes did they unwrap", "At the very start", "While the clip runs in the background", "Which object is shown",
+    "What did they mention after 0:35", "Describe the tone", "What happened at the end, most of the clip", "in direction of the camera",
+)
 
-TYPE = _sql_case(Q.QUESTION_TYPES, "lower(coalesce(text, ''))", Q.OTHER_TYPE)
-HINT = f"CASE WHEN regexp_matches(t, '{Q.CLOCK}') THEN 'strong' WHEN regexp_matches(t, '{Q.MODERATE_TIME}') THEN 'moderate' WHEN regexp_matches(t, '{Q.WEAK_TIME}') THEN 'weak' ELSE 'none' END"
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    c, i = _turns(spark, d), F.col("conv_id") + F.col("turn")
+    lead = F.get(F.array(*map(F.lit, LEADS)), (i % len(LEADS)).cast("int"))
+    kind = F.get(F.array(*map(F.lit, [*Q.KINDS, "Other"])), (i % 8).cast("int"))
+    start = F.when(F.col("conv_id") % 5 > 0, F.col("turn") * 3)
+    return c.select("conv_id", "turn", F.concat_ws(" ", lead, "text").alias("question"), kind.alias("kind"), start.alias("start"), (start + F.char_length("text") % 25 - 2).alias("end"))
+
+
+QUESTIONS = """qs AS (SELECT conv_id, turn, (['', 'Where does the voice come from', 'Who said it, excluding speech', 'How many boxes did they unwrap', 'At the very start', 'While the clip runs in the background', 'Which object is shown',
+  'What did they mention after 0:35', 'Describe the tone', 'What happened at the end, most of the clip', 'in direction of the camera'])[(conv_id + turn) % 11 + 1] || ' ' || text AS t,
+ (['Sound Source Identification', 'Sound Characteristics', 'Cross-Modal Reasoning', 'Counting', 'Temporal Information', 'Spatial Location (Direction & Distance)', 'Inferential & Contextual Causality', 'Other'])[(conv_id + turn) % 8 + 1] AS kind,
+ CASE WHEN conv_id % 5 > 0 THEN turn * 3.0 END AS s, CASE WHEN conv_id % 5 > 0 THEN turn * 3.0 + length(text) % 25 - 2 END AS e FROM conversations)"""
 
 
 # -- rules over whole texts --------------------------------------------------------
@@ -38,59 +65,68 @@ def question_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", Q.question_type(F.col("text")).alias("type"))
 
 
-@query(f"SELECT doc_id, {HINT} AS hint FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@query(rf"WITH {QUESTIONS} SELECT conv_id, turn, {HINT} AS hint, s IS NOT NULL AS available, s::DOUBLE AS start_sec, e::DOUBLE AS end_sec, greatest(0.0, e - s)::DOUBLE AS width_sec, regexp_matches(t, '(?:^|\D)\d{{1,2}}:\d{{2}}(?:\D|$)') AS executable FROM qs".replace("greatest(0.0, e - s)", "CASE WHEN s IS NOT NULL THEN greatest(0.0, e - s) END"))
 def temporal_hint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", Q.temporal_hint(F.col("text")).alias("hint"))
+    """How strongly a question points to a time, and its given span."""
+    return _questions(spark, d).select("conv_id", "turn", Q.temporal_metadata(F.col("question"), F.col("start"), F.col("end")).alias("m")).select("conv_id", "turn", "m.*")
 
 
-NEEDS = f"""n AS (SELECT conv_id, turn, t, kind, speech, CASE WHEN kind = 'spatial' THEN ['acoustic', 'visual'] WHEN kind IN ('person_interaction', 'causal_goal_inference') THEN [heard, 'visual']
- WHEN kind = 'counting' AND NOT speech AND regexp_matches(t, '(?i)\\b(?:transfer|place|unwrap|action)\\b') THEN ['visual'] WHEN kind IN ('counting', 'temporal_or_change') THEN [heard] WHEN regexp_matches(t, '{Q.VISUAL}') THEN ['visual'] ELSE ['acoustic'] END AS need
- FROM (SELECT *, CASE WHEN speech THEN 'speech' ELSE 'acoustic' END AS heard FROM (SELECT conv_id, turn, coalesce(text, '') AS t, {TYPE} AS kind, regexp_matches(coalesce(text, ''), '{Q.SPEECH}') AND NOT regexp_matches(coalesce(text, ''), '{Q.NO_SPEECH}') AS speech FROM conversations)))"""
+NEEDS = rf"""{QUESTIONS}, h AS (SELECT *, regexp_matches(t, '(?i)\b(say|said|says|spoken|speech|voice|phrase|conversation|respond|reply|exclaim|remark|counting|mention|mentioned|tell|told|utter|audio line)\b') AND NOT regexp_matches(t, '(?i)\b(excluding|exclude|without)\s+speech\b') AS heard FROM qs),
+n AS (SELECT *, CASE WHEN kind = 'Sound Characteristics' THEN ['acoustic'] WHEN kind LIKE 'Spatial%' THEN ['acoustic', 'visual'] WHEN kind = 'Other' AND regexp_matches(t, '(?i)\b(visual|visibly|camera|shown|displayed|focus|object|card|action|where|direction)\b') THEN ['visual'] WHEN kind = 'Other' THEN ['acoustic']
+ WHEN kind = 'Counting' AND NOT heard AND regexp_matches(t, '(?i)\b(transfer|place|unwrap|action)\b') THEN ['visual'] WHEN kind IN ('Counting', 'Temporal Information') THEN [CASE WHEN heard THEN 'speech' ELSE 'acoustic' END] ELSE [CASE WHEN heard THEN 'speech' ELSE 'acoustic' END, 'visual'] END AS need FROM h)"""
 
 
 @query(f"WITH {NEEDS} SELECT conv_id, turn, array_to_string(need, ',') AS modalities FROM n")
 def expected_modalities(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return _turns(spark, d).select("conv_id", "turn", F.array_join(Q.expected_modalities(t, Q.question_type(t)), ",").alias("modalities"))
+    return _questions(spark, d).select("conv_id", "turn", F.array_join(Q.expected_modalities(F.col("question"), F.col("kind")), ",").alias("modalities"))
+
+
+TAGGED = rf"""{NEEDS}, tags AS (SELECT *, list_sort(list_filter([CASE WHEN kind = 'Counting' THEN 'count_or_aggregation' END, CASE WHEN kind = 'Cross-Modal Reasoning' OR len(need) > 1 THEN 'cross_modal' END, CASE WHEN kind = 'Sound Characteristics' THEN 'direct_acoustic' END,
+ CASE WHEN list_contains(need, 'speech') THEN 'speech_focused' END, CASE WHEN regexp_matches(t, '(?i)\b(before|after|followed|following|sequence|quickly|time|duration)\b') THEN 'temporal_relation' END, CASE WHEN regexp_matches(t, '(?i)\b(source|speaker|male|female|passenger|who|where|direction)\b') THEN 'source_or_speaker_attribution' END,
+ CASE WHEN kind = 'Counting' OR e - s >= 10 OR regexp_matches(t, '(?i)\b(background|distant|multiple|continuous|throughout|most of the clip)\b') THEN 'challenging_or_fallback_likely' END], lambda x: x IS NOT NULL)) AS tags FROM n)"""
 
 
-@query(
-    f"WITH {NEEDS} SELECT conv_id, turn, array_to_string(list_sort(list_filter(["
-    + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" for name, p in Q.TAGS)
-    + ", CASE WHEN kind = 'counting' THEN 'count_or_aggregation' END, CASE WHEN len(need) > 1 THEN 'cross_modal' END, CASE WHEN list_contains(need, 'speech') THEN 'speech_focused' END], lambda x: x IS NOT NULL)), ',') AS tags FROM n"
-)
+@query(f"WITH {TAGGED} SELECT conv_id, turn, array_to_string(tags, ',') AS tags FROM tags")
 def selection_tags(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return _turns(spark, d).select("conv_id", "turn", F.array_join(Q.selection_tags(t, Q.question_type(t)), ",").alias("tags"))
+    width = F.greatest(F.lit(0.0), (F.col("end") - F.col("start")).cast("double"))
+    return _questions(spark, d).select("conv_id", "turn", F.array_join(Q.selection_tags(F.col("question"), F.col("kind"), F.when(F.col("start").isNotNull(), width)), ",").alias("tags"))
 
 
-_FAIL = "CASE WHEN trim(t) = '' THEN 'none' " + " ".join(f"WHEN {' OR '.join(f'''contains(t, '{x}')''' for x in tokens)} THEN '{label}'" for label, tokens in Q.FAILURES) + " ELSE 'other' END"
+REASONS = ("", "Planner_Provider_Exhausted", "Maximum context length reached", "context_overflow:", "visual structured response reached max_tokens", "Direct final contract exhausted", "shared: the contract exhausted", "HTTP 500 from", "service down", "contract exhausted", "disk full")
 
 
-@query(f"SELECT page_id, {_FAIL} AS failure FROM (SELECT page_id, lower(coalesce(html, '')) AS t FROM pages)")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN '' ELSE (['', 'Planner_Provider_Exhausted', 'Maximum context length reached', 'context_overflow:', 'visual structured response reached max_tokens', 'Direct final contract exhausted', 'shared: the contract exhausted', 'HTTP 500 from', 'service down', 'contract exhausted', 'disk full'])[doc_id % 11 + 1] || ' ' || text END AS r FROM documents), l AS (SELECT doc_id, lower(r) AS r FROM r)
+SELECT doc_id, CASE WHEN r = '' THEN NULL WHEN contains(r, 'planner_provider_exhausted') THEN 'planner_provider_exhausted' WHEN contains(r, 'maximum context length') OR contains(r, 'context_overflow') THEN 'downstream_local_context_overflow'
+ WHEN contains(r, 'visual structured response reached max_tokens') THEN 'fine_visual_max_tokens_or_validation_exhaustion' WHEN contains(r, 'direct final contract exhausted') THEN 'final_contract_exhaustion' WHEN contains(r, 'shared') AND contains(r, 'contract exhausted') THEN 'shared_contract_exhaustion'
+ WHEN contains(r, 'provider') OR contains(r, 'http') OR contains(r, 'service') THEN 'provider_service_runtime_error' ELSE 'other_evidenced_failure' END AS failure FROM l""")
 def failure_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered rules over a whole log (here a page's source)."""
-    return table(spark, d, "pages").select("page_id", Q.failure_class(F.col("html")).alias("failure"))
+    """Ordered rules over whole logs: a message before each document."""
+    i = F.col("doc_id")
+    message = F.get(F.array(*map(F.lit, REASONS)), (i % len(REASONS)).cast("int"))
+    return table(spark, d, "documents").select("doc_id", Q.failure_class(F.when(i % 12 == 0, "").otherwise(F.concat_ws(" ", message, "text"))).alias("failure"))
 
 
-_SAID = """(SELECT event_id, 'between ' || (m % 60) || ':' || lpad((m % 59)::VARCHAR, 2, '0') || ' and ' || (m % 60 + 1) || ':' || lpad((m % 60)::VARCHAR, 2, '0') || ', before "' || event_type || ' ' || user_id || '" at ' || (user_id % 24) || ':' || lpad((event_id % 60)::VARCHAR, 2, '0')
- || CASE WHEN event_id % 2 = 0 THEN ' or 1:0' || (event_id % 10) || ' - 2:1' || (user_id % 10) ELSE ' during the between ' || (event_id % 50) || '.5 to ' || (event_id % 50 + 9) || ' seconds' END AS s FROM (SELECT *, event_id % 3600 AS m FROM events))"""
+def _cue_text(i, u, word):
+    """Sentences made of an event's numbers: ranges, times within and outside of them, seconds, relative words and quoted phrases."""
+    m, text = i % 3600, lambda x: x.cast("string")
+    two = lambda x: F.lpad(text(x), 2, "0")
+    clock = lambda a, b: F.concat(text(a), F.lit(":"), two(b))
+    more = F.when(i % 3 == 0, F.concat(F.lit(" or 1:0"), text(i % 10), F.lit(" - 2:1"), text(u % 10))).when(i % 3 == 1, F.concat(F.lit(" during the between "), text(i % 50), F.lit(".5 to "), text(i % 50 + 9), F.lit(" seconds"))).otherwise(F.concat(F.lit(" – "), clock(i % 7, u % 60)))
+    return F.concat(F.lit("Between "), clock(m % 60, m % 59), F.lit(" and "), clock(m % 60 + 1, m % 60), more, F.lit(', before "'), word, F.lit(" "), text(u), F.lit('" at '), clock(u % 24, i % 60))
 
 
-@query(rf"""WITH e AS {_SAID}, r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '\b\d{{1,2}}:\d{{2}}\s*[-–—]\s*\d{{1,2}}:\d{{2}}\b', ' ', 'g'), '(?i)\bbetween\s+\d{{1,2}}:\d{{2}}\s+and\s+\d{{1,2}}:\d{{2}}\b', ' ', 'g'), '(?i)\bbetween\s+\d+(?:\.\d+)?\s+(?:and|to)\s+\d+(?:\.\d+)?\s+seconds?\b', ' ', 'g') AS o FROM e)
-SELECT event_id, array_to_string(list_concat(list_concat(regexp_extract_all(s, '\b\d{{1,2}}:\d{{2}}\s*[-–—]\s*\d{{1,2}}:\d{{2}}\b'), regexp_extract_all(s, '(?i)\bbetween\s+\d{{1,2}}:\d{{2}}\s+and\s+\d{{1,2}}:\d{{2}}\b')), regexp_extract_all(s, '(?i)\bbetween\s+\d+(?:\.\d+)?\s+(?:and|to)\s+\d+(?:\.\d+)?\s+seconds?\b')), '|') AS ranges,
- array_to_string(regexp_extract_all(o, '\b\d{{1,2}}:\d{{2}}\b'), '|') AS times, array_to_string(regexp_extract_all(s, '(?i)\b(?:at the (?:very )?start|at the beginning|after|before|during|between)\b'), '|') AS relative, array_to_string(regexp_extract_all(s, '"([^"]+)"', 1), '|') AS quoted FROM r""")
+@query("""WITH e AS (SELECT event_id AS i, user_id AS u, event_id % 3600 AS m, event_type AS w FROM events), c AS (SELECT *, (m % 60) || ':' || lpad((m % 59)::VARCHAR, 2, '0') AS a, (m % 60 + 1) || ':' || lpad((m % 60)::VARCHAR, 2, '0') AS b, (u % 24) || ':' || lpad((i % 60)::VARCHAR, 2, '0') AS z, (i % 7) || ':' || lpad((u % 60)::VARCHAR, 2, '0') AS y FROM e),
+x AS (SELECT i, [CASE WHEN i % 3 = 0 THEN {'r': '1:0' || (i % 10) || ' - 2:1' || (u % 10), 't': 'explicit_time_range', 's': 60.0 + i % 10, 'e': 130.0 + u % 10} WHEN i % 3 = 2 THEN {'r': b || ' – ' || y, 't': 'explicit_time_range', 's': (m % 60 + 1) * 60.0 + m % 60, 'e': i % 7 * 60.0 + u % 60} END,
+ {'r': 'Between ' || a || ' and ' || b, 't': 'explicit_time_range', 's': m % 60 * 60.0 + m % 59, 'e': (m % 60 + 1) * 60.0 + m % 60}, CASE WHEN i % 3 = 1 THEN {'r': 'between ' || (i % 50) || '.5 to ' || (i % 50 + 9) || ' seconds', 't': 'explicit_time_range', 's': i % 50 + 0.5, 'e': i % 50 + 9.0} END, {'r': z, 't': 'explicit_timestamp', 's': u % 24 * 60.0 + i % 60, 'e': u % 24 * 60.0 + i % 60}] AS l,
+ 'Between,' || CASE WHEN i % 3 = 1 THEN 'during,between,' ELSE '' END || 'before' AS relative, w || ' ' || u AS quoted FROM c)
+SELECT i AS event_id, array_to_string(list_transform(list_filter(l, lambda x: x IS NOT NULL), lambda x: x.r || '=' || x.t || '/' || printf('%.1f', x.s::DOUBLE) || '/' || printf('%.1f', x.e::DOUBLE)), '|') AS times, relative, quoted FROM x""")
 def extract_cues(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences made of each event's numbers; single times are looked for outside the ranges."""
-    i, u, m = F.col("event_id"), F.col("user_id"), F.col("event_id") % 3600
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    s = F.concat(
-        F.lit("between "), (m % 60).cast("string"), F.lit(":"), two(m % 59), F.lit(" and "), (m % 60 + 1).cast("string"), F.lit(":"), two(m % 60), F.lit(', before "'), F.col("event_type"), F.lit(" "), u.cast("string"), F.lit('" at '),
-        (u % 24).cast("string"), F.lit(":"), two(i % 60),
-        F.when(i % 2 == 0, F.concat(F.lit(" or 1:0"), (i % 10).cast("string"), F.lit(" - 2:1"), (u % 10).cast("string"))).otherwise(F.concat(F.lit(" during the between "), (i % 50).cast("string"), F.lit(".5 to "), (i % 50 + 9).cast("string"), F.lit(" seconds"))),
+    """Cues with kinds and seconds; a time within a range is no cue of its own."""
+    c = table(spark, d, "events").select("event_id", Q.cues(_cue_text(F.col("event_id"), F.col("user_id"), F.col("event_type"))).alias("c"))
+    one = lambda x: F.concat(x["raw_text"], F.lit("="), x["cue_type"], F.lit("/"), F.format_string("%.1f", x["start_sec"]), F.lit("/"), F.format_string("%.1f", x["end_sec"]))
+    return c.select(
+        "event_id", F.array_join(F.transform("c.time_cues", one), "|").alias("times"), F.array_join("c.relative_temporal_expressions.raw_text", ",").alias("relative"), F.array_join("c.quoted_phrases.text", "|").alias("quoted")
     )
-    c = table(spark, d, "events").select("event_id", Q.cues(s).alias("c"))
-    return c.select("event_id", *[F.array_join(f"c.{k}", "|").alias(k) for k in ("ranges", "times", "relative", "quoted")])
 
 
 @query(r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS h FROM conversations")
@@ -131,18 +167,35 @@ def parse_model_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", m["k"].alias("k"), m.isNotNull().alias("ok"))
 
 
-@query("""WITH p AS (SELECT doc_id, (['identify','count','compare','locate','explain','guess'])[doc_id % 6 + 1] AS op, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE lang END AS ds, CASE WHEN doc_id % 4 = 0 THEN source ELSE 'visual' END AS md, CASE doc_id % 3 WHEN 0 THEN ['speech','visual'] WHEN 1 THEN ['visual','visual'] ELSE [lang] END AS rs, (n_chars % 150) / 100.0 AS cf, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'A. B. C.' ELSE 'Because. So.' END AS ra FROM documents)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN op = 'guess' THEN 'invalid operation' END, CASE WHEN trim(ds) = '' THEN 'description must be non-empty text' END, CASE WHEN md <> 'visual' THEN 'invalid modality' END, CASE WHEN doc_id % 3 <> 0 THEN 'resolvers must be a unique valid list' END, CASE WHEN cf > 1 THEN 'confidence must be between 0 and 1' END, CASE WHEN ra = '' THEN 'rationale must be non-empty text' END, CASE WHEN doc_id % 7 = 1 THEN 'rationale must contain at most two sentences' END], lambda x: x IS NOT NULL), '; ') AS errors FROM p""")
+_PLAN = {
+    "answer_requirement": '{"operation": "count_occurrences", "description": "%s"}', "anchor_cues": '[{"text": "%s", "modality": "time"}]', "primary_anchor_modality": '"speech"', "resolver_modalities": '["speech", "visual"]', "audio_role": '"direct_answer"',
+    "temporal_relation": '"during"', "requires_local_visual_inspection": "false", "visual_route": '"not_required"', "fallback_route": '"%s"', "planner_confidence": "0.5", "rationale": '"One. Two."',
+}
+#: What goes wrong in a plan, by number: the field, and its value instead (none: the field goes).
+_SPOILT = (
+    ("rationale", None), ("extra", "1"), ("answer_requirement", "[]"), ("answer_requirement", '{"operation": "guess", "description": " "}'), ("anchor_cues", "{}"), ("anchor_cues", '[{"text": 1, "modality": "time"}, 2, {"text": "a", "modality": "visual"}]'),
+    ("primary_anchor_modality", '"all"'), ("resolver_modalities", '["speech", "speech"]'), ("audio_role", "1"), ("temporal_relation", "null"), ("requires_local_visual_inspection", '"true"'), ("visual_route", '""'), ("fallback_route", '" "'), ("planner_confidence", "true"),
+    ("planner_confidence", "1.5"), ("rationale", '"A. B! C?"'), ("rationale", '" "'),
+)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 19 = 18 THEN 'top-level JSON must be an object' ELSE coalesce((['missing field: rationale; rationale must be non-empty text', 'unexpected field: extra', 'answer_requirement must contain exactly operation and description',
+ 'invalid answer_requirement.operation; answer_requirement.description must be non-empty text', 'anchor_cues must be a list', 'anchor_cues[0] has invalid values; anchor_cues[1] has invalid structure', 'invalid primary_anchor_modality', 'resolver_modalities must be a unique valid list', 'invalid audio_role', 'invalid temporal_relation',
+ 'requires_local_visual_inspection must be boolean', 'invalid visual_route', 'fallback_route must be non-empty text', 'planner_confidence must be between 0 and 1', 'planner_confidence must be between 0 and 1', 'rationale must contain at most two sentences', 'rationale must be non-empty text'])[doc_id % 19], '') END AS errors FROM documents""")
 def validate_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Plans as JSON, made of each document's columns; an error list, empty if valid."""
-    i = F.col("doc_id")
-    op = F.element_at(F.array(*map(F.lit, [*Q.OPERATIONS, "guess"])), (i % 6 + 1).cast("int"))
-    r = F.when(i % 3 == 0, F.array(F.lit("speech"), F.lit("visual"))).when(i % 3 == 1, F.array(F.lit("visual"), F.lit("visual"))).otherwise(F.array("lang"))
-    plan = F.to_json(F.struct(
-        op.alias("operation"), F.when(i % 5 == 0, " ").otherwise(F.col("lang")).alias("description"), F.when(i % 4 == 0, F.col("source")).otherwise("visual").alias("modality"), r.alias("resolvers"),
-        ((F.col("n_chars") % 150) / 100.0).alias("confidence"), F.when(i % 7 == 0, "").when(i % 7 == 1, "A. B. C.").otherwise("Because. So.").alias("rationale"),
-    ))
-    return table(spark, d, "documents").select("doc_id", F.array_join(Q.plan_errors(Q.model_json(plan, Q.PLAN)), "; ").alias("errors"))
+    """A plan for each document, with its words in the free texts: right ones, ones with a fault of each kind, and ones that are cut off."""
+    word = F.regexp_replace(F.concat_ws("-", "lang", "source"), r'["\\]', "")
+
+    def plan(field: str = "", value: str | None = None):
+        parts = {k: v for k, v in (_PLAN | {field: value}).items() if v is not None}
+        pieces = ("{" + ", ".join(f'"{k}": {v}' for k, v in parts.items()) + "}").split("%s")
+        return F.concat(*[c for i, x in enumerate(pieces) for c in ([word] if i else []) + [F.lit(x)]])
+
+    i = F.col("doc_id") % 19
+    raw = F.when(i == 0, plan()).when(i == 18, F.substring(plan(), 1, 40))
+    for n, (field, value) in enumerate(_SPOILT, 1):
+        raw = raw.when(i == n, plan(field, value))
+    return table(spark, d, "documents").select("doc_id", F.array_join(Q.plan_errors(raw), "; ").alias("errors"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 300 <= 256 AND (user_id * 7) % 28 = 0 THEN (event_id % 300) * ((user_id * 7 // 28) ** 2)::BIGINT END AS tokens FROM events")
@@ -251,19 +304,25 @@ def review_sample(spark: SparkSession, d: str) -> DataFrame:
     return G.review_samples(x, "uid", [("right", done & (F.col("pred") == F.col("gold")), 20), ("completed", done, 10), ("slow", F.col("elapsed_sec") > 100, 5)], "review-1")
 
 
-QUOTAS = {"counting": 6, "temporal_or_change": 8, "spatial": 5, "person_interaction": 5, "causal_goal_inference": 4, "action_object_detail": 8}
+# How many cases of each kind a selection has.
+QUOTAS = {Q.SOUND_SOURCE: 4, Q.SOUND: 3, Q.CROSS_MODAL: 4, Q.COUNTING: 3, Q.TEMPORAL: 2, Q.SPATIAL: 2, Q.CAUSAL: 2}
+#: Kinds of which wide spans are preferred.
+WIDE = (Q.COUNTING, Q.TEMPORAL)
 
 
 def stratified_cases(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    kind = Q.question_type(t)
-    return _turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), kind.alias("type"), Q.temporal_hint(t).alias("hint"), Q.selection_tags(t, kind).alias("tags"), F.col("conv_id").alias("video_id"), F.char_length(t).cast("double").alias("width"))
+    q, kind = F.col("question"), F.col("kind")
+    m = _questions(spark, d).withColumn("m", Q.temporal_metadata(q, F.col("start"), F.col("end")))
+    return m.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), kind.alias("type"), F.col("m.hint").alias("hint"), Q.selection_tags(q, kind, F.col("m.width_sec")).alias("tags"), F.col("conv_id").alias("video_id"), F.col("m.width_sec").alias("width")
+    )
 
 
 @query()
 def greedy_stratified(spark: SparkSession, d: str) -> DataFrame:
-    """Quotas of question types, balanced over hints, tags and conversations; tested against picks over all rows."""
-    return G.greedy_stratified(stratified_cases(spark, d), QUOTAS)
+    """Quotas of kinds on top of the first two conversations' opening cases, balanced over hints, tags and conversations; tested against picks over all rows."""
+    cases = stratified_cases(spark, d)
+    return G.greedy_stratified(cases, QUOTAS, earlier=cases.where("case_id in (0, 1000)"), total=sum(QUOTAS.values()), wide=WIDE)
 
 
 # -- ledgers and resumed work -------------------------------------------------------------
@@ -372,10 +431,9 @@ def retrieve_flat(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def acoustic_features(spark: SparkSession, d: str) -> DataFrame:
     """RMS, spectral flux and log change of a user's values as a signal; tested against a plain version."""
-    from ..functions.signal import acoustic
-
-    s = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("wave"))
-    return acoustic(s, "user_id", 40, 1.0, 0.25, 1.0)
+    e = Ordered(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    samples = e.running("i", F.lit(1).cast("long"), "sum", inclusive=True).rows().select("user_id", (F.col("i") - 1).alias("i"), "value")
+    return acoustic(samples, "user_id", 40, 1.0, 0.25, 1.0)
 
 
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS sq, len(embedding)::INTEGER AS n FROM embeddings")
@@ -399,23 +457,25 @@ def sink_json_atomic(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("k int, name string").json(f"{path}/*.json")
 
 
-@query("WITH t AS (SELECT doc_id, text, lower(text) AS l, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS p FROM documents), b AS (SELECT item_id, text AS b, lower(text) AS bl, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS bp FROM benchmark) SELECT doc_id, item_id, CASE WHEN contains(text, b) THEN 1.0 WHEN contains(l, bl) THEN 0.98 ELSE 0.95 END::DOUBLE AS score FROM t, b WHERE bp <> '' AND contains(p, bp)")
+_PLAIN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(text) AS t, {_PLAIN.format('text')} AS tp FROM documents), b AS (SELECT item_id, trim(text) AS b, {_PLAIN.format('text')} AS bp FROM benchmark),
+m AS (SELECT doc_id, item_id, CASE WHEN contains(t, b) THEN 'unicode_normalized_exact' WHEN contains(lower(t), lower(b)) THEN 'case_insensitive' ELSE 'punctuation_insensitive' END AS method FROM t, b WHERE bp <> '' AND contains(tp, bp)),
+s AS (SELECT *, CASE method WHEN 'unicode_normalized_exact' THEN 1.0 WHEN 'case_insensitive' THEN 0.98 ELSE 0.95 END::DOUBLE AS score, count(*) OVER (PARTITION BY item_id) AS n_matches FROM m)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS position, CASE WHEN n_matches > 1 THEN 'multiple_possible_matches' END AS ambiguity_warning FROM s""")
 def phrase_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Every whole phrase in every whole text: exact, then case, then punctuation. The fuzzy rung is phrase_ladder_fuzzy."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"), F.lower("text").alias("bl"), plain(F.col("text")).alias("bp")).where("bp <> ''")
-    t = R.balanced(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", F.lower("text").alias("l"), plain(F.col("text")).alias("p"))
-    # punctuation-free containment is the weakest rung, so it alone lets pairs through
-    met = t.crossJoin(R.small(b)).where(F.col("p").contains(F.col("bp")))
-    return met.select("doc_id", "item_id", F.when(F.col("text").contains(F.col("b")), 1.0).when(F.col("l").contains(F.col("bl")), 0.98).otherwise(0.95).alias("score"))
+    """Every whole phrase in every whole text: exact, then case, then punctuation; with the number and order of each phrase's matches."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
+    found = P.contained(R.balanced(table(spark, d, "documents").select("doc_id", "text")), b)
+    return P.with_ambiguity(found, ["k"], F.col("doc_id")).withColumnRenamed("k", "item_id")
 
 
 @query()
 def phrase_ladder_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """All four rungs of every phrase against every turn of a conversation; 0.6 or more of the sequence matcher's ratio counts last."""
-    from ..functions.fuzzy import ladder_matches
-
-    b = table(spark, d, "benchmark").where("item_id is not null").select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("phrase"))
-    p = b.groupBy(F.expr("k div 256")).agg(F.array_sort(F.collect_list(F.struct("k", "phrase"))).alias("p")).select(F.col("p.k").alias("ks"), F.col("p.phrase").alias("phrases"))
-    t = R.balanced(_turns(spark, d).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text"))
-    return t.crossJoin(R.small(p)).mapInArrow(ladder_matches, "doc_id long, k long, method string, score double")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
+    t = _turns(spark, d).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+    # and every phrase itself as it may be heard: without one of its commonest letters
+    t = t.unionByName(b.select((-1 - F.col("k")).alias("doc_id"), F.translate("phrase", "e", "").alias("text")))
+    return P.with_ambiguity(P.laddered(R.balanced(t), b), ["k"], F.col("doc_id"))

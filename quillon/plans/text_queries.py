@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import phrases as P
 from ..operators import ranking as R
 from .fixtures import IV, intervals, table
 from .ranking_queries import STEM, STOP, TOK
@@ -135,16 +136,9 @@ def video_id_from_annotation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
-    """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express.
-
-    Every phrase meets every text, in blocks of phrases; bounds that lose no match pass over most windows.
-    """
-    from ..functions.fuzzy import phrase_matches
-
-    b = table(spark, d, "benchmark").where("item_id is not null").select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("phrase"))
-    p = b.groupBy(F.expr("k div 256")).agg(F.array_sort(F.collect_list(F.struct("k", "phrase"))).alias("p")).select(F.col("p.k").alias("ks"), F.col("p.phrase").alias("phrases"))
-    met = R.balanced(_docs(spark, d).select("doc_id", "text")).crossJoin(F.broadcast(p))
-    return met.mapInArrow(phrase_matches, "doc_id long, k long, ratio double")
+    """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express; bounds that lose no match pass over most windows."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
+    return P.windowed(R.balanced(_docs(spark, d).select("doc_id", "text")), b)
 
 
 @query("SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, value * 100 AS sec FROM (SELECT event_id, value, greatest(0, floor(value * 100))::BIGINT AS s FROM events)")

@@ -197,20 +197,6 @@ def test_clocks_and_ranges(spark):
     assert r("2:00-1:00") == (None, None, ["invalid_provided_timestamp:2:00-1:00"]) and r("soon") == (None, None, ["unparsed_provided_timestamp:soon"])
 
 
-def test_cues(spark):
-    c = one(spark, rules.cues(F.lit('between 1:10 and 2:20, 0:05-0:09 "so" after 3:00, between 1.5 to 4 seconds, \'x y\'')))
-    assert c.ranges == ["0:05-0:09", "between 1:10 and 2:20", "between 1.5 to 4 seconds"] and c.times == ["3:00"]
-    assert c.relative == ["between", "after", "between"] and c.quoted == ["so", "x y"]
-
-
-def test_plans_and_answers_of_models(spark):
-    good = '{"operation": "count", "description": "d", "modality": "visual", "resolvers": ["speech"], "confidence": 1, "rationale": "One. Two."}'
-    e = lambda raw: one(spark, rules.plan_errors(rules.model_json(F.lit(raw), rules.PLAN)))
-    assert e(good) == [] and e("```json\n" + good + "\n```") == [] and e("[1]") == ["not an object"] and e(None) == ["not an object"] and e("{") != []
-    assert e("{}") == ["invalid operation", "description must be non-empty text", "invalid modality", "resolvers must be a unique valid list", "confidence must be between 0 and 1", "rationale must be non-empty text"]
-    assert e(good.replace("Two.", "Two. Three.")) == ["rationale must contain at most two sentences"]
-
-
 def test_options_entities_and_texts(spark):
     top, label = rules.best_option({k: F.lit(v) for k, v in zip("ABCDE", (0.1, 0.7, 0.7, 0.2, 0.0), strict=True)})
     assert (one(spark, top), one(spark, label)) == (0.7, "B")
