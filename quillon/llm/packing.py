@@ -5,14 +5,15 @@ and one of its duplicate clusters; a bin takes at most one text of a cluster and
 source. For a text, the search starts at the tightest bin with room and goes on to the
 successors until it finds a compatible one; else a new bin opens.
 
-Texts are dealt to shards by a hash of their ids, so that each shard has about
-``SHARD_ROWS`` texts however many share a source or a cluster, and are packed there, the longest
-first. Texts longer than a bin are cut into full bins and a rest.
+Texts are dealt to shards of about ``SHARD_ROWS`` texts by their place in the written table of lengths, so no id, source or
+cluster can make a shard large, and are packed there, the longest first. Texts longer than a bin are cut into full
+bins and a rest.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +25,52 @@ CAPACITY = 2_048
 SHARD_ROWS = 4_096
 
 
+#: A source or cluster with more pieces in a shard has its own order of the bins that it isn't in.
+COMMON = 64
+
+
 def pack(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
-    """The bin of each piece, in the order given; no piece is longer than ``capacity``. Bins count from 0."""
+    """The bin of each piece, in the order given; no piece is longer than ``capacity``. Bins count from 0.
+
+    The search for a piece of a common source or cluster goes over the bins without it alone, so many pieces that conflict with
+    each other don't walk past all their bins each time.
+    """
+    keys = [(("s", s), ("c", c)) for s, c in zip(sources, clusters, strict=True)]
+    often = Counter(k for pair in keys for k in pair)
     bins: list[int] = []
     source_bits: list[int] = []
     cluster_bits: list[int] = []
     order: list[tuple[int, int]] = []  # residual, bin; ties go to the older bin
-    for need, source, cluster in zip(lengths, sources, clusters, strict=True):
+    free: dict[tuple[str, int], list[tuple[int, int]]] = {k: [] for k, n in often.items() if n > COMMON}
+    within: list[set[tuple[str, int]]] = []  # the common keys in a bin
+
+    def orders(b: int) -> list[list[tuple[int, int]]]:
+        return [order, *(own for k, own in free.items() if k not in within[b])]
+
+    for need, source, cluster, pair in zip(lengths, sources, clusters, keys, strict=True):
         s, c = 1 << source, 1 << cluster
-        at = bisect_left(order, (need, -1))
-        while at < len(order):
-            _, b = order[at]
+        look = min((free[k] for k in pair if k in free), key=len, default=order)
+        at = bisect_left(look, (need, -1))
+        while at < len(look):
+            _, b = look[at]
             if not (source_bits[b] & s or cluster_bits[b] & c):
                 break
             at += 1
-        if at < len(order):
-            room, b = order.pop(at)
+        if at < len(look):
+            room, b = look[at]
+            for own in orders(b):
+                del own[bisect_left(own, (room, b))]
         else:
             room, b = capacity, len(source_bits)
             source_bits.append(0)
             cluster_bits.append(0)
+            within.append(set())
         source_bits[b] |= s
         cluster_bits[b] |= c
+        within[b].update(k for k in pair if k in free)
         if room > need:  # a full bin takes nothing more
-            insort(order, (room - need, b))
+            for own in orders(b):
+                insort(own, (room - need, b))
         bins.append(b)
     return bins
 
@@ -87,7 +110,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | Non
     ``cluster`` to a hash of the text with A-Z lower-cased (so exact copies conflict). Null
     sources are one source; a null text is empty and takes a place of length 0 in some bin.
     Pieces of one text conflict with each other, having one source. Ties in length go to the
-    smaller id; rows with a null id are packed too, and come last. (shard, bin) names a bin.
+    smaller id; rows with a null id are packed too, and come last. (shard, bin) names a bin; shards follow the
+    order in which rows are read, so another partitioning of the table gives other bins of the same kind.
     """
     from .common import ascii_lower, written
 
@@ -98,11 +122,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | Non
         F.xxhash64(source if source is not None else F.col("source")).alias("source"),
         F.xxhash64(cluster if cluster is not None else ascii_lower(text)).alias("cluster"),
     )
-    rows = written(rows, "lengths")
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "lengths")
     # a text of many bins counts as so many rows of its shard
     n = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / capacity)))).first()[0] or 0
     shards = max(1, -(-n // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), "length"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int")).drop("place")
     out = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), "id long, start long, length long, shard int, bin long")
     return out.withColumnRenamed("id", id_col)
 

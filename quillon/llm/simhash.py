@@ -329,6 +329,9 @@ class Components:
         return a != b
 
 
+#: Rows of a block where every pair of different groups is looked at.
+BETWEEN_ROWS = 4_096
+
 LINK = "u binary, v binary, d int, tree int, rows long, vantages long, compared long"
 
 
@@ -357,15 +360,45 @@ def _search(slices_: list[Slice], radius: int, words: int):
     return run
 
 
-def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """Links (u, v, d) of the distinct binary values in column node, and the counts of each shard.
+def _between(radius: int, words: int, most: int | None):
+    """One block of a shard: of every node and each other label, the ``most`` nearest nodes within ``radius`` bits (all, if none is given)."""
 
-    The first bytes of a node are its fingerprint; further ones only tell nodes apart. Every node
-    is routed; the trees are fitted on a sample. A shard that outgrows ``most_rows`` is cut into
-    blocks and every two blocks meet in a task of their own.
-    """
-    spark = nodes.sparkSession
-    words = -(-max(s.first + s.bits for s in slices_) // 64)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, block = table["node"].chunk(0), table["block"].to_numpy()
+        label = table["label"].combine_chunks().dictionary_encode()
+        label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False)
+        fp = of_nodes(nodes, words)
+        found = []
+        ends = [np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())]
+        for x in range(0, len(ends[0]), 512):
+            p, q = ends[0][x : x + 512], ends[1]
+            d = np.zeros((len(p), len(q)), np.uint16)
+            for w in range(fp.shape[1]):
+                d += np.bitwise_count(fp[p, w][:, None] ^ fp[q, w][None, :])
+            i, j = np.nonzero((d <= radius) & (label[p][:, None] != label[q][None, :]))
+            found.append((p[i], q[j], d[i, j].astype(np.int64)))
+        i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+        i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+        order = np.lexsort((j, d, label[j], i))
+        i, j, d = i[order], j[order], d[order]
+        same = np.concatenate([[False], (i[1:] == i[:-1]) & (j[1:] == j[:-1])]) if len(i) else np.zeros(0, bool)
+        i, j = i[~same], j[~same]
+        first = np.concatenate([[True], (i[1:] != i[:-1]) | (label[j][1:] != label[j][:-1])]) if len(i) else np.zeros(0, bool)
+        at = np.arange(len(i))
+        rank = at - np.maximum.accumulate(np.where(first, at, 0))
+        keep = rank < (len(i) if most is None else most)
+        cut = np.zeros(len(fp), bool)
+        cut[i[~keep]] = True
+        u, v = (nodes.take(pa.array(z[keep])) for z in (i, j))
+        return pa.table([u, v, pa.array(cut[i[keep]])], ["u", "v", "more"])
+
+    return run
+
+
+def _dealt(nodes: DataFrame, slices_: list[Slice], shard_rows: int, most_rows: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (tree, shard, columns of ``nodes``, block, lo, hi) of all shards, and the written table behind them. The trees are fitted on a sample."""
+    spark, names = nodes.sparkSession, ["tree", "shard", *nodes.columns]
     total = nodes.count()
     taken = min(1.0, 1.2 * SAMPLE / max(1, total))
     # a hash decides, so the sample is the same for the same nodes
@@ -378,21 +411,48 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
             own = of_nodes(b.column("node"), words)
             for k, tree in enumerate(trees.value):
                 row, shard = tree.route(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(shard.astype(np.int32)), b.column("node").take(pa.array(row))], ["tree", "shard", "node"])
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(shard.astype(np.int32)), *[c.take(row) for c in b.columns]], names)
 
-    routed = written(nodes.select("node").mapInArrow(route, "tree int, shard int, node binary"), "routed")
+    routed = written(nodes.mapInArrow(route, "tree int, shard int, " + ", ".join(f"{c} binary" for c in nodes.columns)), "routed")
     # a shard above the bound is cut into blocks; there are at most rows / most_rows of those
     large = routed.groupBy("tree", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
     large = large.select("tree", "shard", F.ceil(F.col("n") / (most_rows // 2)).cast("int").alias("k"))
     dealt = routed.join(F.broadcast(large), ["tree", "shard"], "left").withColumn("block", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")))
     # block b meets blocks 0 .. k - 1; the pair is named by its smaller and larger number
     mates = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.withColumn("mate", F.explode(mates)).select("tree", "shard", "node", "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
+    dealt = dealt.withColumn("mate", F.explode(mates)).select("tree", "shard", *nodes.columns, "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
+    return dealt, routed
+
+
+def _words(slices_: list[Slice]) -> int:
+    return -(-max(s.first + s.bits for s in slices_) // 64)
+
+
+def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Links (u, v, d) of the distinct binary values in column node, and the counts of each shard.
+
+    The first bytes of a node are its fingerprint; further ones only tell nodes apart. Every node
+    is routed. A shard that outgrows ``most_rows`` is cut into
+    blocks and every two blocks meet in a task of their own.
+    """
+    words = _words(slices_)
+    dealt, routed = _dealt(nodes.select("node"), slices_, shard_rows, most_rows, words)
     found = written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_search(slices_, radius, words), LINK), "shard-links")
     discard(routed)
     return found
 
 
+def between(nodes: DataFrame, slices_: list[Slice], radius: int, most: int | None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v, more): pairs of nodes with different labels within ``radius`` bits that lie in one shard, for every node and other label the
+    ``most`` nearest of each block. ``more`` tells that a node had further ones. ``nodes`` has node and label, both binary."""
+    words = _words(slices_)
+    dealt, routed = _dealt(nodes.select("node", "label"), slices_, shard_rows, BETWEEN_ROWS, words)
+    found = written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(radius, words, most), "u binary, v binary, more boolean"), "group-links")
+    discard(routed)
+    return found
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     """(u, v), u > v: links that join all nodes within ``radius`` bits, few for each shard; exact."""
     found = search(nodes, exact_slices(bits, radius), radius)
@@ -468,6 +528,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The search is loose: 192 bits over word pairs, in slices of 24 bits searched at one bit, and a radius that the similarity checked afterwards needs.
 NEAR_WORDS, NEAR_BITS, NEAR_SLICES, NEAR_RADIUS = 2, 192, 8, 32
+
+
+@dataclass(frozen=True)
+class Reach:
+    """How far candidates are searched: bits on the whole fingerprint, and slices of it with the bits on each."""
+
+    radius: int = NEAR_RADIUS
+    count: int = NEAR_SLICES
+    each: int = 1
+
+    def slices(self) -> list[Slice]:
+        return slices(NEAR_BITS, self.count, self.each)
+
+
+#: Everything is a candidate of everything: exact, and quadratic.
+EVERY_PAIR = Reach(NEAR_BITS, NEAR_BITS // 64, 64)
+#: Nearest nodes of each other group that are tried, round by round; the last round tries all.
+TRIED = (8, 64, 512, None)
 #: Links of a node that share one copy of its shingles.
 FAN = 64
 
@@ -553,14 +631,49 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach) -> DataFrame:
+    """(node, root) of what links of at least this similarity connect. ``pairs`` (u, v) joins all that the search can reach, by few pairs.
+
+    A pair that isn't alike may hide one that is, between others of the two groups. So where one failed, nodes are searched again: those of different
+    groups, as the links found so far make them, are checked with the nearest of each other group, more in each round, until a round had no more to try.
+    """
+    good = alike(pairs, sets, similarity)
+    failed = written(pairs.join(good, ["u", "v"], "left_anti"), "not-alike")
+    stars = components(good)
+    if failed.isEmpty():
+        discard(failed)
+        return stars
+    reached = components(pairs)
+    reached = reached.unionByName(reached.select(F.col("root").alias("node"), "root").distinct())
+    doubtful = failed.select(F.col("u").alias("node")).join(reached, "node").select("root").distinct()
+    active = written(reached.join(doubtful, "root", "left_semi").select("node"), "doubtful")
+    discard(failed)
+    for most in TRIED:
+        labels = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        named_ = written(active.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labelled")
+        found = between(named_, reach.slices(), reach.radius, most)
+        tried = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tried")
+        more = alike(tried, sets, similarity)
+        good = written(good.unionByName(more).distinct(), "good-links")
+        stars = components(good)
+        again = found.where("more").select(F.col("u").alias("node")).distinct()
+        if most is None or again.isEmpty():
+            break
+        # whoever shares what was searched with a node that has more to try
+        roots = again.join(reached, "node").select("root").distinct()
+        active = written(reached.join(roots, "root", "left_semi").select("node"), "doubtful")
+        discard(found, tried, more, named_)
+    return stars
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: Reach = Reach()) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Two texts are linked if the sets of their ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of at
     least ``similarity``; groups are what links connect. Candidates come from vantage-point trees over
     192-bit fingerprints of word pairs, which differ by about 16 bits at a similarity of 0.8 and by over 50 for
-    unrelated texts; each link of the spanning forests that the trees find is then checked exactly, so a text goes only if it is
-    alike to another of its group. The row with the smallest id stays (null last); texts with equal shingle sets
+    unrelated texts; ``linked`` checks them exactly and loses no link within the ``reach`` of the search. ``EVERY_PAIR`` as reach compares
+    all pairs, and so loses none at all. The row with the smallest id stays (null last); texts with equal shingle sets
     are one; null, empty and wordless texts are equal. Repeated rows and one id with several texts are decided
     by their texts. An empty table gives no rows.
     """
@@ -569,7 +682,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(appended(docs, docs.columns, text_col, lambda: _sketches(words), [(key, "binary")]), "sketched")
     own_id = named([id_col])[0].cast("long")
     groups = written(rows.groupBy(F.col(key).alias("node")).agg(F.min(own_id).alias("least"), F.count("*").alias("n")), "sketch-groups")
-    found = search(groups, slices(NEAR_BITS, NEAR_SLICES, 1), NEAR_RADIUS)
+    found = search(groups, reach.slices(), reach.radius)
     pairs = written(found.where("u is not null").select("u", "v").distinct(), "candidates")
     discard(found)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("touched", F.lit(True))
@@ -582,9 +695,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = one_each(heads, key, again)
     open_ = heads.where(touched)
     sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
-    linked = alike(pairs, sets, similarity)
-    stars = components(linked)
-    discard(pairs, sets, linked)
+    stars = linked(pairs, sets, similarity, reach)
+    discard(pairs, sets)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
     members = written(members, "members")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("best"), F.count("*").alias("n"))

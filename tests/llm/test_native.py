@@ -1,5 +1,7 @@
 """Exact dedup, chat formatting and packing: SQL, brute force, and odd inputs."""
 
+import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -151,6 +153,35 @@ def test_pack_equals_brute_force():
         assert packing.pack(lengths, s, c, 50) == brute_pack(lengths, s, c, 50)
 
 
+def test_common_keys_pack_the_same(monkeypatch):
+    rng = random.Random(12)
+    for common in (0, 3, 64):
+        monkeypatch.setattr(packing, "COMMON", common)
+        for _ in range(60):
+            n = rng.randint(0, 120)
+            lengths = sorted((rng.randint(0, 50) for _ in range(n)), reverse=True)
+            s, c = [rng.choice([0, 0, 0, 1, 2, rng.randint(3, 9)]) for _ in range(n)], [rng.choice([0, 0, rng.randint(1, 40)]) for _ in range(n)]
+            assert packing.pack(lengths, s, c, 50) == brute_pack(lengths, s, c, 50)
+
+
+def test_one_source_in_every_row_takes_little_time():
+    n = packing.SHARD_ROWS * 2
+    start = time.time()
+    assert packing.pack([1] * n, [0] * n, [0] * n, 2048) == list(range(n))
+    assert packing.pack([1] * n, [0] * n, list(range(n)), 2048) == list(range(n))
+    assert time.time() - start < 10
+
+
+def test_rows_without_or_with_one_id_fill_all_shards(spark):
+    for own in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        d = spark.range(60_000).repartition(6).select(own.alias("doc_id"), F.lit("some text").alias("text"), F.lit("s").alias("source"))
+        start = time.time()
+        got = packing.pack_documents(d)
+        sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+        assert sum(sizes) == 60_000 and len(sizes) == 15 and max(sizes) < 1.2 * 60_000 / 15
+        assert time.time() - start < 60
+
+
 def test_packing_holds_constraints_and_whole_texts(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = packing.pack_documents(d, capacity=512, shard_rows=64).toPandas()

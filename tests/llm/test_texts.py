@@ -347,6 +347,60 @@ def test_representatives_equal_brute_force(spark, table):
     assert want <= got and len(got - want) <= 0.03 * len(pairs)
 
 
+def families(rng, n, size=6, words=200):
+    """Texts near a similarity of 0.8 to each other: of one of their own, each with a few words changed in places of its own."""
+    out = []
+    for f in range(n):
+        base = [f"f{f}w{rng.randint(0, 10**9)}" for _ in range(words)]
+        for k in range(size):
+            own = list(base)
+            for at in rng.sample(range(words), rng.randint(1, 4)):
+                own[at] = f"x{f}k{k}a{at}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_no_link_within_reach_is_lost(spark):
+    texts = families(random.Random(9), 40)
+    roots, pairs = brute_near(texts)
+    sets = [brute_shingles(t) for t in texts]
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if i // 6 == j // 6 and 0.7 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8]
+    assert len(pairs) > 60 and len(close) > 60
+    # links on one task's side: fingerprints of the candidates tell which pairs the search can reach
+    sketch = simhash._sketches(5)(pa.array(texts))[0]
+    fp = simhash.of_nodes(sketch, 3)
+    apart = lambda i, j: int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+    slices_ = simhash.Reach().slices()
+    near = lambda i, j: apart(i, j) <= simhash.NEAR_RADIUS and any(int(np.bitwise_count(s.of(fp[[i]]) ^ s.of(fp[[j]]))[0]) <= 1 for s in slices_)
+    reached = component_sets(len(texts), [p for p in pairs if near(*p)])
+    got = {r.doc_id for r in simhash.representatives(docs(spark, *texts)).collect()}
+    # pairs that meet by chance are found too, so at least those links count that are within reach
+    assert got <= {i for i, r in enumerate(reached) if i == r}
+    every = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR).collect()}
+    assert every == {i for i, r in enumerate(roots) if i == r}
+    assert every <= got and len(got - every) <= 0.03 * len(pairs)
+
+
+def test_rounds_go_on_until_all_are_tried(spark, monkeypatch):
+    """Two groups of ten that meet by one alike pair only, which is the farthest of all; each round tries one more."""
+    monkeypatch.setattr(simhash, "TRIED", (1, 2, 3, None))
+    rng, words = random.Random(3), 300
+    base = [f"w{i}" for i in range(words)]
+    a = [" ".join([*base[:k], f"a{k}", *base[k + 1 :]]) for k in range(10)]
+    changed = list(base)
+    for at in range(20, 300, 14):
+        changed[at] = f"c{at}"
+    b = [" ".join([*changed[:k], f"b{k}", *changed[k + 1 :]]) for k in range(10)]
+    half = list(base)
+    for at in range(20, 160, 14):
+        half[at] = f"c{at}"
+    texts = [*a, *b, " ".join(half)]
+    rng.shuffle(texts)
+    roots, _ = brute_near(texts)
+    got = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR).collect()}
+    assert got == {i for i, r in enumerate(roots) if i == r}
+
+
 def test_representatives_odd_rows(spark):
     w = " ".join(f"w{i}" for i in range(200))
     near = w.replace("w7 ", "x7 ")
