@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import vectors as V
 from . import ranking as R
+from .blocks import top_rows
 
 
 @dataclass(frozen=True)
@@ -81,12 +82,18 @@ BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+#: Backends by vectors alone keep their best rows in each task.
+TOP_ROWS = {"embed": "cosine", "flat": "dot"}
+
+
 def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[DataFrame, DataFrame], DataFrame] = "embed", k: int = 10) -> DataFrame:
     """query_id, doc_id, rank, score of the ``k`` >= 1 best rows of each query by a backend, by name or as a function; ties go to the smaller id."""
     if k < 1:
         raise ValueError("at least one row is to be found")
     if isinstance(backend, str) and backend not in BACKENDS:
         raise ValueError(f"no such backend: {backend}")
+    if isinstance(backend, str) and backend in TOP_ROWS:
+        return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id")
     scored = (BACKENDS[backend] if isinstance(backend, str) else backend)(queries, index).withColumn("score", F.round("score", 6))
     return R.top_k(scored, ["query_id"], k, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
+from ..operators import blocks as B
+from ..operators import folds
 from ..operators import ranking as R
-from ..operators.series import greedy_apart_filled, min_max
+from ..operators.series import min_max
 from .fixtures import IV, intervals, table
 from .registry import query
 
@@ -66,7 +67,7 @@ def _gated(spark: SparkSession, d: str, gate: DataFrame) -> DataFrame:
 
 @query(f"WITH {QV} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, score FROM cs QUALIFY rank <= 10")
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(_cosines(spark, d), 10, "vec_id")
+    return B.top_rows(*_vectors(spark, d), 10)
 
 
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), x AS (SELECT vec_id, v, CASE WHEN n = 0 THEN 1 ELSE n END AS n FROM n),
@@ -74,10 +75,8 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(x.v, q.v) /
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 25""")
 def topk_flat(spark: SparkSession, d: str) -> DataFrame:
     """Stored norms, zero ones as one; k of at least one and at most all rows."""
-    e = table(spark, d, "embeddings").withColumn("norm", F.when(V.norm(F.col("embedding")) == 0, 1.0).otherwise(V.norm(F.col("embedding"))))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    s = e.crossJoin(R.small(q)).select("query_id", "vec_id", F.round(V.dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    return R.top_k(s, ["query_id"], 25, F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", "score")
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return B.top_rows(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 25, "flat").select("query_id", "vec_id", "score")
 
 
 @query(f"""WITH {BM}, {QV.replace('vec_id % 50 = 0', 'vec_id IN (SELECT item_id FROM benchmark)').replace('q AS (', 'qv AS (').replace('FROM q, x', 'FROM qv, x')}, a AS (SELECT query_id, vec_id AS doc_id, score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20),
@@ -90,8 +89,8 @@ def topk_weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Every item asks by its text and by the vector of its own number."""
     e = table(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")).distinct()
-    cs = R.cosine_pairs(e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "vec"), e).withColumn("score", F.round("score", 6))
-    a = R.top_k(cs, ["query_id"], 20, F.desc("score"), F.col("vec_id")).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    a = B.top_rows(e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "vec"), e, 20)
+    a = a.select("query_id", F.col("vec_id").alias("doc_id"), "score")
     b = R.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), ["query_id"], 20, F.desc("score"), F.col("doc_id"))
     f = R.fused(a, b, 0.7, 0.3).withColumn("score", F.round("score", 5))
     return R.top_k(f, ["query_id"], 10, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
@@ -217,9 +216,7 @@ def hierarchical_gated(spark: SparkSession, d: str) -> DataFrame:
     """Gate by mediums, rank fine rows, keep six that are apart, fill up."""
     gate = R.top_k(_medium(spark, d), ["query_id"], 8, F.desc("score"), F.col("medium")).select("query_id", "medium")
     f = _gated(spark, d, gate)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    f = f.withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("vec_id").alias("t")))).alias("p"))
-    return f.select("query_id", F.explode(greedy_apart_filled(F.col("p"), 6, 4)).alias("x")).select("query_id", F.col("x.t").alias("vec_id"))
+    return folds.walked(f, ["query_id"], [F.desc("score"), "vec_id"], ["vec_id"], lambda: folds.Apart(4, 6), fill=6).select("query_id", "vec_id")
 
 
 # -- allocation -------------------------------------------------------------------
@@ -258,19 +255,8 @@ g AS (SELECT video_id, i, [id] AS ids, [modality] AS mods, [{{'s': s, 'e': e}}]
 SELECT video_id, unnest(arg_max(ids, i)) AS id FROM g GROUP BY video_id""")
 def apply_budget(spark: SparkSession, d: str) -> DataFrame:
     """By priority over all candidates: at most two, three or five of a kind, and ten hours of their union; what overlaps counts once."""
-    from ..operators.series import union_seconds
-
-    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), "start_sec", "id")))
-    p = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "id", "modality", F.col("start_sec").alias("s"), F.col("end_sec").alias("e")))).alias("p"))
-    limit = lambda m: F.when(m == "view", 2).when(m == "click", 3).otherwise(5)
-
-    def step(acc, y):
-        # what is taken stays small: so many of each kind
-        spans = F.transform(F.concat(acc, F.array(y)), lambda z: F.struct(z["s"].alias("s"), z["e"].alias("e")))
-        ok = (F.size(F.filter(acc, lambda z: z["modality"] == y["modality"])) < limit(y["modality"])) & (union_seconds(spans) <= 36000)
-        return F.when(ok, F.concat(acc, F.array(y))).otherwise(acc)
-
-    return p.select("video_id", F.explode(F.aggregate("p", F.slice("p", 1, 0), step)).alias("k")).select("video_id", "k.id")
+    rule = lambda: folds.Budget(36000.0, {"view": 2, "click": 3}, 5)
+    return folds.walked(intervals(spark, d), ["video_id"], [F.desc("value"), "start_sec", "id"], ["modality", "start_sec", "end_sec"], rule).select("video_id", "id")
 
 
 @query(f"""WITH {IV}, r AS (SELECT *, modality IN ('purchase', 'signup') AS protected FROM iv), n AS (SELECT *, row_number() OVER (PARTITION BY video_id, protected ORDER BY value DESC, start_sec, id) AS k, count(*) FILTER (WHERE protected) OVER (PARTITION BY video_id) AS np FROM r)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import folds
 from ..operators import series as S
+from ..operators.folds import walked
 from .fixtures import IV, intervals, table
 from .registry import query
 
@@ -86,18 +88,14 @@ def asr_chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return h.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(6), F.lit(2))).alias("chunk_start")).withColumn("chunk_end", F.col("chunk_start") + 4)
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    e = intervals(spark, d)
-    return e.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "id", "value"))), lambda x: F.struct(x["start_sec"].alias("t"), (x["value"] / 100).alias("distance"))).alias("p"))
-
-
 @query(f"""WITH RECURSIVE {IV}, p AS (SELECT video_id, start_sec AS t, value / 100 AS dist, row_number() OVER {OW} AS i FROM iv),
 s AS (SELECT video_id, i, t, t AS cur, true AS starts FROM p WHERE i = 1 UNION ALL
  SELECT p.video_id, p.i, p.t, CASE WHEN dist >= 0.18 AND p.t - cur >= 86400 THEN p.t ELSE cur END, dist >= 0.18 AND p.t - cur >= 86400 FROM s JOIN p ON p.video_id = s.video_id AND p.i = s.i + 1),
 e AS (SELECT video_id, max(t) AS last_t, max(cur) AS last_start, count(*) FILTER (WHERE starts) AS n FROM s GROUP BY video_id)
 SELECT s.video_id, t AS segment_start FROM s JOIN e USING (video_id) WHERE starts AND NOT (n > 1 AND last_t - last_start < 86400 AND t = last_start)""")
 def segment_by_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _points(spark, d).select("video_id", F.explode(S.segment_by_threshold(F.col("p"), 0.18, 86400.0)).alias("segment_start"))
+    x = intervals(spark, d).withColumn("distance", F.col("value") / 100)
+    return walked(x, ["video_id"], O, ["start_sec", "distance"], lambda: folds.Segments(0.18, 86400.0)).select("video_id", F.col("start_sec").alias("segment_start"))
 
 
 @query(f"""WITH RECURSIVE {IV}, pk AS (SELECT *, coalesce(value >= lag(value) OVER {OW} AND value > lead(value) OVER {OW}, false) AS peak FROM iv),
@@ -109,9 +107,7 @@ def greedy_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Peaks above the median plus half a scaled MAD, each two days or more after the last one kept."""
     x = S.robust_scale(intervals(spark, d).withColumn("peak", S.local_maximum("value", ["video_id"], O)), "value", ["video_id"])
     x = x.where(F.col("peak") & (F.col("value") >= F.col("med") + 0.5 * 1.4826 * F.col("mad")))
-    p = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_sec", "id"))).alias("p"))
-    p = p.withColumn("p", F.transform("p", lambda y: F.struct(y["start_sec"].alias("t"))))
-    return p.select("video_id", F.explode(S.greedy_apart(F.col("p"), 1 << 30, 172800.0)).alias("b")).select("video_id", F.col("b.t").alias("boundary"))
+    return walked(x, ["video_id"], O, ["start_sec"], lambda: folds.After(172800.0)).select("video_id", F.col("start_sec").alias("boundary"))
 
 
 @query(f"""WITH {IV}, md AS (SELECT modality, quantile_cont(value, 0.5) AS med FROM iv GROUP BY modality), mm AS (SELECT modality, med, quantile_cont(abs(value - med), 0.5) AS mad FROM iv JOIN md USING (modality) GROUP BY modality, med)
@@ -126,14 +122,7 @@ SELECT video_id, i AS cut_at FROM g WHERE cut""")
 def split_local_max_or_forced(spark: SparkSession, d: str) -> DataFrame:
     m = F.percentile("value", F.lit(0.5)).over(Window.partitionBy("video_id"))
     x = intervals(spark, d).withColumn("peak", S.local_maximum("value", ["video_id"], O) & (F.col("value") >= m)).withColumn("i", F.row_number().over(_w()).cast("long"))
-    g = x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "peak"))).alias("p"))
-    # the last cut and the cuts so far; the first row is never one
-    cuts = F.aggregate(
-        F.slice("p", 2, F.size("p")),
-        F.array(F.lit(1).cast("long")),
-        lambda acc, r: F.when(r["peak"] | (r["i"] - F.element_at(acc, -1) >= 4), F.concat(acc, F.array(r["i"]))).otherwise(acc),
-    )
-    return g.select("video_id", F.explode(F.slice(cuts, 2, F.size(cuts))).alias("cut_at"))
+    return walked(x, ["video_id"], ["i"], ["peak"], lambda: folds.Cuts(4)).select("video_id", F.col("i").alias("cut_at"))
 
 
 @query(f"WITH {IV}, n AS (SELECT video_id, row_number() OVER {OW} AS i, value FROM iv), e AS (SELECT video_id, i FROM n WHERE value > 60) SELECT video_id, coalesce(lag(i) OVER (PARTITION BY video_id ORDER BY i) + 1, 1)::BIGINT AS first_i, i AS last_i FROM e")
@@ -164,18 +153,16 @@ g AS (SELECT video_id, modality, i, id, t AS kept, true AS keep FROM p WHERE i =
 SELECT id FROM g WHERE keep""")
 def dedup_matches_tolerance(spark: SparkSession, d: str) -> DataFrame:
     """Per text (modality) a match within the tolerance of one kept goes."""
-    p = intervals(spark, d).groupBy("video_id", "modality").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "id"))), lambda x: F.struct(x["start_sec"].alias("t"), x["id"].alias("id"))).alias("p"))
-    return p.select(F.explode(S.greedy_apart(F.col("p"), 1 << 30, 43200.000001)).alias("k")).select("k.id")
+    return walked(intervals(spark, d), ["video_id", "modality"], ["start_sec", "id"], ["start_sec"], lambda: folds.After(43200.0, strict=True)).select("id")
 
 
 _PREF = f"WITH RECURSIVE {IV}, p AS (SELECT video_id, id, (start_sec + end_sec) / 2 AS t, start_sec AS s, end_sec AS e, row_number() OVER (PARTITION BY video_id ORDER BY value DESC, start_sec, id) AS i FROM iv)"
 
 
-def _preferred(spark: SparkSession, d: str) -> DataFrame:
-    """All candidates of a video in their order of preference."""
-    x = intervals(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("value"), *O)))
-    t = ((F.col("start_sec") + F.col("end_sec")) / 2).alias("t")
-    return x.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", t, F.col("start_sec").alias("s"), F.col("end_sec").alias("e"), "id"))).alias("p"))
+def _preferred(spark: SparkSession, d: str, needs: list[str], rule, fill: int = 0) -> DataFrame:
+    """What a rule takes of a video's candidates in their order of preference."""
+    x = intervals(spark, d).withColumn("t", (F.col("start_sec") + F.col("end_sec")) / 2)
+    return walked(x, ["video_id"], [F.desc("value"), *O], needs, rule, fill).select("video_id", "id")
 
 
 @query(f"""{_PREF}, g AS (SELECT video_id, i, CASE WHEN true THEN [t] END AS taken, [id] AS ids FROM p WHERE i = 1 UNION ALL
@@ -184,22 +171,20 @@ f AS (SELECT video_id, arg_max(ids, i) AS ids FROM g GROUP BY video_id), r AS (S
 SELECT f.video_id, unnest(list_concat(ids, list_slice(coalesce(rest, []), 1, greatest(0, 4 - len(ids))))) AS id FROM f LEFT JOIN r USING (video_id)""")
 def time_diverse_centers(spark: SparkSession, d: str) -> DataFrame:
     """Four windows per video whose centres are two days apart, then filled up."""
-    return _preferred(spark, d).select("video_id", F.explode(S.greedy_apart_filled(F.col("p"), 4, 172800.0)).alias("x")).select("video_id", "x.id")
+    return _preferred(spark, d, ["t"], lambda: folds.Apart(172800.0, 4), fill=4)
 
 
 @query(f"""{_PREF}, g AS (SELECT video_id, i, [{{'s': s, 'e': e}}] AS taken, [id] AS ids FROM p WHERE i = 1 UNION ALL
  SELECT video_id, i, CASE WHEN ok THEN list_append(taken, {{'s': s, 'e': e}}) ELSE taken END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END FROM (SELECT p.*, g.taken, g.ids, len(g.taken) < 4 AND len(list_filter(g.taken, lambda y: greatest(y.s - p.e, p.s - y.e) < 86400)) = 0 AS ok FROM g JOIN p ON p.video_id = g.video_id AND p.i = g.i + 1))
 SELECT video_id, unnest(arg_max(ids, i)) AS id FROM g GROUP BY video_id""")
 def time_diverse_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _preferred(spark, d).select("video_id", F.explode(S.greedy_edges(F.col("p"), 4, 86400.0)).alias("x")).select("video_id", "x.id")
+    return _preferred(spark, d, ["start_sec", "end_sec"], lambda: folds.EdgesApart(86400.0, 4))
 
 
 @query(f"""{_PREF.replace('RECURSIVE ', '')}, a AS (SELECT * FROM p WHERE i = 1), b AS (SELECT p.video_id, p.id, row_number() OVER (PARTITION BY p.video_id ORDER BY p.i) AS rn FROM p JOIN a USING (video_id) WHERE p.i > 1 AND (abs(p.t - a.t) >= 10 OR (p.s, p.e) <> (a.s, a.e)))
 SELECT video_id, id FROM a UNION ALL SELECT video_id, id FROM b WHERE rn = 1""")
 def diverse_pick_2(spark: SparkSession, d: str) -> DataFrame:
-    p = _preferred(spark, d).withColumn("a", F.col("p")[0])
-    nxt = F.filter("p", lambda x: (x["i"] > 1) & ((F.abs(x["t"] - F.col("a.t")) >= 10) | (x["s"] != F.col("a.s")) | (x["e"] != F.col("a.e"))))
-    return p.select("video_id", F.explode(F.concat(F.array("a"), F.slice(nxt, 1, 1))).alias("x")).select("video_id", "x.id")
+    return _preferred(spark, d, ["t", "start_sec", "end_sec"], lambda: folds.Another(10.0))
 
 
 # -- vectors --------------------------------------------------------------------
