@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a cell that one task scans, and queries that it scans them for.
+#: Rows of a block, of which the best are reranked.
 CELL_ROWS = 4_096
-CELL_QUERIES = 8_192
+#: Most rows of a cell that one task scans, block by block, and queries that it scans them for. Every row travels once for so many
+#: queries, every query once for so many rows; their vectors take some 50 MB a task at 64 dimensions.
+PART_ROWS = 65_536
+CELL_QUERIES = 131_072
+#: Queries whose tables are made side by side.
+TABLES = 4_096
 
 
 @dataclass
@@ -163,16 +168,26 @@ def scan(q: Quantiser, top: int, keep: int):
         if not len(rows) or not len(queries):
             return out
         rows = rows.sort_values("id", kind="stable")  # then ties go to the smaller id
+        found = []
+        for a in range(0, len(queries), TABLES):
+            some = queries.iloc[a : a + TABLES]
+            y = np.stack(some["vec"].to_numpy()).astype(np.float64)
+            table = np.einsum("nsd,skd->nsk", _pairs(y), q.books).astype(np.float32)
+            best = [block(some["id"].to_numpy(), y, table, rows.iloc[x : x + CELL_ROWS]) for x in range(0, len(rows), CELL_ROWS)]
+            both = pd.concat(best, ignore_index=True).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            found.append(both.groupby("query_id", sort=False).head(top))
+        return pd.concat(found, ignore_index=True)
+
+    def block(asked: np.ndarray, y: np.ndarray, table: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        """The best of each query in one block."""
         ids = rows["id"].to_numpy()
         columns = np.ascontiguousarray(np.stack(rows["vec"].to_numpy()).astype(np.float64).T)
         code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T
         # two four-bit codes share a byte and a table of 256 sums
         both = [(code[s].astype(np.intp) << 4) | code[s + 1] for s in range(0, len(code) - 1, 2)]
         odd = code[-1].astype(np.intp) if len(code) % 2 else None
-        found = []
-        y = np.stack(queries["vec"].to_numpy()).astype(np.float64)
-        table = np.einsum("nsd,skd->nsk", _pairs(y), q.books).astype(np.float32)
-        for i, qid in enumerate(queries["id"].to_numpy()):
+        qs, vs, scores = [], [], []
+        for i, qid in enumerate(asked):
             approx = np.zeros(len(ids), np.float32)
             for j, b in enumerate(both):
                 approx += (table[i, 2 * j][:, None] + table[i, 2 * j + 1][None, :]).ravel()[b]
@@ -188,8 +203,8 @@ def scan(q: Quantiser, top: int, keep: int):
             at = at[ids[at] != qid]
             score = inner_products(columns[:, at], y[i])
             best = np.lexsort((ids[at], -score))[:top]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(found, ignore_index=True) if found else out
+            qs.append(np.full(len(best), qid)), vs.append(ids[at][best]), scores.append(score[best])
+        return pd.DataFrame({"query_id": np.concatenate(qs), "vec_id": np.concatenate(vs), "score": np.concatenate(scores)})
 
     return run
 
@@ -200,8 +215,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     Every usable row is indexed; ``queries`` has the same columns. A query's own id is no
     candidate. Ties go to the smaller id, equal vectors are all candidates; rows with null
     ids, unusable vectors or another dimension than the sample's take no part, and of several
-    rows with one id the one with the smallest vector counts. The search is exact with ``keep`` at ``CELL_ROWS`` times two or more (a block never has
-    as many rows but by a freak of its hashes) and ``cells`` at 1; below that its recall is to be measured. ``probes`` cells are scanned for each query and ``keep``
+    rows with one id the one with the smallest vector counts. The search is exact with ``keep`` at ``CELL_ROWS`` or more and ``cells`` at 1; below that its recall is to be measured. ``probes`` cells are scanned for each query and ``keep``
     rows of each block are reranked. Fewer candidates than ``top`` in the probed cells give
     fewer rows, unless the whole table has fewer, when all are returned.
     """
@@ -216,7 +230,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     wants = written(asked.mapInPandas(_cells(q, probes, True), f"id long, vec {kind}, cell int"), "vector-queries")
     size = index.groupBy("cell").agg(F.count("*").alias("rows"))
     # cells are few (a sixteenth of the sample at most): their sizes are a bounded table
-    parts = F.broadcast(size.select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("parts")))
+    # as few parts as keep all cores busy: what is sent falls with the rows of a part
+    part_rows = min(PART_ROWS, max(CELL_ROWS, -(-index.count() // (4 * spark.sparkContext.defaultParallelism))))
+    parts = F.broadcast(size.select("cell", F.ceil(F.col("rows") / part_rows).cast("int").alias("parts")))
     shares = F.broadcast(wants.groupBy("cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("shares")))
     index = index.join(parts, "cell").join(shares, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     index = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("cell", "part", "share", "id", "vec", "code")

@@ -770,3 +770,18 @@ def test_nearest_odd_rows(spark):
     got = nearest.search(d, d.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 20), (0, 2, 1), (0, 3, 2), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
     assert nearest.search(d.where("false"), d.where("false")).count() == 0
+
+
+def test_nearest_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART_ROWS", 500)
+    monkeypatch.setattr(nearest, "CELL_QUERIES", 40)
+    x = np.random.default_rng(8).normal(size=(3_000, 16)).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest.search(d, d.where("vec_id % 20 = 0"), keep=nearest.CELL_ROWS).toPandas()
+    for q, own in got.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        assert own.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(s)), -s))[:20].tolist()
+    assert got.query_id.nunique() == 150
+    some = nearest.search(d, d.where("vec_id % 20 = 0")).toPandas()
+    assert len(some.merge(got, on=["query_id", "vec_id"])) >= 0.9 * len(got)
