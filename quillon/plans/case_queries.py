@@ -16,7 +16,9 @@ from ..operators import phrases as P
 from ..operators import ranking as R
 from ..operators import registry as G
 from ..operators.scans import Ordered
+from ..sources import arrays as A
 from ..sources import files as S
+from ..sources.documents import write_json_atomic
 from .fixtures import AT, IV, attempts, intervals, table
 from .registry import query
 
@@ -438,12 +440,10 @@ def acoustic_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS sq, len(embedding)::INTEGER AS n FROM embeddings")
 def scan_npy(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors from files of arrays, a file for each label; ids are the first column."""
+    """Vectors through files of arrays, read in ranges of rows; ids are the first column."""
     path = f"{S.work_dir(spark)}/quillon/npy-{uuid.uuid4().hex}"
-    e = table(spark, d, "embeddings").select("label", F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("vec"))
-    files = S.npy_bytes(e, "label", "vec")
-    files.write.parquet(path)
-    v = S.parse_npy(spark.read.parquet(path), "content").select(F.get("vec", F.lit(0)).cast("long").alias("vec_id"), F.slice("vec", 2, 1 << 20).alias("e"))
+    A.write_arrays(table(spark, d, "embeddings").select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("vec")), path)
+    v = A.read_arrays(spark, path, part_bytes=256 << 10).select(F.get("vec", F.lit(0)).cast("long").alias("vec_id"), F.slice("vec", 2, 1 << 20).alias("e"))
     return v.select("vec_id", F.round(V.dot(F.col("e"), F.col("e")), 5).alias("sq"), F.size("e").alias("n"))
 
 
@@ -453,7 +453,7 @@ def sink_json_atomic(spark: SparkSession, d: str) -> DataFrame:
     path = f"{S.work_dir(spark)}/quillon/atomic-{uuid.uuid4().hex}"
     rows = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
     for version in ("old", "new"):
-        S.write_json_atomic(spark, rows.withColumn("name", F.when(F.lit(version == "new"), F.col("name")).otherwise("old")), path, "k")
+        write_json_atomic(rows.withColumn("name", F.when(F.lit(version == "new"), F.col("name")).otherwise("old")), path, "k")
     return spark.read.schema("k int, name string").json(f"{path}/*.json")
 
 

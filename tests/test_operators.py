@@ -264,20 +264,6 @@ def test_manifests_and_ledgers(spark):
     assert lineage.run_fingerprint(a="1", b="2") == lineage.run_fingerprint(b="2", a="1") != lineage.run_fingerprint(a="2", b="1")
 
 
-def test_array_files_and_resumed_work(spark, tmp_path):
-    import numpy as np
-
-    np.save(tmp_path / "a.npy", np.array([[1.0, 2.0], [3.0, 4.0]], np.float32))
-    np.savez(tmp_path / "b.npz", x=np.array([[5.0]]), y=np.array([[6.0], [7.0]]))
-    assert rows(files.read_npy(spark, str(tmp_path)).select("vec")) == [([1.0, 2.0],), ([3.0, 4.0],), ([5.0],), ([6.0],), ([7.0],)]
-    seen = []
-    work = lambda d: (seen.append(sorted(r.k for r in d.collect())), d)[1]
-    out = str(tmp_path / "done")
-    cases = spark.createDataFrame([(i,) for i in range(5)], "k int")
-    files.resume(spark, cases.where("k < 2"), out, "k", work)
-    assert rows(files.resume(spark, cases, out, "k", work)) == [(i,) for i in range(5)] and seen == [[0, 1], [2, 3, 4]]
-
-
 def test_lineage(spark):
     df = spark.createDataFrame([(1, "a")], "id int, gold string")
     assert schema_key_leaks(df.select(F.struct("gold").alias("s")), {"gold"}) == ["s.gold"]
@@ -320,3 +306,12 @@ def test_phrase_windows_equal_brute_force():
         assert dict(found.matches(t)) == want
         hits += len([r for r in want.values() if r < 1])
     assert hits > 12
+
+
+def test_resumed_work(spark, tmp_path):
+    seen = []
+    work = lambda d: (seen.append(sorted(r.k for r in d.collect())), d)[1]
+    out = str(tmp_path / "done")
+    cases = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    files.resume(spark, cases.where("k < 2"), out, "k", work)
+    assert rows(files.resume(spark, cases, out, "k", work)) == [(i,) for i in range(5)] and seen == [[0, 1], [2, 3, 4]]
