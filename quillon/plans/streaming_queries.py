@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import work_dir
+from ..streaming import guards as G
 from ..streaming import journal as J
 from .evidence_queries import _journal
 from .fixtures import table
@@ -59,3 +60,50 @@ def stream_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     s, out = _stream(spark, e)
     r = J.run_once(spark, J.windowed(s, "1 day", "6 hours"), "complete", out)
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""WITH o AS (SELECT o_custkey AS account, o_orderkey // 2 AS charge_id, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) AS amount FROM orders GROUP BY 1, 2), r AS (SELECT *, sum(amount) OVER (PARTITION BY account ORDER BY seq) AS spent FROM o)
+SELECT account, charge_id, round(spent, 4) AS spent, spent <= 300000 AS within FROM r""")
+def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The budget ledger as a stream: charges once, with each account's running sum."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.expr("o_orderkey div 2").alias("charge_id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("amount"))
+    s, out = _stream(spark, o)
+    return J.run_once(spark, G.ledger(s, 300_000.0), "append", out).select("account", "charge_id", F.round("spent", 4).alias("spent"), "within")
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of users as journals of attempts, each user a case: an attempt begins with a signup, and so on."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), "event_type")
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", G.BEGIN), ("view", "response_saved"), ("click", "validated"), ("purchase", "checkpointed"), ("error", "technical_failure")) for x in p]), F.col("event_type"))
+    return e.select(F.col("user_id").alias("case_id"), F.lit("answer").alias("stage"), F.floor(F.col("event_id") / 2500).cast("long").alias("attempt"), kind.alias("event"), F.col("event_id").alias("seq"), "at")
+
+
+@query()
+def stream_attempt_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts that are made at most once, with refusals and timers; tested against a plain version, split into runs."""
+    s, out = _stream(spark, _attempts(spark, d))
+    return J.run_once(spark, G.guarded(s, 3600), "append", out)
+
+
+@query("""WITH e AS (SELECT user_id || '/' || CAST(ts AS DATE) AS task, event_type, (epoch_us(ts) // 1000) AS ms FROM events), s AS (SELECT task, min(ms) AS ms FROM e WHERE event_type = 'signup' GROUP BY task),
+f AS (SELECT s.task, s.ms, min(e.ms) AS done FROM s LEFT JOIN e ON e.task = s.task AND e.event_type = 'purchase' AND e.ms >= s.ms GROUP BY ALL)
+SELECT task, CASE WHEN done < ms + 7200000 THEN 'finished' ELSE 'timeout' END AS state, CASE WHEN done < ms + 7200000 THEN done ELSE ms + 7200000 END AS at_ms FROM f
+WHERE done IS NOT NULL OR ms + 7200000 <= (SELECT max((epoch_us(ts) // 1000)) FROM events WHERE event_type IN ('signup', 'purchase'))""")
+def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks (a user's day) that begin with a signup and have two hours until a purchase."""
+    e = table(spark, d, "events").where("event_type in ('signup', 'purchase')")
+    task = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+    s, out = _stream(spark, e.select(task.alias("task"), F.when(F.col("event_type") == "signup", "start").otherwise("finish").alias("event"), F.col("ts").cast("timestamp").alias("at")))
+    return J.run_once(spark, G.task_ends(s, 7200), "append", out)
+
+
+@query("SELECT item_id, length(text) AS n, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM benchmark")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Files that came since are worked on by the second run alone."""
+    base = f"{work_dir(spark)}/quillon/resume-{uuid.uuid4().hex}"
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    for run, part in ((1, b.where("item_id % 3 = 0")), (2, b.where("item_id % 3 <> 0"))):
+        part.write.mode("append").parquet(f"{base}/in")
+        work = lambda x, run=run: x.select("item_id", F.char_length("text").cast("long").alias("n"), F.lit(run).alias("run"))
+        rows = G.resumed(spark, f"{base}/in", "item_id long, text string", f"{base}/out", work, f"{base}/state")
+    return rows

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lineage import TRANSITIONS
+from .guards import started
 
 _LEGAL = frozenset(TRANSITIONS)
 _FINAL = ("checkpointed", "technical_failure")
@@ -61,7 +62,9 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str,
     out = f"{checkpoint}/rows"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True)
     if mode == "append":
-        w.format("parquet").option("path", out).start().awaitTermination()
+        with started(spark):
+            q = w.format("parquet").option("path", out).start()
+        q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
 
     def save(rows: DataFrame, batch: int) -> None:
