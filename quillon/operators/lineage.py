@@ -44,6 +44,18 @@ def run_fingerprint(**parts: str) -> str:
     return hashlib.sha256("\n".join(f"{k}={parts[k]}" for k in sorted(parts)).encode()).hexdigest()
 
 
+def table_fingerprint(df: DataFrame, order: str, content: Column, **parts: str) -> DataFrame:
+    """rows, schema, content, run: how many rows a table has, the hash of its fields' names, that of ``content`` of all rows by a tree over ``order``, and of
+    these and further parts of a run by name. Rows enter by their hash, so no text is held; an empty table has a null content."""
+    rows = df.select(F.lit(0).alias("_t"), F.col(order).alias("_o"), content.alias("_c"))
+    tree = tree_sha(rows, "_t", "_o", "_c").select(F.col("sha").alias("content"))
+    total = df.agg(F.count("*").alias("rows"))
+    made = total.join(tree, F.lit(True), "left").withColumn("schema", F.lit(schema_hash(df)))
+    values = {"rows": F.col("rows").cast("string"), "schema": F.col("schema"), "content": F.coalesce("content", F.lit(""))} | {k: F.lit(v) for k, v in parts.items()}
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), values[k]) for k in sorted(values)])
+    return made.select("rows", "schema", "content", F.sha2(lines.cast("binary"), 256).alias("run"))
+
+
 def aggregate_manifest(files: DataFrame) -> DataFrame:
     """files, bytes, aggregate of a manifest (path, bytes, sha); its lines meet in one row."""
     line = F.concat_ws(" ", "path", F.col("bytes").cast("string"), "sha")

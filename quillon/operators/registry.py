@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import vectors as V
+from . import folds
 from . import ranking as R
 from .blocks import top_rows
 
@@ -72,6 +74,22 @@ def _dense(queries: DataFrame, index: DataFrame, parents: int = 3) -> DataFrame:
     return R.gated_cosines(queries, rows, gate, ["group"]).select("query_id", F.col("vec_id").alias("doc_id"), "score")
 
 
+def _siglip(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Of every ``FRAMES`` rows, which are one second, the best frame alone."""
+    best = F.max(F.struct("score", (-F.col("doc_id")).alias("_d"))).alias("_b")
+    scored = _embed(queries, index).withColumn("score", F.round("score", 6))
+    return scored.groupBy("query_id", F.expr(f"doc_id div {FRAMES}")).agg(best).select("query_id", (-F.col("_b._d")).alias("doc_id"), "_b.score")
+
+
+def _hierarchical(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Rows of the best groups, ``k`` of them that are ``APART`` from each other by their ids, filled up with the next best."""
+    scored = _dense(queries, index).withColumn("score", F.round("score", 6))
+    return folds.walked(scored, ["query_id"], [F.desc("score"), "doc_id"], ["doc_id"], lambda: folds.Apart(APART, k), fill=k).drop("pick")
+
+
+#: Frames of a second, and places between rows that count as apart.
+FRAMES, APART = 3, 4
+
 #: Each backend takes queries (query_id, text, vec) and an index (doc_id, text, vec, group) and returns query_id, doc_id, score.
 BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "embed": _embed,
@@ -79,7 +97,10 @@ BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "bm25": lambda q, x: R.bm25(x, q),
     "weighted": _weighted,
     "dense": _dense,
+    "siglip": _siglip,
 }
+#: Backends that choose by what they have chosen before need to know how many rows are asked for.
+CHOOSING: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"hierarchical": _hierarchical}
 
 
 #: Backends by vectors alone keep their best rows in each task.
@@ -90,10 +111,12 @@ def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[Data
     """query_id, doc_id, rank, score of the ``k`` >= 1 best rows of each query by a backend, by name or as a function; ties go to the smaller id."""
     if k < 1:
         raise ValueError("at least one row is to be found")
-    if isinstance(backend, str) and backend not in BACKENDS:
+    if isinstance(backend, str) and backend not in BACKENDS | CHOOSING:
         raise ValueError(f"no such backend: {backend}")
     if isinstance(backend, str) and backend in TOP_ROWS:
         return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id")
+    if isinstance(backend, str) and backend in CHOOSING:
+        backend = partial(CHOOSING[backend], k=k)
     scored = (BACKENDS[backend] if isinstance(backend, str) else backend)(queries, index).withColumn("score", F.round("score", 6))
     return R.top_k(scored, ["query_id"], k, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
 

@@ -352,11 +352,12 @@ def resume_missing(spark: SparkSession, d: str) -> DataFrame:
 # -- manifests ----------------------------------------------------------------------------
 
 
-@query("SELECT 'embeddings' AS name, sha256('embedding' || chr(10) || 'label' || chr(10) || 'vec_id') AS schema, sha256('model=m1' || chr(10) || 'schema=' || sha256('embedding' || chr(10) || 'label' || chr(10) || 'vec_id')) AS run")
+@query("""WITH r AS (SELECT vec_id AS o, sha256(vec_id || '|' || label || '|' || len(embedding)) AS h FROM embeddings), b AS (SELECT o // 1000 AS o, sha256(string_agg(h, '' ORDER BY o)) AS h FROM r GROUP BY 1), c AS (SELECT o // 1000 AS o, sha256(string_agg(h, '' ORDER BY o)) AS h FROM b GROUP BY 1), t AS (SELECT sha256(string_agg(h, '' ORDER BY o)) AS content FROM c),
+s AS (SELECT sha256('embedding' || chr(10) || 'label' || chr(10) || 'vec_id') AS schema) SELECT (SELECT count(*) FROM embeddings) AS rows, schema, content, sha256('content=' || content || chr(10) || 'model=m1' || chr(10) || 'rows=' || (SELECT count(*) FROM embeddings) || chr(10) || 'schema=' || schema) AS run FROM t, s""")
 def run_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """With schema_hash: the fields' names whatever their order, and the parts of a run by name."""
-    h = L.schema_hash(table(spark, d, "embeddings"))
-    return spark.createDataFrame([("embeddings", h, L.run_fingerprint(schema=h, model="m1"))], "name string, schema string, run string")
+    """With schema_hash: a table's fields, rows and contents, and the parts of a run by name."""
+    e = table(spark, d, "embeddings")
+    return L.table_fingerprint(e, "vec_id", F.concat_ws("|", F.col("vec_id").cast("string"), F.col("label").cast("string"), F.size("embedding").cast("string")), model="m1")
 
 
 @query("SELECT item_id, CASE WHEN item_id % 5 = 1 THEN 'changed' WHEN item_id % 5 = 2 THEN 'missing' WHEN item_id % 5 = 3 THEN 'unexpected' END AS state FROM benchmark WHERE item_id % 5 IN (1, 2, 3)")
@@ -427,6 +428,53 @@ def retrieve_flat(spark: SparkSession, d: str) -> DataFrame:
     return _backend("flat")(spark, d)
 
 
+_BM = """tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM x), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tk), tf AS (SELECT doc_id, t, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM tk) GROUP BY 1, 2),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), qt AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS t FROM q),
+bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (t) JOIN df USING (t), st GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_IX}, {_BM}, s AS (SELECT * FROM bm WHERE score > 0) {_TOP}")
+def retrieve_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _backend("bm25")(spark, d)
+
+
+@query(f"""WITH {_IX}, {_BM}, e AS (SELECT query_id, doc_id, list_cosine_similarity(v, q) AS score FROM q, x), sc AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS a FROM e WINDOW w AS (PARTITION BY query_id)),
+sb AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS b FROM bm WHERE score > 0 WINDOW w AS (PARTITION BY query_id)), s AS (SELECT query_id, doc_id, 0.7 * coalesce(a, 0) + 0.3 * coalesce(b, 0) AS score FROM sc FULL JOIN sb USING (query_id, doc_id)) {_TOP}""")
+def retrieve_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Both lists scaled to one range, and summed."""
+    return _backend("weighted")(spark, d)
+
+
+@query(f"WITH {_IX}, e AS (SELECT query_id, doc_id, round(list_cosine_similarity(v, q), 6) AS score FROM q, x), s AS (SELECT query_id, arg_max(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score FROM e GROUP BY query_id, doc_id // 3) {_TOP}")
+def retrieve_siglip(spark: SparkSession, d: str) -> DataFrame:
+    """The best frame of every second (here three rows), then the best seconds."""
+    return _backend("siglip")(spark, d)
+
+
+@query(f"""WITH RECURSIVE {_IX}, m AS (SELECT label, i, avg(e) AS m FROM (SELECT label, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM x) GROUP BY ALL), p AS (SELECT label, list(m ORDER BY i) AS pv FROM m GROUP BY label),
+gt AS (SELECT query_id, label FROM q, p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(pv, q) DESC, label) <= 3), f AS (SELECT q.query_id, x.doc_id, round(list_cosine_similarity(v, q), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(v, q), 6) DESC, x.doc_id) AS i FROM q JOIN gt USING (query_id) JOIN x USING (label)),
+g AS (SELECT query_id, i, [doc_id] AS taken FROM f WHERE i = 1 UNION ALL SELECT f.query_id, f.i, CASE WHEN len(taken) < 5 AND len(list_filter(taken, lambda y: abs(y - f.doc_id) < 4)) = 0 THEN list_append(taken, f.doc_id) ELSE taken END FROM g JOIN f ON f.query_id = g.query_id AND f.i = g.i + 1),
+t AS (SELECT query_id, arg_max(taken, i) AS taken FROM g GROUP BY query_id), r AS (SELECT t.query_id, list(f.doc_id ORDER BY f.i) AS rest FROM t JOIN f ON f.query_id = t.query_id WHERE NOT list_contains(taken, f.doc_id) GROUP BY t.query_id), k AS (SELECT t.query_id, unnest(list_concat(taken, list_slice(coalesce(rest, []), 1, greatest(0, 5 - len(taken))))) AS doc_id FROM t LEFT JOIN r USING (query_id)),
+s AS (SELECT query_id, doc_id, score FROM k JOIN f USING (query_id, doc_id)) {_TOP}""")
+def retrieve_hierarchical(spark: SparkSession, d: str) -> DataFrame:
+    """The best groups, then rows in them that are apart, filled up with the next best."""
+    return _backend("hierarchical")(spark, d)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (event_id % 40)::DOUBLE AS s, (event_id % 40 + user_id % 7)::DOUBLE AS e FROM events), x AS (SELECT event_id, 0 AS span, s AS a, e AS b FROM e UNION ALL SELECT event_id, 1, s + 3, e + 4 FROM e), m AS (SELECT event_id, span, unnest(range(0, ceil((b - a) / 2.0)::INTEGER)) AS n, a FROM x WHERE a < b),
+f AS (SELECT event_id, span, a + n * 2.0 AS moment FROM m), u AS (SELECT *, row_number() OVER (PARTITION BY event_id, moment ORDER BY span) AS r FROM f) SELECT event_id, span, moment FROM u WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY span, moment) <= 5""")
+def visual_inspect(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of spans by a table function in SQL, joined laterally."""
+    from ..functions import tables
+
+    tables.register(spark)
+    view = f"spans_{uuid.uuid4().hex}"
+    span = lambda a, b: F.struct(a.cast("double").alias("start_sec"), b.cast("double").alias("end_sec"))
+    s, e = F.col("event_id") % 40, F.col("event_id") % 40 + F.col("user_id") % 7
+    table(spark, d, "events").select("event_id", F.array(span(s, e), span(s + 3, e + 4)).alias("spans")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT event_id, span, moment FROM {view}, LATERAL visual_inspect(spans, 2.0D, 5)")
+
+
 # -- signals and arrays from files -----------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as ST
 from ..operators import evaluate as E
+from ..operators import sketches as K
+from ..sources.files import written
 from .fixtures import AT, attempts, table
 from .registry import query
 
@@ -36,10 +38,11 @@ def status_classify(spark: SparkSession, d: str) -> DataFrame:
 _MSG = "['CUDA out of memory', 'CUDA error', 'HTTP 429', 'invalid JSON', 'what', '']"
 
 
-@query(f"WITH m AS (SELECT o_orderkey, lower(({_MSG})[o_orderkey % 6 + 1]) AS m FROM orders) SELECT o_orderkey, CASE WHEN m = '' THEN 'none' WHEN m LIKE '%out of memory%' OR m LIKE '%oom%' THEN 'oom' WHEN m LIKE '%cuda%' THEN 'cuda' WHEN m LIKE '%http%' OR m LIKE '%connection%' OR m LIKE '%429%' THEN 'http' WHEN m LIKE '%json%' OR m LIKE '%parse%' THEN 'parse' ELSE 'other' END AS type FROM m")
+@query(f"WITH m AS (SELECT o_orderkey, lower(CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE ({_MSG})[o_orderkey % 6 + 1] || ' in ' || o_orderpriority || ' of ' || o_custkey END) AS m FROM orders) SELECT o_orderkey, CASE WHEN m = '' THEN 'none' WHEN m LIKE '%out of memory%' OR m LIKE '%oom%' THEN 'oom' WHEN m LIKE '%cuda%' THEN 'cuda' WHEN m LIKE '%http%' OR m LIKE '%connection%' OR m LIKE '%429%' THEN 'http' WHEN m LIKE '%json%' OR m LIKE '%parse%' THEN 'parse' ELSE 'other' END AS type FROM m")
 def error_type_classify(spark: SparkSession, d: str) -> DataFrame:
     """With failure_classify: ordered substring rules."""
     m = F.element_at(F.array(*map(F.lit, ["CUDA out of memory", "CUDA error", "HTTP 429", "invalid JSON", "what", ""])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    m = F.when(F.col("o_orderkey") % 6 == 5, "").otherwise(F.concat(m, F.lit(" in "), "o_orderpriority", F.lit(" of "), F.col("o_custkey").cast("string")))
     return table(spark, d, "orders").select("o_orderkey", E.error_type(m).alias("type"))
 
 
@@ -335,3 +338,13 @@ def funnel(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT (user_id, event_type)) AS pairs FROM events")
 def count_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("user_id", "event_type").alias("pairs"))
+
+
+@query("""SELECT l_returnflag, count(*) AS rows, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem GROUP BY 1""")
+def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of each flag from sketches kept for every flag and month, united; close: within 3 % of the exact count."""
+    l = table(spark, d, "lineitem").select("l_returnflag", F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_partkey")
+    kept = written(K.sketched(l, ["l_returnflag", "month"], "l_partkey"), "sketches")
+    exact = l.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact"))
+    met = K.counted(K.united(kept, ["l_returnflag"])).join(exact, "l_returnflag")
+    return met.select("l_returnflag", "rows", "exact", (F.abs(F.col("approx") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))

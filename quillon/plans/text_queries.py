@@ -90,12 +90,19 @@ def exact_match(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", (F.trim("text") == F.trim("nx")).alias("exact"), (T.normalize_text(F.col("text")) == T.normalize_text(F.col("nx"))).alias("normalised"))
 
 
-_ANS = "(['<answer> (B) </answer>', 'I take [c]', 'The answer is D.', ' e ', 'no idea', 'option: a', 'B)'])"
+_ANSWERED = """(SELECT doc_id, chr((65 + n_chars % 7)::INTEGER) AS l, CASE doc_id % 7 WHEN 0 THEN text || ' <answer> (' || l || ') </answer>' WHEN 1 THEN text || ' I take [' || lower(l) || ']' WHEN 2 THEN text || ' The answer is ' || l || '.'
+ WHEN 3 THEN ' ' || lower(l) || ' ' WHEN 4 THEN text WHEN 5 THEN text || ' option: ' || lower(l) ELSE l || ')' END AS s FROM (SELECT *, chr((65 + n_chars % 7)::INTEGER) AS l FROM documents))"""
 
 
-@query(f"WITH a AS (SELECT doc_id, {_ANS}[doc_id % 7 + 1] AS s FROM documents) SELECT doc_id, coalesce(nullif(upper(regexp_extract(s, '(?i)<answer>\\s*\\(?([A-E])\\)?\\s*</answer>', 1)), ''), nullif(upper(regexp_extract(s, '[\\(\\[]([A-Ea-e])[\\)\\]]', 1)), ''), nullif(upper(regexp_extract(s, '(?i)(?:answer|option|choice)\\s*(?:is|:)?\\s*([A-E])\\b', 1)), ''), nullif(upper(regexp_extract(s, '^\\s*([A-Ea-e])\\s*[.)]?\\s*$', 1)), '')) AS choice FROM a")
+@query(f"WITH a AS {_ANSWERED} SELECT doc_id, coalesce(nullif(upper(regexp_extract(s, '(?i)<answer>\\s*\\(?([A-E])\\)?\\s*</answer>', 1)), ''), nullif(upper(regexp_extract(s, '[\\(\\[]([A-Ea-e])[\\)\\]]', 1)), ''), nullif(upper(regexp_extract(s, '(?i)(?:answer|option|choice)\\s*(?:is|:)?\\s*([A-E])\\b', 1)), ''), nullif(upper(regexp_extract(s, '^\\s*([A-Ea-e])\\s*[.)]?\\s*$', 1)), '')) AS choice FROM a")
 def parse_choice(spark: SparkSession, d: str) -> DataFrame:
-    a = F.element_at(F.array(*map(F.lit, ["<answer> (B) </answer>", "I take [c]", "The answer is D.", " e ", "no idea", "option: a", "B)"])), (F.col("doc_id") % 7 + 1).cast("int"))
+    """Choices after whole texts, in tags, brackets and words, and alone; some letters are none."""
+    i, l = F.col("doc_id") % 7, F.chr((65 + F.col("n_chars") % 7).cast("int"))
+    after = lambda *x: F.concat("text", *[c if not isinstance(c, str) else F.lit(c) for c in x])
+    a = (
+        F.when(i == 0, after(" <answer> (", l, ") </answer>")).when(i == 1, after(" I take [", F.lower(l), "]")).when(i == 2, after(" The answer is ", l, ".")).when(i == 3, F.concat(F.lit(" "), F.lower(l), F.lit(" ")))
+        .when(i == 4, F.col("text")).when(i == 5, after(" option: ", F.lower(l))).otherwise(F.concat(l, F.lit(")")))
+    )
     return _docs(spark, d).select("doc_id", T.parse_choice(a).alias("choice"))
 
 
@@ -109,10 +116,10 @@ def parse_choice_smart(spark: SparkSession, d: str) -> DataFrame:
     return o.select("item_id", best["k"].alias("choice")).where("choice is not null")
 
 
-@query(r"WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'so OPTION_INDEX=' || (doc_id % 5) WHEN 1 THEN 'OPTION_INDEX=null' ELSE 'none' END AS s, doc_id % 2 = 0 AS answered FROM documents) SELECT doc_id, TRY_CAST(nullif(regexp_extract(s, 'OPTION_INDEX=(\d+)', 1), '') AS INTEGER) AS idx, CASE WHEN regexp_matches(s, 'OPTION_INDEX=\d+') THEN 'ok' WHEN regexp_matches(s, 'OPTION_INDEX=null') AND NOT answered THEN 'null' ELSE 'invalid' END AS state FROM a")
+@query(r"WITH a AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' so OPTION_INDEX=' || (n_chars % 50) || ' ' WHEN 1 THEN ' OPTION_INDEX=null' ELSE ' none' END AS s, doc_id % 2 = 0 AS answered FROM documents) SELECT doc_id, TRY_CAST(nullif(regexp_extract(s, 'OPTION_INDEX=(\d+)', 1), '') AS INTEGER) AS idx, CASE WHEN regexp_matches(s, 'OPTION_INDEX=\d+') THEN 'ok' WHEN regexp_matches(s, 'OPTION_INDEX=null') AND NOT answered THEN 'null' ELSE 'invalid' END AS state FROM a")
 def parse_mc_marker(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    s = F.when(i % 3 == 0, F.concat(F.lit("so OPTION_INDEX="), (i % 5).cast("string"))).when(i % 3 == 1, "OPTION_INDEX=null").otherwise("none")
+    s = F.concat("text", F.when(i % 3 == 0, F.concat(F.lit(" so OPTION_INDEX="), (F.col("n_chars") % 50).cast("string"), F.lit(" "))).when(i % 3 == 1, " OPTION_INDEX=null").otherwise(" none"))
     state = F.when(s.rlike(r"OPTION_INDEX=\d+"), "ok").when(s.rlike("OPTION_INDEX=null") & (i % 2 != 0), "null").otherwise("invalid")
     return _docs(spark, d).select("doc_id", F.nullif(F.regexp_extract(s, r"OPTION_INDEX=(\d+)", 1), F.lit("")).try_cast("int").alias("idx"), state.alias("state"))
 
@@ -234,16 +241,22 @@ def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "event_type", "y.ratio", "y.scaled")
 
 
-_SP = """['{"1": 3, "4-5": 2}', '{"2-3": 9}', '{"1": 1, "1-2": 2}', 'oops', '{"7": 2}']"""
+_SPANS_OF = """(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"1": ' || (n_chars % 6) || ', "4-5": 2}' WHEN 1 THEN '{"' || (n_chars % 3 + 1) || '-' || (n_chars % 3 + 1 + n_chars % 5) || '": 4}' WHEN 2 THEN '{"1": 1, "' || (n_chars % 2 + 1) || '-' || (n_chars % 2 + 2) || '": 2}'
+ WHEN 3 THEN lang || source ELSE '{"' || (n_chars % 9) || '": 2}' END AS s FROM documents)"""
 
 
-@query(f"""WITH a AS (SELECT doc_id, ({_SP})[doc_id % 5 + 1] AS s FROM documents), j AS (SELECT doc_id, json_valid(s) AS ok, CASE WHEN json_valid(s) THEN s END AS s FROM a), e AS (SELECT doc_id, unnest(json_keys(s)) AS k, s FROM j WHERE ok),
+@query(f"""WITH a AS {_SPANS_OF}, j AS (SELECT doc_id, json_valid(s) AS ok, CASE WHEN json_valid(s) THEN s END AS s FROM a), e AS (SELECT doc_id, unnest(json_keys(s)) AS k, s FROM j WHERE ok),
 v AS (SELECT doc_id, CAST(split_part(k, '-', 1) AS BIGINT) AS lo, CAST(CASE WHEN contains(k, '-') THEN split_part(k, '-', 2) ELSE k END AS BIGINT) AS hi, CAST(json_extract(s, '$."' || k || '"') AS BIGINT) AS x FROM e), f AS (SELECT doc_id, unnest(range(lo, hi + 1)) AS f, x FROM v),
 b AS (SELECT doc_id, max(CASE WHEN x NOT BETWEEN 1 AND 5 THEN 1 ELSE 0 END) AS bad_score, max(CASE WHEN f NOT BETWEEN 1 AND 6 THEN 1 ELSE 0 END) AS bad_range, CASE WHEN count(*) > count(DISTINCT f) THEN 1 ELSE 0 END AS overlap FROM f GROUP BY doc_id)
 SELECT j.doc_id, CASE WHEN NOT ok THEN 'not_json' WHEN bad_score = 1 THEN 'score' WHEN bad_range = 1 THEN 'range' WHEN overlap = 1 THEN 'overlap' ELSE 'valid' END AS state FROM j LEFT JOIN b USING (doc_id)""")
 def parse_span_scores(spark: SparkSession, d: str) -> DataFrame:
     """Keys n or a-b, scores 1 to 5, frames 1 to 6, no overlap."""
-    s = F.element_at(F.array(*map(F.lit, ['{"1": 3, "4-5": 2}', '{"2-3": 9}', '{"1": 1, "1-2": 2}', "oops", '{"7": 2}'])), (F.col("doc_id") % 5 + 1).cast("int"))
+    n, k = F.col("n_chars"), F.col("doc_id") % 5
+    t = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
+    s = (
+        F.when(k == 0, t('{"1": ', n % 6, ', "4-5": 2}')).when(k == 1, t('{"', n % 3 + 1, "-", n % 3 + 1 + n % 5, '": 4}')).when(k == 2, t('{"1": 1, "', n % 2 + 1, "-", n % 2 + 2, '": 2}'))
+        .when(k == 3, F.concat("lang", "source")).otherwise(t('{"', n % 9, '": 2}'))
+    )
     x = _docs(spark, d).select("doc_id", F.from_json(s, "map<string,long>").alias("m"))
     ok = F.col("m").isNotNull() & (F.size("m") > 0)
     frames = F.flatten(F.transform(F.map_keys("m"), lambda k: F.sequence(F.split(k, "-")[0].cast("long"), F.element_at(F.split(k, "-"), -1).cast("long"))))

@@ -18,7 +18,7 @@ def con():
 #: Queries that hold every row against a stated set of queries or phrases, whose size is checked before it is broadcast, or against one row of totals.
 AGAINST_A_SET = {
     "allocate_quota", "cider_like", "cohen_kappa", "cross_join_query_docs", "dense_beam_b", "hierarchical_gated", "join_gold_posthoc", "coarse_route", "medium_rank", "rank_all_mediums",
-    "rerank_fine", "retrieve_dense", "retrieve_embed", "retrieve_flat", "select_by_strategy", "topk_bm25", "topk_bm25_compat", "topk_cosine", "topk_flat", "topk_siglip_second", "topk_weighted_fusion",
+    "rerank_fine", "retrieve_bm25", "retrieve_dense", "retrieve_hierarchical", "retrieve_siglip", "retrieve_weighted", "run_fingerprint", "select_by_strategy", "topk_bm25", "topk_bm25_compat", "topk_siglip_second", "topk_weighted_fusion",
 }
 
 
