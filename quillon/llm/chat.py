@@ -7,9 +7,10 @@ proper prefix of another one is anti-joined away, and the maximal ones are rende
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import Ordered
 from .common import written
 
 
@@ -29,16 +30,13 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, k, n (turns of the conversation), h1, h2: the hash of the first k turns.
 
     The hash sums the turns' hashes, each taken with its place; so a running sum is the
-    rolling hash of the prefix. 120 bits tell different prefixes apart.
+    rolling hash of the prefix. 120 bits tell different prefixes apart. A conversation with very many turns is scanned by ranges of them.
     """
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), _tagged("role"), _tagged("text"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(order))
-    hashed = placed.select("conv_id", "turn", "role", "text", "k", _turn_hash(F.col("k"), 0).alias("t1"), _turn_hash(F.col("k"), 1).alias("t2"))
-    return hashed.select(
-        "conv_id", "k", F.lead("k").over(order).isNull().alias("last"),
-        F.sum("t1").over(so_far).alias("h1"), F.sum("t2").over(so_far).alias("h2"),
-    )
+    rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", F.col("turn").isNull().alias("none"), "turn", "role", "text", _tagged("role").alias("r"), _tagged("text").alias("t"))
+    placed = Ordered(rows, ["conv_id"], ["none", "turn", "r", "t"]).running("k", F.lit(1), "sum", inclusive=True).rows()
+    hashed = written(placed.select("conv_id", "k", _turn_hash(F.col("k"), 0).alias("t1"), _turn_hash(F.col("k"), 1).alias("t2")), "turn-hashes")
+    sums = Ordered(hashed, ["conv_id"], ["k"]).running("h1", "t1", "sum", inclusive=True).running("h2", "t2", "sum", inclusive=True)
+    return sums.running("next", "k", "last", reverse=True).rows().select("conv_id", "k", F.col("next").isNull().alias("last"), "h1", "h2")
 
 
 def maximal(turns: DataFrame) -> DataFrame:

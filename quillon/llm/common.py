@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,7 +119,7 @@ def work_dir(spark: SparkSession) -> str:
     if not base and sc._jsc.sc().getCheckpointDir().isDefined():
         base = sc._jsc.sc().getCheckpointDir().get()
     if not base:
-        if not sc.master.startswith("local["):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         sc.setCheckpointDir(base)

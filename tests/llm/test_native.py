@@ -125,6 +125,17 @@ def test_chat_roles_and_texts_do_not_run_together(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 1}
 
 
+def test_a_conversation_of_very_many_turns(spark, monkeypatch):
+    from quillon.operators import scans
+
+    rows = [(1, k // 3, "user", f"t{k % 5}") for k in range(400)] + [(2, k // 3, "user", f"t{k % 5}") for k in range(250)] + [(3, None, None, "x"), (3, 0, "a", "y"), (3, None, None, "x")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = sorted(map(tuple, chat.format_chats(t).collect()))
+    assert [(r[0], r[1]) for r in want] in ([(1, 400), (3, 3)], [(1, 400), (2, 250), (3, 3)])
+    monkeypatch.setattr(scans, "HOT_ROWS", 50)
+    assert sorted(map(tuple, chat.format_chats(t).collect())) == want
+
+
 def brute_pack(lengths, sources, clusters, capacity):
     """Best fit by looking at every bin."""
     bins, out = [], []
