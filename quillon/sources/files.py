@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return (base or tempfile.mkdtemp(prefix="quillon-")).rstrip("/")
 
