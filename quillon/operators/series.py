@@ -1,4 +1,4 @@
-"""Series: windows over time, peaks, segmentation, greedy folds over sorted arrays."""
+"""Series: windows over time, peaks, robust scales."""
 
 from __future__ import annotations
 
@@ -42,57 +42,6 @@ def fixed_windows(duration: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), d, F.lit(size)), lambda s: F.struct(s.alias("start"), F.least(s + size - 1, d).alias("stop")))
 
 
-def segment_by_threshold(points: Column, threshold: float, least: float) -> Column:
-    """Starts of segments over an array of struct(t, distance) in order of t.
-
-    A point starts a segment if its distance reaches the threshold and at least ``least``
-    seconds have gone since the current start. A last segment that is shorter merges into
-    the one before.
-    """
-    starts = F.aggregate(
-        points,
-        F.array(points[0]["t"]),
-        lambda acc, p: F.when((p["distance"] >= threshold) & (p["t"] - F.element_at(acc, -1) >= least), F.concat(acc, F.array(p["t"]))).otherwise(acc),
-    )
-    end = F.element_at(points, -1)["t"]
-    return F.when((F.size(starts) > 1) & (end - F.element_at(starts, -1) < least), F.slice(starts, 1, F.size(starts) - 1)).otherwise(starts)
-
-
-def greedy_apart(items: Column, k: int, gap: float, time: str = "t") -> Column:
-    """At most ``k`` of an array in order of preference, each at least ``gap`` from all taken before."""
-    empty = F.slice(items, 1, 0)
-    return F.aggregate(
-        items,
-        empty,
-        lambda acc, x: F.when((F.size(acc) < k) & F.forall(acc, lambda y: F.abs(y[time] - x[time]) >= gap), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-
-
-def greedy_apart_filled(items: Column, k: int, gap: float, time: str = "t") -> Column:
-    """The same, then filled up to ``k`` with the first ones left out."""
-    taken = greedy_apart(items, k, gap, time)
-    rest = F.filter(items, lambda x: ~F.array_contains(taken, x))
-    return F.concat(taken, F.slice(rest, 1, F.greatest(F.lit(0), k - F.size(taken))))
-
-
-def greedy_edges(items: Column, k: int, gap: float) -> Column:
-    """At most ``k`` intervals (s, e) whose edges keep ``gap`` from all taken before; no filling up."""
-    return F.aggregate(
-        items,
-        F.slice(items, 1, 0),
-        lambda acc, x: F.when(
-            (F.size(acc) < k) & F.forall(acc, lambda y: F.greatest(y["s"] - x["e"], x["s"] - y["e"]) >= gap), F.concat(acc, F.array(x))
-        ).otherwise(acc),
-    )
-
-
-def union_seconds(spans: Column) -> Column:
-    """The measure of the union of an array of struct(s, e)."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("end"))
-    step = lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0.0), x["e"] - F.greatest(x["s"], a["end"]))).alias("sum"), F.greatest(a["end"], x["e"]).alias("end"))
-    return F.aggregate(F.array_sort(spans), start, step)["sum"]
-
-
 def robust_scale(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """med, mad, and scaled = max(0, (x - med) / (1.4826 mad + 1e-8)) per partition of the keys."""
     med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("med"))

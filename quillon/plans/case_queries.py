@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as Q
-from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.signal import acoustic
 from ..operators import lineage as L

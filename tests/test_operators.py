@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import rules, stats, text, vectors
-from quillon.operators import evaluate, evidence, intervals, lineage, ranking, registry, series
+from quillon.operators import folds, evaluate, evidence, intervals, lineage, ranking, registry, series
 from quillon.schemas import schema_key_leaks
 from quillon.sources import files
 
@@ -117,20 +117,20 @@ def test_min_max_of_equal_values_is_one(spark):
     assert {r.x for r in df.collect()} == {1.0}
 
 
-def test_union_seconds(spark):
-    x = F.array(*[F.struct(F.lit(float(a)).alias("s"), F.lit(float(b)).alias("e")) for a, b in [(5, 6), (0, 2), (1, 5), (9, 10)]])
-    assert one(spark, series.union_seconds(x)) == 7
+def taken(spark, times, rule, needs=("t",), fill=0):
+    df = spark.createDataFrame([(1, float(t), i, i) for i, t in enumerate(times)], "k int, t double, id int, place int")
+    return [r.id for r in folds.walked(df, ["k"], ["place"], list(needs), rule, fill).orderBy("pick").collect()]
 
 
 def test_greedy_orders(spark):
-    items = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(i).alias("id")) for i, t in enumerate([5, 6, 20, 7])])
-    assert [x.id for x in one(spark, series.greedy_apart(items, 3, 10.0))] == [0, 2]
-    assert [x.id for x in one(spark, series.greedy_apart_filled(items, 3, 10.0))] == [0, 2, 1]
+    assert taken(spark, [5, 6, 20, 7], lambda: folds.Apart(10.0, 3)) == [0, 2]
+    assert taken(spark, [5, 6, 20, 7], lambda: folds.Apart(10.0, 3), fill=3) == [0, 2, 1]
 
 
 def test_segments_measure_from_current_start(spark):
-    pts = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(d).alias("distance")) for t, d in [(0, 0.0), (1, 0.9), (2, 0.9), (3, 0.9), (5, 0.9), (6, 0.1), (8, 0.0)]])
-    assert one(spark, series.segment_by_threshold(pts, 0.18, 2.0)) == [0, 2, 5]
+    points = [(0, 0.0), (1, 0.9), (2, 0.9), (3, 0.9), (5, 0.9), (6, 0.1), (8, 0.0)]
+    df = spark.createDataFrame([(1, float(t), x) for t, x in points], "k int, t double, distance double")
+    assert [r.t for r in folds.walked(df, ["k"], ["t"], ["t", "distance"], lambda: folds.Segments(0.18, 2.0)).orderBy("t").collect()] == [0, 2, 5]
 
 
 def test_cosine(spark):
