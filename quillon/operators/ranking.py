@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..sources.files import written
+from . import blocks
 
 
 #: Inputs below this many bytes may lie in fewer row groups than there are cores.
@@ -76,6 +77,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return scored.groupBy("query_id", "doc_id").agg(F.sum("x").alias("score")).where("score > 0")
 
 
+def top_bm25(docs: DataFrame, queries: DataFrame, k: int, tokenizer=T.tokens) -> DataFrame:
+    """query_id, doc_id, rank, score of the ``k`` best texts of each query; as matrices, or by shuffled postings if the queries have too many terms for that."""
+    found = blocks.top_bm25(balanced(docs.select("doc_id", "text")), queries, k, tokenizer)
+    if found is None:
+        scored = bm25(docs, queries, tokenizer=tokenizer).withColumn("score", F.round("score", 6))
+        found = top_k(scored, ["query_id"], k, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
+    return found
+
+
 def cosine_pairs(queries: DataFrame, rows: DataFrame, how=V.cosine) -> DataFrame:
     """query_id, vec_id, score of every query against all rows.
 

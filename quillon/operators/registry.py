@@ -113,6 +113,8 @@ def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[Data
         raise ValueError("at least one row is to be found")
     if isinstance(backend, str) and backend not in BACKENDS | CHOOSING:
         raise ValueError(f"no such backend: {backend}")
+    if backend == "bm25":
+        return R.top_bm25(index, queries, k)
     if isinstance(backend, str) and backend in TOP_ROWS:
         return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id")
     if isinstance(backend, str) and backend in CHOOSING:

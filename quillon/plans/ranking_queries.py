@@ -26,25 +26,19 @@ bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 BM = _bm25_sql(TOK)
 
 
-def _bm25(spark: SparkSession, d: str, tokenizer=T.tokens) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(table(spark, d, "documents"), q, tokenizer=tokenizer)
-
-
-def _ranked(df: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
-    s = df.withColumn("score", F.round("score", 6))
-    return R.top_k(s, ["query_id"], k, F.desc("score"), F.col(item)).select("query_id", item, "rank", "score")
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {BM}, r AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM r QUALIFY rank <= 10")
 def topk_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(_bm25(spark, d), 10)
+    return R.top_bm25(table(spark, d, "documents"), _items(spark, d), 10)
 
 
 @query("WITH " + _bm25_sql(r"regexp_extract_all(lower(coalesce(text, '')), '([\\u4e0-\\9f]|[a-z0-9]+)')") + ", r AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM r QUALIFY rank <= 10")
 def topk_bm25_compat(spark: SparkSession, d: str) -> DataFrame:
     """With the over-escaped tokenizer."""
-    return _ranked(_bm25(spark, d, T.tokens_compat), 10)
+    return R.top_bm25(table(spark, d, "documents"), _items(spark, d), 10, T.tokens_compat)
 
 
 QV = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), cs AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(v, q), 6) AS score FROM q, x)"
@@ -91,7 +85,7 @@ def topk_weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")).distinct()
     a = B.top_rows(e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "vec"), e, 20)
     a = a.select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    b = R.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), ["query_id"], 20, F.desc("score"), F.col("doc_id"))
+    b = R.top_bm25(table(spark, d, "documents"), _items(spark, d), 20)
     f = R.fused(a, b, 0.7, 0.3).withColumn("score", F.round("score", 5))
     return R.top_k(f, ["query_id"], 10, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
 

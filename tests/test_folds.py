@@ -139,3 +139,24 @@ def test_a_task_sends_on_its_best_rows_only(spark):
     for k in range(50):
         best.add(np.random.default_rng(k).random((3, 100)), np.arange(100) + 100 * k)
     assert len(best.choose()[0]) == 12
+
+
+@pytest.mark.parametrize("queries, cells, terms", [(256, 4_000_000, 1_000_000), (2, 40, 1_000_000), (256, 4_000_000, 5)])
+def test_bm25_blocks_equal_postings(spark, monkeypatch, queries, cells, terms):
+    from quillon.functions import text as T
+    from quillon.operators import ranking
+
+    monkeypatch.setattr(blocks, "QUERIES", queries)
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "TERMS", terms)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    d = spark.createDataFrame([(i, text(rng.randint(0, 30))) for i in range(150)] + [(150, None), (151, ""), (152, "w1 w1"), (153, "w1 w1")], "doc_id long, text string").repartition(4)
+    q = spark.createDataFrame([(i, text(rng.randint(1, 6))) for i in range(7)] + [(7, "unknown"), (8, ""), (9, "w1")], "query_id long, text string")
+    got = ranking.top_bm25(d, q, 9).collect()
+    scored = ranking.bm25(d, q).withColumn("score", F.round("score", 6))
+    want = ranking.top_k(scored, ["query_id"], 9, F.desc("score"), F.col("doc_id")).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in got) == sorted((r.query_id, r.rank, r.doc_id) for r in want) and len(got) == 9 * 8
+    assert all(abs(a.score - b.score) < 2e-6 for a, b in zip(sorted(got, key=lambda r: (r.query_id, r.rank)), sorted(want, key=lambda r: (r.query_id, r.rank)), strict=True))
+    assert ranking.top_bm25(d.where("false"), q, 9, T.tokens).count() == ranking.top_bm25(d, q.where("false"), 9).count() == 0
