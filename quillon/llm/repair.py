@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, written
+from .common import join_groups, written
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 KEEP, REROLE, DELETE, INSERT = "KRDI"

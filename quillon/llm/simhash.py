@@ -361,37 +361,36 @@ def _search(slices_: list[Slice], radius: int, words: int):
 
 
 def _between(radius: int, words: int, most: int | None):
-    """One block of a shard: of every node and each other label, the ``most`` nearest nodes within ``radius`` bits (all, if none is given)."""
+    """One block of a shard: of every node the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, block = table["node"].chunk(0), table["block"].to_numpy()
-        label = table["label"].combine_chunks().dictionary_encode()
-        label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False)
+        label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
         fp = of_nodes(nodes, words)
-        found = []
-        ends = [np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())]
-        for x in range(0, len(ends[0]), 512):
-            p, q = ends[0][x : x + 512], ends[1]
-            d = np.zeros((len(p), len(q)), np.uint16)
-            for w in range(fp.shape[1]):
-                d += np.bitwise_count(fp[p, w][:, None] ^ fp[q, w][None, :])
-            i, j = np.nonzero((d <= radius) & (label[p][:, None] != label[q][None, :]))
-            found.append((p[i], q[j], d[i, j].astype(np.int64)))
-        i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
-        i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-        order = np.lexsort((j, d, label[j], i))
-        i, j, d = i[order], j[order], d[order]
-        same = np.concatenate([[False], (i[1:] == i[:-1]) & (j[1:] == j[:-1])]) if len(i) else np.zeros(0, bool)
-        i, j = i[~same], j[~same]
-        first = np.concatenate([[True], (i[1:] != i[:-1]) | (label[j][1:] != label[j][:-1])]) if len(i) else np.zeros(0, bool)
-        at = np.arange(len(i))
-        rank = at - np.maximum.accumulate(np.where(first, at, 0))
-        keep = rank < (len(i) if most is None else most)
-        cut = np.zeros(len(fp), bool)
-        cut[i[~keep]] = True
-        u, v = (nodes.take(pa.array(z[keep])) for z in (i, j))
-        return pa.table([u, v, pa.array(cut[i[keep]])], ["u", "v", "more"])
+        lo, hi = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        sides = [(lo, hi)] if block.min() == block.max() else [(lo, hi), (hi, lo)]
+        us, vs, cut = [], [], []
+        for rows, others in sides:
+            for x in range(0, len(rows), 256):
+                p = rows[x : x + 256]
+                d = np.zeros((len(p), len(others)), np.uint16)
+                for w in range(fp.shape[1]):
+                    d += np.bitwise_count(fp[p, w][:, None] ^ fp[others, w][None, :])
+                d[label[p][:, None] == label[others][None, :]] = 1 << 15
+                near = d <= radius
+                if most is not None and len(others) > most:
+                    pick = np.argpartition(d, most, axis=1)[:, :most]
+                    keep = np.zeros_like(near)
+                    np.put_along_axis(keep, pick, True, axis=1)
+                    more = near.sum(1) > most
+                    near &= keep
+                else:
+                    more = np.zeros(len(p), bool)
+                i, j = np.nonzero(near)
+                us.append(p[i]), vs.append(others[j]), cut.append(more[i])
+        u, v = (nodes.take(pa.array(np.concatenate(z))) for z in (us, vs))
+        return pa.table([u, v, pa.array(np.concatenate(cut))], ["u", "v", "more"])
 
     return run
 
@@ -444,7 +443,7 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
 
 
 def between(nodes: DataFrame, slices_: list[Slice], radius: int, most: int | None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v, more): pairs of nodes with different labels within ``radius`` bits that lie in one shard, for every node and other label the
+    """(u, v, more): pairs of nodes with different labels within ``radius`` bits that lie in one shard, for every node the
     ``most`` nearest of each block. ``more`` tells that a node had further ones. ``nodes`` has node and label, both binary."""
     words = _words(slices_)
     dealt, routed = _dealt(nodes.select("node", "label"), slices_, shard_rows, BETWEEN_ROWS, words)
@@ -544,8 +543,9 @@ class Reach:
 
 #: Everything is a candidate of everything: exact, and quadratic.
 EVERY_PAIR = Reach(NEAR_BITS, NEAR_BITS // 64, 64)
-#: Nearest nodes of each other group that are tried, round by round; the last round tries all.
-TRIED = (8, 64, 512, None)
+#: Nearest nodes of other groups that are tried for every node of a doubtful group, round by round; ``EXACT`` ends with all of them.
+TRIED = (8, 64)
+EXACT = (8, 64, None)
 #: Links of a node that share one copy of its shingles.
 FAN = 64
 
@@ -631,49 +631,62 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach, tried: tuple[int | None, ...]) -> DataFrame:
     """(node, root) of what links of at least this similarity connect. ``pairs`` (u, v) joins all that the search can reach, by few pairs.
 
-    A pair that isn't alike may hide one that is, between others of the two groups. So where one failed, nodes are searched again: those of different
-    groups, as the links found so far make them, are checked with the nearest of each other group, more in each round, until a round had no more to try.
+    A pair that isn't alike may hide one that is, between others of the two groups. So where one failed, nodes are searched again: each is checked
+    with the nearest ones of other groups, as the links found so far make them, with more of them in each round of ``tried``, until a round had no more to try.
     """
     good = alike(pairs, sets, similarity)
     failed = written(pairs.join(good, ["u", "v"], "left_anti"), "not-alike")
     stars = components(good)
+    discard(good)
     if failed.isEmpty():
         discard(failed)
         return stars
     reached = components(pairs)
     reached = reached.unionByName(reached.select(F.col("root").alias("node"), "root").distinct())
     doubtful = failed.select(F.col("u").alias("node")).join(reached, "node").select("root").distinct()
-    active = written(reached.join(doubtful, "root", "left_semi").select("node"), "doubtful")
+    labels = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    active = reached.join(doubtful, "root", "left_semi").select("node", F.col("root").alias("part")).join(labels, "node", "left")
+    active = written(active.select("node", "part", F.coalesce("root", "node").alias("first"), F.coalesce("root", "node").alias("label")), "doubtful")
     discard(failed)
-    for most in TRIED:
-        labels = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-        named_ = written(active.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labelled")
-        found = between(named_, reach.slices(), reach.radius, most)
-        tried = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tried")
-        more = alike(tried, sets, similarity)
-        good = written(good.unionByName(more).distinct(), "good-links")
-        stars = components(good)
-        again = found.where("more").select(F.col("u").alias("node")).distinct()
-        if most is None or again.isEmpty():
+    every = [active]
+    now = active
+    for most in tried:
+        found = between(now.select("node", "label"), reach.slices(), reach.radius, most)
+        pairs_ = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tried")
+        more = alike(pairs_, sets, similarity)
+        label = active.select("node", "label")
+        edges = more.join(label.toDF("u", "a"), "u").join(label.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        merged = components(edges).toDF("label", "_root")
+        active = written(active.join(merged, "label", "left").select("node", "part", "first", F.coalesce("_root", "label").alias("label")), "doubtful")
+        every.append(active)
+        open_ = found.where("more").select(F.col("u").alias("node")).distinct().join(active, "node").select("part").distinct()
+        now = written(active.join(open_, "part", "left_semi"), "open")
+        discard(found, pairs_, more)
+        every.append(now)
+        if now.isEmpty():
             break
-        # whoever shares what was searched with a node that has more to try
-        roots = again.join(reached, "node").select("root").distinct()
-        active = written(reached.join(roots, "root", "left_semi").select("node"), "doubtful")
-        discard(found, tried, more, named_)
-    return stars
+    # groups that became one: their first labels go to the last
+    moved = active.where("first <> label").select(F.col("first").alias("root"), F.col("label").alias("_to")).distinct()
+    sizes = stars.groupBy("root").agg(F.count("*").alias("_n"))
+    moved = written(moved.join(sizes, "root", "left").withColumn("_n", F.coalesce("_n", F.lit(0))), "moved")
+    out = join_groups(stars, moved, "root", "_n", stars.count()).select("node", F.coalesce("_to", "root").alias("root"))
+    out = written(out.unionByName(moved.select(F.col("root").alias("node"), F.col("_to").alias("root"))), "stars")
+    discard(*every, moved)
+    return out
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: Reach = Reach()) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: Reach = Reach(), tried: tuple[int | None, ...] = TRIED) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Two texts are linked if the sets of their ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of at
     least ``similarity``; groups are what links connect. Candidates come from vantage-point trees over
     192-bit fingerprints of word pairs, which differ by about 16 bits at a similarity of 0.8 and by over 50 for
-    unrelated texts; ``linked`` checks them exactly and loses no link within the ``reach`` of the search. ``EVERY_PAIR`` as reach compares
-    all pairs, and so loses none at all. The row with the smallest id stays (null last); texts with equal shingle sets
+    unrelated texts; ``linked`` checks them exactly. With ``EXACT`` as ``tried`` no link within the ``reach`` of the search is lost, at a cost
+    that grows with the square of a group of texts that are near but not alike; the default tries the 64 nearest of every such text. ``EVERY_PAIR`` as reach compares
+    all pairs, and with ``EXACT`` loses none at all. The row with the smallest id stays (null last); texts with equal shingle sets
     are one; null, empty and wordless texts are equal. Repeated rows and one id with several texts are decided
     by their texts. An empty table gives no rows.
     """
@@ -695,7 +708,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = one_each(heads, key, again)
     open_ = heads.where(touched)
     sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
-    stars = linked(pairs, sets, similarity, reach)
+    stars = linked(pairs, sets, similarity, reach, tried)
     discard(pairs, sets)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
     members = written(members, "members")

@@ -376,14 +376,13 @@ def test_no_link_within_reach_is_lost(spark):
     got = {r.doc_id for r in simhash.representatives(docs(spark, *texts)).collect()}
     # pairs that meet by chance are found too, so at least those links count that are within reach
     assert got <= {i for i, r in enumerate(reached) if i == r}
-    every = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR).collect()}
+    every = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR, tried=simhash.EXACT).collect()}
     assert every == {i for i, r in enumerate(roots) if i == r}
     assert every <= got and len(got - every) <= 0.03 * len(pairs)
 
 
-def test_rounds_go_on_until_all_are_tried(spark, monkeypatch):
+def test_rounds_go_on_until_all_are_tried(spark):
     """Two groups of ten that meet by one alike pair only, which is the farthest of all; each round tries one more."""
-    monkeypatch.setattr(simhash, "TRIED", (1, 2, 3, None))
     rng, words = random.Random(3), 300
     base = [f"w{i}" for i in range(words)]
     a = [" ".join([*base[:k], f"a{k}", *base[k + 1 :]]) for k in range(10)]
@@ -397,8 +396,9 @@ def test_rounds_go_on_until_all_are_tried(spark, monkeypatch):
     texts = [*a, *b, " ".join(half)]
     rng.shuffle(texts)
     roots, _ = brute_near(texts)
-    got = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR).collect()}
-    assert got == {i for i, r in enumerate(roots) if i == r}
+    for tried in ((1, 2, 3, None), (None,), (1, None)):
+        got = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR, tried=tried).collect()}
+        assert got == {i for i, r in enumerate(roots) if i == r}
 
 
 def test_representatives_odd_rows(spark):
