@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, appended, byte_views, discard, free, join_groups, named, one_each, repeated, written
@@ -361,17 +361,18 @@ def _search(slices_: list[Slice], radius: int, words: int):
 
 
 def _between(radius: int, words: int, most: int | None):
-    """One block of a shard: of every node the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given)."""
+    """One block of a shard: of every node that asks, the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, block = table["node"].chunk(0), table["block"].to_numpy()
+        asks = np.array([x == b"1" for x in table["asks"].to_pylist()])
         label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
         fp = of_nodes(nodes, words)
         lo, hi = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        sides = [(lo, hi)] if block.min() == block.max() else [(lo, hi), (hi, lo)]
-        us, vs, cut = [], [], []
-        for rows, others in sides:
+        us, vs, ds, cut = (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, bool),)
+        for rows, others in [(lo, hi)] if block.min() == block.max() else [(lo, hi), (hi, lo)]:
+            rows = rows[asks[rows]]
             for x in range(0, len(rows), 256):
                 p = rows[x : x + 256]
                 d = np.zeros((len(p), len(others)), np.uint16)
@@ -379,18 +380,16 @@ def _between(radius: int, words: int, most: int | None):
                     d += np.bitwise_count(fp[p, w][:, None] ^ fp[others, w][None, :])
                 d[label[p][:, None] == label[others][None, :]] = 1 << 15
                 near = d <= radius
+                more = np.zeros(len(p), bool)
                 if most is not None and len(others) > most:
-                    pick = np.argpartition(d, most, axis=1)[:, :most]
-                    keep = np.zeros_like(near)
-                    np.put_along_axis(keep, pick, True, axis=1)
                     more = near.sum(1) > most
+                    keep = np.zeros_like(near)
+                    np.put_along_axis(keep, np.argpartition(d, most, axis=1)[:, :most], True, axis=1)
                     near &= keep
-                else:
-                    more = np.zeros(len(p), bool)
                 i, j = np.nonzero(near)
-                us.append(p[i]), vs.append(others[j]), cut.append(more[i])
+                us, vs, ds, cut = (*us, p[i]), (*vs, others[j]), (*ds, d[i, j].astype(np.int64)), (*cut, more[i])
         u, v = (nodes.take(pa.array(np.concatenate(z))) for z in (us, vs))
-        return pa.table([u, v, pa.array(np.concatenate(cut))], ["u", "v", "more"])
+        return pa.table([u, v, pa.array(np.concatenate(ds).astype(np.int32)), pa.array(np.concatenate(cut))], ["u", "v", "d", "more"])
 
     return run
 
@@ -443,11 +442,20 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
 
 
 def between(nodes: DataFrame, slices_: list[Slice], radius: int, most: int | None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v, more): pairs of nodes with different labels within ``radius`` bits that lie in one shard, for every node the
-    ``most`` nearest of each block. ``more`` tells that a node had further ones. ``nodes`` has node and label, both binary."""
+    """(u, v, more): for every node u that asks, the ``most`` nearest nodes v with another label within ``radius`` bits that lie in one shard with it.
+
+    ``more`` tells that u had further ones. ``nodes`` has node and label (binary) and asks (boolean).
+    """
     words = _words(slices_)
-    dealt, routed = _dealt(nodes.select("node", "label"), slices_, shard_rows, BETWEEN_ROWS, words)
-    found = written(dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(radius, words, most), "u binary, v binary, more boolean"), "group-links")
+    own = nodes.select("node", "label", F.when(F.col("asks"), "1").otherwise("0").cast("binary").alias("asks"))
+    dealt, routed = _dealt(own, slices_, shard_rows, BETWEEN_ROWS, words)
+    found = dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(radius, words, most), "u binary, v binary, d int, more boolean")
+    # a node lies in a shard of each tree: of what they found the nearest count
+    found = found.groupBy("u", "v").agg(F.min("d").alias("d"), F.max("more").alias("more"))
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+        found = found.withColumn("place", place).withColumn("more", F.max(F.col("more") | (F.col("place") > most)).over(Window.partitionBy("u"))).where(F.col("place") <= most)
+    found = written(found.select("u", "v", "more"), "group-links")
     discard(routed)
     return found
 
@@ -631,6 +639,15 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+#: Rows (two digests of 32 bytes) of a table that may be broadcast.
+BROADCAST_LABELS = 200_000
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table marked for broadcast if it is small: then groups of any size meet it without a shuffle."""
+    return F.broadcast(table) if table.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else table
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach, tried: tuple[int | None, ...]) -> DataFrame:
     """(node, root) of what links of at least this similarity connect. ``pairs`` (u, v) joins all that the search can reach, by few pairs.
 
@@ -644,26 +661,34 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach, t
     if failed.isEmpty():
         discard(failed)
         return stars
-    reached = components(pairs)
-    reached = reached.unionByName(reached.select(F.col("root").alias("node"), "root").distinct())
-    doubtful = failed.select(F.col("u").alias("node")).join(reached, "node").select("root").distinct()
     labels = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    active = reached.join(doubtful, "root", "left_semi").select("node", F.col("root").alias("part")).join(labels, "node", "left")
-    active = written(active.select("node", "part", F.coalesce("root", "node").alias("first"), F.coalesce("root", "node").alias("label")), "doubtful")
-    discard(failed)
-    every = [active]
+    # what failed joins groups of alike texts to parts, which are searched again
+    both = failed.join(labels.toDF("u", "_a"), "u", "left").join(labels.toDF("v", "_b"), "v", "left")
+    both = written(both.select("u", "v", F.coalesce("_a", "u").alias("a"), F.coalesce("_b", "v").alias("b")), "not-alike-groups")
+    parts = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")).toDF("label", "part")
+    alone = both.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("label")), F.struct(F.col("v").alias("node"), F.col("b").alias("label")))).alias("x"))
+    known = labels.toDF("node", "label").unionByName(alone.select("x.node", "x.label")).distinct()
+    parts = written(parts.unionByName(parts.select(F.col("part").alias("label"), "part").distinct()), "doubtful-groups")
+    active = written(known.join(_few(parts), "label").select("node", "part", F.col("label").alias("first"), "label"), "doubtful")
+    discard(failed, both)
+    every = [active, parts]
     now = active
     for most in tried:
-        found = between(now.select("node", "label"), reach.slices(), reach.radius, most)
+        # of two alike texts in different groups one isn't in the largest group of its part; so those of the largest needn't ask
+        largest = now.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        largest = written(largest, "largest-groups")
+        asking = now.join(_few(largest), "part").select("node", "label", (F.col("label") != F.col("largest")).alias("asks"))
+        every.append(largest)
+        found = between(asking, reach.slices(), reach.radius, most)
         pairs_ = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tried")
         more = alike(pairs_, sets, similarity)
         label = active.select("node", "label")
         edges = more.join(label.toDF("u", "a"), "u").join(label.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
         merged = components(edges).toDF("label", "_root")
-        active = written(active.join(merged, "label", "left").select("node", "part", "first", F.coalesce("_root", "label").alias("label")), "doubtful")
+        active = written(active.join(_few(merged), "label", "left").select("node", "part", "first", F.coalesce("_root", "label").alias("label")), "doubtful")
         every.append(active)
         open_ = found.where("more").select(F.col("u").alias("node")).distinct().join(active, "node").select("part").distinct()
-        now = written(active.join(open_, "part", "left_semi"), "open")
+        now = written(active.join(_few(open_), "part", "left_semi"), "open")
         discard(found, pairs_, more)
         every.append(now)
         if now.isEmpty():

@@ -225,3 +225,10 @@ def test_packing_odd_rows(spark):
     got = packing.pack_documents(d, source=F.col("doc_id")).collect()
     assert sum(r.length for r in got) == 2 + 2 + 1 + 5000
     assert packing.pack_documents(d.where("false")).count() == 0
+
+
+def test_packing_of_a_very_long_text(spark):
+    d = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "b"), (3, None, None)], "doc_id long, text string, source string")
+    got = packing.pack_documents(d).collect()
+    own = sorted((r.start, r.length) for r in got if r.doc_id == 1)
+    assert sum(n for _, n in own) == 300_000 and [a for a, _ in own] == list(range(0, 300_000, packing.CAPACITY)) and {r.doc_id for r in got} == {1, 2, 3}

@@ -785,3 +785,21 @@ def test_nearest_over_many_parts(spark, monkeypatch):
     assert got.query_id.nunique() == 150
     some = nearest.search(d, d.where("vec_id % 20 = 0")).toPandas()
     assert len(some.merge(got, on=["query_id", "vec_id"])) >= 0.9 * len(got)
+
+
+# -- very long texts ------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60_000))
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(80))
+    half = len(long) // 2
+    at = long.index(" ", half) + 1
+    texts = ["short one", passage, long[:at] + passage + " " + long[at:], "x" * 400_000]
+    d = docs(spark, *texts)
+    spans = [r for r in substring_dedup.repeated_spans(d).collect() if r.doc_id == 2]
+    assert any(texts[2].encode()[r.start : r.stop].decode().strip().find(passage[20:-20]) >= 0 for r in spans)
+    model = language.fit(docs(spark, *["das ist ein haus und der hund " * 3, "the house and the dog is here " * 3] * 5).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en")))
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs(spark, "der hund und das haus " * 20_000, "the dog and the house " * 20_000), model, ["doc_id"]).collect()}
+    assert found == {0: "de", 1: "en"}
