@@ -360,15 +360,20 @@ def _search(slices_: list[Slice], radius: int, words: int):
     return run
 
 
-def _between(radius: int, words: int, most: int | None):
-    """One block of a shard: of every node that asks, the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given)."""
+def _between(slices_: list[Slice], radius: int, words: int, most: int | None):
+    """One block of a shard: of every node that asks, the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given).
+
+    A pair that is sure to meet in the shards of an earlier tree, being within its slice's radius, is left to that one. So each node's nearest ones are found all the same.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, block = table["node"].chunk(0), table["block"].to_numpy()
+        earlier = slices_[: int(table["tree"][0].as_py())]
         asks = np.array([x == b"1" for x in table["asks"].to_pylist()])
         label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
         fp = of_nodes(nodes, words)
+        values = [x.of(fp) for x in earlier]
         lo, hi = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         us, vs, ds, cut = (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, bool),)
         for rows, others in [(lo, hi)] if block.min() == block.max() else [(lo, hi), (hi, lo)]:
@@ -380,6 +385,11 @@ def _between(radius: int, words: int, most: int | None):
                     d += np.bitwise_count(fp[p, w][:, None] ^ fp[others, w][None, :])
                 d[label[p][:, None] == label[others][None, :]] = 1 << 15
                 near = d <= radius
+                i, j = np.nonzero(near)
+                for own, value in zip(earlier, values, strict=True):
+                    met = np.bitwise_count(value[p[i]] ^ value[others[j]]) <= own.radius
+                    near[i[met], j[met]] = False
+                d[~near] = 1 << 15
                 more = np.zeros(len(p), bool)
                 if most is not None and len(others) > most:
                     more = near.sum(1) > most
@@ -449,7 +459,7 @@ def between(nodes: DataFrame, slices_: list[Slice], radius: int, most: int | Non
     words = _words(slices_)
     own = nodes.select("node", "label", F.when(F.col("asks"), "1").otherwise("0").cast("binary").alias("asks"))
     dealt, routed = _dealt(own, slices_, shard_rows, BETWEEN_ROWS, words)
-    found = dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(radius, words, most), "u binary, v binary, d int, more boolean")
+    found = dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(slices_, radius, words, most), "u binary, v binary, d int, more boolean")
     # a node lies in a shard of each tree: of what they found the nearest count
     found = found.groupBy("u", "v").agg(F.min("d").alias("d"), F.max("more").alias("more"))
     if most is not None:
