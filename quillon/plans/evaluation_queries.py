@@ -297,13 +297,16 @@ def hierarchy_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT q.vec_id AS query_id, count(*) AS n, round(max(list_dot_product(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id GROUP BY 1")
 def cross_join_query_docs(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.vectors import dot
-    from ..operators.ranking import small
-
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    j = e.crossJoin(small(q)).where("vec_id <> query_id")
-    return j.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("q"), F.col("embedding"))), 5).alias("best"))
+    from ..operators.blocks import top_rows
+
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    best = top_rows(q, e, 1, "dot", 5, itself=False).select("query_id", F.col("score").alias("best"))
+    # rows are counted, not paired: all with an id, less those with the query's own
+    rows = e.agg(F.count("vec_id").alias("_all"))
+    own = q.groupBy("query_id").agg(F.count("*").alias("_m"))
+    n = own.crossJoin(F.broadcast(rows)).select("query_id", (F.col("_m") * (F.col("_all") - F.col("_m"))).alias("n")).where("n > 0")
+    return n.join(best, "query_id", "left").select("query_id", "n", "best")
 
 
 @query("(SELECT c_custkey AS k, 'both' AS side FROM customer INTERSECT SELECT o_custkey, 'both' FROM orders) UNION ALL SELECT k, 'left' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)")
