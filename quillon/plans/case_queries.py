@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -504,11 +505,32 @@ def sink_json_atomic(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("k int, name string").json(f"{path}/*.json")
 
 
-_PLAIN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+# The rule's forms in SQL: blanks of any kind go from the ends, letters are folded (not only lower-cased). DuckDB composes, but knows no compatibility forms.
+_EVERY = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+_BLANKS = "||".join(f"chr({ord(c)})" for c in _EVERY if c.isspace())
+_FOLDS = {c.lower(): c.casefold() for c in _EVERY if c.casefold() != c.lower() and len(c.lower()) == 1 and unicodedata.normalize("NFKC", c) == c}
 
 
-@query(rf"""WITH t AS (SELECT doc_id, trim(text) AS t, {_PLAIN.format('text')} AS tp FROM documents), b AS (SELECT item_id, trim(text) AS b, {_PLAIN.format('text')} AS bp FROM benchmark),
-m AS (SELECT doc_id, item_id, CASE WHEN contains(t, b) THEN 'unicode_normalized_exact' WHEN contains(lower(t), lower(b)) THEN 'case_insensitive' ELSE 'punctuation_insensitive' END AS method FROM t, b WHERE bp <> '' AND contains(tp, bp)),
+def _own(col: str) -> str:
+    return f"trim(nfc_normalize(coalesce({col}, '')), {_BLANKS})"
+
+
+def _folded(own: str) -> str:
+    one = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+    out = f"translate(lower({own}), '{''.join(one)}', '{''.join(one.values())}')"
+    for c, f in _FOLDS.items():
+        out = out if len(f) == 1 else f"replace({out}, '{c}', '{f}')"
+    return out
+
+
+def _forms_sql(key: str, texts: str) -> str:
+    """Rows (key, o, f, p): a text as it is, folded, and its letters alone."""
+    plain = r"trim(regexp_replace(f, '[^\p{L}\p{N}]+', ' ', 'g'))"
+    return f"SELECT {key}, o, f, {plain} AS p FROM (SELECT *, {_folded('o')} AS f FROM (SELECT {key}, {_own('text')} AS o FROM {texts}))"
+
+
+@query(f"""WITH t AS ({_forms_sql('doc_id', 'documents')}), b AS ({_forms_sql('item_id', 'benchmark')}),
+m AS (SELECT doc_id, item_id, CASE WHEN contains(t.o, b.o) THEN 'unicode_normalized_exact' WHEN contains(t.f, b.f) THEN 'case_insensitive' ELSE 'punctuation_insensitive' END AS method FROM t, b WHERE contains(t.o, b.o) OR contains(t.f, b.f) OR (b.p <> '' AND contains(t.p, b.p))),
 s AS (SELECT *, CASE method WHEN 'unicode_normalized_exact' THEN 1.0 WHEN 'case_insensitive' THEN 0.98 ELSE 0.95 END::DOUBLE AS score, count(*) OVER (PARTITION BY item_id) AS n_matches FROM m)
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS position, CASE WHEN n_matches > 1 THEN 'multiple_possible_matches' END AS ambiguity_warning FROM s""")
 def phrase_ladder(spark: SparkSession, d: str) -> DataFrame:
