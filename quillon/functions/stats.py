@@ -13,14 +13,15 @@ Z95 = 1.959963984540054
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """min(1, 2 sum_{i <= min(b, c)} C(n, i) / 2^n), 1 if n is 0; in logarithms, so any n will do."""
     n, k = b + c, F.least(b, c)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), k.cast("int")))
-    logs = F.aggregate(
-        steps,
-        F.array(n * F.log(F.lit(0.5))),
-        lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.log((n - i + 1) / i))),
+    # one logarithm and one sum go along, whatever the number of terms
+    first = n * F.log(F.lit(0.5))
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), k.cast("int"))),
+        F.struct(first.alias("log"), F.exp(first).alias("sum")),
+        lambda acc, i: F.struct((acc["log"] + F.log((n - i + 1) / i)).alias("log"), (acc["sum"] + F.when(i <= k, F.exp(acc["log"] + F.log((n - i + 1) / i))).otherwise(0.0)).alias("sum")),
+        lambda acc: acc["sum"],
     )
-    logs = F.slice(logs, 1, k.cast("int") + 1)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x))))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
