@@ -104,7 +104,7 @@ CHOOSING: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"hierar
 
 
 #: Backends by vectors alone keep their best rows in each task.
-TOP_ROWS = {"embed": "cosine", "flat": "dot"}
+TOP_ROWS = {"embed": "cosine", "flat": "dot", "siglip": "cosine"}
 
 
 def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[DataFrame, DataFrame], DataFrame] = "embed", k: int = 10) -> DataFrame:
@@ -116,7 +116,8 @@ def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[Data
     if backend == "bm25":
         return R.top_bm25(index, queries, k)
     if isinstance(backend, str) and backend in TOP_ROWS:
-        return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id")
+        # of every ``FRAMES`` rows, which are one second, the best frame alone
+        return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id", per=FRAMES if backend == "siglip" else None)
     if isinstance(backend, str) and backend in CHOOSING:
         backend = partial(CHOOSING[backend], k=k)
     scored = (BACKENDS[backend] if isinstance(backend, str) else backend)(queries, index).withColumn("score", F.round("score", 6))
