@@ -113,3 +113,97 @@ def test_a_second_run_reads_new_files_only(spark, tmp_path):
             spark.createDataFrame(batch, schema).write.mode("append").parquet(str(tmp_path / "in"))
         run()
     assert seen == [[1, 2], [1, 2], [1, 1, 2, 3]]
+
+
+class Store:
+    """A handle whose values lie in memory; it counts what a processor asks of it."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            def get(self):
+                outer.calls += 1
+                return outer.values.get(name)
+
+            def update(self, v):
+                outer.calls += 1
+                outer.values[name] = v
+
+            def clear(self):
+                outer.values.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getCurrentProcessingTimeInMs = getCurrentWatermarkInMs
+
+
+def called(processor, store, rows, columns, ms=0):
+    import pandas as pd
+
+    processor.init(store)
+    return [r for df in processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), Clock(ms)) for r in df.itertuples(index=False, name=None)]
+
+
+def test_keys_of_a_bucket_share_calls_and_state():
+    n, store = 500, Store()
+    got = called(G.Ledger(10.0, None), store, [(a, c, 2 * a + c, 6.0) for a in range(n) for c in (0, 1, 1)], ["account", "charge_id", "seq", "amount"])
+    assert sorted(got) == [(a, c, 2 * a + c, 6.0 * (c + 1), c == 0) for a in range(n) for c in (0, 1)] and store.calls < 10
+    assert called(G.Ledger(10.0, None), store, [(7, 1, 9999, 1.0), (7, 2, 10000, 1.0)], ["account", "charge_id", "seq", "amount"]) == [(7, 2, 10000, 13.0, False)]
+
+    store = Store()
+    got = called(G.Tasks(60), store, [(str(k), "start", k) for k in range(n)] + [("3", "finish", 40)], ["task", "event", "ms"])
+    assert got == [("3", "finished", 40)] and store.calls < 10 and store.timers == {60}
+    late = [r for df in G.Tasks.handleExpiredTimer(_of(G.Tasks(60), store), (0,), Clock(66), None) for r in df.itertuples(index=False, name=None)]
+    assert sorted(late) == [(str(k), "timeout", k + 60) for k in (0, 1, 2, 4, 5)] and store.timers == {60, 66}
+
+    store, columns = Store(), ["case_id", "stage", "attempt", "event", "seq", "ms"]
+    got = called(G.Attempts(60), store, [(k, "a", 1, "begin", k, k) for k in range(n)], columns)
+    assert [r[5] for r in got] == ["sent"] * n and store.calls < 10 and store.timers == {60}
+    late = [r for df in G.Attempts.handleExpiredTimer(_of(G.Attempts(60), store), (0,), Clock(62), None) for r in df.itertuples(index=False, name=None)]
+    assert late == [(k, "a", 1, "timer", k, "ambiguous", None) for k in (0, 1)]
+    assert [r[5:] for r in called(G.Attempts(60), store, [(1, "a", 2, "begin", n, n), (9, "a", 1, "response_saved", n + 1, n)], columns)] == [(None, "unfinished: a/1=ambiguous"), ("response_saved", None)]
+
+
+def _of(processor, store):
+    processor.init(store)
+    return processor
+
+
+def test_a_charge_is_forgotten_after_its_time():
+    store, columns = Store(), ["account", "charge_id", "seq", "amount"]
+    make = lambda: G.Ledger(100.0, 50)
+    assert len(called(make(), store, [(1, 1, 1, 1.0), (2, 1, 2, 1.0)], columns, 10)) == 2 and store.timers == {60}
+    assert called(make(), store, [(1, 1, 3, 1.0)], columns, 59) == []
+    assert called(make(), store, [(1, 1, 4, 1.0)], columns, 60) == [(1, 1, 4, 2.0, True)]
+
+
+def test_a_bucket_replays_its_keys_in_one_call():
+    import pandas as pd
+
+    from quillon.streaming import journal as J
+
+    class State:
+        exists, get, updates = False, None, 0
+
+        def update(self, v):
+            self.exists, self.get, self.updates = True, v, self.updates + 1
+
+    state = State()
+    go = lambda rows: [r for df in J._replay((0,), iter([pd.DataFrame(rows, columns=["key", "seq", "state"])]), state) for r in df.itertuples(index=False, name=None)]
+    assert sorted(go([("a", 2, "sent"), ("b", 3, "sent"), ("a", 1, "pending")])) == [("a", "sent", 2, 0, True), ("b", "sent", 1, 1, True)]
+    assert go([("b", 4, "technical_failure")]) == [("b", "technical_failure", 2, 1, False)] and state.updates == 2
