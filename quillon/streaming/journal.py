@@ -8,32 +8,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lineage import TRANSITIONS
-from .guards import started
+from .guards import bucket, in_order, packed, started, unpacked
 
 _LEGAL = frozenset(TRANSITIONS)
 _FINAL = ("checkpointed", "technical_failure")
 OUT = "key string, last_state string, n_events long, n_illegal long, unfinished boolean"
+_STANDING = pa.schema({"key": pa.string(), "last": pa.string(), "n": pa.int64(), "bad": pa.int64()})
 
 
-def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, n, bad = state.get if state.exists else ("", 0, 0)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    for s in rows["state"]:
-        bad += (last, s) not in _LEGAL
-        last, n = s, n + 1
-    state.update((last, n, bad))
-    yield pd.DataFrame({"key": [key[0]], "last_state": [last], "n_events": [n], "n_illegal": [bad], "unfinished": [last not in _FINAL]})
+def _replay(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    standing = {key: (last, n, bad) for key, last, n, bad in unpacked(bytes(state.get[0]))} if state.exists else {}
+    touched = {}
+    for key, s in in_order(batches, ["key", "state"], ["seq"]):
+        last, n, bad = standing.get(key, ("", 0, 0))
+        standing[key] = touched[key] = s, n + 1, bad + ((last, s) not in _LEGAL)
+    state.update((packed([(key, *v) for key, v in standing.items()], _STANDING),))
+    yield pd.DataFrame([(key, last, n, bad, last not in _FINAL) for key, (last, n, bad) in touched.items()], columns=[c.split()[0] for c in OUT.split(", ")])
 
 
 def replay_stream(events: DataFrame) -> DataFrame:
     """The newest standing of every attempt. ``events`` has key, seq, state; a key's events arrive in order of seq across batches."""
-    return events.groupBy("key").applyInPandasWithState(_replay, OUT, "last string, n long, bad long", "update", GroupStateTimeout.NoTimeout)
+    own = events.select(bucket("key"), "key", "seq", "state")
+    return own.groupBy("bucket").applyInPandasWithState(_replay, OUT, "rows binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def charged_once(charges: DataFrame, watermark: str = "1 hour") -> DataFrame:
