@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -71,6 +73,13 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Memory that this process's allocators hold and don't use goes back to the system: idle workers count toward an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def appended(docs: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: list[tuple[str, str]]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``fields`` (name, type), which the function from ``make()`` computes from blocks of whole texts.
 
@@ -88,6 +97,8 @@ def appended(docs: DataFrame, keep: list[str], text: str, make: Callable[[], Cal
             for at, end in blocks(texts):
                 part = b.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *found(part.column(at_text))], names)
+        del found
+        give_back()
 
     return own.mapInArrow(run, schema)
 
