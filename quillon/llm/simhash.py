@@ -22,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, appended, byte_views, discard, free, join_groups, named, one_each, repeated, written
@@ -329,9 +330,6 @@ class Components:
         return a != b
 
 
-#: Rows of a block where every pair of different groups is looked at.
-BETWEEN_ROWS = 4_096
-
 LINK = "u binary, v binary, d int, tree int, rows long, vantages long, compared long"
 
 
@@ -360,50 +358,6 @@ def _search(slices_: list[Slice], radius: int, words: int):
     return run
 
 
-def _between(slices_: list[Slice], radius: int, words: int, most: int | None):
-    """One block of a shard: of every node that asks, the ``most`` nearest ones with another label within ``radius`` bits (all, if none is given).
-
-    A pair that is sure to meet in the shards of an earlier tree, being within its slice's radius, is left to that one. So each node's nearest ones are found all the same.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes, block = table["node"].chunk(0), table["block"].to_numpy()
-        earlier = slices_[: int(table["tree"][0].as_py())]
-        asks = np.array([x == b"1" for x in table["asks"].to_pylist()])
-        label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)[1]
-        fp = of_nodes(nodes, words)
-        values = [x.of(fp) for x in earlier]
-        lo, hi = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        us, vs, ds, cut = (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, bool),)
-        for rows, others in [(lo, hi)] if block.min() == block.max() else [(lo, hi), (hi, lo)]:
-            rows = rows[asks[rows]]
-            for x in range(0, len(rows), 256):
-                p = rows[x : x + 256]
-                d = np.zeros((len(p), len(others)), np.uint16)
-                for w in range(fp.shape[1]):
-                    d += np.bitwise_count(fp[p, w][:, None] ^ fp[others, w][None, :])
-                d[label[p][:, None] == label[others][None, :]] = 1 << 15
-                near = d <= radius
-                i, j = np.nonzero(near)
-                for own, value in zip(earlier, values, strict=True):
-                    met = np.bitwise_count(value[p[i]] ^ value[others[j]]) <= own.radius
-                    near[i[met], j[met]] = False
-                d[~near] = 1 << 15
-                more = np.zeros(len(p), bool)
-                if most is not None and len(others) > most:
-                    more = near.sum(1) > most
-                    keep = np.zeros_like(near)
-                    np.put_along_axis(keep, np.argpartition(d, most, axis=1)[:, :most], True, axis=1)
-                    near &= keep
-                i, j = np.nonzero(near)
-                us, vs, ds, cut = (*us, p[i]), (*vs, others[j]), (*ds, d[i, j].astype(np.int64)), (*cut, more[i])
-        u, v = (nodes.take(pa.array(np.concatenate(z))) for z in (us, vs))
-        return pa.table([u, v, pa.array(np.concatenate(ds).astype(np.int32)), pa.array(np.concatenate(cut))], ["u", "v", "d", "more"])
-
-    return run
-
-
 def _dealt(nodes: DataFrame, slices_: list[Slice], shard_rows: int, most_rows: int, words: int) -> tuple[DataFrame, DataFrame]:
     """Rows (tree, shard, columns of ``nodes``, block, lo, hi) of all shards, and the written table behind them. The trees are fitted on a sample."""
     spark, names = nodes.sparkSession, ["tree", "shard", *nodes.columns]
@@ -451,25 +405,6 @@ def search(nodes: DataFrame, slices_: list[Slice], radius: int, shard_rows: int
     return found
 
 
-def between(nodes: DataFrame, slices_: list[Slice], radius: int, most: int | None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v, more): for every node u that asks, the ``most`` nearest nodes v with another label within ``radius`` bits that lie in one shard with it.
-
-    ``more`` tells that u had further ones. ``nodes`` has node and label (binary) and asks (boolean).
-    """
-    words = _words(slices_)
-    own = nodes.select("node", "label", F.when(F.col("asks"), "1").otherwise("0").cast("binary").alias("asks"))
-    dealt, routed = _dealt(own, slices_, shard_rows, BETWEEN_ROWS, words)
-    found = dealt.groupBy("tree", "shard", "lo", "hi").applyInArrow(_between(slices_, radius, words, most), "u binary, v binary, d int, more boolean")
-    # a node lies in a shard of each tree: of what they found the nearest count
-    found = found.groupBy("u", "v").agg(F.min("d").alias("d"), F.max("more").alias("more"))
-    if most is not None:
-        place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-        found = found.withColumn("place", place).withColumn("more", F.max(F.col("more") | (F.col("place") > most)).over(Window.partitionBy("u"))).where(F.col("place") <= most)
-    found = written(found.select("u", "v", "more"), "group-links")
-    discard(routed)
-    return found
-
-
 def links(nodes: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     """(u, v), u > v: links that join all nodes within ``radius`` bits, few for each shard; exact."""
     found = search(nodes, exact_slices(bits, radius), radius)
@@ -561,9 +496,12 @@ class Reach:
 
 #: Everything is a candidate of everything: exact, and quadratic.
 EVERY_PAIR = Reach(NEAR_BITS, NEAR_BITS // 64, 64)
-#: Nearest nodes of other groups that are tried for every node of a doubtful group, round by round; ``EXACT`` ends with all of them.
-TRIED = (8, 64)
-EXACT = (8, 64, None)
+#: How many nodes of other groups are tried for a node of a doubtful group: all of them.
+EXACT = (None,)
+#: Rows and shingles of a block of a part, and the rows and number of blocks that a part is cut into so that several tasks have it.
+PART_ROWS, PART_GRAMS, PART_TASKS, PART_CUTS = 8_192, 4_000_000, 1_024, 8
+#: Rows of a block that are checked side by side, and words of 64 shingles that are looked at at once.
+CHECK_ROWS, CHECK_WORDS = 256, 1 << 21
 #: Links of a node that share one copy of its shingles.
 FAN = 64
 
@@ -658,11 +596,116 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else table
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach, tried: tuple[int | None, ...]) -> DataFrame:
+class Alike:
+    """Exact checks of the pairs of some rows of one task, each with a label: what is found joins labels, and pairs of joined labels are passed over."""
+
+    def __init__(self, fp: np.ndarray, label: np.ndarray, grams: np.ndarray, size: np.ndarray, radius: int, similarity: float):
+        self.fp, self.label, self.grams, self.size = fp, label, grams, size.astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.radius, self.similarity = radius, similarity
+        self.joined = Components(int(label.max()) + 1)
+        self.found: list[tuple[int, int]] = []
+
+    def _entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shingle of ``rows``: the place among them, and the place in ``grams``."""
+        n = self.size[rows]
+        return np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)
+
+    def _roots(self, rows: np.ndarray) -> np.ndarray:
+        names, at = np.unique(self.label[rows], return_inverse=True)
+        return np.fromiter(map(self.joined.root, names.tolist()), np.int64, len(names))[at]
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every pair of rows of ``a`` and ``b`` with different labels, which are within the radius of each other."""
+        both = np.union1d(a, b)
+        if len(both) < 2:
+            return
+        row, at = self._entries(both)
+        code, times = np.unique(self.grams[at], return_inverse=True, return_counts=True)[1:]
+        some = times[code] > 1  # what one row alone has is shared by no pair
+        row, code = row[some], code[some]
+        start = np.searchsorted(row, np.arange(len(both) + 1))
+        for x in range(0, len(a), CHECK_ROWS):
+            self._check(a[x : x + CHECK_ROWS], b, both, row, code, start, len(times))
+
+    def _check(self, p: np.ndarray, b: np.ndarray, both: np.ndarray, row: np.ndarray, code: np.ndarray, start: np.ndarray, top: int) -> None:
+        d = np.zeros((len(p), len(b)), np.uint16)
+        for w in range(self.fp.shape[1]):
+            d += np.bitwise_count(self.fp[p, w][:, None] ^ self.fp[b, w][None, :])
+        n, m = self.size[p][:, None], self.size[b][None, :]
+        i, j = np.nonzero((d <= self.radius) & (self._roots(p)[:, None] != self._roots(b)[None, :]) & (np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9))
+        if not len(i):
+            return
+        # a bit for each shingle of these rows
+        own = np.searchsorted(both, p)
+        place = np.concatenate([np.arange(start[k], start[k + 1]) for k in own.tolist()])
+        known = np.unique(code[place])
+        of = np.full(top, -1)
+        of[known] = np.arange(len(known))
+        wide = max(1, -(-len(known) // 64))
+        bits = np.zeros((len(both), wide), np.uint64)
+        hit = np.flatnonzero(of[code] >= 0)
+        bit = of[code[hit]]
+        np.bitwise_or.at(bits, (row[hit], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        left, right = own[i], np.searchsorted(both, b[j])
+        step = max(1, CHECK_WORDS // wide)
+        for y in range(0, len(i), step):
+            shared = np.bitwise_count(bits[left[y : y + step]] & bits[right[y : y + step]]).sum(1, dtype=np.int64)
+            u, v = p[i[y : y + step]], b[j[y : y + step]]
+            good = shared >= self.similarity * (self.size[u] + self.size[v] - shared)
+            for k, o in np.unique(np.stack([self.label[u[good]], self.label[v[good]]], 1), axis=0).tolist():
+                if self.joined.link(k, o):
+                    self.found.append((k, o))
+
+
+def _among(radius: int, words: int, similarity: float):
+    """Some parts, or two blocks of a part: the pairs of labels that alike nodes join, fewer than there are labels."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        coded = lambda c: np.unique(np.array(table[c].to_pylist(), dtype=object), return_inverse=True)
+        (names, label), (parts, part) = coded("label"), coded("part")
+        block, lists = table["block"].to_numpy(), table["grams"].chunk(0)
+        own = Alike(of_nodes(table["node"].chunk(0), words), label, lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(), radius, similarity)
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.searchsorted(part[order], np.arange(1, len(parts)))):
+            if block.min() == block.max():
+                own.compare(rows, rows)
+            else:  # two blocks of a part that is too large: what is in one meets elsewhere
+                own.compare(rows[block[rows] == block.min()], rows[block[rows] == block.max()])
+        u, v = ([names[x[k]] for x in own.found] for k in (0, 1))
+        return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return run
+
+
+def among(nodes: DataFrame, sets: DataFrame, similarity: float, reach: Reach) -> DataFrame:
+    """(u, v): labels that links of at least this similarity join, few for each task, of ``nodes`` (node, part, label) with ``sets`` (node, grams).
+
+    Every pair of nodes of one part with different labels is looked at, and checked exactly if it is within the reach's radius. Small parts share tasks; a large
+    one is cut into blocks, and every two blocks meet in a task of their own.
+    """
+    met = written(nodes.join(sets, "node"), "doubtful-sets")
+    sizes = written(met.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("g")), "part-sizes")
+    cuts = F.greatest(F.ceil(F.col("n") / PART_ROWS), F.ceil(F.col("g") / PART_GRAMS), F.least(F.ceil(F.col("n") / PART_TASKS), F.lit(PART_CUTS)))
+    total = sizes.agg(F.greatest(F.ceil(F.sum("n") / PART_TASKS), F.ceil(F.sum("g") / PART_GRAMS))).first()[0] or 0
+    large = sizes.select("part", cuts.cast("int").alias("k")).where("k > 1")  # there are at most rows / PART_TASKS and shingles / PART_GRAMS of those
+    dealt = met.join(F.broadcast(large), "part", "left")
+    # parts without cuts go by their hash to as many tasks as their rows need
+    own = F.xxhash64("part")
+    dealt = dealt.withColumn("bin", F.when(F.col("k").isNull(), F.pmod(own, F.lit(2 * int(total) + 1))).otherwise(own)).withColumn("block", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")))
+    mates = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = dealt.withColumn("mate", F.explode(mates)).select("bin", "part", "node", "label", "grams", "block", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"))
+    found = written(dealt.groupBy("bin", "lo", "hi").applyInArrow(_among(reach.radius, _words(reach.slices()), similarity), "u binary, v binary"), "group-links")
+    discard(met, sizes)
+    return found
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach) -> DataFrame:
     """(node, root) of what links of at least this similarity connect. ``pairs`` (u, v) joins all that the search can reach, by few pairs.
 
-    A pair that isn't alike may hide one that is, between others of the two groups. So where one failed, nodes are searched again: each is checked
-    with the nearest ones of other groups, as the links found so far make them, with more of them in each round of ``tried``, until a round had no more to try.
+    A pair that isn't alike may hide one that is, between others of the two groups. So where one failed, what hangs together by such pairs is a part, which
+    holds all that the search can reach from it, and every pair of different groups in it is looked at.
     """
     good = alike(pairs, sets, similarity)
     failed = written(pairs.join(good, ["u", "v"], "left_anti"), "not-alike")
@@ -679,49 +722,27 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float, reach: Reach, t
     alone = both.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("label")), F.struct(F.col("v").alias("node"), F.col("b").alias("label")))).alias("x"))
     known = labels.toDF("node", "label").unionByName(alone.select("x.node", "x.label")).distinct()
     parts = written(parts.unionByName(parts.select(F.col("part").alias("label"), "part").distinct()), "doubtful-groups")
-    active = written(known.join(_few(parts), "label").select("node", "part", F.col("label").alias("first"), "label"), "doubtful")
-    discard(failed, both)
-    every = [active, parts]
-    now = active
-    for most in tried:
-        # of two alike texts in different groups one isn't in the largest group of its part; so those of the largest needn't ask
-        largest = now.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        largest = written(largest, "largest-groups")
-        asking = now.join(_few(largest), "part").select("node", "label", (F.col("label") != F.col("largest")).alias("asks"))
-        every.append(largest)
-        found = between(asking, reach.slices(), reach.radius, most)
-        pairs_ = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tried")
-        more = alike(pairs_, sets, similarity)
-        label = active.select("node", "label")
-        edges = more.join(label.toDF("u", "a"), "u").join(label.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        merged = components(edges).toDF("label", "_root")
-        active = written(active.join(_few(merged), "label", "left").select("node", "part", "first", F.coalesce("_root", "label").alias("label")), "doubtful")
-        every.append(active)
-        open_ = found.where("more").select(F.col("u").alias("node")).distinct().join(active, "node").select("part").distinct()
-        now = written(active.join(_few(open_), "part", "left_semi"), "open")
-        discard(found, pairs_, more)
-        every.append(now)
-        if now.isEmpty():
-            break
+    doubtful = known.join(_few(parts), "label").select("node", "part", "label")
+    joins = among(doubtful, sets, similarity, reach)
     # groups that became one: their first labels go to the last
-    moved = active.where("first <> label").select(F.col("first").alias("root"), F.col("label").alias("_to")).distinct()
+    moved = components(joins).toDF("root", "_to")
     sizes = stars.groupBy("root").agg(F.count("*").alias("_n"))
     moved = written(moved.join(sizes, "root", "left").withColumn("_n", F.coalesce("_n", F.lit(0))), "moved")
     out = join_groups(stars, moved, "root", "_n", stars.count()).select("node", F.coalesce("_to", "root").alias("root"))
     out = written(out.unionByName(moved.select(F.col("root").alias("node"), F.col("_to").alias("root"))), "stars")
-    discard(*every, moved)
+    discard(failed, both, parts, joins, moved)
     return out
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: Reach = Reach(), tried: tuple[int | None, ...] = TRIED) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: Reach = Reach(), tried: tuple[int | None, ...] = EXACT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Two texts are linked if the sets of their ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of at
     least ``similarity``; groups are what links connect. Candidates come from vantage-point trees over
     192-bit fingerprints of word pairs, which differ by about 16 bits at a similarity of 0.8 and by over 50 for
-    unrelated texts; ``linked`` checks them exactly. With ``EXACT`` as ``tried`` no link within the ``reach`` of the search is lost, at a cost
-    that grows with the square of a group of texts that are near but not alike; the default tries the 64 nearest of every such text. ``EVERY_PAIR`` as reach compares
-    all pairs, and with ``EXACT`` loses none at all. The row with the smallest id stays (null last); texts with equal shingle sets
+    unrelated texts; ``linked`` checks them exactly, and no link within the ``reach`` of the search is lost. Texts that are near but not alike cost the square of their
+    number, inside tasks. ``EVERY_PAIR`` as reach compares
+    all pairs, and loses none at all. All nodes are tried, whatever rounds ``tried`` names. The row with the smallest id stays (null last); texts with equal shingle sets
     are one; null, empty and wordless texts are equal. Repeated rows and one id with several texts are decided
     by their texts. An empty table gives no rows.
     """
@@ -743,7 +764,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = one_each(heads, key, again)
     open_ = heads.where(touched)
     sets = written(appended(open_.select(F.col(key).alias("node"), named([text_col])[0].alias("t")), ["node"], "t", lambda: _sets(words), [("grams", "array<bigint>")]), "shingles")
-    stars = linked(pairs, sets, similarity, reach, tried)
+    stars = linked(pairs, sets, similarity, reach)
     discard(pairs, sets)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "least"), "node")
     members = written(members, "members")

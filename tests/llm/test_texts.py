@@ -401,6 +401,40 @@ def test_rounds_go_on_until_all_are_tried(spark):
         assert got == {i for i, r in enumerate(roots) if i == r}
 
 
+def test_no_number_of_nearer_texts_hides_a_link(spark):
+    """Two alike texts, each with 80 texts of other groups that have nearer fingerprints: a repeated word moves a fingerprint and hardly the set."""
+    rng, base = random.Random(8), [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join(base + ["q"] * 60)]
+    for k in range(160):
+        own = list(base)
+        for at in rng.sample(range(300), 10):
+            own[at] = f"x{k}a{at}"
+        texts.append(" ".join(own + ["q"] * 60 * (k % 2)))
+    roots, pairs = brute_near(texts)
+    assert (1, 0) in pairs
+    got = {r.doc_id for r in simhash.representatives(docs(spark, *texts), reach=simhash.EVERY_PAIR).collect()}
+    assert got == {i for i, r in enumerate(roots) if i == r}
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_parts_in_blocks_equal_brute_force(spark, monkeypatch, cut):
+    """Families as parts that share tasks, and each cut into blocks."""
+    if cut:
+        monkeypatch.setattr(simhash, "PART_ROWS", 2)
+        monkeypatch.setattr(simhash, "PART_GRAMS", 500)
+    texts = families(random.Random(4), 12)
+    sets = [brute_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if i // 6 == j // 6 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    nodes = simhash.appended(own, ["i"], "t", lambda: simhash._sketches(5), [("node", "binary")])
+    grams = simhash.appended(own, ["i"], "t", lambda: simhash._sets(5), [("grams", "array<bigint>")])
+    key = {bytes(r.node): r.i for r in nodes.collect()}
+    given = nodes.select("node", F.expr("cast(i div 6 as string)").cast("binary").alias("part"), F.col("node").alias("label"))
+    found = simhash.among(given, nodes.join(grams, "i").select("node", "grams"), 0.8, simhash.EVERY_PAIR).collect()
+    assert component_sets(len(texts), [(key[bytes(r.u)], key[bytes(r.v)]) for r in found]) == component_sets(len(texts), near)
+    assert len(near) > 20
+
+
 def test_representatives_odd_rows(spark):
     w = " ".join(f"w{i}" for i in range(200))
     near = w.replace("w7 ", "x7 ")
