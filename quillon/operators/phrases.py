@@ -6,7 +6,7 @@ broadcasts, each of which is gone through once; a set of any size takes several
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -33,8 +33,8 @@ def _blocks(phrases: DataFrame) -> Iterator[list]:
             yield rows
 
 
-def _against(texts: DataFrame, phrases: DataFrame, make: Callable[[list[str]], Callable[[str], list[tuple]]], found: str) -> DataFrame:
-    """doc_id, k and the columns ``found`` (DDL) of what the function from ``make(phrases)`` gives for each text: tuples that begin with a phrase's place."""
+def _against(texts: DataFrame, phrases: DataFrame, make: Callable[[list[str]], Callable[[Iterable[str]], Iterable[tuple]]], found: str) -> DataFrame:
+    """doc_id, k and the columns ``found`` (DDL) of what the function from ``make(phrases)`` gives for the texts of a batch: tuples that begin with a text's and a phrase's place."""
     kind = dict(texts.dtypes)["doc_id"], dict(phrases.dtypes)["k"]
     schema = f"doc_id {kind[0]}, k {kind[1]}, {found}"
     types = [pa.from_numpy_dtype("int64") if t == "long" else _KINDS.get(t) for t in (x.split()[1] for x in found.split(", "))]
@@ -47,7 +47,8 @@ def _against(texts: DataFrame, phrases: DataFrame, make: Callable[[list[str]], C
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = make(shared.value)
             for b in batches:
-                out = [(i, ks[hit[0]], *hit[1:]) for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True) for hit in search(t.as_py() or "")]
+                ids = b["doc_id"].to_pylist()
+                out = [(ids[n], ks[k], *hit) for n, k, *hit in search(t.as_py() or "" for t in b["text"])]
                 columns = [pa.array([r[n] for r in out], t) for n, t in enumerate([b.schema.field("doc_id").type, None, *types])]
                 columns[1] = columns[1].cast(k_type) if len(out) else pa.array([], k_type)
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -59,24 +60,44 @@ def _against(texts: DataFrame, phrases: DataFrame, make: Callable[[list[str]], C
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _contained(phrases: list[str]) -> Callable[[str], list[tuple]]:
+def _each(search: Callable[[str], Iterable[tuple]]) -> Callable[[Iterable[str]], Iterator[tuple]]:
+    return lambda texts: ((n, *hit) for n, text in enumerate(texts) for hit in search(text))
+
+
+def _contained(phrases: list[str]) -> Callable[[Iterable[str]], Iterator[tuple]]:
     a = fuzzy.Automaton(phrases)
-    return lambda text: [(k, *r) for k, r in a.search(text).items()]
+    return _each(lambda text: [(k, *r) for k, r in a.search(text).items()])
 
 
-def _laddered(phrases: list[str]) -> Callable[[str], list[tuple]]:
+def _laddered(phrases: list[str]) -> Callable[[Iterable[str]], Iterator[tuple]]:
     a = fuzzy.Automaton(phrases)
+    last = fuzzy.Alike([f[-1] for f in a.forms])
 
-    def search(text: str) -> list[tuple]:
-        found, own = a.search(text), fuzzy.letters(fuzzy.composed(text))
-        rest = ((k, fuzzy.FUZZY_RUNG, fuzzy.alike(a.forms[k][-1], own)) for k in range(len(phrases)) if k not in found)
-        return [*((k, *r) for k, r in found.items()), *(r for r in rest if r[2] is not None)]
+    def search(texts: Iterable[str]) -> Iterator[tuple]:
+        for some in _together(enumerate(map(fuzzy.forms, texts))):
+            found = [a.standing(own) for _, own in some]
+            yield from ((n, k, *r) for (n, _), hits in zip(some, found, strict=True) for k, r in hits.items())
+            for at, k, ratio in last.search([own[-1] for _, own in some], found):
+                yield some[at][0], k, fuzzy.FUZZY_RUNG, ratio
 
     return search
 
 
-def _windowed(phrases: list[str]) -> Callable[[str], list[tuple]]:
-    return fuzzy.Phrases(phrases).matches
+def _together(texts: Iterable[tuple[int, tuple[str, ...]]]) -> Iterator[list[tuple[int, tuple[str, ...]]]]:
+    """Texts by their places and forms, as many as are held against the phrases at once."""
+    some, size = [], 0
+    for n, own in texts:
+        some.append((n, own))
+        size += len(own[-1])
+        if len(some) >= fuzzy.TEXTS or size >= fuzzy.AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _windowed(phrases: list[str]) -> Callable[[Iterable[str]], Iterator[tuple]]:
+    return _each(fuzzy.Phrases(phrases).matches)
 
 
 def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:

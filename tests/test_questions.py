@@ -167,6 +167,44 @@ def test_ladder_equals_plain_rules(spark, monkeypatch, block):
     assert P.contained(t, p.where("false")).count() == P.contained(t.where("false"), p).count() == 0
 
 
+def damaged(rng, phrase, letters):
+    """A phrase as it may be heard: letters left out and others put in, or a piece of it in its place, or words out of order."""
+    much, style = rng.uniform(0.3, 0.8), rng.random()
+    other = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    if style < 0.4:
+        out = "".join((c if rng.random() < much else "") + (other(1) if rng.random() < 0.6 - 0.6 * much else "") for c in phrase)
+    elif style < 0.7:
+        at = rng.randint(0, len(phrase) // 3)
+        out = other(rng.randint(0, len(phrase) // 4)) + phrase[at : at + int(len(phrase) * much)] + other(rng.randint(0, len(phrase) // 4))
+    else:
+        parts = [phrase[i : i + 9] for i in range(0, len(phrase), 9)]
+        rng.shuffle(parts) if rng.random() < 0.3 else None
+        out = "".join(x if rng.random() < 0.9 else other(7) for x in parts if rng.random() < much + 0.15)
+    return out[: rng.choice([199, 200, 201, 10_000])]
+
+
+@pytest.mark.parametrize("letters, shared, side", [("ab ", 1 << 22, 64), ("etaoinshrdlu ", 500, 64), ("".join(map(chr, range(0x4E00, 0x4E00 + 2000))), 1 << 22, 2)])
+def test_last_rung_equals_the_sequence_matcher(monkeypatch, letters, shared, side):
+    for name, value in (("SHARED", shared), ("SIDE_BY_SIDE", side), ("LETTERS", 1 << 16 if shared > 500 else 50)):
+        monkeypatch.setattr(fuzzy, name, value)
+    rng = random.Random(len(letters))
+    phrases = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 3, 20, 60, 120, 150, 190, 230, 300, 400, 470)]
+    texts = ["", "a", *(damaged(rng, rng.choice(phrases), letters) for _ in range(60))]
+    passed = [{rng.randrange(12)} if rng.random() < 0.2 else set() for _ in texts]
+    want = {(n, k): round(r, 6) for n, t in enumerate(texts) for k, p in enumerate(phrases) if k not in passed[n] and (r := SequenceMatcher(None, p, t).ratio()) >= 0.6}
+    assert {(n, k): r for n, k, r in fuzzy.Alike(phrases).search(texts, passed)} == want and len(want) > 20
+
+
+def test_last_rung_matches_few_pairs_letter_by_letter(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    phrases = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    texts.append(phrases[3][: len(phrases[3]) * 2 // 3])
+    found = list(P._laddered([*phrases, phrases[3] + " and a tail"])(texts))
+    assert (len(texts) - 1, 3) in {x[:2] for x in found} and len(made) < len(texts) * len(phrases) / 500
+
+
 def test_ambiguity(spark):
     rows = [(1, 7, 1.0), (2, 7, 0.98), (0, 7, 0.98), (5, 8, 1.0)]
     got = P.with_ambiguity(spark.createDataFrame(rows, "doc_id long, k long, score double"), ["k"], F.col("doc_id")).collect()
