@@ -61,7 +61,7 @@ def _embed(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _weighted(queries: DataFrame, index: DataFrame) -> DataFrame:
-    return R.fused(_embed(queries, index), R.bm25(index, queries), 0.7, 0.3)
+    return R.weighted_pairs(index, queries, *WEIGHTS)
 
 
 def _dense(queries: DataFrame, index: DataFrame, parents: int = 3) -> DataFrame:
@@ -89,6 +89,8 @@ def _hierarchical(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 #: Frames of a second, and places between rows that count as apart.
 FRAMES, APART = 3, 4
+#: Of cosine and BM25 in their weighted sum.
+WEIGHTS = (0.7, 0.3)
 
 #: Each backend takes queries (query_id, text, vec) and an index (doc_id, text, vec, group) and returns query_id, doc_id, score.
 BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
@@ -115,6 +117,8 @@ def retrieve(queries: DataFrame, index: DataFrame, backend: str | Callable[[Data
         raise ValueError(f"no such backend: {backend}")
     if backend == "bm25":
         return R.top_bm25(index, queries, k)
+    if backend == "weighted":
+        return R.top_weighted(index, queries, k, *WEIGHTS)
     if isinstance(backend, str) and backend in TOP_ROWS:
         # of every ``FRAMES`` rows, which are one second, the best frame alone
         return top_rows(queries, index, k, TOP_ROWS[backend], item="doc_id", per=FRAMES if backend == "siglip" else None)

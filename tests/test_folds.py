@@ -160,3 +160,48 @@ def test_bm25_blocks_equal_postings(spark, monkeypatch, queries, cells, terms):
     assert sorted((r.query_id, r.rank, r.doc_id) for r in got) == sorted((r.query_id, r.rank, r.doc_id) for r in want) and len(got) == 9 * 8
     assert all(abs(a.score - b.score) < 2e-6 for a, b in zip(sorted(got, key=lambda r: (r.query_id, r.rank)), sorted(want, key=lambda r: (r.query_id, r.rank)), strict=True))
     assert ranking.top_bm25(d.where("false"), q, 9, T.tokens).count() == ranking.top_bm25(d, q.where("false"), 9).count() == 0
+
+
+def weighted_case(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    vec = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    odd = [(150, None, vec()), (151, "", None), (152, "w1 w1", [0.0] * 4), (153, "w1", [1.0, 2.0]), (154, "w2", [1.0, None, 0.0, 2.0]), (155, "w1 w1", [])]
+    d = spark.createDataFrame([(i, text(rng.randint(0, 20)), vec()) for i in range(150)] + odd, "doc_id long, text string, vec array<float>")
+    q = [(i, text(rng.randint(1, 6)), vec()) for i in range(6)] + [(6, "unknown", vec()), (7, "", vec()), (8, "w1 w2", None), (9, None, None), (10, "w3", [0.0] * 4), (11, "w4", [1.0, None, 1.0, 1.0])]
+    return d.repartition(4), q, "query_id long, text string, vec array<float>"
+
+
+def same_as_pairs(spark, d, q):
+    from quillon.operators import ranking
+
+    got = ranking.top_weighted(d, q, 9, 0.7, 0.3).collect()
+    want = ranking.top_k(ranking.weighted_pairs(d, q, 0.7, 0.3).withColumn("score", F.round("score", 6)), ["query_id"], 9, F.desc("score"), F.col("doc_id")).collect()
+    key = lambda r: (r.query_id, r.rank, r.doc_id)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert all(abs(a.score - b.score) < 2e-6 or a.score != a.score for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True))
+    return len(got)
+
+
+@pytest.mark.parametrize("queries, cells", [(256, 4_000_000), (2, 40)])
+def test_weighted_blocks_equal_pairs(spark, monkeypatch, queries, cells):
+    monkeypatch.setattr(blocks, "QUERIES", queries)
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    d, q, schema = weighted_case(spark)
+    assert same_as_pairs(spark, d, spark.createDataFrame(q, schema)) == 9 * 12
+    assert same_as_pairs(spark, d.where("doc_id < 5"), spark.createDataFrame(q, schema)) == 5 * 12
+    assert same_as_pairs(spark, d.where("false"), spark.createDataFrame(q[:2], schema)) == same_as_pairs(spark, d, spark.createDataFrame([], schema)) == 0
+
+
+def test_weighted_search_makes_no_pairs_but_for_odd_tables(spark, monkeypatch):
+    from quillon.operators import ranking, registry
+
+    d, q, schema = weighted_case(spark)
+    few = spark.createDataFrame(q[:3], schema)
+    for rows, asked in ((d.unionByName(d.where("doc_id = 3")), few), (d, spark.createDataFrame([*q[:2], (20, "w1", [1.0, 2.0])], schema)), (d, spark.createDataFrame([*q[:2], (20, "w1", [])], schema)), (d, few.unionByName(few.limit(1)))):
+        assert blocks.top_weighted(rows, asked, 9, 0.7, 0.3, ranking.T.tokens) is None
+    strange = d.unionByName(spark.createDataFrame([(200, "w1", [float("inf"), 1.0, 1.0, 1.0])], schema.replace("query_id", "doc_id")))
+    assert blocks.top_weighted(strange, few, 9, 0.7, 0.3, ranking.T.tokens) is None
+    monkeypatch.setattr(ranking, "fused", lambda *a: pytest.fail("pairs"))
+    assert registry.retrieve(few, d, "weighted", 9).count() == 27
