@@ -6,6 +6,7 @@ import pytest
 
 from quillon.operators import blocks
 from quillon.operators import lexical as X
+from quillon.plans import registry
 
 
 @pytest.mark.parametrize("cells", [1_000_000, 25])
@@ -38,3 +39,21 @@ def test_too_many_terms_are_left_to_a_join(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TERMS", 2)
     x = spark.createDataFrame([(1, ["a", "b", "c"])], "query_id long, w array<string>")
     assert blocks.over_terms(x.withColumnRenamed("query_id", "doc_id"), x, X.above(0.5), X.PAIR) is None
+
+
+@pytest.mark.parametrize("terms", [1_000_000, 6])
+def test_every_pair_is_there_however_little_it_shares(spark, monkeypatch, terms):
+    monkeypatch.setattr(blocks, "TERMS", terms)
+    monkeypatch.setattr(blocks, "SCORES", 20)
+    q = [(1, ["a", "b", "c", "d"]), (2, ["x"]), (3, []), (3, ["b", "c"]), (None, ["a", "q"])]
+    d = [(7, ["a", "b"]), (8, ["c", "z"]), (8, ["c", "z"]), (9, []), (10, None), (None, ["x"])]
+    got = blocks.over_every_term(spark.createDataFrame(d, "doc_id long, w array<string>"), spark.createDataFrame(q, "query_id long, w array<string>"), X.every, X.PAIR)
+    share = [(i, j, len(set(a) & set(b or [])) / max(1, len(a))) for i, a in q for j, b in d]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, share))
+
+
+def test_lexical_similarity_of_every_query_and_text(spark):
+    sf = "/root/testdata/sf0.001"
+    items, docs = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("benchmark", "documents"))
+    got = registry.QUERIES["lexical_similarity"].run(spark, sf)
+    assert got.count() == items * docs and 0 < got.where("lexical <= 0.5").count() < items * docs
