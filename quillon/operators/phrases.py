@@ -97,7 +97,7 @@ def _together(texts: Iterable[tuple[int, tuple[str, ...]]]) -> Iterator[list[tup
 
 
 def _windowed(phrases: list[str]) -> Callable[[Iterable[str]], Iterator[tuple]]:
-    return _each(fuzzy.Phrases(phrases).matches)
+    return fuzzy.Phrases(phrases).search
 
 
 def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:

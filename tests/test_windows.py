@@ -44,3 +44,40 @@ def test_shared_trigrams_in_other_places_measure_no_window(monkeypatch):
     monkeypatch.setattr(fuzzy.Phrases, "_common", lambda self, *a, own=getattr(fuzzy.Phrases, "_common", None): (measured.append(a), own(self, *a))[1], raising=False)
     monkeypatch.setattr(fuzzy, "_common", lambda *a: measured.append(a) or 0, raising=False)
     assert fuzzy.Phrases([f"{first} {second}"]).matches(f"{second} {first}") == [] and not measured
+
+
+SYLLABLES = "th er on in re an ea st en at or hi ing tion ble nd of es it is".split()
+
+
+def _prose(rng, words):
+    return " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(words))
+
+
+def test_phrases_within_words_are_found():
+    assert fuzzy.Phrases(["nan", "ana b", "zz"]).matches("Banana. Bread") == [(0, 1.0), (1, 1.0)]
+
+
+def test_texts_together_and_long_windows_give_what_every_window_gives(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(fuzzy, "TOGETHER", 50)
+    phrases = [_prose(rng, n) for n in (3, 18, 22, 30, 36, 40, 44, 52, 60)] + ["the of", "", "zz, zq"]
+    texts = ["", "of", _prose(rng, 10)]
+    for rate in (0.04, 0.08, 0.1, 0.12, 0.14):
+        for p in phrases[:9]:
+            spoiled = "".join(rng.choice("etzq ") if rng.random() < rate else c for c in p if rng.random() > rate / 2)
+            texts.append(f"{_prose(rng, 4)} {spoiled} {_prose(rng, 4)}")
+    want = [(n, k, r) for n, t in enumerate(texts) if t for k, r in _every([p for p in phrases if p], t)]
+    place = [k for k, p in enumerate(phrases) if p]
+    assert sum(0.85 <= r < 0.9 for *_, r in want) > 3
+    for letters in (200, 1 << 16):
+        monkeypatch.setattr(fuzzy, "LETTERS", letters)
+        assert sorted(fuzzy.Phrases(phrases).search(texts)) == [(n, place[k], r) for n, k, r in want]
+
+
+def test_few_windows_of_prose_are_measured(monkeypatch):
+    rng = random.Random(4)
+    measured, own = [], fuzzy.Phrases._common
+    monkeypatch.setattr(fuzzy.Phrases, "_common", lambda self, letters, k, x, y: (measured.append(len(k)), own(self, letters, k, x, y))[1])
+    phrases, words = [_prose(rng, rng.randint(15, 60)) for _ in range(60)], 1500
+    fuzzy.Phrases(phrases).matches(_prose(rng, words))
+    assert sum(measured) < len(phrases) * words / 500
