@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blocks as B
 from ..operators import phrases as P
-from ..operators import ranking as R
 from .fixtures import IV, intervals, table
 from .ranking_queries import STEM, STOP, TOK
 from .registry import query
@@ -145,7 +145,9 @@ def video_id_from_annotation(spark: SparkSession, d: str) -> DataFrame:
 def phrase_match_windowed(spark: SparkSession, d: str) -> DataFrame:
     """Best window ratio of at least 0.85 by the sequence matcher, which SQL can't express; bounds that lose no match pass over most windows."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("phrase"))
-    return P.windowed(R.balanced(_docs(spark, d).select("doc_id", "text")), b)
+    texts = _docs(spark, d).select("doc_id", "text")
+    # a text costs far more to go through than to send, so large tables are dealt evenly too
+    return P.windowed(texts.repartition(B.spread(texts)), b)
 
 
 @query("SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, value * 100 AS sec FROM (SELECT event_id, value, greatest(0, floor(value * 100))::BIGINT AS s FROM events)")
